@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from txnrecon.functions.text import (
-    _c, ascii_lower, contains_any, extract, first_where, label_value, lines, utrim,
+    _c, ascii_lower, contains_any, extract, first_where, label_value, let, lines, utrim,
 )
 
 MONTH = (
@@ -46,13 +46,16 @@ def month_first_date(col: Column | str) -> Column:
 
 def english_date(col: Column | str) -> Column:
     """``May 11, 2026``, full or three-letter month, any case and spacing."""
-    text = utrim(col)
     shape = rf"(?i)^({MONTH})\s*([0-9]{{1,2}}),\s*([0-9]{{4}})\z"
-    month = ascii_lower(F.substring(F.regexp_extract(text, shape, 1), 1, 3))
-    number = ((F.instr(F.lit(_MONTH_KEY), month) + 2) / 3).cast("int").cast("string")
-    return F.when(
-        text.rlike(shape), _assemble(F.regexp_extract(text, shape, 3), number, F.regexp_extract(text, shape, 2))
-    )
+
+    def read(text: Column) -> Column:
+        month = ascii_lower(F.substring(F.regexp_extract(text, shape, 1), 1, 3))
+        number = ((F.instr(F.lit(_MONTH_KEY), month) + 2) / 3).cast("int").cast("string")
+        return F.when(
+            text.rlike(shape), _assemble(F.regexp_extract(text, shape, 3), number, F.regexp_extract(text, shape, 2))
+        )
+
+    return let(utrim(col), read)
 
 
 def wallet_date(col: Column | str) -> Column:

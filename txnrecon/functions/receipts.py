@@ -9,7 +9,7 @@ from txnrecon.functions.dates import payment_date
 from txnrecon.functions.keys import PAYMENT_PREFIX, prefixed
 from txnrecon.functions.numbers import amount_gate, currency_gate, first_decimal
 from txnrecon.functions.text import (
-    HSPACE, ascii_lower, block_after_label, contains_any, extract, first_where, label_value, lines,
+    ascii_lower, block_after_label, contains_any, extract, first_where, label_value, let, lines,
     strip_thousands_commas,
 )
 
@@ -28,14 +28,16 @@ PAYMENT_DESCRIPTION = "Payment to PayPal Credit"
 
 def is_purchase(body: Column) -> Column:
     """A receipt marker is present and no installment phrase vetoes it."""
-    lower = ascii_lower(body)
-    return ~contains_any(lower, INSTALLMENT_MARKERS) & contains_any(lower, RECEIPT_MARKERS)
+    return let(
+        ascii_lower(body), lambda low: ~contains_any(low, INSTALLMENT_MARKERS) & contains_any(low, RECEIPT_MARKERS)
+    )
 
 
 def is_payment_receipt(body: Column) -> Column:
     """The user-paid phrase together with a marker only confirmations carry."""
-    lower = ascii_lower(body)
-    return contains_any(lower, ("you paid",)) & contains_any(lower, PAYMENT_MARKERS)
+    return let(
+        ascii_lower(body), lambda low: contains_any(low, ("you paid",)) & contains_any(low, PAYMENT_MARKERS)
+    )
 
 
 def usd_transaction_total(body: Column) -> Column:
@@ -60,31 +62,39 @@ def funding_last4(body: Column) -> Column:
     return extract(block, r"(?i)(?:^|[^A-Za-z0-9])x-([0-9]{4})(?![0-9])")
 
 
-def payment_fields(body: Column) -> dict[str, Column]:
-    """Transfer fields of a payment receipt, with ``parse_error`` naming the first gap."""
-    words = paid_tokens(body)
-    amount = amount_gate(strip_thousands_commas(F.get(words, 0)))
-    currency = currency_gate(F.get(words, 1))
-    paid_on = payment_date(body)
-    txn_id = label_value(body, "transaction id")
-    source_key = funding_last4(body)
-    error = (
-        F.when(F.coalesce(F.size(words), F.lit(0)) < 2, "no amount and currency after `you paid $`")
-        .when(amount.isNull(), "payment amount rejected")
-        .when(currency.isNull(), "payment currency rejected")
-        .when(paid_on.isNull(), "no parseable payment date")
-        .when(txn_id.isNull(), "no transaction id value")
-        .when(source_key.isNull(), "no funding last-4 under paid with")
-    )
-    return {
-        "amount": amount,
-        "currency": currency,
-        "txn_date": paid_on,
-        "description": F.lit(PAYMENT_DESCRIPTION),
-        "external_id": prefixed(PAYMENT_PREFIX, txn_id),
-        "source_kind": F.lit("paypal_funding_last4"),
-        "source_key": source_key,
-        "dest_kind": F.lit("paypal_credit"),
-        "dest_key": F.lit("paypal_credit"),
-        "parse_error": error,
-    }
+def payment_fields(body: Column) -> Column:
+    """Transfer struct of a payment receipt, with ``parse_error`` naming the first gap."""
+
+    def read(text: Column) -> Column:
+        return F.struct(
+            paid_tokens(text).alias("words"),
+            payment_date(text).alias("day"),
+            label_value(text, "transaction id").alias("txn_id"),
+            funding_last4(text).alias("last4"),
+        )
+
+    def typed(r: Column) -> Column:
+        amount = amount_gate(strip_thousands_commas(F.get(r["words"], 0)))
+        currency = currency_gate(F.get(r["words"], 1))
+        error = (
+            F.when(F.coalesce(F.size(r["words"]), F.lit(0)) < 2, "no amount and currency after `you paid $`")
+            .when(amount.isNull(), "payment amount rejected")
+            .when(currency.isNull(), "payment currency rejected")
+            .when(r["day"].isNull(), "no parseable payment date")
+            .when(r["txn_id"].isNull(), "no transaction id value")
+            .when(r["last4"].isNull(), "no funding last-4 under paid with")
+        )
+        return F.struct(
+            amount.alias("amount"),
+            currency.alias("currency"),
+            r["day"].alias("txn_date"),
+            F.lit(PAYMENT_DESCRIPTION).alias("description"),
+            prefixed(PAYMENT_PREFIX, r["txn_id"]).alias("external_id"),
+            F.lit("paypal_funding_last4").alias("source_kind"),
+            r["last4"].alias("source_key"),
+            F.lit("paypal_credit").alias("dest_kind"),
+            F.lit("paypal_credit").alias("dest_key"),
+            error.alias("parse_error"),
+        )
+
+    return let(body, lambda text: let(read(text), typed))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from txnrecon.functions.text import _c, ascii_lower, utrim
+from txnrecon.functions.text import _c, ascii_lower, let, utrim
 
 # Whole-word tokens of each status class.
 APPROVE_TOKENS = [
@@ -37,17 +37,19 @@ def normalize_status(col: Column | str) -> Column:
 
 def status_class(col: Column | str) -> Column:
     """approved / declined / other, by whole tokens: reject beats in-flight beats approve."""
-    words = F.split(normalize_status(col), " ")
 
-    def any_of(vocabulary: list[str]) -> Column:
-        return F.arrays_overlap(words, F.array(*[F.lit(t) for t in vocabulary]))
+    def classify(words: Column) -> Column:
+        def any_of(vocabulary: list[str]) -> Column:
+            return F.arrays_overlap(words, F.array(*[F.lit(t) for t in vocabulary]))
 
-    return (
-        F.when(any_of(REJECT_TOKENS), "declined")
-        .when(any_of(IN_FLIGHT_TOKENS), "other")
-        .when(any_of(APPROVE_TOKENS), "approved")
-        .otherwise("other")
-    )
+        return (
+            F.when(any_of(REJECT_TOKENS), "declined")
+            .when(any_of(IN_FLIGHT_TOKENS), "other")
+            .when(any_of(APPROVE_TOKENS), "approved")
+            .otherwise("other")
+        )
+
+    return let(F.split(normalize_status(col), " "), classify)
 
 
 def is_known_currency(col: Column | str) -> Column:

@@ -7,7 +7,7 @@ accented letters, which would merge names the rules keep apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Columns are expressions: one that is used five times is computed five times, and a
+    filter pushed below a projection copies it again. A lambda variable is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ascii_lower(col: Column | str) -> Column:
     return F.translate(_c(col), UPPER, LOWER)
 
@@ -82,11 +91,14 @@ def tokens(col: Column | str) -> Column:
 
 def token_containment(a: Column, b: Column) -> Column:
     """Share of the shorter token list found in the other; duplicates count, ties take the left."""
-    small = F.when(F.size(a) <= F.size(b), a).otherwise(b)
-    big = F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    hits = F.size(F.filter(small, lambda t: F.array_contains(big, t)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        hits.cast("double") / F.greatest(F.size(small), F.lit(1))
+
+    def share(small: Column, big: Column) -> Column:
+        hits = F.size(F.filter(small, lambda t: F.array_contains(big, t)))
+        return F.when(F.size(small) == 0, 0.0).otherwise(hits.cast("double") / F.greatest(F.size(small), F.lit(1)))
+
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda p: F.when(F.size(p["a"]) <= F.size(p["b"]), share(p["a"], p["b"])).otherwise(share(p["b"], p["a"])),
     )
 
 
@@ -131,10 +143,16 @@ def decode_windows_1252(col: Column | str) -> Column:
 # --- mail bodies -------------------------------------------------------------
 
 
+_HTML_DROP = (
+    r"(?is)<head\b[^>]*>.*?</head\s*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+    r"|<!--.*?-->|<![a-z][^>]*>"
+)
+
+
 def html_to_text(col: Column | str) -> Column:
     """Readable text of an HTML body: scripts, styles, comments and the head go, block
     ends become newlines, other tags go, the common entities are decoded."""
-    text = F.regexp_replace(_c(col), r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![a-z][^>]*>", "")
+    text = F.regexp_replace(_c(col), _HTML_DROP, "")
     text = F.regexp_replace(text, r"[ \t\r\n]+", " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|tr|h[1-6]|article|table|nav)\s*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")

@@ -13,7 +13,7 @@ from txnrecon.functions.dates import iso_date
 from txnrecon.functions.keys import WIRE_PREFIX, prefixed
 from txnrecon.functions.numbers import amount_gate, currency_gate
 from txnrecon.functions.text import (
-    HSPACE, ascii_lower, ascii_upper, contains_any, extract, lines, nonblank, strip_thousands_commas, utrim,
+    ascii_lower, ascii_upper, contains_any, extract, let, lines, nonblank, strip_thousands_commas, utrim,
 )
 
 # Message-type tokens and the settlement tag of a wire confirmation.
@@ -27,8 +27,9 @@ _RULE = r"^\s*_+\s*\z"
 
 
 def is_wire(body: Column) -> Column:
-    lower = ascii_lower(body)
-    return contains_any(lower, WIRE_MARKERS) & F.contains(lower, F.lit(SETTLEMENT_MARKER))
+    return let(
+        ascii_lower(body), lambda low: contains_any(low, WIRE_MARKERS) & F.contains(low, F.lit(SETTLEMENT_MARKER))
+    )
 
 
 def drop_interruptions(body: Column) -> Column:
@@ -58,8 +59,12 @@ def innermost_id(fragment: Column) -> Column:
 
 def normalize_bic(col: Column) -> Column:
     """Upper case; the default branch ``XXX`` of an 11-character code is dropped."""
-    upper = ascii_upper(utrim(col))
-    return F.when((F.length(upper) == 11) & upper.endswith("XXX"), F.substring(upper, 1, 8)).otherwise(upper)
+    return let(
+        ascii_upper(utrim(col)),
+        lambda code: F.when(
+            (F.length(code) == 11) & code.endswith("XXX"), F.substring(code, 1, 8)
+        ).otherwise(code),
+    )
 
 
 def wire_description(name: Column, bic: Column) -> Column:
@@ -69,39 +74,47 @@ def wire_description(name: Column, bic: Column) -> Column:
     )
 
 
-def wire_fields(raw_body: Column) -> dict[str, Column]:
-    """Transfer fields of a wire; ``parse_error`` names the first failing guard or field."""
-    body = drop_interruptions(raw_body)
-    declared = F.coalesce(utrim(tag_text(body, "NbOfTxs")).try_cast("bigint"), F.lit(0))
-    blocks = F.size(F.split(body, "<CdtTrfTxInf")) - 1
-    amount = amount_gate(strip_thousands_commas(element_text(body, "IntrBkSttlmAmt")))
-    currency = currency_gate(element_attr(body, "IntrBkSttlmAmt", "Ccy"))
-    instructed = utrim(element_attr(body, "InstdAmt", "Ccy"))
-    settled_on = iso_date(tag_text(body, "IntrBkSttlmDt"))
-    debtor_id = F.regexp_replace(innermost_id(element_text(body, "DbtrAcct")), "[^A-Za-z0-9]", "")
-    debtor = F.when(F.length(debtor_id) >= 4, F.right(debtor_id, F.lit(4)))
-    raw_bic = tag_text(element_text(body, "CdtrAgt"), "BICFI")
-    bic = normalize_bic(raw_bic)
-    uetr = nonblank(tag_text(body, "UETR"))
-    creditor = tag_text(element_text(body, "Cdtr"), "Nm")
-    error = (
-        F.when(F.greatest(declared, blocks) > 1, "multi-transaction wire not supported")
-        .when(amount.isNull() | currency.isNull(), "settlement amount rejected")
-        .when(instructed.isNotNull() & (ascii_upper(instructed) != currency), "cross-currency wire not supported")
-        .when(settled_on.isNull(), "no settlement date")
-        .when(debtor.isNull(), "no debtor account")
-        .when(raw_bic.isNull(), "no creditor agent code")
-        .when(uetr.isNull(), "no wire identifier")
-    )
-    return {
-        "amount": amount,
-        "currency": currency,
-        "txn_date": settled_on,
-        "description": wire_description(creditor, bic),
-        "external_id": prefixed(WIRE_PREFIX, uetr),
-        "source_kind": F.lit("swift_debtor_last4"),
-        "source_key": debtor,
-        "dest_kind": F.lit("creditor_bic"),
-        "dest_key": bic,
-        "parse_error": error,
-    }
+def wire_fields(raw_body: Column) -> Column:
+    """Transfer struct of a wire; ``parse_error`` names the first failing guard or field."""
+
+    def read(body: Column) -> Column:
+        debtor_id = F.regexp_replace(innermost_id(element_text(body, "DbtrAcct")), "[^A-Za-z0-9]", "")
+        return F.struct(
+            F.greatest(
+                F.coalesce(utrim(tag_text(body, "NbOfTxs")).try_cast("bigint"), F.lit(0)),
+                F.size(F.split(body, "<CdtTrfTxInf")) - 1,
+            ).alias("transactions"),
+            amount_gate(strip_thousands_commas(element_text(body, "IntrBkSttlmAmt"))).alias("amount"),
+            currency_gate(element_attr(body, "IntrBkSttlmAmt", "Ccy")).alias("currency"),
+            ascii_upper(utrim(element_attr(body, "InstdAmt", "Ccy"))).alias("instructed"),
+            iso_date(tag_text(body, "IntrBkSttlmDt")).alias("day"),
+            let(debtor_id, lambda i: F.when(F.length(i) >= 4, F.right(i, F.lit(4)))).alias("debtor"),
+            normalize_bic(tag_text(element_text(body, "CdtrAgt"), "BICFI")).alias("bic"),
+            nonblank(tag_text(body, "UETR")).alias("uetr"),
+            tag_text(element_text(body, "Cdtr"), "Nm").alias("creditor"),
+        )
+
+    def typed(r: Column) -> Column:
+        error = (
+            F.when(r["transactions"] > 1, "multi-transaction wire not supported")
+            .when(r["amount"].isNull() | r["currency"].isNull(), "settlement amount rejected")
+            .when(r["instructed"].isNotNull() & (r["instructed"] != r["currency"]), "cross-currency wire not supported")
+            .when(r["day"].isNull(), "no settlement date")
+            .when(r["debtor"].isNull(), "no debtor account")
+            .when(r["bic"].isNull(), "no creditor agent code")
+            .when(r["uetr"].isNull(), "no wire identifier")
+        )
+        return F.struct(
+            r["amount"].alias("amount"),
+            r["currency"].alias("currency"),
+            r["day"].alias("txn_date"),
+            wire_description(r["creditor"], r["bic"]).alias("description"),
+            prefixed(WIRE_PREFIX, r["uetr"]).alias("external_id"),
+            F.lit("swift_debtor_last4").alias("source_kind"),
+            r["debtor"].alias("source_key"),
+            F.lit("creditor_bic").alias("dest_kind"),
+            r["bic"].alias("dest_key"),
+            error.alias("parse_error"),
+        )
+
+    return let(drop_interruptions(raw_body), lambda body: let(read(body), typed))

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from txnrecon.functions import answers
 from txnrecon.functions.numbers import amount_gate, currency_gate, decimal_text
 from txnrecon.functions.receipts import usd_transaction_total
-from txnrecon.functions.text import BLANK_LINE, HSPACE, ascii_lower, extract, nonblank, utrim
+from txnrecon.functions.text import BLANK_LINE, HSPACE, ascii_lower, let, nonblank, utrim
 from txnrecon.operators import validate
 from txnrecon.sources.registry import SOURCES, Source, match_sender, per_source
 
 FORWARD_MARKER = "Forwarded message"
+# Message columns that travel with whatever is extracted from it.
+CARRIED = ["msg_id", "msg_seq", "adapter"]
 TRANSFER_COLUMNS = [
     "amount", "currency", "txn_date", "description", "external_id",
     "source_kind", "source_key", "dest_kind", "dest_key", "parse_error",
@@ -37,27 +39,48 @@ def unwrap(messages: DataFrame) -> DataFrame:
     be read the message stays unattributed rather than being pinned on the forwarder.
     Without it the envelope sender is the original one.
     """
-    text = F.coalesce("text", F.lit(""))
-    forwarded = F.contains(text, F.lit(FORWARD_MARKER))
-    after = F.regexp_extract(text, rf"(?s){FORWARD_MARKER}([^\n]*)(\n.*)?\z", 2)
-    marker_line = F.regexp_extract(text, rf"(?s)({FORWARD_MARKER}[^\n]*)\z", 1)
-    region = F.when(after != "", after).otherwise(F.concat(F.lit("\n"), marker_line))
-    halves = F.split(region, BLANK_LINE, 2)
-    head = F.get(halves, 0)
-
-    def header(name: str) -> Column:
-        return nonblank(F.regexp_extract(head, rf"(?i)\n{HSPACE}*{name}{HSPACE}*:([^\n]*)", 1))
-
-    rest = F.when(F.size(halves) > 1, F.regexp_replace(F.get(halves, 1), r"^\n", "")).otherwise(
-        F.substring(region, F.lit(2), F.length(region))
-    )
-    sender = F.when(forwarded, email_address(header("from"))).otherwise(email_address(F.col("from_hdr")))
-    return messages.select(
-        "*",
-        ascii_lower(sender).alias("original_sender"),
-        F.when(forwarded & sender.isNotNull(), header("subject")).alias("original_subject"),
-        F.when(forwarded, rest).otherwise(text).alias("body"),
-    )
+    parts = _unwrapped(F.coalesce("text", F.lit("")), F.col("from_hdr"))
+    return messages.select("*", parts.alias("_u")).select(messages.columns + [f"_u.{c}" for c in UNWRAPPED])
+
+
+UNWRAPPED = ["original_sender", "original_subject", "body"]
+
+
+def _unwrapped(text: Column, from_hdr: Column) -> Column:
+    def manual(t: Column) -> Column:
+        # Everything after the marker line, kept with the newline before it; the marker
+        # line itself when nothing follows.
+        marker = F.substring(t, F.instr(t, FORWARD_MARKER), F.length(t))
+        after = F.regexp_replace(marker, r"^[^\n]*(?=\n)", "")
+        region = F.when(after.startswith("\n"), after).otherwise(F.concat(F.lit("\n"), marker))
+        return let(region, lambda r: let(F.split(r, BLANK_LINE, 2), lambda halves: headers(r, halves)))
+
+    def headers(region: Column, halves: Column) -> Column:
+        def header(name: str) -> Column:
+            return nonblank(
+                F.regexp_extract(F.get(halves, 0), rf"(?i)\n{HSPACE}*{name}{HSPACE}*:([^\n]*)", 1)
+            )
+
+        rest = F.when(F.size(halves) > 1, F.regexp_replace(F.get(halves, 1), r"^\n", "")).otherwise(
+            F.substring(region, F.lit(2), F.length(region))
+        )
+        return let(
+            ascii_lower(let(header("from"), email_address)),
+            lambda sender: F.struct(
+                sender.alias("original_sender"),
+                F.when(sender.isNotNull(), header("subject")).alias("original_subject"),
+                rest.alias("body"),
+            ),
+        )
+
+    def automatic(t: Column) -> Column:
+        return F.struct(
+            ascii_lower(email_address(from_hdr)).alias("original_sender"),
+            F.lit(None).cast("string").alias("original_subject"),
+            t.alias("body"),
+        )
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit(FORWARD_MARKER)), manual(t)).otherwise(automatic(t)))
 
 
 def is_statement(sender_hint: str | None) -> Column:
@@ -78,21 +101,33 @@ def dispatch(
     messages: DataFrame, sources: tuple[Source, ...] = SOURCES, sender_hint: str | None = None
 ) -> DataFrame:
     """Add ``adapter`` and ``branch``: statement, skip, deterministic, model or review."""
-    known = unwrap(messages).withColumn("adapter", match_sender(F.col("original_sender"), sources))
-    body = F.col("body")
     statement = is_statement(sender_hint) if "attachments" in messages.columns else F.lit(False)
-    branch = (
-        F.when(statement, "statement")
-        .when(F.col("adapter").isNull(), "review")
-        .when(~per_source(sources, lambda s: s.is_transaction(body)), "skip")
-        .when(per_source(sources, lambda s: s.is_fixed(body)), "deterministic")
-        .otherwise("model")
-    )
+
+    def decide(u: Column) -> Column:
+        return let(match_sender(u["original_sender"], sources), lambda adapter: branches(u, adapter))
+
+    def branches(u: Column, adapter: Column) -> Column:
+        body = u["body"]
+        branch = (
+            F.when(statement, "statement")
+            .when(adapter.isNull(), "review")
+            .when(~per_source(sources, lambda s: s.is_transaction(body), adapter), "skip")
+            .when(per_source(sources, lambda s: s.is_fixed(body), adapter), "deterministic")
+            .otherwise("model")
+        )
+        return F.struct(*[u[c].alias(c) for c in UNWRAPPED], adapter.alias("adapter"), branch.alias("branch"))
+
+    # One expression from text to branch: a filter on the branch that is pushed below the
+    # projection then costs one more evaluation, not one per use.
+    whole = let(_unwrapped(F.coalesce("text", F.lit("")), F.col("from_hdr")), decide)
+    sent = messages.select("*", whole.alias("_d"))
     reason = F.when(
-        F.col("branch") == "review",
-        F.when(F.col("original_sender").isNull(), validate.NO_FORWARD).otherwise(validate.NO_SOURCE),
-    ).when(F.col("branch") == "skip", "not a transaction notification")
-    return known.withColumn("branch", branch).withColumn("branch_reason", reason)
+        F.col("_d.branch") == "review",
+        F.when(F.col("_d.original_sender").isNull(), validate.NO_FORWARD).otherwise(validate.NO_SOURCE),
+    ).when(F.col("_d.branch") == "skip", "not a transaction notification")
+    return sent.select(
+        *messages.columns, *[f"_d.{c}" for c in (*UNWRAPPED, "adapter", "branch")], reason.alias("branch_reason")
+    )
 
 
 def deterministic(dispatched: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
@@ -102,9 +137,9 @@ def deterministic(dispatched: DataFrame, sources: tuple[Source, ...] = SOURCES)
     parts = []
     for source in sources:
         if source.fixed_fields is not None:
-            fields = source.fixed_fields(F.col("body"))
             own = rows.where(F.col("adapter") == source.name)
-            parts.append(own.select("msg_id", "adapter", *[fields[c].alias(c) for c in TRANSFER_COLUMNS]))
+            read = own.select(*CARRIED, source.fixed_fields(F.col("body")).alias("_t"))
+            parts.append(read.select(*CARRIED, *[f"_t.{c}" for c in TRANSFER_COLUMNS]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -123,109 +158,120 @@ def model(
     """
     trimmed = [s for s in sources if s.model_body is not None]
     rows = dispatched.where(F.col("branch") == "model").select(
-        "msg_id", "adapter", "body", per_source(tuple(trimmed), lambda s: s.model_body(F.col("body"))).alias("prompt_body")
+        *CARRIED, "body", per_source(tuple(trimmed), lambda s: s.model_body(F.col("body"))).alias("prompt_body")
     )
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(answer=answer_fn(batch)).drop(columns="prompt_body")
 
-    return rows.mapInPandas(ask, "msg_id string, adapter string, body string, answer string")
+    return rows.mapInPandas(ask, "msg_id string, msg_seq bigint, adapter string, body string, answer string")
+
+
+RECORD = (
+    "struct<external_id:string,amount:decimal(18,4),currency:string,direction:string,txn_date:date,"
+    "merchant:string,account_hint:string,status:string,raw_ref:string,parse_error:string>"
+)
+
+
+def _typed(obj: Column, sources: tuple[Source, ...]) -> Column:
+    """One answer object as a typed record with its ``parse_error``."""
+    wallet = per_source(sources, lambda s: F.lit(s.wallet_rules))
+
+    def kind(key: str) -> Column:
+        return answers.variant_kind(answers.member(obj, key))
+
+    def text(key: str) -> Column:
+        return F.when(kind(key) == "text", answers.member(obj, key, "string"))
+
+    raw_amount = F.when(kind("amount") == "number", decimal_text(answers.member(obj, "amount", "decimal(38,10)")))
+    raw_amount = F.coalesce(utrim(text("amount")), raw_amount)
+    amount = per_source(sources, lambda s: amount_gate(s.amount_text(raw_amount)))
+    currency = currency_gate(answers.text_field(obj, "currency"))
+    day = per_source(sources, lambda s: s.parse_date(text("date")))
+    merchant = answers.text_field(obj, "merchant")
+    own_id = F.when(wallet, answers.text_field(obj, "external_id"))
+    error = (
+        F.when(answers.variant_kind(obj) != "object", "expected a JSON object")
+        .when(amount.isNull(), "amount rejected")
+        .when(currency.isNull(), "missing or malformed code")
+        .when(day.isNull(), "unrecognised date")
+        .when(merchant.isNull(), "missing merchant")
+    )
+    return F.struct(
+        own_id.alias("external_id"),
+        amount.alias("amount"),
+        currency.alias("currency"),
+        F.when(wallet & (ascii_lower(utrim(text("direction"))) == "in"), "in").otherwise("out").alias("direction"),
+        day.alias("txn_date"),
+        merchant.alias("merchant"),
+        answers.text_field(obj, "account_hint").alias("account_hint"),
+        F.coalesce(answers.text_field(obj, "status"), F.lit("")).alias("status"),
+        F.coalesce(answers.text_field(obj, "raw_ref"), own_id, F.lit("")).alias("raw_ref"),
+        error.alias("parse_error"),
+    )
 
 
 def records(answered: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
     """Typed records of model answers, one row per record.
 
     A message whose answer is unusable, or that holds one unusable record, fails as a
-    whole with ``parse_error``; a wallet answer of kind "other" is a clean ``skip_reason``.
+    whole: all its rows carry ``message_error``. A wallet answer of kind "other" is a
+    clean ``skip_reason``. The objects of an answer are typed before they are exploded, so
+    the message's fate needs no grouping.
     """
     sources = tuple(s for s in sources if s.model_body is not None)
     docs = answers.salvage_answers(answered)
     doc = F.col("doc")
-    kind = ascii_lower(utrim(answers.member(doc, "kind", "string")))
+    wallet = per_source(sources, lambda s: F.lit(s.wallet_rules))
+    other = ascii_lower(utrim(answers.member(doc, "kind", "string"))).isin("other", "not_a_transaction")
     skips = (
-        per_source(sources, lambda s: F.lit(s.wallet_rules))
+        wallet
         & (answers.variant_kind(doc) == "object")
         & (answers.variant_kind(answers.member(doc, "kind")) == "text")
-        & kind.isin("other", "not_a_transaction")
+        & other
     )
-    listed = docs.select(
-        "msg_id",
-        "adapter",
-        F.when(per_source(sources, lambda s: F.lit(s.wallet_rules)), usd_transaction_total(F.col("body"))).alias("usd_total"),
+    carried = [c for c in answered.columns if c not in ("answer", "body")]
+
+    def finish(found: Column) -> Column:
+        """Records with the fate of their message; one bare row where there is none."""
+        flaw = F.when(F.size(found) == 0, "answer holds no transaction object").otherwise(
+            F.get(F.filter(found, lambda r: r["parse_error"].isNotNull()), 0)["parse_error"]
+        )
+        listed = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast(RECORD)))
+        return let(
+            flaw,
+            lambda e: F.transform(
+                listed,
+                lambda r: F.struct(r.alias("record"), F.when(~F.col("_skip"), e).alias("message_error")),
+            ),
+        )
+
+    typed = docs.select(
+        *carried,
+        F.when(wallet, usd_transaction_total(F.col("body"))).alias("_usd"),
         F.coalesce(skips, F.lit(False)).alias("_skip"),
-        F.posexplode_outer(answers.objects_of(doc)).alias("rec_idx", "_obj"),
-    )
-    obj = F.col("_obj")
-    is_object = answers.variant_kind(obj) == "object"
-    amount_kind = answers.variant_kind(answers.member(obj, "amount"))
-    amount_raw = F.when(amount_kind == "text", utrim(answers.member(obj, "amount", "string"))).when(
-        amount_kind == "number", decimal_text(answers.member(obj, "amount", "decimal(38,10)"))
-    )
-    date_kind = answers.variant_kind(answers.member(obj, "date"))
-    date_raw = F.when(date_kind == "text", answers.member(obj, "date", "string"))
-    direction_raw = F.when(
-        answers.variant_kind(answers.member(obj, "direction")) == "text", answers.member(obj, "direction", "string")
+        F.transform(answers.objects_of(doc), lambda o: _typed(o, sources)).alias("_records"),
     )
-    wallet = per_source(sources, lambda s: F.lit(s.wallet_rules))
-    typed = listed.select(
-        "msg_id",
-        "adapter",
-        "_skip",
-        "usd_total",
-        F.coalesce("rec_idx", F.lit(0)).alias("rec_idx"),
-        is_object.alias("_is_object"),
-        obj.isNull().alias("_none"),
-        per_source(sources, lambda s: F.lit(s.record_source)).alias("source"),
-        F.when(wallet, answers.text_field(obj, "external_id")).alias("external_id"),
-        per_source(sources, lambda s: amount_gate(s.amount_text(amount_raw))).alias("_amount"),
-        currency_gate(answers.text_field(obj, "currency")).alias("_currency"),
-        F.when(wallet & (ascii_lower(utrim(direction_raw)) == "in"), "in").otherwise("out").alias("direction"),
-        per_source(sources, lambda s: s.parse_date(date_raw)).alias("txn_date"),
-        answers.text_field(obj, "merchant").alias("merchant"),
-        answers.text_field(obj, "account_hint").alias("account_hint"),
-        F.coalesce(answers.text_field(obj, "status"), F.lit("")).alias("status"),
-        answers.text_field(obj, "raw_ref").alias("_raw_ref"),
-    )
-    error = (
-        F.when(F.col("_skip"), F.lit(None).cast("string"))
-        .when(F.col("_none"), "answer holds no transaction object")
-        .when(~F.col("_is_object"), "expected a JSON object")
-        .when(F.col("_amount").isNull(), "amount rejected")
-        .when(F.col("_currency").isNull(), "missing or malformed code")
-        .when(F.col("txn_date").isNull(), "unrecognised date")
-        .when(F.col("merchant").isNull(), "missing merchant")
-    )
-    out = typed.withColumn("_error", error)
-    return out.select(
-        "msg_id",
-        "adapter",
+    # The fate travels inside the exploded array: as a column before the explode, a filter
+    # on it would be pushed down and type every answer again.
+    rows = typed.select(*carried, "_usd", "_skip", F.posexplode(let(F.col("_records"), finish)).alias("rec_idx", "_f"))
+    return rows.select(
+        *carried,
         "rec_idx",
-        "source",
-        "external_id",
-        F.coalesce("usd_total", "_amount").alias("amount"),
-        F.when(F.col("usd_total").isNotNull(), "USD").otherwise(F.col("_currency")).alias("currency"),
-        "direction",
-        "txn_date",
-        "merchant",
-        "account_hint",
-        "status",
-        F.coalesce("_raw_ref", F.when(wallet, F.coalesce("external_id", F.lit(""))), F.lit("")).alias("raw_ref"),
-        F.col("_error").alias("parse_error"),
+        per_source(sources, lambda s: F.lit(s.record_source)).alias("source"),
+        "_f.record.external_id",
+        F.coalesce("_usd", "_f.record.amount").alias("amount"),
+        F.when(F.col("_usd").isNotNull(), "USD").otherwise(F.col("_f.record.currency")).alias("currency"),
+        *[
+            f"_f.record.{c}"
+            for c in ("direction", "txn_date", "merchant", "account_hint", "status", "raw_ref", "parse_error")
+        ],
+        "_f.message_error",
         F.when(F.col("_skip"), "model classified the mail as no transaction").alias("skip_reason"),
     )
 
 
-def poisoned(extracted: DataFrame) -> DataFrame:
-    """Messages with at least one unusable record: msg_id and the first error."""
-    return (
-        extracted.where(F.col("parse_error").isNotNull())
-        .groupBy("msg_id")
-        .agg(F.min_by("parse_error", "rec_idx").alias("message_error"))
-    )
-
-
 def usable_records(extracted: DataFrame) -> DataFrame:
     """Records of messages that parsed as a whole and were not skipped."""
-    good = extracted.where(F.col("skip_reason").isNull() & F.col("parse_error").isNull())
-    return good.join(poisoned(extracted), "msg_id", "left_anti")
+    return extracted.where(F.col("message_error").isNull() & F.col("skip_reason").isNull())

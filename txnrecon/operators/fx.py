@@ -42,8 +42,10 @@ def with_rate(
     either side being the peso is served from that table, inverted when it is the source.
     The rate side is left to the optimizer: it is broadcast only below the size limit.
     """
-    horizon = df.agg(F.max(date_col)).scalar()
-    daily = densify(rates, horizon).select(
+    # Days past the newest published one are looked up on that day, so every pair is spread
+    # up to it and the facts are read once.
+    newest = rates.agg(F.max("rate_date")).scalar()
+    daily = densify(rates, newest).select(
         F.col("from_ccy").alias("_f"),
         F.col("to_ccy").alias("_t"),
         F.col("rate_date").alias("_d"),
@@ -51,7 +53,7 @@ def with_rate(
     )
     f, t = F.upper(F.trim(F.col(from_col))), F.upper(F.trim(F.col(to_col)))
     out = df.join(
-        daily, (f == F.col("_f")) & (t == F.col("_t")) & (F.col(date_col) == F.col("_d")), "left"
+        daily, (f == F.col("_f")) & (t == F.col("_t")) & (F.least(F.col(date_col), newest) == F.col("_d")), "left"
     ).drop("_f", "_t", "_d")
     rate = F.col("_table_rate")
     if dop_rates is not None:

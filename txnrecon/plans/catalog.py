@@ -7,8 +7,15 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.operators import fx
-from txnrecon.plans import session, views
+from txnrecon.functions import keys, numbers, status, text
+from txnrecon.operators import dedup, extract, fx, ledger, reconcile, routing, similarity, validate
+from txnrecon.plans import notifications, reading, views
+from txnrecon.sources import ledger as ledger_source
+from txnrecon.sources import mappings
+from txnrecon.sources import rates as rate_source
+
+MAX_USD = Decimal("400000")
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 def fx_asof_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +38,350 @@ def fx_asof_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+# --- scalars ---------------------------------------------------------------------
+
+
+def amount_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line prices written in seven ways, read strictly, without commas, and loosely."""
+    line = views.table(spark, sf_dir, "lineitem")
+    plain = F.col("l_extendedprice").cast("decimal(18,2)")
+    written = plain.cast("string")
+    forms = [
+        written,
+        F.format_number(plain, 2),
+        F.concat(written, F.lit("000")),
+        F.concat(F.lit("-"), written),
+        F.concat(written, F.lit("e1")),
+        F.concat(F.lit("  "), written, F.lit("\n")),
+        F.concat(F.lit("$"), written, F.lit(" USD")),
+    ]
+    raw = F.element_at(F.array(*forms), F.col("l_linenumber"))
+    return line.select(
+        *LINE_KEY,
+        numbers.amount_gate(raw).alias("amount"),
+        numbers.amount_gate(text.strip_thousands_commas(raw)).alias("without_commas"),
+        numbers.loose_amount(raw).alias("loose"),
+        numbers.decimal_text(numbers.amount_gate(raw)).alias("shown"),
+    )
+
+
+# Written statuses, one per priority and order status.
+STATUS_TEXTS = {
+    "1F": "Approved", "1O": " PENDING ", "1P": "successfully refunded",
+    "2F": "completed!", "2O": "en proceso", "2P": "Pre-Paid / unpaid",
+    "3F": "payment_sent", "3O": "on hold, paid", "3P": "approved-then-reversed",
+    "4F": "Aprobada", "4O": "Pendiente", "4P": "RECHAZADA",
+    "5F": "posted", "5O": "", "5P": "prepaid",
+}
+
+
+def _status_text() -> "F.Column":
+    mapping = F.create_map(*[F.lit(x) for pair in STATUS_TEXTS.items() for x in pair])
+    return mapping[F.concat("prio", "status")]
+
+
+def status_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status class of the orders' written statuses and of every whole document."""
+    written = views.orders(spark, sf_dir).select(
+        F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), _status_text().alias("said")
+    )
+    documents = views.table(spark, sf_dir, "documents").select(
+        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("said")
+    )
+    return written.unionByName(documents).select(
+        "kind",
+        "id",
+        status.status_class("said").alias("status_class"),
+        F.md5(status.normalize_status("said")).alias("normalized_md5"),
+    )
+
+
+def merchant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical form and token count of every whole document."""
+    documents = views.table(spark, sf_dir, "documents")
+    return documents.select(
+        "doc_id",
+        F.md5(text.canon_merchant("text")).alias("canon_md5"),
+        F.size(text.tokens("text")).alias("n_tokens"),
+    )
+
+
+def noise_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link, caption and footer removal over every whole page."""
+    pages = views.table(spark, sf_dir, "pages")
+    body = F.concat(
+        F.lit("You paid\n\n\n\n<"), "url", F.lit(">\n[image: logo\nof us]\n\n"), F.replace("html", F.lit("<p>"), F.lit("<https://p>\n\n\n")),
+        F.lit("\nHelp & Contact <https://end"),
+    )
+    whole = F.when(F.contains("url", F.lit("?")), body).otherwise(F.col("html"))
+    trimmed = text.trim_noise(whole)
+    return pages.select("page_id", F.md5(trimmed).alias("trimmed_md5"), F.length(trimmed).alias("trimmed_chars"))
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable text of every whole page."""
+    plain = text.html_to_text("html")
+    return views.table(spark, sf_dir, "pages").select(
+        "page_id", F.md5(plain).alias("text_md5"), F.length(plain).alias("chars")
+    )
+
+
+def win1252_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's Latin-1 bytes decoded as Windows-1252."""
+    documents = views.table(spark, sf_dir, "documents")
+    latin = F.regexp_replace("text", "[^\\x00-\\x7F\\u00A0-\\u00FF]", "?")
+    decoded = text.decode_windows_1252(F.encode(latin, "ISO-8859-1"))
+    return documents.select("doc_id", F.md5(decoded).alias("decoded_md5"))
+
+
+# --- gates -----------------------------------------------------------------------
+
+
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One canonical record per order, with a different flaw per case."""
+    case = F.concat("prio", "status")
+    return views.orders(spark, sf_dir).select(
+        "o_orderkey",
+        "account_id",
+        F.when(F.col("prio").isin("1", "3"), "paypal").otherwise("banco_popular").alias("source"),
+        _status_text().alias("status"),
+        F.when(case == "2F", "in").otherwise("out").alias("direction"),
+        F.when(case == "3F", F.lit(0)).otherwise(F.col("amount")).cast(numbers.AMOUNT).alias("amount"),
+        F.when(case == "4F", "XXX").otherwise(F.expr(views.ORDER_CURRENCY)).alias("currency"),
+        F.when((case == "5F") & (F.col("account_id") % 2 == 0), " ").otherwise(F.col("p_name")).alias("merchant"),
+        F.when(F.col("account_id") % 3 == 0, "Pay in 4").when(F.col("account_id") % 3 == 1, "VISA").alias("account_hint"),
+        F.col("order_date").alias("txn_date"),
+    )
+
+
+def validate_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.gate(order_records(spark, sf_dir)).select(
+        "o_orderkey", "verdict", "review_reason", "review_category"
+    )
+
+
+def transfer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.concat("prio", "status")
+    transfers = order_records(spark, sf_dir).select(
+        "o_orderkey", "amount", "currency",
+        F.col("merchant").alias("description"),
+        F.when(F.col("status") == "", " ").otherwise(F.col("o_orderkey").cast("string")).alias("external_id"),
+    )
+    return validate.gate_transfers(transfers).select("o_orderkey", "verdict", "review_reason")
+
+
+REASONS = (
+    "not a recognisable forward", "No adapter for sender x@y", "charge appears already booked by a statement (1)",
+    "amount ≈ $5 (>1 USD) — routed to review", "unknown currency: XXX", "no account configured for x",
+    "adapter extracted no records", "no record booked", "merchant is empty",
+    "incoming (deposit/refund) transaction routed to review",
+)
+HTTP_CODES = (500, 503, 408, 429, 404, 422, None)
+
+
+def review_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category of each event's reason, the split variant, and the fate of its HTTP status."""
+    events = views.table(spark, sf_dir, "events")
+    reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), (F.col("user_id") % len(REASONS) + 1).cast("int"))
+    code = F.element_at(F.array(*[F.lit(c).cast("int") for c in HTTP_CODES]), (F.col("event_id") % len(HTTP_CODES) + 1).cast("int"))
+    from txnrecon.operators.router import http_failure
+
+    return events.select(
+        "event_id",
+        validate.review_category(reason).alias("category"),
+        validate.review_category(reason, split_incoming=True).alias("split_category"),
+        http_failure(code).alias("http_fate"),
+    )
+
+
+def usd_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = order_records(spark, sf_dir).where("currency <> 'XXX'")
+    checked = validate.usd_ceiling(records, views.rates(spark, sf_dir), MAX_USD)
+    return checked.select("o_orderkey", "usd_equivalent", "ceiling_reason", "defer_reason")
+
+
+def dop_inverse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion into and out of the peso at the bank's selling price."""
+    paid = order_records(spark, sf_dir).where("currency <> 'XXX'").withColumn(
+        "to_ccy", F.when(F.col("currency") == "DOP", "USD").otherwise("DOP")
+    )
+    rated = fx.with_rate(
+        paid, views.rates(spark, sf_dir), "currency", "to_ccy", "txn_date", views.peso_rates(spark, sf_dir)
+    )
+    return rated.select("o_orderkey", "currency", "to_ccy", F.round("rate", 6).cast("decimal(18,6)").alias("rate"))
+
+
+def account_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = routing.accounts(order_records(spark, sf_dir).drop("account_id"), views.dims(spark, sf_dir))
+    return routed.select("o_orderkey", "routed_account", F.col("account_id").alias("routed_id"), "route_reason")
+
+
+def transfer_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs of statement payments, one per order."""
+    payments = order_records(spark, sf_dir).select("o_orderkey", "currency", "amount")
+    return routing.statement_transfer_accounts(payments, views.dims(spark, sf_dir)).select(
+        "o_orderkey", "source_account_id", "dest_account_id", "route_reason"
+    )
+
+
+# --- keys --------------------------------------------------------------------------
+
+
+def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per order line; lines of an order share their own identifier."""
+    line = views.table(spark, sf_dir, "lineitem")
+    own = F.concat(F.lit(" T"), F.col("l_orderkey").cast("string"), F.lit("\t"))
+    return line.select(
+        *LINE_KEY,
+        F.lit("banco_popular").alias("source"),
+        F.col("l_shipdate").cast("date").alias("txn_date"),
+        F.col("l_extendedprice").cast(numbers.AMOUNT).alias("amount"),
+        F.when(F.col("l_linestatus") == "O", "USD").otherwise("EUR").alias("currency"),
+        F.concat(F.lit("  Shop "), F.col("l_suppkey").cast("string")).alias("merchant"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_linenumber").cast("string")).alias("account_hint"),
+        F.lit(" Posted").alias("status"),
+        F.when(F.col("l_returnflag") == "A", own).when(F.col("l_returnflag") == "N", F.lit(" ")).alias("external_id"),
+    )
+
+
+def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.key(line_records(spark, sf_dir)).select(*LINE_KEY, "external_id")
+
+
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First use of each order's key books, the rest and those of the ledger are duplicates."""
+    records = line_records(spark, sf_dir).select(
+        *LINE_KEY,
+        F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("external_id"),
+        F.col("l_partkey").alias("msg_seq"),
+        (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("rec_idx"),
+    )
+    done = views.orders(spark, sf_dir).where("status = 'F'").select(
+        F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("external_id")
+    )
+    ranked = dedup.first_wins(records)
+    fresh, known = ledger.split_new(ranked, done)
+    fresh = fresh.withColumn("outcome", F.when(F.col("is_duplicate"), "duplicate").otherwise("booked"))
+    known = known.withColumn("outcome", F.lit("duplicate"))
+    return fresh.unionByName(known).select(*LINE_KEY, "outcome")
+
+
+# --- mail --------------------------------------------------------------------------
+
+
+def unwrap_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unwrapped = extract.unwrap(views.messages(spark, sf_dir))
+    return unwrapped.select(
+        "msg_id", "original_sender", "original_subject", F.length("body").alias("body_chars")
+    )
+
+
+def source_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.dispatch(views.messages(spark, sf_dir)).select("msg_id", "adapter", "branch", "branch_reason")
+
+
+def _fixed_format(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
+    transfers = extract.deterministic(extract.dispatch(views.messages(spark, sf_dir)))
+    return transfers.where(F.col("adapter") == adapter).drop("adapter", "msg_seq")
+
+
+def receipt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixed_format(spark, sf_dir, "paypal_payment")
+
+
+def wire_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixed_format(spark, sf_dir, "banco_popular")
+
+
+def model_json_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in every shape models give, one per order, read into typed records."""
+    o = views.orders(spark, sf_dir)
+    case = F.concat("prio", "status")
+    amount = F.col("amount").cast("string")
+    obj = F.concat(
+        F.lit('{"external_id": " E'), F.col("o_orderkey").cast("string"), F.lit('", "amount": "'), amount,
+        F.lit('", "currency": "usd", "direction": "IN ", "date": "'), F.date_format("order_date", "MMM d, yyyy"),
+        F.lit('", "merchant": "Tasty } '), "p_name", F.lit('", "status": "Approved", "account_hint": 7}'),
+    )
+    numeric = F.concat(
+        F.lit('{"amount": '), amount, F.lit(', "currency": "EUR", "date": "'), F.date_format("order_date", "d/M/yyyy"),
+        F.lit('", "merchant": "'), "p_name", F.lit('", "status": "Aprobada", "raw_ref": "r"}'),
+    )
+    grouped = F.concat(
+        F.lit('{"amount": "'), F.format_number("amount", 2), F.lit('", "currency": "DOP", "date": "'),
+        F.col("order_date").cast("string"), F.lit('", "merchant": "'), "p_name", F.lit('"}'),
+    )
+    no_merchant = F.lit('{"amount": "1.00", "currency": "USD", "date": "2020-01-01", "merchant": " "}')
+    answer = (
+        F.when(case == "1F", obj)
+        .when(case == "1O", F.concat(F.lit("["), obj, F.lit(", "), obj, F.lit("]")))
+        .when(case == "1P", F.concat(F.lit("<think>{no}</think>\n```json\n"), obj, F.lit("\n```\nHope it helps }")))
+        .when(case == "2F", numeric)
+        .when(case == "2O", F.concat(F.lit('{"transactions": ['), numeric, F.lit(", "), grouped, F.lit("]}")))
+        .when(case == "2P", grouped)
+        .when(case == "3F", F.lit('{"kind": " Other ", "amount": ""}'))
+        .when(case == "3O", F.concat(F.lit("["), obj, F.lit(", "), no_merchant, F.lit("]")))
+        .when(case == "3P", F.lit("I could not find a transaction."))
+        .when(case == "4F", F.lit('{"transactions": []}'))
+        .when(case == "4O", F.lit('"just text"'))
+        .when(case == "4P", F.concat(F.lit("["), obj, F.lit(", 5]")))
+        .when(case == "5F", F.concat(F.lit("Sure! "), obj))
+        .when(case == "5O", F.replace(obj, F.lit('"usd"'), F.lit('"US"')))
+        .otherwise(F.replace(obj, amount, F.concat(amount, F.lit("e2"))))
+    )
+    answered = o.select(
+        F.col("o_orderkey").cast("string").alias("msg_id"),
+        F.when(F.col("prio") == "2", "banco_popular").otherwise("paypal").alias("adapter"),
+        F.when(case == "5F", F.concat(F.lit("x\nTotal amount of this Transaction: $"), amount, F.lit(" USD"))).otherwise(F.lit("")).alias("body"),
+        answer.alias("answer"),
+    )
+    return extract.records(answered).drop("adapter")
+
+
+def _decided(spark: SparkSession, sf_dir: str):
+    return notifications.decide(
+        views.messages(spark, sf_dir),
+        reading.read_mail,
+        views.dims(spark, sf_dir),
+        views.accounts(spark, sf_dir),
+        views.rates(spark, sf_dir),
+        views.booked_keys(spark, sf_dir),
+        views.journals(spark, sf_dir),
+        None,
+        MAX_USD,
+    )
+
+
+def message_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mail from its text to its disposition."""
+    dispositions, _, _ = _decided(spark, sf_dir)
+    return dispositions.select(
+        "msg_id", "source", "disposition", validate.review_category(F.col("reason")).alias("category")
+    )
+
+
 QUERIES = {
     "fx_asof_convert": fx_asof_convert,
+    "amount_gate": amount_gate,
+    "status_class": status_class,
+    "merchant_text": merchant_text,
+    "noise_trim": noise_trim,
+    "html_text": html_text,
+    "win1252_text": win1252_text,
+    "validate_gates": validate_gates,
+    "transfer_gates": transfer_gates,
+    "review_category": review_category,
+    "usd_ceiling": usd_ceiling,
+    "dop_inverse_rate": dop_inverse_rate,
+    "account_route": account_route,
+    "transfer_route": transfer_route,
+    "dedup_key": dedup_key,
+    "dedup_first_wins": dedup_first_wins,
+    "unwrap_sender": unwrap_sender,
+    "source_dispatch": source_dispatch,
+    "receipt_parse": receipt_parse,
+    "wire_parse": wire_parse,
+    "model_json_normalise": model_json_normalise,
+    "message_disposition": message_disposition,
 }

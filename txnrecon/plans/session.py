@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,3 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
 
     folder = os.path.join(tempfile.gettempdir(), f"txnrecon-{spark.sparkContext.applicationId}")
     return f"file://{folder}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a stage once and keep it in the shared folder, where it outlives executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)

@@ -168,8 +168,8 @@ def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     per_currency = ids.groupBy("currency").agg(F.min("account_id").cast("string").alias("value"))
     logical = (
-        ("USD", "paypal_balance"), ("EUR", "paypal_credit"), ("DOP", "banco_popular_dop"),
-        ("GBP", "banco_popular_paying_dop"), ("JPY", "banco_popular_paying_usd"),
+        ("USD", "banco_popular_usd"), ("EUR", "paypal_credit"), ("GBP", "paypal_balance"),
+        ("JPY", "banco_popular_paying_usd"), ("DOP", "banco_popular_dop"),
     )
     names = F.create_map(*[F.lit(x) for pair in logical for x in pair])
     account_rows = per_currency.select(F.lit("account").alias("kind"), names[F.col("currency")].alias("key"), "value")
@@ -213,3 +213,131 @@ def outcome_columns(events: DataFrame) -> DataFrame:
         ).alias("disposition"),
         "value",
     )
+
+
+# --- mail ------------------------------------------------------------------------
+
+# What the mail of an order is: priority digit and status. The mail is rendered here and
+# read back by the operators; the oracle works from the order's columns alone.
+WALLET, ALERT, PAYMENT, WIRE, OTHER = "1", "2", "3", "4", "5"
+_FORWARD = (
+    "From: Buyer <buyer@example.com>\nSubject: Fwd: notice\nTo: inbox@example.com\n\n"
+    "---------- Forwarded message ---------\nFrom: {sender}\nDate: Mon, 11 May 1998, 19:10\n"
+    "Subject: {subject}\nTo: buyer@example.com\n\n"
+)
+
+
+def _fill(template: str, **values):
+    """A text template as a concatenation of its literals and columns."""
+    parts, rest = [], template
+    while "{" in rest:
+        head, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        if head:
+            parts.append(F.lit(head))
+        parts.append(values[name])
+    if rest:
+        parts.append(F.lit(rest))
+    return F.concat(*parts)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mail per order."""
+    o = orders(spark, sf_dir)
+    case = F.concat("prio", "status")
+    key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    amount = F.col("amount").cast("string")
+    grouped = F.format_number("amount", 2)
+    long_date = F.date_format("order_date", "MMMM d, yyyy")
+    card = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
+    merchant = F.col("p_name")
+    even = F.col("account_id") % 2 == 0
+
+    def by_status(paid: str, open_: str, other: str):
+        return F.when(F.col("status") == "F", paid).when(F.col("status") == "O", open_).otherwise(other)
+
+    usd_total = (F.col("amount") * F.lit(1.25).cast("decimal(3,2)")).cast("decimal(18,2)").cast("string")
+    wallet = _fill(
+        _FORWARD.format(sender="PayPal <Service@PayPal.com>", subject="You paid {merchant}")
+        + "You paid {amount} {ccy} to {merchant}\n\nTransaction date {day} 10:10:38 AM PDT\nTransaction ID: W{key}\n"
+        "Status: {state}\nPaid with {funding}\n{total}<https://track.example.com/a?b=c>\n\n\n\n"
+        "[image: logo]\nHelp & Contact\nSee our site",
+        merchant=merchant, amount=amount, key=key, day=long_date,
+        ccy=by_status("EUR", "USD", "GBP"),
+        state=by_status("approved", "pending", "successfully refunded"),
+        funding=F.when(even, "Pay in 4").otherwise("PayPal balance"),
+        total=F.when(
+            F.col("status") == "F", F.concat(F.lit("Total amount of this Transaction: $"), usd_total, F.lit(" USD\n"))
+        ).otherwise(F.lit("")),
+    )
+    alert = _fill(
+        "Notificación de Consumo\n\nTarjeta terminada en {card}\n\nMonto | Moneda | Fecha | Comercio | Estatus\n"
+        "{prefix}{amount} | {name} | {day} | {merchant} | {state}\n\nGracias",
+        card=card, prefix=by_status("EUR$", "US$", "RD$"), amount=grouped,
+        name=by_status("Euro", "Dólar", "Peso dominicano"), day=F.date_format("order_date", "dd/MM/yyyy"),
+        merchant=merchant, state=by_status("Aprobada", "Pendiente", "Declinada"),
+    )
+    payment = _fill(
+        _FORWARD.format(sender="customercare@paypal.com", subject="Receipt for your payment to PayPal Credit")
+        + "You paid ${amount} USD on {day}\n\n{proof}\n\nTransaction Details\n\nTransaction ID\nP{key}\n\n"
+        "Tax fx-1234 Logged on March 01, 2026\n{funding}",
+        amount=grouped, day=long_date, key=key,
+        proof=by_status("PayPal Credit will receive it soon", "PayPal Credit will receive it soon", "About your dispute"),
+        funding=F.when(
+            F.col("status") != "O", F.concat(F.lit("Paid with\nFIRST BANK fx-99 x-"), card, F.lit("\n\nThank you"))
+        ).otherwise(F.lit("Thank you")),
+    )
+    wire = _fill(
+        "Confirmación\n<Document xmlns=\"urn:iso:std:iso:20022:tech:xsd:pacs.008.001.08\">\n<NbOfTxs>{n}</NbOfTxs>\n"
+        "<CdtTrfTxInf>\n<UETR>{key}</UETR>\n<IntrBkSttlmAmt Ccy=\"USD\">\n"
+        "29/05/26-05:12:56        ICMACKINTERTMX-0277-000001            2\n__________\n{amount}</IntrBkSttlmAmt>\n"
+        "<IntrBkSttlmDt>{day}</IntrBkSttlmDt>\n<InstdAmt Ccy=\"{instructed}\">{amount}</InstdAmt>\n"
+        "<Dbtr><Nm>Sender</Nm></Dbtr><DbtrAcct><Id><Othr><Id>DO96BPDO0000{card}</Id></Othr></Id></DbtrAcct>\n"
+        "<CdtrAgt><FinInstnId><BICFI>{bic}XXX</BICFI></FinInstnId></CdtrAgt>\n<Cdtr>{creditor}</Cdtr>\n"
+        "</CdtTrfTxInf>\n</Document>",
+        n=by_status("1", "1", "2"), key=key, amount=grouped, day=F.col("order_date").cast("string"),
+        instructed=by_status("USD", "DOP", "USD"), card=card,
+        bic=F.concat(F.lit("BANK"), F.lpad((F.col("o_custkey") % 25).cast("string"), 2, "0"), F.lit("2A")),
+        creditor=F.when(even, F.concat(F.lit("<Nm> "), merchant, F.lit(" </Nm>"))).otherwise(F.lit("")),
+    )
+    shipping = _fill(
+        _FORWARD.format(sender="PayPal <service@paypal.com>", subject="Your order is on its way") + "Parcel {key} left us.",
+        key=key,
+    )
+    broken = F.lit("---------- Forwarded message ---------\nDate: Mon, 11 May 1998\n\nFrom: service@paypal.com\n")
+    text = (
+        F.when(F.col("prio") == WALLET, wallet)
+        .when(F.col("prio") == ALERT, alert)
+        .when(F.col("prio") == PAYMENT, payment)
+        .when(F.col("prio") == WIRE, wire)
+        .when(case == "5F", shipping)
+        .when((case == "5O") & even, broken)
+        .otherwise(F.lit("Hello"))
+    )
+    from_hdr = (
+        F.when(F.col("prio").isin(ALERT, WIRE), "Banco <Notificaciones@popularenlinea.com>")
+        .when((case == "5O") & ~even, "news@example.org")
+        .otherwise("Buyer <buyer@example.com>")
+    )
+    pdf = F.struct(
+        F.lit("b1").alias("blob_id"), F.lit("application/PDF").alias("content_type"),
+        F.lit("file.pdf").alias("name"), F.lit(10).cast("bigint").alias("size"),
+    )
+    none = F.array().cast("array<struct<blob_id:string,content_type:string,name:string,size:bigint>>")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("msg_id"),
+        F.col("o_orderkey").alias("msg_seq"),
+        F.when(case == "5P", "Estado de Cuenta").otherwise("Fwd: notice").alias("subject"),
+        from_hdr.alias("from_hdr"),
+        text.alias("text"),
+        F.when(case.isin("5P", "1F"), F.array(pdf)).otherwise(none).alias("attachments"),
+        F.col("order_date").cast("timestamp").alias("received_at"),
+    )
+
+
+def booked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger keys of wallet receipts that were booked before, those of every seventh account."""
+    o = orders(spark, sf_dir)
+    return o.where((F.col("prio") == WALLET) & (F.col("account_id") % 7 == 0)).select(
+        F.concat(F.lit("W"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("external_id")
+    )

@@ -37,7 +37,7 @@ class Source:
     record_source: str
     is_transaction: Callable[[Column], Column]
     is_fixed: Callable[[Column], Column]
-    fixed_fields: Callable[[Column], dict[str, Column]] | None
+    fixed_fields: Callable[[Column], Column] | None
     model_body: Callable[[Column], Column] | None
     amount_text: Callable[[Column], Column] = lambda c: c
     parse_date: Callable[[Column], Column] = wallet_date
@@ -87,11 +87,12 @@ SOURCES: tuple[Source, ...] = (
 )
 
 
-def per_source(sources: tuple[Source, ...], value: Callable[[Source], Column], key: str = "adapter") -> Column:
-    """``value`` of the row's source, as one CASE."""
-    out = F.when(F.col(key) == sources[0].name, value(sources[0]))
+def per_source(sources: tuple[Source, ...], value: Callable[[Source], Column], key: Column | None = None) -> Column:
+    """``value`` of the row's source, as one CASE over ``adapter``."""
+    name = F.col("adapter") if key is None else key
+    out = F.when(name == sources[0].name, value(sources[0]))
     for source in sources[1:]:
-        out = out.when(F.col(key) == source.name, value(source))
+        out = out.when(name == source.name, value(source))
     return out
 
 
