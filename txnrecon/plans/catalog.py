@@ -273,7 +273,7 @@ def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unwrap_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
     unwrapped = extract.unwrap(views.messages(spark, sf_dir))
     return unwrapped.select(
-        "msg_id", "original_sender", "original_subject", F.length("body").alias("body_chars")
+        "msg_id", "original_sender", "original_subject", F.md5("body").alias("body_md5")
     )
 
 

@@ -73,3 +73,494 @@ ORACLE["fx_asof_convert"] = with_views(
     FROM rated
     """,
 )
+
+_LINE_KEY = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _ascii_lower(expr: str) -> str:
+    return f"translate({expr}, '{_UP}', '{_LOW}')"
+
+
+def _trim_zeros(expr: str) -> str:
+    """Decimal text without trailing zeros; ``expr`` has a fraction."""
+    return f"rtrim(rtrim(CAST({expr} AS VARCHAR), '0'), '.')"
+
+
+def _case(column: str, values: dict[str, str]) -> str:
+    arms = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in values.items())
+    return f"CASE {column} {arms} END"
+
+
+def _status_texts() -> dict[str, str]:
+    from txnrecon.plans import catalog
+
+    return catalog.STATUS_TEXTS
+
+
+ORACLE["amount_gate"] = f"""
+    WITH p AS (SELECT {_LINE_KEY}, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem)
+    SELECT {_LINE_KEY},
+           CAST(CASE WHEN l_linenumber IN (1, 6) OR (l_linenumber = 2 AND v < 1000) THEN v END AS DECIMAL(18,4)) AS amount,
+           CAST(CASE WHEN l_linenumber IN (1, 2, 6) THEN v END AS DECIMAL(18,4)) AS without_commas,
+           CASE l_linenumber WHEN 4 THEN CAST(-v AS DECIMAL(18,4))
+                WHEN 5 THEN CAST(CAST(v AS VARCHAR) || '1' AS DECIMAL(18,4)) ELSE CAST(v AS DECIMAL(18,4)) END AS loose,
+           CASE WHEN l_linenumber IN (1, 6) OR (l_linenumber = 2 AND v < 1000) THEN {_trim_zeros("v")} END AS shown
+    FROM p
+"""
+
+
+def _status_class(said: str) -> str:
+    from txnrecon.functions import status
+
+    def some(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    return f"""CASE WHEN list_has_any({said}, {some(status.REJECT_TOKENS)}) THEN 'declined'
+        WHEN list_has_any({said}, {some(status.IN_FLIGHT_TOKENS)}) THEN 'other'
+        WHEN list_has_any({said}, {some(status.APPROVE_TOKENS)}) THEN 'approved' ELSE 'other' END"""
+
+
+ORACLE["status_class"] = with_views(
+    "v_orders",
+    f"""
+    WITH said AS (
+      SELECT 'order' AS kind, o_orderkey AS id, {_case("prio || status", _status_texts())} AS said FROM v_orders
+      UNION ALL SELECT 'document', doc_id, text FROM documents
+    ), n AS (
+      SELECT kind, id, trim(regexp_replace({_ascii_lower("said")}, '[^a-z0-9]+', ' ', 'g')) AS norm FROM said
+    )
+    SELECT kind, id, {_status_class("string_split(norm, ' ')")} AS status_class, md5(norm) AS normalized_md5 FROM n
+    """,
+)
+
+ORACLE["merchant_text"] = f"""
+    SELECT doc_id,
+           md5({_ascii_lower("trim(regexp_replace(text, '[[:space:]\\x{00A0}]+', ' ', 'g'))")}) AS canon_md5,
+           CAST(len(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= 2)) AS INTEGER)
+             AS n_tokens
+    FROM documents
+"""
+
+ORACLE["noise_trim"] = """
+    WITH whole AS (
+      SELECT page_id, CASE WHEN contains(url, '?') THEN
+        'You paid' || chr(10) || chr(10) || chr(10) || chr(10) || '<' || url || '>' || chr(10) || '[image: logo' || chr(10)
+        || 'of us]' || chr(10) || chr(10) || replace(html, '<p>', '<https://p>' || chr(10) || chr(10) || chr(10))
+        || chr(10) || 'Help & Contact <https://end' ELSE html END AS body FROM pages
+    ), cut AS (
+      SELECT page_id, body,
+             CASE WHEN instr(body, 'Help & Contact') > 0 THEN left(body, instr(body, 'Help & Contact') - 1) ELSE body END AS core,
+             contains(body, '<http://') OR contains(body, '<https://') OR contains(body, '[image:')
+               OR contains(body, 'Help & Contact') AS noisy
+      FROM whole
+    ), t AS (
+      SELECT page_id, CASE WHEN noisy THEN
+        regexp_replace(regexp_replace(core, '<https?://[^>]*(?:>|\\z)|\\[image:[^\\]]*(?:\\]|\\z)', '', 'g'),
+                       '\\n{3,}', chr(10) || chr(10), 'g') ELSE body END AS t FROM cut
+    )
+    SELECT page_id, md5(t) AS trimmed_md5, CAST(length(t) AS INTEGER) AS trimmed_chars FROM t
+"""
+
+ORACLE["html_text"] = """
+    WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<head\\b[^>]*>.*?</head\\s*>|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->|<![a-z][^>]*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(t, '(?i)<br\\s*/?>|</(?:p|div|li|ul|ol|tr|h[1-6]|article|table|nav)\\s*>', chr(10), 'g') AS t FROM b),
+    d AS (SELECT page_id, regexp_replace(t, '<[^>]*>', '', 'g') AS t FROM c),
+    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+                 '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM d),
+    f AS (SELECT page_id, regexp_replace(t, ' *\\n[ \\n]*', chr(10), 'g') AS t FROM e),
+    g AS (SELECT page_id, regexp_replace(t, '^[ \\n]+|[ \\n]+\\z', '', 'g') AS t FROM f)
+    SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS chars FROM g
+"""
+
+ORACLE["win1252_text"] = """
+    SELECT doc_id, md5(regexp_replace(text, '[^\\x00-\\x7F\\x{00A0}-\\x{00FF}]', '?', 'g')) AS decoded_md5 FROM documents
+"""
+
+CTE["order_records"] = f"""
+    SELECT o_orderkey, account_id, CASE WHEN prio IN ('1', '3') THEN 'paypal' ELSE 'banco_popular' END AS source,
+           {_case("prio || status", _status_texts())} AS status,
+           CASE WHEN prio || status = '2F' THEN 'in' ELSE 'out' END AS direction,
+           CAST(CASE WHEN prio || status = '3F' THEN 0 ELSE amount END AS DECIMAL(18,4)) AS amount,
+           CASE WHEN prio || status = '4F' THEN 'XXX' ELSE {views.ORDER_CURRENCY} END AS currency,
+           CASE WHEN prio || status = '5F' AND account_id % 2 = 0 THEN ' ' ELSE p_name END AS merchant,
+           CASE account_id % 3 WHEN 0 THEN 'Pay in 4' WHEN 1 THEN 'VISA' END AS account_hint,
+           order_date AS txn_date, prio || status AS kase
+    FROM v_orders"""
+_NEEDS["order_records"] = ["v_orders"]
+
+# Class of the written status of each case.
+_APPROVED = ("1F", "2F", "3F", "4F", "5F")
+_DECLINED = ("1P", "2P", "3P", "4P")
+
+ORACLE["validate_gates"] = with_views(
+    "order_records",
+    f"""
+    WITH r AS (
+      SELECT *, CASE WHEN kase IN {_DECLINED} THEN 'status declined/rejected: ' || status
+                     WHEN kase NOT IN {_APPROVED} THEN 'status not clearly approved: ' || status
+                     WHEN direction = 'in' THEN 'incoming (deposit/refund) transaction routed to review'
+                     WHEN amount <= 0 THEN 'amount not positive: 0'
+                     WHEN currency = 'XXX' THEN 'unknown currency: XXX'
+                     WHEN merchant = ' ' THEN 'merchant is empty' END AS review_reason
+      FROM order_records
+    )
+    SELECT o_orderkey, CASE WHEN review_reason IS NULL THEN 'booked' ELSE 'review' END AS verdict, review_reason,
+           CASE WHEN review_reason IS NULL THEN NULL WHEN kase = '2F' THEN 'over_ceiling'
+                WHEN kase = '4F' THEN 'currency_mismatch' ELSE 'other' END AS review_category
+    FROM r
+    """,
+)
+
+ORACLE["transfer_gates"] = with_views(
+    "order_records",
+    """
+    WITH r AS (
+      SELECT o_orderkey, CASE WHEN kase = '3F' THEN 'transfer amount not positive: 0'
+                              WHEN kase = '4F' THEN 'unknown transfer currency: XXX'
+                              WHEN merchant = ' ' THEN 'transfer description is empty'
+                              WHEN status = '' THEN 'transfer external_id is empty' END AS review_reason
+      FROM order_records
+    )
+    SELECT o_orderkey, CASE WHEN review_reason IS NULL THEN 'booked' ELSE 'review' END AS verdict, review_reason FROM r
+    """,
+)
+
+ORACLE["review_category"] = """
+    SELECT event_id,
+           ['not_a_forward', 'no_adapter', 'double_book', 'over_ceiling', 'currency_mismatch', 'no_account',
+            'extraction', 'extraction', 'other', 'over_ceiling'][user_id % 10 + 1] AS category,
+           ['not_a_forward', 'no_adapter', 'double_book', 'over_ceiling', 'currency_mismatch', 'no_account',
+            'extraction', 'extraction', 'other', 'incoming'][user_id % 10 + 1] AS split_category,
+           CASE WHEN event_id % 7 IN (4, 5) THEN 'review' ELSE 'defer' END AS http_fate
+    FROM events
+"""
+
+ORACLE["usd_ceiling"] = with_views(
+    "order_records rates",
+    f"""
+    WITH r AS (
+      SELECT o.*, CASE WHEN currency = 'USD' THEN CAST(1 AS DECIMAL(18,6)) ELSE r.rate END AS rate
+      FROM (SELECT * FROM order_records WHERE currency <> 'XXX') o
+      ASOF LEFT JOIN (SELECT * FROM rates WHERE to_ccy = 'USD') r
+        ON o.currency = r.from_ccy AND o.txn_date >= r.rate_date
+    )
+    SELECT o_orderkey, CAST(round_even(amount * rate, 2) AS DECIMAL(24,2)) AS usd_equivalent,
+           CASE WHEN amount * rate > 400000
+                THEN 'amount ≈ $' || {_trim_zeros("CAST(round_even(amount * rate, 2) AS DECIMAL(24,2))")}
+                     || ' (>400000 USD) — routed to review' END AS ceiling_reason,
+           CASE WHEN rate IS NULL THEN 'rate unavailable' END AS defer_reason
+    FROM r
+    """,
+)
+
+CTE["peso_rates"] = """
+    SELECT from_ccy AS currency, arg_max(rate, rate_date) AS venta FROM rates WHERE to_ccy = 'DOP' GROUP BY from_ccy"""
+_NEEDS["peso_rates"] = ["rates"]
+
+ORACLE["dop_inverse_rate"] = with_views(
+    "order_records peso_rates",
+    """
+    WITH r AS (
+      SELECT o_orderkey, currency, CASE WHEN currency = 'DOP' THEN 'USD' ELSE 'DOP' END AS to_ccy
+      FROM order_records WHERE currency <> 'XXX'
+    )
+    SELECT o_orderkey, r.currency, to_ccy,
+           CAST(CASE WHEN r.currency = 'DOP' THEN round(1.0 / venta, 6) ELSE venta END AS DECIMAL(18,6)) AS rate
+    FROM r LEFT JOIN peso_rates p ON p.currency = CASE WHEN r.currency = 'DOP' THEN to_ccy ELSE r.currency END
+    """,
+)
+
+CTE["dims"] = """
+    SELECT 'account' AS kind, CASE currency WHEN 'USD' THEN 'banco_popular_usd' WHEN 'EUR' THEN 'paypal_credit'
+             WHEN 'GBP' THEN 'paypal_balance' WHEN 'JPY' THEN 'banco_popular_paying_usd' ELSE 'banco_popular_dop' END AS key,
+           CAST(min(account_id) AS VARCHAR) AS value
+    FROM accounts GROUP BY currency
+    UNION ALL
+    SELECT kind, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), CAST(min(c_custkey % n) AS VARCHAR)
+    FROM customer, n_acc, (VALUES ('paypal_funding_last4'), ('swift_debtor_last4')) k(kind)
+    WHERE c_mktsegment <> 'HOUSEHOLD' GROUP BY kind, c_custkey % 10000
+    UNION ALL
+    SELECT 'creditor_bic', 'BANK' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '2A', CAST(n_nationkey AS VARCHAR)
+    FROM nation WHERE n_regionkey <> 0"""
+_NEEDS["dims"] = ["accounts", "n_acc"]
+
+ORACLE["account_route"] = with_views(
+    "order_records dims",
+    """
+    WITH r AS (
+      SELECT o_orderkey, CASE WHEN source = 'paypal' THEN
+               CASE WHEN account_hint = 'Pay in 4' THEN 'paypal_credit' ELSE 'paypal_balance' END
+             WHEN currency = 'DOP' THEN 'banco_popular_dop' ELSE 'banco_popular_usd' END AS routed_account
+      FROM order_records
+    )
+    SELECT o_orderkey, routed_account, d.value AS routed_id,
+           CASE WHEN d.value IS NULL THEN 'no account configured for ' || routed_account END AS route_reason
+    FROM r LEFT JOIN dims d ON d.kind = 'account' AND d.key = routed_account
+    """,
+)
+
+ORACLE["transfer_route"] = with_views(
+    "order_records dims",
+    """
+    SELECT o_orderkey, s.value AS source_account_id, t.value AS dest_account_id,
+           CASE WHEN s.value IS NULL THEN 'no paying account configured'
+                WHEN t.value IS NULL THEN 'no card account configured' END AS route_reason
+    FROM order_records o
+    LEFT JOIN dims s ON s.kind = 'account' AND s.key =
+      CASE WHEN o.currency = 'DOP' THEN 'banco_popular_paying_dop' ELSE 'banco_popular_paying_usd' END
+    LEFT JOIN dims t ON t.kind = 'account' AND t.key =
+      CASE WHEN o.currency = 'DOP' THEN 'banco_popular_dop' ELSE 'banco_popular_usd' END
+    """,
+)
+
+ORACLE["dedup_key"] = f"""
+    SELECT {_LINE_KEY},
+           CASE WHEN l_returnflag = 'A' THEN 'T' || l_orderkey ELSE
+             sha256('banco_popular|' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || '|'
+               || {_trim_zeros("CAST(l_extendedprice AS DECIMAL(18,4))")} || '|'
+               || CASE WHEN l_linestatus = 'O' THEN 'USD' ELSE 'EUR' END || '|Shop ' || l_suppkey || '|'
+               || CASE WHEN l_linestatus = 'F' THEN CAST(l_linenumber AS VARCHAR) ELSE '' END || '|posted') END AS external_id
+    FROM lineitem
+"""
+
+ORACLE["dedup_first_wins"] = f"""
+    WITH r AS (
+      SELECT {_LINE_KEY}, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey * 10 + l_linenumber) AS rn
+      FROM lineitem
+    )
+    SELECT {_LINE_KEY},
+           CASE WHEN rn > 1 OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+                THEN 'duplicate' ELSE 'booked' END AS outcome
+    FROM r
+"""
+
+_OTHER = "CASE WHEN kase = '5O' AND account_id % 2 = 0"
+CTE["mail"] = """
+    SELECT *, CAST(o_orderkey AS VARCHAR) AS msg_id, prio || status AS kase, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key,
+           lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS card, account_id % 2 = 0 AS even
+    FROM v_orders"""
+_NEEDS["mail"] = ["v_orders"]
+_ADAPTER = (
+    "CASE WHEN prio = '1' OR kase = '5F' THEN 'paypal' WHEN prio IN ('2', '4') THEN 'banco_popular' "
+    "WHEN prio = '3' THEN 'paypal_payment' END"
+)
+
+
+
+def _sql_text(template: str, **values: str) -> str:
+    """A mail template as a SQL concatenation."""
+    parts, rest = [], template
+    while "{" in rest:
+        head, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += ["'" + head.replace("'", "''") + "'", values[name]]
+    parts.append("'" + rest.replace("'", "''") + "'")
+    return " || ".join(p for p in parts if p != "''")
+
+
+def _by_status(paid: str, open_: str, other: str) -> str:
+    return f"CASE status WHEN 'F' THEN '{paid}' WHEN 'O' THEN '{open_}' ELSE '{other}' END"
+
+
+_WALLET_BODY = _sql_text(
+    views.WALLET_BODY, merchant="p_name", amount="amt", key="key", day="day", ccy=_by_status("EUR", "USD", "GBP"),
+    state=_by_status("approved", "pending", "successfully refunded"),
+    funding="CASE WHEN even THEN 'Pay in 4' ELSE 'PayPal balance' END",
+    total="CASE WHEN status = 'F' THEN 'Total amount of this Transaction: $' "
+    "|| CAST(CAST(amount * 1.25 AS DECIMAL(18,2)) AS VARCHAR) || ' USD' || chr(10) ELSE '' END",
+)
+_ALERT_BODY = _sql_text(
+    views.ALERT_BODY, card="card", prefix=_by_status("EUR$", "US$", "RD$"), amount="grouped",
+    name=_by_status("Euro", "Dólar", "Peso dominicano"), day="strftime(order_date, '%d/%m/%Y')", merchant="p_name",
+    state=_by_status("Aprobada", "Pendiente", "Declinada"),
+)
+_PAYMENT_BODY = _sql_text(
+    views.PAYMENT_BODY, amount="grouped", day="day", key="key",
+    proof=_by_status("PayPal Credit will receive it soon", "PayPal Credit will receive it soon", "About your dispute"),
+    funding="CASE WHEN status <> 'O' THEN 'Paid with' || chr(10) || 'FIRST BANK fx-99 x-' || card || chr(10) || chr(10) "
+    "|| 'Thank you' ELSE 'Thank you' END",
+)
+_WIRE_BODY = _sql_text(
+    views.WIRE_BODY, n=_by_status("1", "1", "2"), key="key", amount="grouped", day="CAST(order_date AS VARCHAR)",
+    instructed=_by_status("USD", "DOP", "USD"), card="card",
+    bic="'BANK' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') || '2A'",
+    creditor="CASE WHEN even THEN '<Nm> ' || p_name || ' </Nm>' ELSE '' END",
+)
+
+ORACLE["unwrap_sender"] = with_views(
+    "mail",
+    f"""
+    WITH m AS (
+      SELECT *, CAST(amount AS VARCHAR) AS amt, strftime(order_date, '%B %-d, %Y') AS day,
+             format('{{:,.2f}}', CAST(amount AS DOUBLE)) AS grouped FROM mail
+    )
+    SELECT msg_id,
+           CASE WHEN prio = '1' OR kase = '5F' THEN 'service@paypal.com'
+                WHEN prio IN ('2', '4') THEN 'notificaciones@popularenlinea.com'
+                WHEN prio = '3' THEN 'customercare@paypal.com' WHEN kase = '5P' THEN 'buyer@example.com'
+                WHEN NOT even THEN 'news@example.org' END AS original_sender,
+           CASE WHEN prio = '1' THEN 'You paid ' || p_name WHEN prio = '3' THEN 'Receipt for your payment to PayPal Credit'
+                WHEN kase = '5F' THEN 'Your order is on its way' END AS original_subject,
+           md5(CASE WHEN prio = '1' THEN {_WALLET_BODY} WHEN prio = '2' THEN {_ALERT_BODY}
+                    WHEN prio = '3' THEN {_PAYMENT_BODY} WHEN prio = '4' THEN {_WIRE_BODY}
+                    WHEN kase = '5F' THEN 'Parcel ' || key || ' left us.'
+                    WHEN kase = '5O' AND even THEN 'From: service@paypal.com' || chr(10) ELSE 'Hello' END) AS body_md5
+    FROM m
+    """,
+)
+
+ORACLE["source_dispatch"] = with_views(
+    "mail",
+    f"""
+    SELECT msg_id, {_ADAPTER} AS adapter,
+           CASE WHEN kase = '5P' THEN 'statement' WHEN kase IN ('5F', '3P') THEN 'skip' WHEN prio = '5' THEN 'review'
+                WHEN prio IN ('1', '2') THEN 'model' ELSE 'deterministic' END AS branch,
+           CASE WHEN kase IN ('5F', '3P') THEN 'not a transaction notification'
+                WHEN kase = '5O' AND even THEN 'not a recognisable forward'
+                WHEN kase = '5O' THEN 'no adapter for the sender' END AS branch_reason
+    FROM mail
+    """,
+)
+
+ORACLE["receipt_parse"] = with_views(
+    "mail",
+    """
+    SELECT msg_id, CAST(amount AS DECIMAL(18,4)) AS amount, 'USD' AS currency, order_date AS txn_date,
+           'Payment to PayPal Credit' AS description, 'pp-payment:P' || key AS external_id,
+           'paypal_funding_last4' AS source_kind, CASE WHEN status = 'F' THEN card END AS source_key,
+           'paypal_credit' AS dest_kind, 'paypal_credit' AS dest_key,
+           CASE WHEN status = 'O' THEN 'no funding last-4 under paid with' END AS parse_error
+    FROM mail WHERE prio = '3' AND status <> 'P'
+    """,
+)
+
+ORACLE["wire_parse"] = with_views(
+    "mail",
+    """
+    SELECT msg_id, CAST(amount AS DECIMAL(18,4)) AS amount, 'USD' AS currency, order_date AS txn_date,
+           CASE WHEN even THEN 'SWIFT wire to ' || p_name
+                ELSE 'International transfer (BANK' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') || '2A)' END AS description,
+           'swift:' || key AS external_id, 'swift_debtor_last4' AS source_kind, card AS source_key,
+           'creditor_bic' AS dest_kind, 'BANK' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') || '2A' AS dest_key,
+           CASE status WHEN 'P' THEN 'multi-transaction wire not supported'
+                       WHEN 'O' THEN 'cross-currency wire not supported' END AS parse_error
+    FROM mail WHERE prio = '4'
+    """,
+)
+
+ORACLE["model_json_normalise"] = with_views(
+    "mail",
+    """
+    WITH shape AS (
+      SELECT *, unnest(CASE
+        WHEN kase IN ('1F', '1P', '5F') THEN [{'i': 0, 'k': 'obj', 'e': NULL, 'm': NULL}]
+        WHEN kase = '1O' THEN [{'i': 0, 'k': 'obj', 'e': NULL, 'm': NULL}, {'i': 1, 'k': 'obj', 'e': NULL, 'm': NULL}]
+        WHEN kase = '2F' THEN [{'i': 0, 'k': 'num', 'e': NULL, 'm': NULL}]
+        WHEN kase = '2O' THEN [{'i': 0, 'k': 'num', 'e': NULL, 'm': NULL}, {'i': 1, 'k': 'grp', 'e': NULL, 'm': NULL}]
+        WHEN kase = '2P' THEN [{'i': 0, 'k': 'grp', 'e': NULL, 'm': NULL}]
+        WHEN kase = '3F' THEN [{'i': 0, 'k': 'other', 'e': 'amount rejected', 'm': NULL}]
+        WHEN kase = '3O' THEN [{'i': 0, 'k': 'obj', 'e': NULL, 'm': 'missing merchant'},
+                               {'i': 1, 'k': 'none', 'e': 'missing merchant', 'm': 'missing merchant'}]
+        WHEN kase = '4P' THEN [{'i': 0, 'k': 'obj', 'e': NULL, 'm': 'expected a JSON object'},
+                               {'i': 1, 'k': 'five', 'e': 'expected a JSON object', 'm': 'expected a JSON object'}]
+        WHEN kase = '5O' THEN [{'i': 0, 'k': 'badccy', 'e': 'missing or malformed code', 'm': 'missing or malformed code'}]
+        WHEN kase = '5P' THEN [{'i': 0, 'k': 'badamt', 'e': 'amount rejected', 'm': 'amount rejected'}]
+        ELSE [{'i': 0, 'k': 'empty', 'e': NULL, 'm': 'answer holds no transaction object'}] END) AS s
+      FROM mail
+    ), t AS (SELECT *, s.i AS i, s.k AS k FROM shape)
+    SELECT msg_id, i AS rec_idx, CASE WHEN prio = '2' THEN 'banco_popular' ELSE 'paypal' END AS source,
+           CASE WHEN k IN ('obj', 'badccy', 'badamt') THEN 'E' || o_orderkey END AS external_id,
+           CAST(CASE WHEN k IN ('obj', 'num', 'grp', 'badccy') THEN amount WHEN k = 'none' THEN 1 END AS DECIMAL(18,4)) AS amount,
+           CASE WHEN k = 'none' THEN 'USD' WHEN k IN ('obj', 'badamt') THEN 'USD' WHEN k = 'num' THEN 'EUR' WHEN k = 'grp' THEN 'DOP' END AS currency,
+           CASE WHEN k = 'empty' THEN NULL WHEN k IN ('obj', 'badccy', 'badamt') THEN 'in' ELSE 'out' END AS direction,
+           CASE WHEN k IN ('obj', 'num', 'grp', 'badccy', 'badamt') THEN order_date WHEN k = 'none' THEN DATE '2020-01-01' END AS txn_date,
+           CASE WHEN k IN ('obj', 'badccy', 'badamt') THEN 'Tasty } ' || p_name WHEN k IN ('num', 'grp') THEN p_name END AS merchant,
+           CAST(NULL AS VARCHAR) AS account_hint,
+           CASE WHEN k = 'empty' THEN NULL WHEN k IN ('obj', 'badccy', 'badamt') THEN 'Approved' WHEN k = 'num' THEN 'Aprobada' ELSE '' END AS status,
+           CASE WHEN k = 'empty' THEN NULL WHEN k IN ('obj', 'badccy', 'badamt') THEN 'E' || o_orderkey WHEN k = 'num' THEN 'r' ELSE '' END AS raw_ref,
+           s.e AS parse_error, s.m AS message_error,
+           CASE WHEN kase = '3F' THEN 'model classified the mail as no transaction' END AS skip_reason
+    FROM t
+    """,
+)
+
+# The message path, record by record, from the order's columns.
+CTE["alert_near"] = """
+    SELECT DISTINCT m.o_orderkey FROM mail m, dims d, journals j
+    WHERE m.kase = '2F' AND d.key = 'banco_popular_usd' AND d.kind = 'account'
+      AND j.account_id = CAST(d.value AS BIGINT) AND starts_with(j.external_id, 'bpstmt:')
+      AND abs(date_diff('day', m.order_date, j.txn_date)) <= 5
+      AND (jaro_winkler_similarity(m.p_name, lower(j.merchant)) >= 0.70
+           OR list_has_any(string_split(m.p_name, ' '), string_split(lower(j.merchant), ' ')) AND
+              len(list_filter(string_split(m.p_name, ' '), lambda t: list_contains(string_split(lower(j.merchant), ' '), t)))
+                / len(string_split(m.p_name, ' ')) >= 0.70)"""
+_NEEDS["alert_near"] = ["mail", "dims", "journals"]
+
+CTE["journals"] = f"""
+    SELECT account_id, o_orderkey * 2 + copy AS journal_id,
+           CASE kase WHEN '2F' THEN order_date + 3 WHEN '2P' THEN order_date + 9 ELSE order_date END AS txn_date,
+           CASE kase WHEN '1P' THEN CAST(amount * 1.03 AS DECIMAL(18,2)) ELSE amount END AS amount,
+           CASE kase WHEN '3P' THEN 'CHF' ELSE {views.CURRENCY_OF_ACCOUNT} END AS currency,
+           CASE kase WHEN '2O' THEN p_name || ' ONLINE' WHEN '3F' THEN p_brand || ' ' || p_type ELSE p_name END AS merchant,
+           CASE WHEN kase = '1O' THEN 'bpstmt:' || key WHEN prio = '4' THEN 'tx-' || key END AS external_id
+    FROM (SELECT *, unnest(CASE WHEN kase = '3O' THEN [0, 1] ELSE [0] END) AS copy FROM mail WHERE kase <> '1F')"""
+_NEEDS["journals"] = ["mail"]
+
+ORACLE["message_disposition"] = with_views(
+    "mail dims accounts rates alert_near",
+    """
+    WITH usd AS (SELECT * FROM rates WHERE to_ccy = 'USD'),
+    rec AS (
+      SELECT m.*, CASE WHEN prio = '1' THEN CAST(amount * 1.25 AS DECIMAL(18,2)) ELSE amount END AS paid,
+             CASE WHEN prio = '2' THEN 'EUR' ELSE 'USD' END AS ccy,
+             CASE WHEN prio = '1' THEN CASE WHEN even THEN 'paypal_credit' ELSE 'paypal_balance' END
+                  WHEN prio = '2' THEN 'banco_popular_usd' WHEN prio = '3' THEN 'paypal_credit' END AS logical
+      FROM mail m WHERE kase IN ('1F', '2F', '3F', '4F')
+    ), placed AS (
+      SELECT rec.*, d.value AS booked_on, s.value AS source_on, b.value AS bic_on
+      FROM rec LEFT JOIN dims d ON d.kind = 'account' AND d.key = logical
+      LEFT JOIN dims s ON s.kind = CASE prio WHEN '3' THEN 'paypal_funding_last4' WHEN '4' THEN 'swift_debtor_last4' END AND s.key = card
+      LEFT JOIN dims b ON prio = '4' AND b.kind = 'creditor_bic' AND b.key = 'BANK' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') || '2A'
+    ), legs AS (
+      SELECT p.*, ta.currency AS target_ccy, sa.currency AS source_ccy
+      FROM placed p
+      LEFT JOIN accounts ta ON ta.account_id = CAST(CASE WHEN prio = '4' THEN bic_on ELSE booked_on END AS BIGINT)
+      LEFT JOIN accounts sa ON sa.account_id = CAST(source_on AS BIGINT)
+    ), ceil AS (
+      SELECT l.*, CASE WHEN ccy = 'USD' THEN 1 ELSE u.rate END AS usd_rate
+      FROM legs l ASOF LEFT JOIN usd u ON l.ccy = u.from_ccy AND l.order_date >= u.rate_date
+    ), conv AS (
+      SELECT c.*, CASE WHEN ccy = target_ccy THEN 1 ELSE r.rate END AS book_rate,
+             c.o_orderkey IN (SELECT o_orderkey FROM alert_near) AS doubled
+      FROM ceil c ASOF LEFT JOIN rates r ON c.ccy = r.from_ccy AND c.target_ccy = r.to_ccy AND c.order_date >= r.rate_date
+    ), fate AS (
+      SELECT o_orderkey, CASE
+        WHEN prio IN ('3', '4') THEN CASE
+          WHEN CASE WHEN prio = '4' THEN bic_on ELSE booked_on END IS NULL OR source_on IS NULL THEN 'review:no_account'
+          WHEN paid * usd_rate > 400000 THEN 'review:over_ceiling'
+          WHEN source_ccy <> 'USD' THEN 'review:currency_mismatch'
+          WHEN book_rate IS NULL THEN 'deferred:' ELSE 'booked:' END
+        WHEN usd_rate IS NULL THEN 'deferred:'
+        WHEN paid * usd_rate > 400000 THEN 'review:over_ceiling'
+        WHEN prio = '2' AND doubled THEN 'review:double_book'
+        WHEN booked_on IS NULL THEN 'review:no_account'
+        WHEN book_rate IS NULL THEN 'deferred:'
+        -- A restated record of a booked key is a duplicate; its message still books unless the ledger had it.
+        WHEN prio = '1' AND account_id % 7 = 0 THEN 'duplicate:'
+        WHEN prio = '2' AND row_number() OVER same_alert > 1 THEN 'duplicate:'
+        ELSE 'booked:' END AS fate
+      FROM conv
+      WINDOW same_alert AS (PARTITION BY prio, order_date, paid, p_name, card ORDER BY o_orderkey)
+    )
+    SELECT msg_id,
+           CASE WHEN prio = '1' OR kase = '5F' THEN 'paypal' WHEN prio IN ('2', '4') THEN 'banco_popular'
+                WHEN prio = '3' THEN 'paypal_payment' ELSE 'unknown' END AS source,
+           CASE WHEN fate IS NOT NULL THEN split_part(fate, ':', 1) WHEN kase IN ('5F', '3P') THEN 'skipped' ELSE 'review' END AS disposition,
+           CASE WHEN fate IS NOT NULL THEN nullif(split_part(fate, ':', 2), '')
+                WHEN kase IN ('5F', '3P') THEN NULL WHEN kase = '5O' AND even THEN 'not_a_forward'
+                WHEN kase = '5O' THEN 'no_adapter' WHEN kase = '4O' THEN 'currency_mismatch' ELSE 'other' END AS category
+    FROM mail LEFT JOIN fate USING (o_orderkey) WHERE kase <> '5P'
+    """,
+)

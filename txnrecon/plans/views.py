@@ -225,6 +225,28 @@ _FORWARD = (
     "---------- Forwarded message ---------\nFrom: {sender}\nDate: Mon, 11 May 1998, 19:10\n"
     "Subject: {subject}\nTo: buyer@example.com\n\n"
 )
+WALLET_BODY = (
+    "You paid {amount} {ccy} to {merchant}\n\nTransaction date {day} 10:10:38 AM PDT\nTransaction ID: W{key}\n"
+        "Status: {state}\nPaid with {funding}\n{total}<https://track.example.com/a?b=c>\n\n\n\n"
+        "[image: logo]\nHelp & Contact\nSee our site"
+)
+ALERT_BODY = (
+        "Notificación de Consumo\n\nTarjeta terminada en {card}\n\nMonto | Moneda | Fecha | Comercio | Estatus\n"
+        "{prefix}{amount} | {name} | {day} | {merchant} | {state}\n\nGracias"
+)
+PAYMENT_BODY = (
+    "You paid ${amount} USD on {day}\n\n{proof}\n\nTransaction Details\n\nTransaction ID\nP{key}\n\n"
+        "Tax fx-1234 Logged on March 01, 2026\n{funding}"
+)
+WIRE_BODY = (
+        "Confirmación\n<Document xmlns=\"urn:iso:std:iso:20022:tech:xsd:pacs.008.001.08\">\n<NbOfTxs>{n}</NbOfTxs>\n"
+        "<CdtTrfTxInf>\n<UETR>{key}</UETR>\n<IntrBkSttlmAmt Ccy=\"USD\">\n"
+        "29/05/26-05:12:56        ICMACKINTERTMX-0277-000001            2\n__________\n{amount}</IntrBkSttlmAmt>\n"
+        "<IntrBkSttlmDt>{day}</IntrBkSttlmDt>\n<InstdAmt Ccy=\"{instructed}\">{amount}</InstdAmt>\n"
+        "<Dbtr><Nm>Sender</Nm></Dbtr><DbtrAcct><Id><Othr><Id>DO96BPDO0000{card}</Id></Othr></Id></DbtrAcct>\n"
+        "<CdtrAgt><FinInstnId><BICFI>{bic}XXX</BICFI></FinInstnId></CdtrAgt>\n<Cdtr>{creditor}</Cdtr>\n"
+        "</CdtTrfTxInf>\n</Document>"
+)
 
 
 def _fill(template: str, **values):
@@ -259,9 +281,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     usd_total = (F.col("amount") * F.lit(1.25).cast("decimal(3,2)")).cast("decimal(18,2)").cast("string")
     wallet = _fill(
         _FORWARD.format(sender="PayPal <Service@PayPal.com>", subject="You paid {merchant}")
-        + "You paid {amount} {ccy} to {merchant}\n\nTransaction date {day} 10:10:38 AM PDT\nTransaction ID: W{key}\n"
-        "Status: {state}\nPaid with {funding}\n{total}<https://track.example.com/a?b=c>\n\n\n\n"
-        "[image: logo]\nHelp & Contact\nSee our site",
+        + WALLET_BODY,
         merchant=merchant, amount=amount, key=key, day=long_date,
         ccy=by_status("EUR", "USD", "GBP"),
         state=by_status("approved", "pending", "successfully refunded"),
@@ -271,16 +291,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).otherwise(F.lit("")),
     )
     alert = _fill(
-        "Notificación de Consumo\n\nTarjeta terminada en {card}\n\nMonto | Moneda | Fecha | Comercio | Estatus\n"
-        "{prefix}{amount} | {name} | {day} | {merchant} | {state}\n\nGracias",
+        ALERT_BODY,
         card=card, prefix=by_status("EUR$", "US$", "RD$"), amount=grouped,
         name=by_status("Euro", "Dólar", "Peso dominicano"), day=F.date_format("order_date", "dd/MM/yyyy"),
         merchant=merchant, state=by_status("Aprobada", "Pendiente", "Declinada"),
     )
     payment = _fill(
         _FORWARD.format(sender="customercare@paypal.com", subject="Receipt for your payment to PayPal Credit")
-        + "You paid ${amount} USD on {day}\n\n{proof}\n\nTransaction Details\n\nTransaction ID\nP{key}\n\n"
-        "Tax fx-1234 Logged on March 01, 2026\n{funding}",
+        + PAYMENT_BODY,
         amount=grouped, day=long_date, key=key,
         proof=by_status("PayPal Credit will receive it soon", "PayPal Credit will receive it soon", "About your dispute"),
         funding=F.when(
@@ -288,13 +306,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).otherwise(F.lit("Thank you")),
     )
     wire = _fill(
-        "Confirmación\n<Document xmlns=\"urn:iso:std:iso:20022:tech:xsd:pacs.008.001.08\">\n<NbOfTxs>{n}</NbOfTxs>\n"
-        "<CdtTrfTxInf>\n<UETR>{key}</UETR>\n<IntrBkSttlmAmt Ccy=\"USD\">\n"
-        "29/05/26-05:12:56        ICMACKINTERTMX-0277-000001            2\n__________\n{amount}</IntrBkSttlmAmt>\n"
-        "<IntrBkSttlmDt>{day}</IntrBkSttlmDt>\n<InstdAmt Ccy=\"{instructed}\">{amount}</InstdAmt>\n"
-        "<Dbtr><Nm>Sender</Nm></Dbtr><DbtrAcct><Id><Othr><Id>DO96BPDO0000{card}</Id></Othr></Id></DbtrAcct>\n"
-        "<CdtrAgt><FinInstnId><BICFI>{bic}XXX</BICFI></FinInstnId></CdtrAgt>\n<Cdtr>{creditor}</Cdtr>\n"
-        "</CdtTrfTxInf>\n</Document>",
+        WIRE_BODY,
         n=by_status("1", "1", "2"), key=key, amount=grouped, day=F.col("order_date").cast("string"),
         instructed=by_status("USD", "DOP", "USD"), card=card,
         bic=F.concat(F.lit("BANK"), F.lpad((F.col("o_custkey") % 25).cast("string"), 2, "0"), F.lit("2A")),
