@@ -146,7 +146,11 @@ def intents(
         .when(close, "review_ambiguous")
         .otherwise("claim")
     )
-    return c.join(ranked, cell, "left").withColumn("intent", intent)
+    asked = c.join(ranked, cell, "left").withColumn("intent", intent)
+    found = ["n_plausible", "best_score", "best_journal", "second_score"]
+    return asked.select(
+        *[F.when(F.col("intent") != "exact", F.col(x)).alias(x) if x in found else F.col(x) for x in asked.columns]
+    )
 
 
 def resolve(asked: DataFrame, journals: DataFrame, params: ReconcileParams | None = None, scope: tuple[str, ...] = SCOPE) -> DataFrame:

@@ -361,6 +361,210 @@ def message_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- reconciliation ------------------------------------------------------------------
+
+
+def alias_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's label brought to its canonical merchant by the alias rules."""
+    part = views.table(spark, sf_dir, "part")
+    label = F.concat(F.lit("  Order "), "p_brand", F.lit("  "), "p_type")
+    other = F.concat(F.upper("p_name"), F.lit("\t"), "p_type")
+    named = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, label).otherwise(other).alias("merchant"))
+    return similarity.canonical(named, "merchant", views.aliases(spark, sf_dir), "canonical").select(
+        "p_partkey", "canonical"
+    )
+
+
+def merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name against the label of the part seven keys on."""
+    part = views.table(spark, sf_dir, "part")
+    own = part.select("p_partkey", F.col("p_name").alias("name_a"))
+    other = part.select(
+        (F.col("p_partkey") - 7).alias("p_partkey"),
+        F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 25, F.lower("p_type"))).alias("name_b"),
+    )
+    pairs = own.join(other, "p_partkey")
+    scored = similarity.score_pairs(pairs)
+    return pairs.join(scored, ["name_a", "name_b"]).select("p_partkey", F.round("score", 9).alias("score"))
+
+
+def _asked(spark: SparkSession, sf_dir: str):
+    journals = views.journals(spark, sf_dir)
+    return reconcile.intents(views.charges(spark, sf_dir), journals), journals
+
+
+def recon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each charge asks for, with its best and second best journal."""
+    asked, _ = _asked(spark, sf_dir)
+    return asked.select(
+        "account_id", "charge_id", "intent", "n_plausible", "best_journal",
+        F.round("best_score", 9).alias("best_score"), F.round("second_score", 9).alias("second_score"),
+    )
+
+
+def recon_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, journals = _asked(spark, sf_dir)
+    return reconcile.resolve(asked, journals).select(
+        "account_id", "charge_id", "reference", "outcome", "journal_id", "booked", "reason"
+    )
+
+
+def recon_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, journals = _asked(spark, sf_dir)
+    left = reconcile.unmatched(journals, reconcile.resolve(asked, journals))
+    return left.select("account_id", "journal_id", "txn_date", "amount", "currency", "merchant")
+
+
+def double_book_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement booking near every order's purchase, if any."""
+    records = views.orders(spark, sf_dir).select(
+        "o_orderkey", "account_id", F.col("order_date").alias("txn_date"), F.upper("p_name").alias("merchant")
+    )
+    probed = ledger.double_book(records, views.journals(spark, sf_dir))
+    return probed.select("o_orderkey", "statement_journal_id")
+
+
+def amount_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision on every journal whose amount differs from its charge's, against a ledger in
+    which some journals moved since."""
+    journals = views.journals(spark, sf_dir)
+    charges = views.charges(spark, sf_dir).select(
+        "account_id", F.col("charge_id").alias("journal_id"), F.col("amount").alias("statement_amount")
+    )
+    moved = F.col("account_id") % 5 == 1
+    pct = F.when(F.col("account_id") % 5 == 2, F.lit(1.30)).otherwise(F.lit(1.00)).cast("decimal(3,2)")
+    mismatches = (
+        journals.join(charges, ["account_id", "journal_id"])
+        .select("journal_id", "account_id", F.col("amount").alias("booked"), "statement_amount")
+        .withColumn("statement_amount", (F.col("statement_amount") * pct).cast("decimal(18,2)"))
+    )
+    fresh = journals.select(
+        "journal_id",
+        F.when(moved, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"),
+        F.array(F.lit("txnrecon")).alias("tags"),
+        F.lit(None).cast("decimal(18,4)").alias("foreign_amount"),
+        F.lit(None).cast("string").alias("foreign_currency"),
+        F.when(F.col("account_id") % 5 == 3, 2).otherwise(1).alias("split_count"),
+    )
+    decided = ledger.corrections(mismatches, fresh, Decimal("25"))
+    return decided.select(
+        "journal_id", "decision", F.col("new_amount").cast("decimal(18,2)").alias("new_amount"),
+        F.array_join("tags", ",").alias("tags"),
+    )
+
+
+def ledger_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as the ledger takes it."""
+    records = order_records(spark, sf_dir).where("currency <> 'XXX'").withColumn(
+        "external_id", F.col("o_orderkey").cast("string")
+    ).withColumn("mcc", F.lpad((F.col("account_id") % 10000).cast("string"), 4, "0"))
+    codes = views.table(spark, sf_dir, "nation").select(
+        F.lit("mcc_category").alias("kind"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("key"),
+        F.col("n_name").alias("value"),
+    ).where("n_regionkey <> 1")
+    known = fx.account_targets(routing.categories(records, codes), views.accounts(spark, sf_dir))
+    rated = fx.with_rate(known, views.rates(spark, sf_dir), "currency", "account_currency", "txn_date")
+    return ledger.payload(fx.convert(rated)).withColumn("tags", F.array_join("tags", ","))
+
+
+# --- loose input -----------------------------------------------------------------------
+
+
+def stale_rate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate keys the orders need and no fresh cache entry serves."""
+    known = fx.account_targets(
+        views.orders(spark, sf_dir).withColumn("from_ccy", F.expr(views.ORDER_CURRENCY)), views.accounts(spark, sf_dir)
+    )
+    needed = known.select("from_ccy", F.col("account_currency").alias("to_ccy"), F.col("order_date").alias("rate_date"))
+    now = F.lit("2000-06-30 00:10:00").cast("timestamp")
+    return fx.stale_keys(needed, views.rates(spark, sf_dir), now)
+
+
+def rates_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate bodies, one per source currency and day, read back into rate rows."""
+    rates = views.rates(spark, sf_dir)
+    pairs = F.collect_list(F.struct(F.lower("to_ccy").alias("k"), F.col("rate").cast("string").alias("v")))
+    bodies = rates.groupBy("from_ccy", "rate_date").agg(F.map_from_entries(F.sort_array(pairs)).alias("m"))
+    body = F.concat(F.lit('{"amount":1.0,"rates":'), F.regexp_replace(F.to_json("m"), r'"([0-9.]+)"', "$1"), F.lit("}"))
+    sent = bodies.select("from_ccy", "rate_date", F.current_timestamp().alias("fetched_at"), body.alias("body"))
+    return rate_source.parse_rates(sent).select("from_ccy", "to_ccy", "rate_date", "rate")
+
+
+def peso_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bank tables with numeric, textual and zero prices, read into rows."""
+    day = views.rates(spark, sf_dir).where("to_ccy = 'DOP'").groupBy("rate_date").agg(
+        F.max(F.when(F.col("from_ccy") == "USD", F.col("rate"))).alias("usd"),
+        F.max(F.when(F.col("from_ccy") == "EUR", F.col("rate"))).alias("eur"),
+    )
+    body = F.concat(
+        F.lit('{"monedas":{"moneda":[{"descripcion":" usd ","compra":1,"venta":'), F.col("usd").cast("string"),
+        F.lit('},{"descripcion":"EUR","compra":1,"venta":"'), F.col("eur").cast("string"),
+        F.lit('"},{"descripcion":"GBP","compra":0,"venta":0}]}}'),
+    )
+    return rate_source.parse_peso_table(day.select("rate_date", body.alias("body")))
+
+
+def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages, one per account and day, read back into journals; amounts are signed,
+    dates carry zones, foreign and untagged rows must not survive."""
+    j = views.journals(spark, sf_dir)
+    split = F.struct(
+        F.col("journal_id").cast("string").alias("transaction_journal_id"),
+        F.concat(F.col("txn_date").cast("string"), F.lit("T23:30:00-04:00")).alias("date"),
+        F.concat(F.lit("-"), F.col("amount").cast("string"), F.lit("0000000000")).alias("amount"),
+        F.when(F.col("currency") == "CHF", "CHFX").otherwise(F.lower("currency")).alias("currency_code"),
+        F.concat(F.lit(" "), "merchant").alias("description"),
+        F.coalesce("external_id", F.lit(" ")).alias("external_id"),
+        F.when(F.col("account_id") % 4 == 3, F.array(F.lit("manual"))).otherwise(
+            F.array(F.lit("x"), F.lit("txnrecon"))
+        ).alias("tags"),
+    )
+    group = F.struct(
+        F.col("journal_id").cast("string").alias("id"), F.struct(F.array(split).alias("transactions")).alias("attributes")
+    )
+    pages = j.groupBy("account_id", "txn_date").agg(F.collect_list(group).alias("data"))
+    bodies = pages.select("account_id", F.to_json(F.struct("data")).alias("body"))
+    return ledger_source.journals(ledger_source.splits(bodies), "txnrecon").select(
+        "account_id", F.col("journal_id").cast("bigint").alias("journal_id"), "split_count", "txn_date", "amount",
+        "currency", "merchant", "external_id", "is_usable",
+    )
+
+
+def alias_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule listings, one page per brand, read into alias rows."""
+    part = views.table(spark, sf_dir, "part")
+    rule = F.struct(
+        F.struct(
+            F.array(
+                F.struct(F.lit("amount_more").alias("type"), F.lit("1").alias("value")),
+                F.struct(F.lit("description_contains").alias("type"), F.concat(F.lit(" "), F.upper("p_name")).alias("value")),
+                F.struct(F.lit("description_is").alias("type"), F.lit("no").alias("value")),
+            ).alias("triggers"),
+            F.array(
+                F.struct(
+                    F.when(F.col("p_size") > 40, "set_category").otherwise("set_destination_account").alias("type"),
+                    F.when(F.col("p_size") < 5, " ").otherwise(F.col("p_type")).alias("value"),
+                )
+            ).alias("actions"),
+        ).alias("attributes")
+    )
+    pages = part.select(F.col("p_partkey").alias("page_no"), F.to_json(F.struct(F.array(rule).alias("data"))).alias("body"))
+    rules = ledger_source.alias_rules(pages)
+    return rules.select((F.col("pos") / (1 << 32)).cast("bigint").alias("p_partkey"), "trigger", "canonical")
+
+
+def kv_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration text, one per segment and nation, read into dimension rows. A repeated
+    key keeps its last value."""
+    entry = F.concat(F.lit(" "), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" : "), "c_name")
+    ordered = F.sort_array(F.collect_list(F.struct("c_custkey", entry.alias("e"))))
+    texts = views.table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(
+        F.array_join(F.transform(ordered, lambda r: r["e"]), ",, ").alias("text")
+    )
+    kinds = texts.select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("kind"), "text")
+    return mappings.parse(kinds)
+
+
 QUERIES = {
     "fx_asof_convert": fx_asof_convert,
     "amount_gate": amount_gate,
@@ -384,4 +588,18 @@ QUERIES = {
     "wire_parse": wire_parse,
     "model_json_normalise": model_json_normalise,
     "message_disposition": message_disposition,
+    "alias_canonical": alias_canonical,
+    "merchant_similarity": merchant_similarity,
+    "recon_candidates": recon_candidates,
+    "recon_outcomes": recon_outcomes,
+    "recon_unmatched": recon_unmatched,
+    "double_book_probe": double_book_probe,
+    "amount_correction": amount_correction,
+    "ledger_payload": ledger_payload,
+    "stale_rate_keys": stale_rate_keys,
+    "rates_parse": rates_parse,
+    "peso_table_parse": peso_table_parse,
+    "ledger_scan": ledger_scan,
+    "alias_rules": alias_rules,
+    "kv_map": kv_map,
 }

@@ -564,3 +564,224 @@ ORACLE["message_disposition"] = with_views(
     FROM mail LEFT JOIN fate USING (o_orderkey) WHERE kase <> '5P'
     """,
 )
+
+
+def _similarity(a: str, b: str) -> str:
+    """Similarity of two lower-case names of single-spaced words."""
+    wa = f"list_filter(string_split({a}, ' '), lambda t: strlen(t) >= 2)"
+    wb = f"list_filter(string_split({b}, ' '), lambda t: strlen(t) >= 2)"
+
+    def share(x: str, y: str) -> str:
+        return f"len(list_filter({x}, lambda t: list_contains({y}, t))) / len({x})"
+
+    return (
+        f"greatest(jaro_winkler_similarity({a}, {b}), "
+        f"CASE WHEN len({wa}) <= len({wb}) THEN {share(wa, wb)} ELSE {share(wb, wa)} END)"
+    )
+
+
+ORACLE["alias_canonical"] = """
+    WITH rules AS (SELECT lower(p_brand) AS trig, min(p_name) AS canonical, min(p_partkey) AS pos FROM part GROUP BY p_brand),
+    named AS (
+      SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '  Order ' || p_brand || '  ' || p_type
+                             ELSE upper(p_name) || chr(9) || p_type END AS merchant FROM part
+    ), hit AS (
+      SELECT p_partkey, arg_min(r.canonical, r.pos) AS canonical FROM named JOIN rules r ON contains(lower(merchant), trig) GROUP BY p_partkey
+    )
+    SELECT n.p_partkey, lower(trim(regexp_replace(coalesce(h.canonical, merchant), '\\s+', ' ', 'g'))) AS canonical
+    FROM named n LEFT JOIN hit h USING (p_partkey)
+"""
+
+ORACLE["merchant_similarity"] = f"""
+    WITH pairs AS (
+      SELECT a.p_partkey, a.p_name AS name_a,
+             b.p_name || CASE WHEN b.p_size > 25 THEN ' ' || lower(b.p_type) ELSE '' END AS name_b
+      FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7
+    ), scores AS (SELECT name_a, name_b, {_similarity("name_a", "name_b")} AS s FROM (SELECT DISTINCT name_a, name_b FROM pairs))
+    SELECT p_partkey, round(s, 9) AS score FROM pairs JOIN scores USING (name_a, name_b)
+"""
+
+CTE["charges"] = f"""
+    SELECT account_id, o_orderkey * 2 + extra AS charge_id, CASE WHEN extra = 1 THEN '9' || key ELSE key END AS reference,
+           p_name AS merchant, CASE WHEN extra = 1 THEN CAST(amount * 0.5 AS DECIMAL(18,2)) ELSE amount END AS amount,
+           {views.CURRENCY_OF_ACCOUNT} AS currency, order_date + extra AS auth_date
+    FROM (SELECT *, unnest(CASE WHEN kase = '5P' THEN [0, 1] ELSE [0] END) AS extra FROM mail)"""
+_NEEDS["charges"] = ["mail"]
+
+CTE["exact"] = """
+    SELECT c.account_id, c.charge_id, j.journal_id FROM charges c
+    JOIN journals j ON j.account_id = c.account_id AND j.external_id = 'bpstmt:' || c.reference"""
+_NEEDS["exact"] = ["charges", "journals"]
+
+CTE["near"] = """
+    SELECT c.account_id, c.charge_id, c.merchant AS cm, lower(j.merchant) AS jm, j.journal_id,
+           j.journal_id NOT IN (SELECT journal_id FROM exact) AS is_free
+    FROM charges c JOIN journals j ON j.account_id = c.account_id AND j.currency = c.currency
+      AND abs(date_diff('day', c.auth_date, j.txn_date)) <= 5
+    WHERE c.charge_id NOT IN (SELECT charge_id FROM exact)"""
+_NEEDS["near"] = ["exact"]
+
+CTE["cand"] = f"""
+    SELECT n.*, s.score FROM near n
+    JOIN (SELECT cm, jm, {_similarity("cm", "jm")} AS score FROM (SELECT DISTINCT cm, jm FROM near)) s USING (cm, jm)
+    WHERE s.score >= 0.70"""
+_NEEDS["cand"] = ["near"]
+
+CTE["ranked"] = """
+    SELECT account_id, charge_id, journal_id, score, row_number() OVER w AS rn, lead(score) OVER w AS second_score
+    FROM cand WHERE is_free WINDOW w AS (PARTITION BY account_id, charge_id ORDER BY score DESC, journal_id)"""
+_NEEDS["ranked"] = ["cand"]
+
+CTE["asked"] = """
+    SELECT c.*, e.journal_id AS exact_journal, p.n AS n_plausible, r.journal_id AS best_journal, r.score AS best_score,
+           r.second_score,
+           CASE WHEN e.journal_id IS NOT NULL THEN 'exact' WHEN r.score IS NULL THEN 'book'
+                WHEN r.score < 0.85 THEN 'review_gray'
+                WHEN r.second_score >= 0.85 AND r.score - r.second_score < 0.03 THEN 'review_ambiguous' ELSE 'claim' END AS intent
+    FROM charges c LEFT JOIN exact e USING (account_id, charge_id)
+    LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (account_id, charge_id)
+    LEFT JOIN (SELECT account_id, charge_id, count(*) AS n FROM cand GROUP BY ALL) p USING (account_id, charge_id)"""
+_NEEDS["asked"] = ["ranked"]
+
+ORACLE["recon_candidates"] = with_views(
+    "asked",
+    """
+    SELECT account_id, charge_id, intent, n_plausible, best_journal, round(best_score, 9) AS best_score,
+           round(second_score, 9) AS second_score FROM asked
+    """,
+)
+
+CTE["decided"] = """
+    SELECT a.account_id, a.charge_id, a.reference, a.amount, a.intent,
+           CASE WHEN intent = 'exact' THEN exact_journal
+                WHEN intent = 'claim' AND (cl.n = 1 OR (cl.clear AND cl.near_id = a.charge_id)) THEN best_journal END AS journal_id,
+           CASE WHEN intent = 'claim' AND cl.n > 1 THEN
+             CASE WHEN NOT cl.clear THEN 'several charges contend for one journal'
+                  WHEN cl.near_id <> a.charge_id AND a.n_plausible > 1 THEN 'cluster loser with another plausible journal' END
+             WHEN intent = 'review_gray' THEN 'possible duplicate in the gray zone'
+             WHEN intent = 'review_ambiguous' THEN 'several journals match equally well' END AS reason
+    FROM asked a LEFT JOIN (
+      SELECT account_id, journal_id, count(*) AS n, arg_min(charge_id, rn) AS near_id,
+             coalesce(2 * min(d) FILTER (rn = 1) < min(d) FILTER (rn = 2) AND any_value(jamt) > 0
+                      AND 100 * min(d) FILTER (rn = 1) <= 15 * any_value(jamt), false) AS clear
+      FROM (SELECT a.account_id, a.best_journal AS journal_id, a.charge_id, j.amount AS jamt, abs(a.amount - j.amount) AS d,
+                   row_number() OVER (PARTITION BY a.account_id, a.best_journal ORDER BY abs(a.amount - j.amount), a.charge_id) AS rn
+            FROM asked a JOIN journals j ON j.account_id = a.account_id AND j.journal_id = a.best_journal WHERE a.intent = 'claim')
+      GROUP BY account_id, journal_id) cl ON a.intent = 'claim' AND cl.account_id = a.account_id AND cl.journal_id = a.best_journal"""
+_NEEDS["decided"] = ["asked"]
+
+ORACLE["recon_outcomes"] = with_views(
+    "decided",
+    """
+    SELECT d.account_id, d.charge_id, d.reference,
+           CASE WHEN d.journal_id IS NOT NULL THEN CASE WHEN abs(d.amount - j.amount) <= 0.01 THEN 'confirmed' ELSE 'mismatch' END
+                WHEN d.reason IS NOT NULL THEN 'review' ELSE 'book_new' END AS outcome,
+           d.journal_id, j.amount AS booked, d.reason
+    FROM decided d LEFT JOIN journals j ON j.account_id = d.account_id AND j.journal_id = d.journal_id
+    """,
+)
+
+ORACLE["recon_unmatched"] = with_views(
+    "decided",
+    """
+    SELECT account_id, journal_id, txn_date, amount, currency, merchant FROM journals
+    WHERE journal_id NOT IN (SELECT journal_id FROM decided WHERE journal_id IS NOT NULL)
+    """,
+)
+
+ORACLE["double_book_probe"] = with_views(
+    "v_orders journals",
+    f"""
+    WITH near AS (
+      SELECT o.o_orderkey, o.p_name AS cm, lower(j.merchant) AS jm, j.journal_id
+      FROM v_orders o JOIN journals j ON j.account_id = o.account_id AND starts_with(j.external_id, 'bpstmt:')
+        AND abs(date_diff('day', o.order_date, j.txn_date)) <= 5
+    ), hit AS (
+      SELECT o_orderkey, min(journal_id) AS statement_journal_id FROM near
+      JOIN (SELECT cm, jm, {_similarity("cm", "jm")} AS s FROM (SELECT DISTINCT cm, jm FROM near)) USING (cm, jm)
+      WHERE s >= 0.70 GROUP BY o_orderkey
+    )
+    SELECT o_orderkey, statement_journal_id FROM v_orders LEFT JOIN hit USING (o_orderkey)
+    """,
+)
+
+ORACLE["amount_correction"] = with_views(
+    "charges journals",
+    f"""
+    WITH m AS (
+      SELECT j.journal_id, j.account_id % 5 AS five, j.amount AS booked,
+             CAST(c.amount * CASE WHEN j.account_id % 5 = 2 THEN 1.30 ELSE 1.00 END AS DECIMAL(18,2)) AS billed,
+             CASE WHEN j.account_id % 5 = 1 THEN j.amount + 1 ELSE j.amount END AS cur
+      FROM journals j JOIN charges c ON c.account_id = j.account_id AND c.charge_id = j.journal_id
+    ), d AS (
+      SELECT *, CASE WHEN five = 3 THEN 'review: journal has several splits' WHEN cur = billed THEN 'noop'
+                     WHEN cur <> booked THEN 'review: journal amount changed since reconcile'
+                     WHEN booked = 0 THEN 'review: booked estimate is zero'
+                     WHEN abs(billed - booked) * 100 > 25 * booked THEN 'review: correction exceeds the bound'
+                     ELSE 'corrected' END AS decision FROM m
+    )
+    SELECT journal_id, decision, CAST(CASE WHEN decision = 'corrected' THEN billed ELSE cur END AS DECIMAL(18,2)) AS new_amount,
+           CASE WHEN decision = 'corrected' THEN 'txnrecon,bp-estimate:' || {_trim_zeros("booked")} ELSE 'txnrecon' END AS tags
+    FROM d
+    """,
+)
+
+ORACLE["ledger_payload"] = with_views(
+    "order_records accounts rates",
+    f"""
+    WITH r AS (
+      SELECT o.*, a.currency AS target, a.decimals,
+             CASE WHEN o.currency = a.currency THEN CAST(1 AS DECIMAL(18,6)) ELSE r.rate END AS rate
+      FROM (SELECT * FROM order_records WHERE currency <> 'XXX') o JOIN accounts a USING (account_id)
+      ASOF LEFT JOIN rates r ON o.currency = r.from_ccy AND a.currency = r.to_ccy AND o.txn_date >= r.rate_date
+    ), b AS (
+      SELECT *, CAST(CASE WHEN currency = target THEN amount WHEN decimals = 0 THEN round_even(amount * rate, 0)
+                          ELSE round_even(amount * rate, 2) END AS DECIMAL(24,4)) AS booked FROM r
+    )
+    SELECT CASE direction WHEN 'out' THEN 'withdrawal' ELSE 'deposit' END AS type, txn_date AS date,
+           {_trim_zeros("booked")} AS amount, target AS currency_code, merchant AS description,
+           CAST(o_orderkey AS VARCHAR) AS external_id, 'txnrecon' AS tags, account_id AS source_id, merchant AS destination_name,
+           CAST(NULL AS VARCHAR) AS destination_id,
+           CASE WHEN currency <> target THEN {_trim_zeros("amount")} END AS foreign_amount,
+           CASE WHEN currency <> target THEN currency END AS foreign_currency_code, n_name AS category_name
+    FROM b LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON n_nationkey = account_id % 10000
+    """,
+)
+
+ORACLE["stale_rate_keys"] = with_views(
+    "v_orders accounts rates",
+    f"""
+    WITH needed AS (
+      SELECT DISTINCT {views.ORDER_CURRENCY} AS from_ccy, a.currency AS to_ccy, order_date AS rate_date
+      FROM v_orders JOIN accounts a USING (account_id)
+    )
+    SELECT * FROM needed n WHERE from_ccy <> to_ccy AND NOT EXISTS (
+      SELECT 1 FROM rates r WHERE r.from_ccy = n.from_ccy AND r.to_ccy = n.to_ccy AND r.rate_date = n.rate_date
+        AND (r.rate_date < DATE '2000-06-30' OR epoch(TIMESTAMP '2000-06-30 00:10:00') - epoch(r.fetched_at) < 900))
+    """,
+)
+
+ORACLE["rates_parse"] = with_views("rates", "SELECT from_ccy, to_ccy, rate_date, rate FROM rates")
+
+ORACLE["peso_table_parse"] = with_views(
+    "rates", "SELECT rate_date, from_ccy AS currency, rate AS venta FROM rates WHERE to_ccy = 'DOP' AND from_ccy IN ('USD', 'EUR')"
+)
+
+ORACLE["ledger_scan"] = with_views(
+    "journals",
+    """
+    SELECT account_id, journal_id, 1 AS split_count, txn_date, CAST(amount AS DECIMAL(18,4)) AS amount,
+           CASE WHEN currency <> 'CHF' THEN currency END AS currency, merchant, external_id, currency <> 'CHF' AS is_usable
+    FROM journals WHERE account_id % 4 <> 3
+    """,
+)
+
+ORACLE["alias_rules"] = """
+    SELECT p_partkey, lower(p_name) AS trigger, p_type AS canonical FROM part WHERE p_size BETWEEN 5 AND 40
+"""
+
+ORACLE["kv_map"] = """
+    SELECT c_mktsegment || '/' || c_nationkey AS kind, lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS key,
+           arg_max(c_name, c_custkey) AS value
+    FROM customer GROUP BY c_mktsegment, c_nationkey, c_custkey % 100
+"""
