@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrecon.functions import keys, numbers, status, text
-from txnrecon.operators import dedup, extract, fx, ledger, reconcile, routing, similarity, validate
-from txnrecon.plans import notifications, reading, views
+from txnrecon.operators import (
+    dedup, extract, fx, ledger, monitor, reconcile, routing, score, similarity, statement, validate,
+)
+from txnrecon.plans import notifications, reading, session, statements, views
 from txnrecon.sources import ledger as ledger_source
 from txnrecon.sources import mappings
 from txnrecon.sources import rates as rate_source
@@ -390,12 +392,13 @@ def merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str):
     journals = views.journals(spark, sf_dir)
-    return reconcile.intents(views.charges(spark, sf_dir), journals), journals
+    # Intents are read several times over when claims are resolved.
+    return session.materialize(reconcile.intents(views.charges(spark, sf_dir), journals)), journals
 
 
 def recon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each charge asks for, with its best and second best journal."""
-    asked, _ = _asked(spark, sf_dir)
+    asked = reconcile.intents(views.charges(spark, sf_dir), views.journals(spark, sf_dir))
     return asked.select(
         "account_id", "charge_id", "intent", "n_plausible", "best_journal",
         F.round("best_score", 9).alias("best_score"), F.round("second_score", 9).alias("second_score"),
@@ -565,6 +568,116 @@ def kv_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappings.parse(kinds)
 
 
+# --- statements ----------------------------------------------------------------------
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statement.contextual(views.statement_rows(spark, sf_dir))
+
+
+def statement_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of every statement with their section, inferred dates and codes."""
+    txns = statement.transactions(_context(spark, sf_dir))
+    return txns.withColumn("merchant_md5", F.md5("merchant")).drop("merchant")
+
+
+def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every statement with their closing-balance check."""
+    context = _context(spark, sf_dir)
+    return statement.balance(statement.sections(context), statement.transactions(context))
+
+
+def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed rows of every page."""
+    rows = statement.group_rows(views.runs(spark, sf_dir))
+    return rows.select(
+        "stmt_id", "page", "row_no", F.round("y", 6).alias("y"), F.size("cells").alias("n_cells"),
+        F.md5(text.join_cells(F.col("cells"))).alias("text_md5"),
+    )
+
+
+def statement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement reconciled against the ledger of its card accounts."""
+    return statements.report(
+        views.statement_rows(spark, sf_dir),
+        views.dims(spark, sf_dir),
+        views.journals(spark, sf_dir),
+        views.rates(spark, sf_dir),
+        max_usd=MAX_USD,
+        autocorrect_pct=Decimal("25"),
+    )
+
+
+# --- scoring ---------------------------------------------------------------------------
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = views.produced(spark, sf_dir)
+    models = made.select("model").distinct()
+    projected = score.project(score.project_labels(views.labels(spark, sf_dir)), models, score.project_records(made))
+    return score.fields(projected)
+
+
+def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+def accuracy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = score.matrix(score.tally(_scores(spark, sf_dir)))
+    return matrix.select("model", *[F.round(c, 9).alias(c.lower()) for c in matrix.columns[1:]])
+
+
+# --- monitoring --------------------------------------------------------------------------
+
+
+def outcome_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome events with the free-form reason left out."""
+    reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), (F.col("msg_id").cast("bigint") % len(REASONS) + 1).cast("int"))
+    sent = monitor.events(views.outcomes(spark, sf_dir).withColumn("reason", reason))
+    return sent.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _ntz(df: DataFrame) -> DataFrame:
+    return df.select(
+        *[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema]
+    )
+
+
+def outcome_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ntz(monitor.rates(views.outcomes(spark, sf_dir)))
+
+
+def review_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of the last hour at every five minutes."""
+    reviews = monitor.rates(views.outcomes(spark, sf_dir)).where("disposition = 'review'")
+    return _ntz(monitor.sliding_sum(reviews, []))
+
+
+def last_value_3h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest value per source in the last three hours, every five minutes."""
+    samples = views.outcomes(spark, sf_dir).withColumn("event_id", F.col("msg_id").cast("bigint"))
+    return _ntz(monitor.last_value(samples, "value", ["source"], tie="event_id"))
+
+
+def sustained_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of at least three hours with more than five reviews in every half hour."""
+    per_step = monitor.review_rate(monitor.rates(views.outcomes(spark, sf_dir), "30 minutes"))
+    hot = F.col("n") > monitor.REVIEW_RATE_LIMIT
+    return _ntz(monitor.sustained(per_step, hot, hold="3 hours", step="30 minutes"))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of one run over all outcomes and statements."""
+    turns = views.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("stmt_id"),
+        F.when(F.col("role") == "user", "booked_new").when(F.col("role") == "assistant", "reconciled")
+        .otherwise("unmatched_booked").alias("outcome"),
+    )
+    context = _context(spark, sf_dir)
+    balances = statement.balance(statement.sections(context), statement.transactions(context))
+    return monitor.run_summary(views.outcomes(spark, sf_dir), statement.report(turns, balances))
+
+
 QUERIES = {
     "fx_asof_convert": fx_asof_convert,
     "amount_gate": amount_gate,
@@ -602,4 +715,16 @@ QUERIES = {
     "ledger_scan": ledger_scan,
     "alias_rules": alias_rules,
     "kv_map": kv_map,
+    "statement_fold": statement_fold,
+    "balance_check": balance_check,
+    "row_grouping": row_grouping,
+    "statement_report": statement_report,
+    "field_scores": field_scores,
+    "accuracy_matrix": accuracy_matrix,
+    "outcome_events": outcome_events,
+    "outcome_rate_5m": outcome_rate_5m,
+    "review_1h": review_1h,
+    "last_value_3h": last_value_3h,
+    "sustained_alert": sustained_alert,
+    "run_summary": run_summary,
 }

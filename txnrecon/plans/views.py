@@ -353,3 +353,141 @@ def booked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where((F.col("prio") == WALLET) & (F.col("account_id") % 7 == 0)).select(
         F.concat(F.lit("W"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("external_id")
     )
+
+
+# --- statements --------------------------------------------------------------------
+
+
+def _cells(*texts):
+    return F.array(*[F.struct(F.lit(float(i)).alias("x"), t.alias("text")) for i, t in enumerate(texts)])
+
+
+def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement per conversation: a user turn is a transaction with the whole text as
+    its merchant, an assistant turn its continuation; every fourth turn closes a section
+    with a balance and opens one in the other currency; a system turn repeats the card row."""
+    t = table(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    cut = F.date_add(F.lit("1996-01-15").cast("date"), (conv % 900).cast("int"))
+    cut_text = F.date_format(cut, "dd/MM/yyyy")
+    day = F.date_format(F.date_sub(cut, (turn * 7).cast("int")), "dd/MM")
+    switched = F.floor((turn + 1) / 4)
+    currency = F.when((conv + switched) % 2 == 0, "DOP").otherwise("USD")
+    next_currency = F.when((conv + switched) % 2 == 0, "DOP").otherwise("USD")
+    closes = (F.col("role") == "assistant") & (turn % 4 == 3)
+    size = F.length("text")
+    money = F.format_number(size.cast("decimal(18,2)") + F.lit(1000.25).cast("decimal(18,2)"), 2)
+
+    def row(k: int, cells):
+        return F.struct(F.lit(k).alias("k"), cells.alias("cells"))
+
+    def title(ccy):
+        return _cells(F.concat(F.lit("Visa Prestige "), ccy))
+
+    def card(anterior):
+        return _cells(
+            F.concat(F.lit("****-****-****-"), F.lpad((conv % 10000).cast("string"), 4, "0")),
+            F.lit("432,000.00"), cut_text, anterior,
+        )
+
+    opening = F.when(
+        turn == 0,
+        F.array(row(0, title(F.when(conv % 2 == 0, "DOP").otherwise("USD"))), row(1, card(F.format_number((conv * 10).cast("decimal(18,2)"), 2)))),
+    ).otherwise(F.array().cast("array<struct<k:int,cells:array<struct<x:double,text:string>>>>"))
+    txn = row(
+        2,
+        _cells(
+            day, day, F.lpad((conv * 1000 + turn).cast("string"), 12, "0"), F.col("text"),
+            F.concat(F.when(turn % 4 == 2, "-").otherwise(""), money),
+        ),
+    )
+    follow = row(2, _cells(F.lpad((size % 10000).cast("string"), 4, "0"), F.lpad(turn.cast("string"), 6, "0")))
+    figure = F.format_number(size.cast("decimal(18,2)"), 2)
+    closing = [
+        row(3, _cells(F.lit("MONTO VENCIDO"), F.lit("Balance Total"))),
+        row(4, _cells(F.lit("0"), F.lit("0.00"), F.lit("50.00"), F.lit("500.00"), figure)),
+        row(5, _cells(F.lit("0"), F.lit("0.00"), F.lit("50.00"), F.lit("9.99"))),
+        row(6, title(next_currency)),
+        row(7, card(F.format_number((turn * 100).cast("decimal(18,2)"), 2))),
+    ]
+    body = (
+        F.when(F.col("role") == "user", F.array(txn))
+        .when(closes, F.array(follow, *closing))
+        .when(F.col("role") == "assistant", F.array(follow))
+        .otherwise(F.array(row(2, card(F.lit("1.00"))), row(3, _cells(F.lit("Aviso"), F.col("text"), F.lit("x")))))
+    )
+    rows = t.select("conv_id", "turn", F.explode(F.concat(opening, body)).alias("_r"))
+    return rows.select(
+        conv.alias("stmt_id"),
+        ((turn + 1) * 10 + F.col("_r.k")).alias("row_no"),
+        (F.lit(0.0) - turn).alias("y"),
+        F.col("_r.cells").alias("cells"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned text from order lines: a page per supplier and line number."""
+    line = table(spark, sf_dir, "lineitem")
+    return line.select(
+        F.col("l_suppkey").alias("stmt_id"),
+        F.col("l_linenumber").alias("page"),
+        (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("run_no"),
+        F.col("l_quantity").alias("x"),
+        (F.lit(700.0) - F.dayofyear("l_shipdate") * F.lit(1.3)).alias("y"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"),
+    )
+
+
+# --- scoring -------------------------------------------------------------------------
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled examples from the rated documents; the merchant is the whole text."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    real = F.col("quality") == 1
+
+    def when_real(value):
+        return F.when(real, value)
+
+    currency = F.when(F.col("lang") == "en", "usd").when(F.col("lang") == "de", " EUR").otherwise("DOP")
+    return d.select(
+        F.col("doc_id").alias("example"),
+        F.when(real, "transaction").otherwise("not_a_transaction").alias("kind"),
+        when_real(F.concat(F.lit("$"), F.format_number("n_chars", 2))).alias("amount"),
+        when_real(currency).alias("currency"),
+        when_real(F.when(F.col("toxic") == 1, "in").otherwise("out")).alias("direction"),
+        when_real(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))).alias("date"),
+        when_real(F.col("text")).alias("merchant"),
+        when_real(F.lit("approved")).alias("status"),
+        when_real(
+            F.when(
+                F.col("toxic") == 0,
+                F.when(F.col("lang").isin("en", "de"), "banco_popular_usd").otherwise("banco_popular_dop"),
+            )
+        ).alias("routed_account"),
+        "quality", "toxic", "lang", "n_chars",
+    )
+
+
+def produced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three models said about the examples: ``alpha`` is right on transactions and silent
+    otherwise, ``beta`` errs with the text's tone and length, ``gamma`` answers everything a day late."""
+    base = labels(spark, sf_dir)
+    full = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example"), "text")
+    rows = base.join(full, "example").withColumn("model", F.explode(F.array(*[F.lit(m) for m in ("alpha", "beta", "gamma")])))
+    m = F.col("model")
+    rows = rows.where((F.col("quality") == 1) | (m == "gamma"))
+    late = F.when(m == "gamma", 1).otherwise(0)
+    return rows.select(
+        "model",
+        "example",
+        F.lit(0).alias("rec_idx"),
+        F.lit("banco_popular").alias("source"),
+        (F.col("n_chars") + F.when((m == "beta") & (F.col("toxic") == 1), 1).otherwise(0)).cast("decimal(18,4)").alias("amount"),
+        F.when(F.col("lang") == "en", "USD").when(F.col("lang") == "de", "EUR").otherwise("DOP").alias("currency"),
+        F.when(F.col("toxic") == 1, "in").otherwise("out").alias("direction"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("example") % 300).cast("int") + late).alias("txn_date"),
+        F.when(m == "beta", F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")))).otherwise(F.col("text")).alias("merchant"),
+        F.lit(None).cast("string").alias("account_hint"),
+        F.when((m == "beta") & (F.col("n_chars") % 2 == 1), "Declinada").otherwise("Aprobada").alias("status"),
+    )
