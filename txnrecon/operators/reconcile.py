@@ -20,6 +20,7 @@ from txnrecon.functions.keys import STATEMENT_PREFIX, prefixed
 from txnrecon.operators.ordered import ordinal
 from txnrecon.operators.params import ReconcileParams
 from txnrecon.operators.similarity import bucket_of, buckets_near, canonical, similar_names
+from txnrecon.stage import materialize
 
 SCOPE = ("account_id",)
 
@@ -55,6 +56,8 @@ def candidate_cells(
         .distinct()
         .withColumn("_bucket", F.explode(buckets_near(F.col("auth_date"), days)))
     )
+    # Both sides feed the measuring, the blocks and the join back.
+    c_cells = materialize(c_cells)
     j_cells = (
         journals.groupBy(*scope, "currency", "txn_date", "canon")
         .agg(
@@ -64,6 +67,7 @@ def candidate_cells(
         )
         .withColumn("_bucket", bucket_of(F.col("txn_date"), days))
     )
+    j_cells = materialize(j_cells)
     keys = [*scope, "currency", "_bucket"]
     pairs = similar_names(
         c_cells.select(*keys, F.col("canon").alias("name")),

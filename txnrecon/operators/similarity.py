@@ -59,9 +59,17 @@ def jaro_winkler(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1.0 - jaro), jaro)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(jaro_winkler(left, right))
+def _jaro_winkler_batch(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Scores of a batch; a pair that repeats within it is scored once."""
+    pairs = pd.DataFrame({"a": left, "b": right})
+    number = pairs.groupby(["a", "b"], sort=False, dropna=False).ngroup().to_numpy()
+    first = np.unique(number, return_index=True)[1]
+    return pd.Series(jaro_winkler(left.iloc[first], right.iloc[first])[number])
+
+
+# Marked non-deterministic so that a filter on the score is not pushed below the
+# projection, where it would compute the score a second time.
+jaro_winkler_udf = F.pandas_udf(_jaro_winkler_batch, T.DoubleType()).asNondeterministic()
 
 
 def canonical(df: DataFrame, merchant: str, aliases: DataFrame | None, out: str) -> DataFrame:
@@ -162,8 +170,7 @@ def similar_names(
     ``left`` and ``right`` hold (keys, name). Names are made distinct first, so equal
     rows cost nothing. A key with many names is measured and cut into a grid of blocks
     of bounded size; every pair of names still meets in exactly one block. Pairs that
-    cannot reach the threshold are dropped inside the join, and each pair of names is
-    scored once however many keys it occurs under.
+    cannot reach the threshold are dropped inside the join.
 
     Returns keys, name_a, name_b, score.
     """
@@ -189,7 +196,10 @@ def similar_names(
     for k in [*keys, "_r", "_c"]:
         same_block = same_block & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     met = lb.join(rb, same_block & _may_reach(threshold)).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.name").alias("name_a"), F.col("r.name").alias("name_b")
+        *[F.col(f"l.{k}").alias(k) for k in keys],
+        F.col("l.name").alias("name_a"),
+        F.col("r.name").alias("name_b"),
+        token_containment(F.col("l.toks"), F.col("r.toks")).alias("_shared"),
     )
-    scored = score_pairs(met).where(F.col("score") >= threshold)
-    return met.join(scored, ["name_a", "name_b"])
+    scored = met.withColumn("score", F.greatest(jaro_winkler_udf("name_a", "name_b"), "_shared")).drop("_shared")
+    return scored.where(F.col("score") >= threshold)

@@ -11,10 +11,11 @@ from txnrecon.functions import keys, numbers, status, text
 from txnrecon.operators import (
     dedup, extract, fx, ledger, monitor, reconcile, routing, score, similarity, statement, validate,
 )
-from txnrecon.plans import notifications, reading, session, statements, views
+from txnrecon.plans import notifications, reading, statements, views
 from txnrecon.sources import ledger as ledger_source
 from txnrecon.sources import mappings
 from txnrecon.sources import rates as rate_source
+from txnrecon.stage import materialize
 
 MAX_USD = Decimal("400000")
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -393,7 +394,7 @@ def merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _asked(spark: SparkSession, sf_dir: str):
     journals = views.journals(spark, sf_dir)
     # Intents are read several times over when claims are resolved.
-    return session.materialize(reconcile.intents(views.charges(spark, sf_dir), journals)), journals
+    return materialize(reconcile.intents(views.charges(spark, sf_dir), journals)), journals
 
 
 def recon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -660,10 +661,10 @@ def last_value_3h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sustained_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of at least three hours with more than five reviews in every half hour."""
-    per_step = monitor.review_rate(monitor.rates(views.outcomes(spark, sf_dir), "30 minutes"))
+    """Stretches of at least six hours with more than five reviews in every two hours."""
+    per_step = monitor.review_rate(monitor.rates(views.outcomes(spark, sf_dir), "2 hours"))
     hot = F.col("n") > monitor.REVIEW_RATE_LIMIT
-    return _ntz(monitor.sustained(per_step, hot, hold="3 hours", step="30 minutes"))
+    return _ntz(monitor.sustained(per_step, hot, hold="6 hours", step="2 hours"))
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrecon.operators import dedup, extract, fx, ledger, routing, router, validate
-from txnrecon.plans.session import materialize
+from txnrecon.stage import materialize
 
 
 def decide_records(

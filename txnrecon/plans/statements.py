@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrecon.operators import ledger, reconcile, routing, statement, validate
 from txnrecon.operators.params import ReconcileParams
-from txnrecon.plans.session import materialize
+from txnrecon.stage import materialize
 
 SCOPE = ("stmt_id", "section_no")
 
