@@ -785,3 +785,206 @@ ORACLE["kv_map"] = """
            arg_max(c_name, c_custkey) AS value
     FROM customer GROUP BY c_mktsegment, c_nationkey, c_custkey % 100
 """
+
+# --- statements: folds over the turns of a conversation ---------------------------------
+
+CTE["turns"] = """
+    SELECT conv_id, turn, role, text, DATE '1996-01-15' + CAST(conv_id % 900 AS INTEGER) AS cut,
+           CAST(length(text) AS DECIMAL(18,2)) + 1000.25 AS money,
+           role = 'user' AS is_txn, role = 'assistant' AND turn % 4 = 3 AS closes,
+           coalesce(sum(CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 1 ELSE 0 END)
+             OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed
+    FROM conversations"""
+
+# A section opens where the printed currency changes; the title after turn t is set by
+# the number of fourth turns up to t.
+CTE["opens"] = """
+    SELECT conv_id, -1 AS turn, CASE WHEN conv_id % 2 = 0 THEN 'DOP' ELSE 'USD' END AS currency,
+           CAST(conv_id * 10 AS DECIMAL(18,2)) AS anterior
+    FROM (SELECT DISTINCT conv_id FROM turns WHERE turn = 0)
+    UNION ALL
+    SELECT conv_id, turn, CASE WHEN (conv_id + (turn + 1) // 4) % 2 = 0 THEN 'DOP' ELSE 'USD' END, CAST(turn * 100 AS DECIMAL(18,2))
+    FROM turns WHERE closes"""
+_NEEDS["opens"] = ["turns"]
+
+CTE["sections"] = """
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS section_no,
+           lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS until
+    FROM (SELECT *, lag(currency) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM opens)
+    WHERE before IS NULL OR before <> currency"""
+_NEEDS["sections"] = ["opens"]
+
+CTE["txns"] = """
+    SELECT t.*, row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS txn_no, s.section_no, s.currency,
+           lead(t.turn) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS next_txn
+    FROM turns t JOIN sections s ON s.conv_id = t.conv_id AND t.turn > s.turn AND (s.until IS NULL OR t.turn < s.until)
+    WHERE t.is_txn"""
+_NEEDS["txns"] = ["sections"]
+
+ORACLE["statement_fold"] = with_views(
+    "txns",
+    f"""
+    WITH follow AS (
+      SELECT x.conv_id, x.txn_no, min(a.turn) AS turn FROM txns x
+      JOIN turns a ON a.conv_id = x.conv_id AND a.role = 'assistant' AND a.turn > x.turn AND (x.next_txn IS NULL OR a.turn < x.next_txn)
+      GROUP BY ALL
+    )
+    SELECT x.conv_id AS stmt_id, x.txn_no, x.section_no, x.currency,
+           x.cut - CAST(x.turn * 7 AS INTEGER) AS posting_date, x.cut - CAST(x.turn * 7 AS INTEGER) AS auth_date,
+           lpad(CAST(x.conv_id * 1000 + x.turn AS VARCHAR), 12, '0') AS reference,
+           md5(trim(regexp_replace(x.text, '[[:space:]\\x{{00A0}}]+', ' ', 'g'))) AS merchant_md5,
+           CAST(x.money AS DECIMAL(18,4)) AS amount, CASE WHEN x.turn % 4 = 2 THEN 'in' ELSE 'out' END AS direction,
+           lpad(CAST(length(a.text) % 10000 AS VARCHAR), 4, '0') AS mcc, lpad(CAST(a.turn AS VARCHAR), 6, '0') AS auth_code
+    FROM txns x LEFT JOIN follow f USING (conv_id, txn_no) LEFT JOIN turns a ON a.conv_id = f.conv_id AND a.turn = f.turn
+    """,
+)
+
+CTE["balances"] = """
+    SELECT s.conv_id AS stmt_id, s.section_no, s.currency, lpad(CAST(s.conv_id % 10000 AS VARCHAR), 4, '0') AS last4,
+           DATE '1996-01-15' + CAST(s.conv_id % 900 AS INTEGER) AS cut_date, CAST(s.anterior AS DECIMAL(18,4)) AS balance_anterior,
+           CAST(b.total AS DECIMAL(18,4)) AS balance_total,
+           CAST(abs(s.anterior + coalesce(m.moved, 0) - b.total) AS DECIMAL(24,4)) AS delta
+    FROM sections s
+    LEFT JOIN (SELECT s.conv_id, s.section_no, arg_max(CAST(length(t.text) AS DECIMAL(18,2)), t.turn) AS total
+               FROM sections s JOIN turns t ON t.conv_id = s.conv_id AND t.closes AND t.turn > s.turn AND (s.until IS NULL OR t.turn <= s.until)
+               GROUP BY ALL) b USING (conv_id, section_no)
+    LEFT JOIN (SELECT conv_id, section_no, sum(CASE WHEN turn % 4 = 2 THEN -money ELSE money END) AS moved FROM txns GROUP BY ALL) m
+      USING (conv_id, section_no)"""
+_NEEDS["balances"] = ["txns"]
+
+ORACLE["balance_check"] = with_views(
+    "balances",
+    "SELECT *, delta IS NOT NULL AS balance_checked, coalesce(delta > 0.01, false) AS balance_mismatch FROM balances",
+)
+
+ORACLE["row_grouping"] = """
+    WITH RECURSIVE runs AS (
+      SELECT l_suppkey AS stmt_id, l_linenumber AS page, l_orderkey * 1000000 + l_partkey AS run_no, l_quantity AS x,
+             CAST(700.0 AS DOUBLE) - dayofyear(l_shipdate) * CAST(1.3 AS DOUBLE) AS y, 'p' || l_partkey AS text
+      FROM lineitem
+    ), heights AS (SELECT DISTINCT stmt_id, page, y FROM runs),
+    anchors AS (
+      SELECT stmt_id, page, 1 AS row_no, max(y) AS y FROM heights GROUP BY stmt_id, page
+      UNION ALL
+      SELECT a.stmt_id, a.page, a.row_no + 1, (SELECT max(h.y) FROM heights h WHERE h.stmt_id = a.stmt_id AND h.page = a.page AND a.y - h.y > 2.5)
+      FROM anchors a WHERE a.y IS NOT NULL
+    ), spans AS (
+      SELECT *, lead(y) OVER (PARTITION BY stmt_id, page ORDER BY row_no) AS below FROM anchors WHERE y IS NOT NULL
+    )
+    SELECT s.stmt_id, s.page, s.row_no, round(s.y, 6) AS y, CAST(count(*) AS INTEGER) AS n_cells,
+           md5(string_agg(r.text, ' ' ORDER BY r.y DESC, r.x, r.run_no)) AS text_md5
+    FROM spans s JOIN runs r ON r.stmt_id = s.stmt_id AND r.page = s.page AND r.y <= s.y AND (s.below IS NULL OR r.y > s.below)
+    GROUP BY s.stmt_id, s.page, s.row_no, s.y
+"""
+
+# --- scoring ---------------------------------------------------------------------------
+
+CTE["field_scores"] = """
+    SELECT * FROM (
+      WITH e AS (
+        SELECT l.doc_id AS example, quality, toxic, lang, n_chars,
+               trim(regexp_replace(text, '[[:space:]\\x{00A0}]+', ' ', 'g')) <> '' AS named, model
+        FROM labels l JOIN documents USING (doc_id), (VALUES ('alpha'), ('beta'), ('gamma')) m(model)
+      ), s AS (
+        SELECT *, quality = 1 AS real, quality = 1 OR model = 'gamma' AS answered FROM e
+      )
+      SELECT model, example, unnest([
+          {'field': 'kind', 'score': CASE WHEN real = answered THEN 'correct' ELSE 'wrong' END},
+          {'field': 'amount', 'score': CASE WHEN NOT real THEN 'na' WHEN model = 'beta' AND toxic = 1 THEN 'wrong' ELSE 'correct' END},
+          {'field': 'currency', 'score': CASE WHEN NOT real THEN 'na' ELSE 'correct' END},
+          {'field': 'direction', 'score': CASE WHEN NOT real THEN 'na' ELSE 'correct' END},
+          {'field': 'date', 'score': CASE WHEN NOT real THEN 'na' WHEN model = 'gamma' THEN 'wrong' ELSE 'correct' END},
+          {'field': 'merchant', 'score': CASE WHEN NOT real THEN 'na' ELSE 'correct' END},
+          {'field': 'status', 'score': CASE WHEN NOT real THEN 'na' WHEN model = 'beta' AND n_chars % 2 = 1 THEN 'wrong' ELSE 'correct' END},
+          {'field': 'account', 'score': CASE WHEN NOT real OR toxic = 1 THEN 'na' ELSE 'correct' END}], recursive := true)
+      FROM s)"""
+
+ORACLE["field_scores"] = with_views("field_scores", "SELECT model, example, field, score FROM field_scores")
+
+ORACLE["accuracy_matrix"] = with_views(
+    "field_scores",
+    """
+    WITH t AS (
+      SELECT model, coalesce(field, 'overall') AS field, count(*) FILTER (score = 'correct') AS c, count(*) FILTER (score <> 'na') AS n
+      FROM field_scores GROUP BY GROUPING SETS ((model, field), (model))
+    ), a AS (SELECT model, field, CASE WHEN n > 0 THEN round(c / n, 9) END AS acc FROM t)
+    SELECT model, max(acc) FILTER (field = 'kind') AS kind, max(acc) FILTER (field = 'amount') AS amount,
+           max(acc) FILTER (field = 'currency') AS currency, max(acc) FILTER (field = 'direction') AS direction,
+           max(acc) FILTER (field = 'date') AS date, max(acc) FILTER (field = 'merchant') AS merchant,
+           max(acc) FILTER (field = 'status') AS status, max(acc) FILTER (field = 'account') AS account,
+           max(acc) FILTER (field = 'overall') AS overall
+    FROM a GROUP BY model
+    """,
+)
+
+# --- monitoring ------------------------------------------------------------------------
+
+CTE["outcomes"] = """
+    SELECT ts, event_id, CAST(event_id AS VARCHAR) AS msg_id,
+           ['paypal', 'paypal_payment', 'banco_popular', 'unknown'][user_id % 4 + 1] AS source,
+           CASE event_type WHEN 'purchase' THEN 'booked' WHEN 'click' THEN 'duplicate' WHEN 'view' THEN 'skipped'
+                WHEN 'signup' THEN 'deferred' ELSE 'review' END AS disposition, value
+    FROM events"""
+
+ORACLE["outcome_events"] = with_views(
+    "outcomes",
+    """
+    SELECT ts, msg_id, source, disposition, CASE WHEN disposition = 'review' THEN
+             ['not_a_forward', 'no_adapter', 'double_book', 'over_ceiling', 'currency_mismatch', 'no_account', 'extraction',
+              'extraction', 'other', 'over_ceiling'][event_id % 10 + 1] END AS review_reason_category
+    FROM outcomes
+    """,
+)
+
+ORACLE["outcome_rate_5m"] = with_views(
+    "outcomes",
+    "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, source, disposition, count(*) AS n FROM outcomes GROUP BY ALL",
+)
+
+ORACLE["review_1h"] = with_views(
+    "outcomes",
+    """
+    WITH r AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS t0 FROM outcomes WHERE disposition = 'review'),
+    w AS (SELECT t0 - to_minutes(CAST(5 * k AS INTEGER)) AS window_start FROM r, range(12) t(k))
+    SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM w GROUP BY ALL
+    """,
+)
+
+ORACLE["last_value_3h"] = with_views(
+    "outcomes",
+    """
+    SELECT time_bucket(INTERVAL 5 MINUTE, ts) + to_minutes(CAST(5 * k AS INTEGER)) AS window_end, source,
+           arg_max(value, (ts, event_id)) AS value
+    FROM outcomes, range(1, 37) t(k) GROUP BY ALL
+    """,
+)
+
+ORACLE["sustained_alert"] = with_views(
+    "outcomes",
+    """
+    WITH s AS (
+      SELECT time_bucket(INTERVAL 2 HOUR, ts) AS t0 FROM outcomes GROUP BY t0 HAVING count(*) FILTER (disposition = 'review') > 5
+    ), g AS (SELECT t0, t0 - to_hours(CAST(2 * row_number() OVER (ORDER BY t0) AS INTEGER)) AS island FROM s),
+    r AS (SELECT min(t0) AS started, max(t0) + INTERVAL 2 HOUR AS ended, count(*) AS steps FROM g GROUP BY island)
+    SELECT started, ended, steps, started + INTERVAL 6 HOUR AS fires_at FROM r WHERE ended >= started + INTERVAL 6 HOUR
+    """,
+)
+
+ORACLE["run_summary"] = with_views(
+    "outcomes balances",
+    """
+    WITH s AS (
+      SELECT count(DISTINCT conv_id) AS statements, count(*) FILTER (role = 'user') AS booked,
+             count(*) FILTER (role = 'assistant') AS duplicates, count(*) FILTER (role NOT IN ('user', 'assistant')) AS review
+      FROM conversations
+    ), m AS (
+      SELECT count(*) AS n, count(*) FILTER (disposition = 'booked') AS booked, count(*) FILTER (disposition = 'duplicate') AS duplicates,
+             count(*) FILTER (disposition = 'review') AS review, count(*) FILTER (disposition = 'skipped') AS skipped,
+             count(*) FILTER (disposition = 'deferred') AS deferred FROM outcomes
+    )
+    SELECT n + statements AS processed, m.booked + s.booked AS booked, m.duplicates + s.duplicates AS duplicates,
+           m.review + s.review AS review, skipped, statements, 0 AS corrected, deferred,
+           (SELECT count(*) FILTER (delta > 0.01) FROM balances) AS balance_mismatch
+    FROM s, m
+    """,
+)
