@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrecon.functions.text import canon_merchant, token_containment, tokens
+from txnrecon.functions.text import canon_merchant, let, token_containment, tokens
 
 # Names of one block on either side; a block is what a single task compares.
 LEFT_CHUNK = 2048
@@ -120,14 +120,18 @@ def score_pairs(pairs: DataFrame, a: str = "name_a", b: str = "name_b") -> DataF
 
 def _features(names: DataFrame) -> DataFrame:
     """Length, numbered characters and tokens of a name: what the bound below reads."""
-    chars = F.filter(F.split("name", ""), lambda ch: ch != "")
-    numbered = F.transform(
-        chars,
-        lambda ch, i: F.concat(
-            ch, F.size(F.filter(F.slice(chars, 1, i + 1), lambda other: other == ch)).cast("string")
-        ),
+    chars = F.array_sort(F.filter(F.split("name", ""), lambda ch: ch != ""))
+
+    def numbered(in_order: Column) -> Column:
+        """The k-th use of a character becomes a number of its own."""
+        return F.transform(
+            in_order,
+            lambda ch, i: F.ascii(ch).cast("bigint") * 65536 + i - F.array_position(in_order, ch),
+        )
+
+    return names.select(
+        "*", F.length("name").alias("len"), let(chars, numbered).alias("bag"), tokens("name").alias("toks")
     )
-    return names.select("*", F.length("name").alias("len"), numbered.alias("bag"), tokens("name").alias("toks"))
 
 
 def _may_reach(threshold: float) -> Column:
