@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnrecon.functions.text import html_to_text, nonblank
 
@@ -39,7 +40,7 @@ def body_text(messages: DataFrame) -> DataFrame:
     known = messages.withColumn("text", text)
     easy = known.where(F.col("text").isNotNull() | F.col("raw").isNull())
     hard = known.where(F.col("text").isNull() & F.col("raw").isNotNull()).drop("text")
-    schema = hard.schema.add("decoded_text", "string").add("decoded_html", "string")
+    schema = T.StructType(list(hard.schema.fields)).add("decoded_text", "string").add("decoded_html", "string")
     decoded = hard.mapInPandas(_decode_raw, schema)
     decoded = decoded.withColumn("text", F.coalesce("decoded_text", html_to_text("decoded_html")))
     return easy.unionByName(decoded.drop("decoded_text", "decoded_html"))
