@@ -27,7 +27,7 @@ def test_running_equals_a_plain_scan(spark, width):
     want = set()
     for k in (1, 2):
         newest, n = None, 0
-        for _, o, v in sorted(r for r in rows if r[0] == k):
+        for _, o, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
             before = newest
             newest = v if v is not None else newest
             n += v is not None

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State of a stretch that has fired already.
+FIRED = -1
 ALERT_SCHEMA = "alert STRING, started TIMESTAMP, fires_at TIMESTAMP"
 
 
@@ -68,20 +70,18 @@ class Sustained(StatefulProcessor):
         fired = []
         for ts, firing in zip(seen["ts"], seen["firing"]):
             now = int(ts.value // 1_000_000)
-            if start is not None and start + self.hold_ms <= now:
+            if start is not None and start >= 0 and start + self.hold_ms <= now:
+                # Held long enough; the stretch stays quiet until it ends.
                 fired.append(start)
                 self._disarm(start)
-                start = None if not firing else start
-                if firing:
-                    # Still on: the stretch has fired and stays quiet until it ends.
-                    start = -1
-            if firing and start is None:
-                start = now
-                self.handle.registerTimer(now + self.hold_ms)
-            elif not firing:
+                start = FIRED
+            if not firing:
                 if start is not None and start >= 0:
                     self._disarm(start)
                 start = None
+            elif start is None:
+                start = now
+                self.handle.registerTimer(now + self.hold_ms)
         if start is None:
             self.since.clear()
         else:
@@ -93,7 +93,7 @@ class Sustained(StatefulProcessor):
         fired = []
         if start is not None and start >= 0 and start + self.hold_ms == expiredTimerInfo.getExpiryTimeInMs():
             fired.append(start)
-            self.since.update((-1,))
+            self.since.update((FIRED,))
         yield self._rows(key, fired)
 
     def close(self) -> None:
@@ -105,7 +105,7 @@ class Sustained(StatefulProcessor):
     def _rows(self, key: Any, starts: list[int]) -> pd.DataFrame:
         began = pd.to_datetime(pd.Series(starts, dtype="int64"), unit="ms")
         return pd.DataFrame(
-            {"alert": [key[0]] * len(starts), "started": began, "fires_at": began + pd.Timedelta(milliseconds=self.hold_ms)}
+            {"alert": pd.Series([key[0]] * len(starts), dtype="object"), "started": began, "fires_at": began + pd.Timedelta(milliseconds=self.hold_ms)}
         )
 
 
