@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrecon.functions.text import nonblank, utrim
+from txnrecon.functions.numbers import decimal_text
+from txnrecon.functions.text import let, nonblank, once, utrim
 
 
 def without_reasoning(col: Column) -> Column:
@@ -60,7 +61,7 @@ def salvage_answers(df, answer: str = "answer", out: str = "doc"):
     """Add the answer as VARIANT. Rows whose answer parses as it stands never reach
     Python: the two cases are separate branches, since a UDF inside a conditional
     would run for every row."""
-    parsed = df.withColumn(out, F.try_parse_json(utrim(answer)))
+    parsed = df.select("*", once(**{out: F.try_parse_json(utrim(answer))}))
     clean = parsed.where(F.col(out).isNotNull())
     residue = parsed.where(F.col(out).isNull())
     span = balanced_object(without_fence(without_reasoning(F.col(answer))))
@@ -69,38 +70,65 @@ def salvage_answers(df, answer: str = "answer", out: str = "doc"):
 
 def variant_kind(doc: Column) -> Column:
     """object / array / text / number / other, null for an absent value."""
-    schema = F.schema_of_variant(doc)
-    return (
-        F.when(doc.isNull(), F.lit(None))
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "text")
-        .when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-        .otherwise("other")
-    )
+
+    def named(schema: Column) -> Column:
+        return (
+            F.when(schema == "STRING", "text")
+            .when(schema.startswith("OBJECT"), "object")
+            .when(schema.startswith("ARRAY"), "array")
+            .when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+            .when(schema.isNotNull(), "other")
+        )
+
+    return let(F.schema_of_variant(doc), named)
 
 
 def member(doc: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(doc, f"$.{key}", kind)
 
 
+def text_of(doc: Column, key: str) -> Column:
+    """A *string* member as it is; other types count as absent."""
+    return let(
+        member(doc, key),
+        lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
+    )
+
+
 def text_field(doc: Column, key: str) -> Column:
-    """A present, non-blank *string* member, trimmed; other types count as absent."""
-    value = member(doc, key)
-    return F.when(variant_kind(value) == "text", nonblank(member(doc, key, "string")))
+    """A present, non-blank string member, trimmed."""
+    return nonblank(text_of(doc, key))
+
+
+def figure_of(doc: Column, key: str) -> Column:
+    """A string member trimmed, or a number member written out."""
+
+    def read(v: Column) -> Column:
+        return let(
+            variant_kind(v),
+            lambda kind: F.when(kind == "text", utrim(F.try_variant_get(v, "$", "string"))).when(
+                kind == "number", decimal_text(F.try_variant_get(v, "$", "decimal(38,10)"))
+            ),
+        )
+
+    return let(member(doc, key), read)
 
 
 def objects_of(doc: Column) -> Column:
     """Candidate records of an answer: a list, the list under ``transactions``, or the
     single object; anything else is empty."""
-    listed = member(doc, "transactions")
-    return (
-        F.when(variant_kind(doc) == "array", F.try_variant_get(doc, "$", "array<variant>"))
-        .when(
-            variant_kind(doc) == "object",
-            F.when(variant_kind(listed) == "array", member(doc, "transactions", "array<variant>")).otherwise(
-                F.array(doc)
-            ),
+
+    def inside() -> Column:
+        return let(
+            member(doc, "transactions"),
+            lambda listed: F.when(
+                variant_kind(listed) == "array", F.try_variant_get(listed, "$", "array<variant>")
+            ).otherwise(F.array(doc)),
         )
-        .otherwise(F.array().cast("array<variant>"))
+
+    return let(
+        variant_kind(doc),
+        lambda kind: F.when(kind == "array", F.try_variant_get(doc, "$", "array<variant>"))
+        .when(kind == "object", inside())
+        .otherwise(F.array().cast("array<variant>")),
     )

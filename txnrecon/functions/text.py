@@ -33,6 +33,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(**fields: Column) -> Column:
+    """Select-list generator that yields ``fields`` as columns, one row per input row.
+
+    A filter on them stays above the generator, so they are computed once per row; pushed
+    below a plain projection it would compute them again.
+    """
+    return F.inline(F.array(F.struct(*[value.alias(name) for name, value in fields.items()])))
+
+
 def ascii_lower(col: Column | str) -> Column:
     return F.translate(_c(col), UPPER, LOWER)
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrecon.functions import answers
-from txnrecon.functions.numbers import amount_gate, currency_gate, decimal_text
+from txnrecon.functions.numbers import amount_gate, currency_gate
 from txnrecon.functions.receipts import usd_transaction_total
-from txnrecon.functions.text import BLANK_LINE, HSPACE, ascii_lower, let, nonblank, utrim
+from txnrecon.functions.text import BLANK_LINE, HSPACE, ascii_lower, let, nonblank, once, utrim
 from txnrecon.operators import validate
 from txnrecon.sources.registry import SOURCES, Source, match_sender, per_source
 
@@ -40,7 +40,7 @@ def unwrap(messages: DataFrame) -> DataFrame:
     Without it the envelope sender is the original one.
     """
     parts = _unwrapped(F.coalesce("text", F.lit("")), F.col("from_hdr"))
-    return messages.select("*", parts.alias("_u")).select(messages.columns + [f"_u.{c}" for c in UNWRAPPED])
+    return messages.select("*", once(_u=parts)).select(messages.columns + [f"_u.{c}" for c in UNWRAPPED])
 
 
 UNWRAPPED = ["original_sender", "original_subject", "body"]
@@ -117,10 +117,8 @@ def dispatch(
         )
         return F.struct(*[u[c].alias(c) for c in UNWRAPPED], adapter.alias("adapter"), branch.alias("branch"))
 
-    # One expression from text to branch: a filter on the branch that is pushed below the
-    # projection then costs one more evaluation, not one per use.
     whole = let(_unwrapped(F.coalesce("text", F.lit("")), F.col("from_hdr")), decide)
-    sent = messages.select("*", whole.alias("_d"))
+    sent = messages.select("*", once(_d=whole))
     reason = F.when(
         F.col("_d.branch") == "review",
         F.when(F.col("_d.original_sender").isNull(), validate.NO_FORWARD).otherwise(validate.NO_SOURCE),
@@ -177,40 +175,50 @@ RECORD = (
 def _typed(obj: Column, sources: tuple[Source, ...]) -> Column:
     """One answer object as a typed record with its ``parse_error``."""
     wallet = per_source(sources, lambda s: F.lit(s.wallet_rules))
-
-    def kind(key: str) -> Column:
-        return answers.variant_kind(answers.member(obj, key))
-
-    def text(key: str) -> Column:
-        return F.when(kind(key) == "text", answers.member(obj, key, "string"))
-
-    raw_amount = F.when(kind("amount") == "number", decimal_text(answers.member(obj, "amount", "decimal(38,10)")))
-    raw_amount = F.coalesce(utrim(text("amount")), raw_amount)
-    amount = per_source(sources, lambda s: amount_gate(s.amount_text(raw_amount)))
-    currency = currency_gate(answers.text_field(obj, "currency"))
-    day = per_source(sources, lambda s: s.parse_date(text("date")))
-    merchant = answers.text_field(obj, "merchant")
-    own_id = F.when(wallet, answers.text_field(obj, "external_id"))
-    error = (
-        F.when(answers.variant_kind(obj) != "object", "expected a JSON object")
-        .when(amount.isNull(), "amount rejected")
-        .when(currency.isNull(), "missing or malformed code")
-        .when(day.isNull(), "unrecognised date")
-        .when(merchant.isNull(), "missing merchant")
-    )
-    return F.struct(
-        own_id.alias("external_id"),
-        amount.alias("amount"),
-        currency.alias("currency"),
-        F.when(wallet & (ascii_lower(utrim(text("direction"))) == "in"), "in").otherwise("out").alias("direction"),
-        day.alias("txn_date"),
-        merchant.alias("merchant"),
+    raw = F.struct(
+        (answers.variant_kind(obj) == "object").alias("is_object"),
+        answers.figure_of(obj, "amount").alias("amount"),
+        answers.text_of(obj, "date").alias("date"),
+        currency_gate(answers.text_field(obj, "currency")).alias("currency"),
+        ascii_lower(utrim(answers.text_of(obj, "direction"))).alias("direction"),
+        answers.text_field(obj, "merchant").alias("merchant"),
         answers.text_field(obj, "account_hint").alias("account_hint"),
-        F.coalesce(answers.text_field(obj, "status"), F.lit("")).alias("status"),
-        F.coalesce(answers.text_field(obj, "raw_ref"), own_id, F.lit("")).alias("raw_ref"),
-        error.alias("parse_error"),
+        answers.text_field(obj, "status").alias("status"),
+        answers.text_field(obj, "raw_ref").alias("raw_ref"),
+        F.when(wallet, answers.text_field(obj, "external_id")).alias("external_id"),
     )
 
+    def gated(r: Column) -> Column:
+        return F.struct(
+            r.alias("raw"),
+            per_source(sources, lambda s: amount_gate(s.amount_text(r["amount"]))).alias("amount"),
+            per_source(sources, lambda s: s.parse_date(r["date"])).alias("day"),
+        )
+
+    def finished(g: Column) -> Column:
+        r = g["raw"]
+        error = (
+            F.when(~F.coalesce(r["is_object"], F.lit(False)), "expected a JSON object")
+            .when(g["amount"].isNull(), "amount rejected")
+            .when(r["currency"].isNull(), "missing or malformed code")
+            .when(g["day"].isNull(), "unrecognised date")
+            .when(r["merchant"].isNull(), "missing merchant")
+        )
+        return F.struct(
+            r["external_id"].alias("external_id"),
+            g["amount"].alias("amount"),
+            r["currency"].alias("currency"),
+            F.when(wallet & (r["direction"] == "in"), "in").otherwise("out").alias("direction"),
+            g["day"].alias("txn_date"),
+            r["merchant"].alias("merchant"),
+            r["account_hint"].alias("account_hint"),
+            F.coalesce(r["status"], F.lit("")).alias("status"),
+            F.coalesce(r["raw_ref"], r["external_id"], F.lit("")).alias("raw_ref"),
+            error.alias("parse_error"),
+        )
+
+    return let(raw, lambda r: let(gated(r), finished))
+
 
 def records(answered: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
     """Typed records of model answers, one row per record.

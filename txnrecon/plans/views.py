@@ -23,7 +23,18 @@ UNIT_VALUES = {"USD": 1_000_000, "EUR": 1_080_000, "GBP": 1_270_000, "JPY": 6_70
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE else df
+
+
+# Tables whose rows are costly to work on.
+WIDE = {"orders", "lineitem", "documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table of few splits. A table of many splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
