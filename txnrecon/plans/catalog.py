@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from txnrecon.plans import notifications, reading, statements, views
 from txnrecon.sources import ledger as ledger_source
 from txnrecon.sources import mappings
 from txnrecon.sources import rates as rate_source
-from txnrecon.stage import materialize
+from txnrecon.stage import materialize, shared_folder
+from txnrecon.streaming import alerts, ingest
 
 MAX_USD = Decimal("400000")
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -679,6 +681,56 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.run_summary(views.outcomes(spark, sf_dir), statement.report(turns, balances))
 
 
+# --- streams -----------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A provided table as a stream that ends when it has been read."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def outcome_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome rates computed by the streaming plan; the newest count of a window is its count."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    events = views.outcome_columns(_stream(spark, sf_dir, "events"))
+    query = (
+        alerts.outcome_rates(events)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", f"{root}/_checkpoint")
+        .foreachBatch(lambda batch, epoch: ingest.write_epoch(batch, f"{root}/rates", epoch))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    counts = spark.read.parquet(f"{root}/rates").groupBy("window_start", "source", "disposition")
+    return _ntz(counts.agg(F.max("n").alias("n")))
+
+
+def book_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a message of its order's key, booked by the streaming ingest."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    line = _stream(spark, sf_dir, "lineitem")
+    message = line.select(
+        F.concat_ws("/", *LINE_KEY).alias("msg_id"),
+        F.col("l_partkey").alias("msg_seq"),
+        (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("rec_idx"),
+        F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("external_id"),
+        F.col("l_returnflag").alias("flag"),
+    )
+
+    def decide(messages: DataFrame) -> DataFrame:
+        outcome = F.when(F.col("flag") == "R", "review").otherwise("open")
+        reason = F.when(F.col("flag") == "R", "returned")
+        return messages.select(
+            "msg_id", "msg_seq", "rec_idx", "external_id", outcome.alias("outcome"), reason.alias("reason")
+        )
+
+    fields = "msg_id STRING, msg_seq BIGINT, rec_idx BIGINT, external_id STRING, flag STRING"
+    ingest.run(message, root, decide, fields).awaitTermination()
+    return spark.read.parquet(f"{root}/outcomes").select("msg_id", "external_id", "outcome", "reason")
+
+
 QUERIES = {
     "fx_asof_convert": fx_asof_convert,
     "amount_gate": amount_gate,
@@ -728,4 +780,6 @@ QUERIES = {
     "last_value_3h": last_value_3h,
     "sustained_alert": sustained_alert,
     "run_summary": run_summary,
+    "outcome_rate_stream": outcome_rate_stream,
+    "book_once_stream": book_once_stream,
 }
