@@ -1,13 +1,13 @@
 """Reading JSON out of free-form model answers.
 
-A well-formed answer is used as it is. Anything else is cleaned with expressions and
-only then handed to one Arrow UDF that finds the balanced object span.
+A well-formed answer is used as it is. Anything else is cleaned with expressions, and one
+Arrow UDF finds the balanced object span in what is left.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,20 +52,25 @@ def _span(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def balanced_object(texts: pd.Series) -> pd.Series:
+def _spans(texts: pd.Series) -> pd.Series:
     return texts.map(_span, na_action="ignore").astype("object")
 
 
-def salvage_answers(df, answer: str = "answer", out: str = "doc"):
-    """Add the answer as VARIANT. Rows whose answer parses as it stands never reach
-    Python: the two cases are separate branches, since a UDF inside a conditional
-    would run for every row."""
-    parsed = df.select("*", once(**{out: F.try_parse_json(utrim(answer))}))
-    clean = parsed.where(F.col(out).isNotNull())
-    residue = parsed.where(F.col(out).isNull())
-    span = balanced_object(without_fence(without_reasoning(F.col(answer))))
-    return clean.unionByName(residue.withColumn(out, F.try_parse_json(span)))
+# Marked non-deterministic so that no filter is pushed below it and computes it again.
+balanced_object = F.pandas_udf(_spans, T.StringType()).asNondeterministic()
+
+
+def salvage_answers(df: DataFrame, answer: str = "answer", out: str = "doc") -> DataFrame:
+    """Add the answer as VARIANT, in one pass over the rows.
+
+    A UDF inside a conditional would still run for every row; here it is handed null where
+    the answer parses as it stands, so only the residue is cleaned and scanned.
+    """
+    parsed = df.select("*", once(_whole=F.try_parse_json(utrim(answer))))
+    rest = F.when(F.col("_whole").isNull(), without_fence(without_reasoning(F.col(answer))))
+    scanned = parsed.withColumn("_span", balanced_object(rest))
+    found = F.coalesce("_whole", F.try_parse_json("_span"))
+    return scanned.select(*df.columns, once(**{out: found}))
 
 
 def variant_kind(doc: Column) -> Column:

@@ -511,8 +511,8 @@ def peso_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing pages, one per account and day, read back into journals; amounts are signed,
-    dates carry zones, foreign and untagged rows must not survive."""
+    """Listing pages of at most a hundred journals read back into journals; amounts are
+    signed, dates carry zones, and rows of other tags must not survive."""
     j = views.journals(spark, sf_dir)
     split = F.struct(
         F.col("journal_id").cast("string").alias("transaction_journal_id"),
@@ -528,7 +528,8 @@ def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.struct(
         F.col("journal_id").cast("string").alias("id"), F.struct(F.array(split).alias("transactions")).alias("attributes")
     )
-    pages = j.groupBy("account_id", "txn_date").agg(F.collect_list(group).alias("data"))
+    page_no = F.floor(F.col("journal_id") / 100).alias("page_no")
+    pages = j.groupBy("account_id", page_no).agg(F.collect_list(group).alias("data"))
     bodies = pages.select("account_id", F.to_json(F.struct("data")).alias("body"))
     return ledger_source.journals(ledger_source.splits(bodies), "txnrecon").select(
         "account_id", F.col("journal_id").cast("bigint").alias("journal_id"), "split_count", "txn_date", "amount",
@@ -560,15 +561,15 @@ def alias_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configuration text, one per segment and nation, read into dimension rows. A repeated
-    key keeps its last value."""
-    entry = F.concat(F.lit(" "), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" : "), "c_name")
+    """Configuration text, one per fifty customers, read into dimension rows. A repeated key
+    keeps its last value."""
+    entry = F.concat(F.lit(" "), F.lpad((F.col("c_custkey") % 30).cast("string"), 2, "0"), F.lit(" : "), "c_name")
     ordered = F.sort_array(F.collect_list(F.struct("c_custkey", entry.alias("e"))))
-    texts = views.table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(
+    fifty = F.floor(F.col("c_custkey") / 50).cast("string").alias("kind")
+    texts = views.table(spark, sf_dir, "customer").groupBy(fifty).agg(
         F.array_join(F.transform(ordered, lambda r: r["e"]), ",, ").alias("text")
     )
-    kinds = texts.select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("kind"), "text")
-    return mappings.parse(kinds)
+    return mappings.parse(texts)
 
 
 # --- statements ----------------------------------------------------------------------

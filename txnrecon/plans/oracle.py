@@ -781,9 +781,9 @@ ORACLE["alias_rules"] = """
 """
 
 ORACLE["kv_map"] = """
-    SELECT c_mktsegment || '/' || c_nationkey AS kind, lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS key,
+    SELECT CAST(c_custkey // 50 AS VARCHAR) AS kind, lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0') AS key,
            arg_max(c_name, c_custkey) AS value
-    FROM customer GROUP BY c_mktsegment, c_nationkey, c_custkey % 100
+    FROM customer GROUP BY c_custkey // 50, c_custkey % 30
 """
 
 # --- statements: folds over the turns of a conversation ---------------------------------
