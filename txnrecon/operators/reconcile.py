@@ -132,7 +132,8 @@ def intents(
     """
     p = params or ReconcileParams()
     on = list(scope)
-    exact = exact_matches(charges, journals, scope)
+    # Few rows, read for the charges twice and for the journals once.
+    exact = materialize(exact_matches(charges, journals, scope))
     taken = exact.select(*on, "journal_id", F.lit(False).alias("_free"))
     j = canonical(journals, "merchant", aliases, "canon").join(taken, [*on, "journal_id"], "left")
     j = j.withColumn("is_free", F.coalesce("_free", F.lit(True))).drop("_free")
