@@ -201,3 +201,21 @@ def test_sustained_alert_fires_once(spark, tmp_path):
     live = drain(alerts.sustained(stream_of(spark, tmp_path, frame), 30 * 60), "alerts_live")
     got = sorted((r.alert, r.started) for r in live.collect())
     assert got[0] == ("p", minutes(0)) and all(a == "p" for a, _ in got) and len(got) == len(set(got))
+
+
+def test_streaming_last_values(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [(minutes(1), "a", 1.0), (minutes(3), "a", 2.0), (minutes(62), "a", 5.0), (minutes(900), "a", 9.0)],
+        "ts timestamp, source string, v double",
+    )
+    live = drain(alerts.last_values(stream_of(spark, tmp_path, frame), "v", ["source"], "1 hour"), "last_live")
+    got = {r.window_end: r.v for r in live.collect()}
+    assert got[minutes(5)] == 2.0 and got[minutes(60)] == 2.0 and got[minutes(65)] == 5.0 and minutes(130) not in got
+
+
+def test_bounded_dedup(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [("k", minutes(0)), ("k", minutes(10)), ("z", minutes(5))], "external_id string, received_at timestamp"
+    )
+    live = drain(ingest.bounded_dedup(stream_of(spark, tmp_path, frame)), "dedup_live")
+    assert sorted(r.external_id for r in live.collect()) == ["k", "z"]

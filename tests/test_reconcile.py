@@ -51,10 +51,10 @@ def expected(charges, journals, aliases=()):
 
 
 SCENARIOS = {
-    "same amount": ([charge(1, "JR EAST", 10)], [journal(1, "JR EAST SIBUYAKU", 10)], {1: ("confirmed", 1)}),
-    "other amount": ([charge(1, "JR EAST", 10)], [journal(1, "jr east", "10.02")], {1: ("mismatch", 1)}),
-    "within tolerance": ([charge(1, "JR EAST", 10)], [journal(1, "jr east", "10.01")], {1: ("confirmed", 1)}),
-    "nothing near": ([charge(1, "JR EAST", 10)], [journal(1, "Zyzzyva", 10)], {1: ("book_new", None)}),
+    "same amount": ([charge(1, "METRO WEST", 10)], [journal(1, "METRO WEST CENTRAL", 10)], {1: ("confirmed", 1)}),
+    "other amount": ([charge(1, "METRO WEST", 10)], [journal(1, "metro west", "10.02")], {1: ("mismatch", 1)}),
+    "within tolerance": ([charge(1, "METRO WEST", 10)], [journal(1, "metro west", "10.01")], {1: ("confirmed", 1)}),
+    "nothing near": ([charge(1, "METRO WEST", 10)], [journal(1, "Zyzzyva", 10)], {1: ("book_new", None)}),
     "gray zone": ([charge(1, "martha", 10)], [journal(1, "marhtx qq", 10)], None),
     "two equal": ([charge(1, "Shop", 10)], [journal(1, "Shop", 10), journal(2, "Shop", 10)], {1: ("review", None)}),
     "prior booking": (
@@ -92,8 +92,8 @@ def test_scenarios(spark, name):
 
 
 def test_alias_bridges_disjoint_names(spark):
-    charges, journals = [charge(1, "DONACION X1", 10)], [journal(1, "Jompeame Foundation", 10)]
-    aliases = [("", "never"), ("donacion", "Jompeame Foundation"), ("don", "Other")]
+    charges, journals = [charge(1, "GIFT X1", 10)], [journal(1, "Harbour Relief Fund", 10)]
+    aliases = [("", "never"), ("gift", "Harbour Relief Fund"), ("gi", "Other")]
     assert run(spark, charges, journals)[0] == {1: ("book_new", None)}
     assert run(spark, charges, journals, aliases)[0] == {1: ("confirmed", 1)}
 
@@ -156,8 +156,8 @@ def test_jaro_winkler_matches_the_scalar_rule():
     b = ["".join(rng.choices("abcdé ", k=rng.randint(0, 15))) for _ in range(500)]
     got = similarity.jaro_winkler(pd.Series(a), pd.Series(b))
     assert np.allclose(got, [brute.jaro_winkler(x, y) for x, y in zip(a, b)])
-    known = similarity.jaro_winkler(pd.Series(["jr east", "", "a"]), pd.Series(["jr east sibuyaku", "", ""]))
-    assert known == pytest.approx([0.8875, 1.0, 0.0])
+    known = similarity.jaro_winkler(pd.Series(["martha", "", "a"]), pd.Series(["marhta", "", ""]))
+    assert known == pytest.approx([0.961111111, 1.0, 0.0])
 
 
 def test_double_book_probe(spark):
