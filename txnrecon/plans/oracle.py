@@ -992,7 +992,7 @@ ORACLE["run_summary"] = with_views(
 ORACLE["outcome_rate_stream"] = ORACLE["outcome_rate_5m"]
 
 ORACLE["book_once_stream"] = f"""
-    SELECT concat_ws('/', {_LINE_KEY}) AS msg_id, 'T' || l_orderkey AS external_id,
+    SELECT DISTINCT concat_ws('/', {_LINE_KEY}) AS msg_id, 'T' || l_orderkey AS external_id,
            CASE WHEN l_returnflag = 'R' THEN 'review'
                 WHEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R'
                                         ORDER BY l_partkey, l_suppkey * 10 + l_linenumber) = 1 THEN 'booked'
