@@ -3,16 +3,12 @@
 import io
 from contextlib import redirect_stdout
 
-import duckdb
 import pytest
 
 import __spark_entry__ as contract
 from tools import check
 from txnrecon.plans import catalog, oracle, views
 
-EAGER = {"message_disposition", "statement_report", "recon_outcomes", "recon_unmatched", "recon_candidates"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     return check.connect(sf)

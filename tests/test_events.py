@@ -7,7 +7,6 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from txnrecon import schema
 from txnrecon.operators import monitor, score
 from txnrecon.streaming import alerts, ingest
 

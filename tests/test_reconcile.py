@@ -7,7 +7,6 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from txnrecon import schema

@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.functions import keys, numbers, status, text
+from txnrecon.functions import numbers, status, text
 from txnrecon.operators import (
-    dedup, extract, fx, ledger, monitor, reconcile, routing, score, similarity, statement, validate,
+    dedup, extract, fx, ledger, monitor, reconcile, router, routing, score, similarity, statement, validate,
 )
 from txnrecon.plans import notifications, reading, statements, views
 from txnrecon.sources import ledger as ledger_source
@@ -81,7 +81,7 @@ STATUS_TEXTS = {
 }
 
 
-def _status_text() -> "F.Column":
+def _status_text() -> Column:
     mapping = F.create_map(*[F.lit(x) for pair in STATUS_TEXTS.items() for x in pair])
     return mapping[F.concat("prio", "status")]
 
@@ -167,7 +167,6 @@ def validate_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transfer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case = F.concat("prio", "status")
     transfers = order_records(spark, sf_dir).select(
         "o_orderkey", "amount", "currency",
         F.col("merchant").alias("description"),
@@ -190,13 +189,11 @@ def review_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.table(spark, sf_dir, "events")
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), (F.col("user_id") % len(REASONS) + 1).cast("int"))
     code = F.element_at(F.array(*[F.lit(c).cast("int") for c in HTTP_CODES]), (F.col("event_id") % len(HTTP_CODES) + 1).cast("int"))
-    from txnrecon.operators.router import http_failure
-
     return events.select(
         "event_id",
         validate.review_category(reason).alias("category"),
         validate.review_category(reason, split_incoming=True).alias("split_category"),
-        http_failure(code).alias("http_fate"),
+        router.http_failure(code).alias("http_fate"),
     )
 
 
