@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.llm import common, simhash
+from txnrecon.llm import common, mix, simhash, token_store
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +19,29 @@ def query(fn):
     return fn
 
 
+def public_tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; the package that has it is found where the query runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, placements = mix.mix(common.table(spark, sf_dir, "documents"))
+    return mix.taken_words(rows, placements)
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_folder(spark, "tokens")
+    docs = common.table(spark, sf_dir, "documents")
+    token_store.write(docs, path, public_tokenizer("byte_bpe_50k.json"), end_id=2)
+    stored = token_store.starts(token_store.digests(token_store.read(spark, path)))
+    return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
