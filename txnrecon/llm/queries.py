@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.llm import common, mix, simhash, token_store
+from txnrecon.llm import common, decontaminate, mix, simhash, token_store, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +45,55 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_store.write(docs, path, public_tokenizer("byte_bpe_50k.json"), end_id=2)
     stored = token_store.starts(token_store.digests(token_store.read(spark, path)))
     return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op5_decontaminate"] = """
+WITH patterns AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS p,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), p) AS w FROM documents, patterns),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), up, low), p) AS w FROM benchmark, patterns),
+sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, m, w[s : s + m - 1] AS x
+    FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM sized)),
+places AS (SELECT doc_id, m, s, w[s : s + m - 1] AS x
+    FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s
+          FROM d, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m)),
+met AS (SELECT p.doc_id, p.s, p.m, v.item_id FROM places p JOIN windows v ON p.m = v.m AND p.x = v.x),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit
+    FROM (SELECT doc_id, unnest(range(s, s + m)) AS spot FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.written(topk.integer_vectors(common.table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+ORACLE["op8_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
