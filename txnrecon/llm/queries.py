@@ -43,7 +43,8 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_folder(spark, "tokens")
     docs = common.table(spark, sf_dir, "documents")
     token_store.write(docs, path, public_tokenizer("byte_bpe_50k.json"), end_id=2)
-    stored = token_store.starts(token_store.digests(token_store.read(spark, path)))
+    store = token_store.read(spark, path)
+    stored = token_store.starts(token_store.digests(store), store)
     return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -33,7 +33,9 @@ SCHEMA = "shard int, doc_id long, position long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+#: Marks that never join the letters before them.
+MARKS = ".,!?;:"
 
 #: White space beside a space, or a space at an end: then a space does not simply part two words.
 _IRREGULAR = re.compile(r"\s |^ | (?:\s|$)")
@@ -57,33 +59,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.remembered, self.known = struct.pack("<I", end_id), remembered, {}
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update(
-            (w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, e.ids) for w, e in zip(words, found, strict=True))
-        )
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), 20_000):
+            found = self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)
+            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        return out
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        words = _BETWEEN.split(text) if _IRREGULAR.search(text) else text.split(" ")
-        return words[:1] + [" " + w for w in words[1:]]
+    def _learn(self, words: set[str]) -> None:
+        """Remember new words. Closing marks after a letter are a piece of their own, so a word
+        with them has the ids of the bare word and those of the marks."""
+        bare = {w: w.rstrip(MARKS) for w in words}
+        bare = {w: b if b and b[-1].isalpha() else w for w, b in bare.items()}
+        known = self.known
+        fresh = list(set(bare.values()).difference(known))
+        known.update(zip(fresh, self._ids([" " + w for w in fresh]), strict=True))
+        tails = {w: w[len(b) :] for w, b in bare.items() if w != b}
+        kinds = list(set(tails.values()))
+        ends = dict(zip(kinds, self._ids(kinds), strict=True))
+        known.update((w, known[bare[w]] + ends[tail]) for w, tail in tails.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id."""
-        parted = [self._words(t) if t else [] for t in texts]
+        parted = [_BETWEEN.split(t) if _IRREGULAR.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        heads = self._ids([words.pop(0) for words in parted])
         if len(self.known) > self.remembered:
             self.known = {}
-        known = self.known
-        fresh = set()
-        for words in parted:
-            fresh.update(words)
-        fresh = [w for w in fresh if w not in known]
-        for k in range(0, len(fresh), 20_000):
-            self._learn(fresh[k : k + 20_000])
-        out = []
-        for words in parted:
-            out.append(b"".join([*map(known.__getitem__, words), self.end]))
-        return out
+        self._learn(set().union(*parted).difference(self.known))
+        find = self.known.__getitem__
+        return [b"".join([head, *map(find, words), self.end]) for head, words in zip(heads, parted, strict=True)]
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -159,9 +163,10 @@ def counters(spark: SparkSession, path: str) -> DataFrame:
     return starts(read(spark, path).select("shard", "doc_id", "position", "n_tokens"))
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Add ``start``: a row's position in its file and the ids of all files before."""
-    files = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+def starts(rows: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """Add ``start``: a row's position in its file and the ids of all files before, which are
+    summed from ``store`` (the rows as read), so that what made ``rows`` isn't repeated."""
+    files = (rows if store is None else store).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     later = files.select(F.col("shard").alias("before"), "n")
     # One row per file: pair files with earlier ones by sums over blocks of files.
     block = 1 << 10
