@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.llm import common, decontaminate, mix, simhash, token_store, topk
+from txnrecon.llm import common, decontaminate, language, mix, quality, simhash, token_store, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,21 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_mod("doc_id", 4) == 2
+    models = language.fit(docs, ~held_out)
+    found = language.identify(docs, models, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = common.crc_mod("doc_id", 5) == 0
+    model = quality.fit(docs, labels, ~held_out)
+    found = quality.score(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
