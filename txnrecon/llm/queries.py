@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.llm import common, decontaminate, language, mix, quality, simhash, token_store, topk
+from txnrecon.llm import common, decontaminate, interpolate, language, mix, quality, simhash, token_store, topk, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +116,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels, ~held_out)
     found = quality.score(docs, model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = common.crc_mod("doc_id", 4) == 2
+    net = toxicity.fit(docs, labels, ~held_out)
+    found = toxicity.score(docs, net, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return interpolate.score(docs, common.crc_mod("doc_id", 5) != 1)

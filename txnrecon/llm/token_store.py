@@ -37,8 +37,7 @@ REMEMBERED = 1_200_000
 #: Marks that never join the letters before them.
 MARKS = ".,!?;:"
 
-#: White space beside a space, or a space at an end: then a space does not simply part two words.
-_IRREGULAR = re.compile(r"\s |^ | (?:\s|$)")
+#: A space that simply parts two words.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -81,7 +80,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id."""
-        parted = [_BETWEEN.split(t) if _IRREGULAR.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        texts = [t or "" for t in texts]
+        parted = [t.split(" ") for t in texts]
+        # White space beside a space leaves empty parts or white space at a part's end; such parts
+        # are never remembered, and their texts are parted anew.
+        new = set().union(*parted).difference(self.known)
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        if odd:
+            parted = [p if odd.isdisjoint(p) else _BETWEEN.split(t) for p, t in zip(parted, texts, strict=True)]
         heads = self._ids([words.pop(0) for words in parted])
         if len(self.known) > self.remembered:
             self.known = {}
