@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.llm import common, decontaminate, interpolate, language, mix, quality, simhash, token_store, topk, toxicity
+from txnrecon.llm import common, decontaminate, interpolate, language, mix, quality, simhash, token_store, topk, toxicity, viterbi
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken_words(rows, placements)
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnrecon.llm import common
 
@@ -277,19 +278,24 @@ def fit(
     return train([words_of(bytes(r["_text"])) for r in found], [r["_y"] for r in found])
 
 
-def score(docs: DataFrame, net: Network, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and score (0 to 1): the most toxic of all overlapping windows of the
-    whole text. A null, empty or blank text is one empty window; rows are scored each."""
+def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """row (all columns of ``docs``, whatever their names) and score (0 to 1): the most toxic of
+    all overlapping windows of the whole text. A null, empty or blank text is one empty window;
+    rows that repeat one another are scored each."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 250):
                 part = batch.slice(k, 250)
-                found = shared.value.scores([words_of(t.as_py()) for t in part.columns[-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(found.astype(np.float64))], [*batch.schema.names[:-1], "score"]
-                )
+                found = shared.value.scores([words_of(t.as_py()) for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.float64))], ["row", "score"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in rows.dtypes[:-1]), "score double"]))
+
+def score(docs: DataFrame, net: Network, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and score."""
+    found = scored(docs.select(*keep, F.col(text).alias("_text")), net, "_text")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in keep], "score")
