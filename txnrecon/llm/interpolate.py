@@ -312,6 +312,8 @@ def score(
     mixed = weights(
         np.array([r["held"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.float64), types
     )
+    if not total:
+        mixed = np.tile([0.0, 0.0, 1.0], (CONTEXTS, 1))
     return aligned.mapInArrow(
         _scores(mixed, begun, total, types),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
