@@ -33,7 +33,7 @@ SCHEMA = "shard int, doc_id long, position long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 #: Marks that never join the letters before them.
 MARKS = ".,!?;:"
 
