@@ -206,7 +206,7 @@ def test_rate_bodies(spark):
         "from_ccy string, rate_date date, fetched_at timestamp, body string",
     )
     parsed = rate_source.parse_rates(bodies)
-    assert {r.to_ccy: r.rate for r in parsed.collect()} == {"EUR": Decimal("0.92"), "JPY": Decimal("156.123457")}
+    assert {r.to_ccy: r.rate for r in parsed.collect()} == {"EUR": Decimal("0.92"), "JPY": Decimal("156.123456789")}
     wanted = spark.createDataFrame([("USD", "EUR", DAY), ("USD", "DOP", DAY)], "from_ccy string, to_ccy string, rate_date date")
     assert {r.to_ccy: r.error is None for r in rate_source.wanted_rates(parsed, wanted).collect()} == {"EUR": True, "DOP": False}
 
@@ -242,3 +242,30 @@ def test_labelled_dataset(spark, tmp_path):
     (tmp_path / "02.txt").write_text("unpaired")
     (row,) = dataset.load(spark, str(tmp_path)).collect()
     assert (row.example, row.text, row.from_hdr, row.amount) == ("01.a", "line one\nline two", "<a@b>", "1.50")
+
+
+def test_small_rates_and_odd_decimals_lose_nothing(spark):
+    rows = [
+        ("16000000", "0.0000614275", 2, "982.84"),
+        ("1000000", "0.00072413", 2, "724.13"),
+        ("12.5", "3", 0, "38"),
+        ("1.2345", "0.333333333333", 3, "0.411"),
+        ("1.0001", "0.123456789012", 8, "0.12346913"),
+        ("1234567890123456.7891", "2.5", 4, "3086419725308641.9728"),
+    ]
+    frame = spark.createDataFrame(rows, "a string, r string, account_decimals int, want string").selectExpr(
+        "cast(a as decimal(20,4)) amount", "cast(r as decimal(28,12)) rate", "account_decimals", "want",
+        "'IDR' currency", "'USD' account_currency", "cast(null as string) defer_reason",
+    )
+    for r in fx.convert(frame).collect():
+        assert r.booked_amount == Decimal(r.want) and r.defer_reason is None
+    odd = fx.convert(frame.withColumn("account_decimals", F.lit(30))).collect()
+    assert all(r.booked_amount is None and r.defer_reason == "unsupported account decimals" for r in odd)
+
+
+def test_a_json_number_keeps_its_scale(spark):
+    from txnrecon.functions import answers, numbers
+
+    doc = F.parse_json(F.lit('{"a": 1.00000000001, "b": 1.50, "c": 12}'))
+    got = spark.range(1).select(*[numbers.amount_gate(answers.figure_of(doc, k)).cast("string").alias(k) for k in "abc"]).first()
+    assert (got.a, got.b, got.c) == (None, "1.5000", "12.0000")

@@ -106,13 +106,17 @@ def text_field(doc: Column, key: str) -> Column:
 
 
 def figure_of(doc: Column, key: str) -> Column:
-    """A string member trimmed, or a number member written out."""
+    """A string member trimmed, or a number member written out with all its places, so that a
+    gate sees the scale as sent; a number with an exponent stays as it is."""
+
+    def written(figure: Column) -> Column:
+        return F.when(figure.rlike("[eE]"), figure).otherwise(decimal_text(figure))
 
     def read(v: Column) -> Column:
         return let(
             variant_kind(v),
             lambda kind: F.when(kind == "text", utrim(F.try_variant_get(v, "$", "string"))).when(
-                kind == "number", decimal_text(F.try_variant_get(v, "$", "decimal(38,10)"))
+                kind == "number", written(F.try_variant_get(v, "$", "string"))
             ),
         )
 

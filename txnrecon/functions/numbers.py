@@ -1,4 +1,4 @@
-"""Decimal scalars. Amounts are DECIMAL(18,4); nothing passes through a double."""
+"""Decimal scalars. Amounts are DECIMAL(20,4), rates keep 12 places; nothing passes through a double."""
 
 from __future__ import annotations
 
@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 from txnrecon.functions.text import _c, extract, strip_thousands_commas, utrim
 
-AMOUNT = "decimal(18,4)"  # times a decimal(18,6) rate this is still exact
-RATE = "decimal(18,6)"
+AMOUNT = "decimal(20,4)"
+RATE = "decimal(28,12)"
+#: A converted and rounded amount, at any account's number of places.
+MONEY = "decimal(36,12)"
+PLACES = tuple(range(13))
+
+
+def times(amount: Column, rate: Column) -> Column:
+    """Exact amount x rate, below 1e20: a product of both types at once would lose places."""
+    whole = F.floor(rate).cast("decimal(16,0)")
+    part = (rate.cast(RATE) - whole).cast("decimal(12,12)")
+    held = (amount.cast(AMOUNT) * whole).try_cast("decimal(24,4)")
+    return (held + (amount.cast(AMOUNT) * part).cast("decimal(33,16)")).cast("decimal(37,16)")
 
 
 def amount_gate(col: Column | str) -> Column:
@@ -61,11 +72,11 @@ def magnitude(col: Column | str) -> Column:
     return F.when(shaped, plain.try_cast(AMOUNT))
 
 
-def round_half_even(value: Column, decimals: Column, places: tuple[int, ...] = (0, 1, 2, 3, 4)) -> Column:
+def round_half_even(value: Column, decimals: Column, places: tuple[int, ...] = PLACES) -> Column:
     """Banker's rounding to a per-row number of places (``bround`` wants a literal one)."""
-    out = F.lit(None).cast("decimal(24,4)")
+    out = F.lit(None).cast(MONEY)
     for n in places:
-        out = F.when(decimals == n, F.bround(value, n).cast("decimal(24,4)")).otherwise(out)
+        out = F.when(decimals == n, F.bround(value, n).cast(MONEY)).otherwise(out)
     return out
 
 

@@ -167,7 +167,7 @@ def model(
 
 
 RECORD = (
-    "struct<external_id:string,amount:decimal(18,4),currency:string,direction:string,txn_date:date,"
+    "struct<external_id:string,amount:decimal(20,4),currency:string,direction:string,txn_date:date,"
     "merchant:string,account_hint:string,status:string,raw_ref:string,parse_error:string>"
 )
 

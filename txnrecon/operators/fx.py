@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrecon.functions.numbers import RATE, round_half_even
+from txnrecon.functions.numbers import MONEY, PLACES, RATE, round_half_even, times
 
 TTL_SECONDS = 15 * 60
 PESO = "DOP"
-DERIVED_RATE = "decimal(18,12)"
+DERIVED_RATE = RATE
 # Missing decimals of an account mean two places.
 DEFAULT_DECIMALS = 2
 
@@ -92,10 +92,16 @@ def convert(df: DataFrame) -> DataFrame:
     """Amount in the account currency, half-even at its decimals; the original becomes
     the foreign leg when the currencies differ."""
     same = F.upper("currency") == F.upper("account_currency")
-    converted = round_half_even(F.col("amount") * F.col("rate"), F.col("account_decimals"))
+    places = F.coalesce("account_decimals", F.lit(DEFAULT_DECIMALS))
+    converted = round_half_even(times(F.col("amount"), F.col("rate")), places)
+    reason = F.coalesce(
+        F.col("defer_reason") if "defer_reason" in df.columns else F.lit(None).cast("string"),
+        F.when(~same & F.col("amount").isNotNull() & F.col("rate").isNotNull() & ~places.isin(*PLACES), "unsupported account decimals"),
+    )
     return df.select(
-        "*",
-        F.when(same, F.col("amount").cast("decimal(24,4)")).otherwise(converted).alias("booked_amount"),
+        *[c for c in df.columns if c != "defer_reason"],
+        reason.alias("defer_reason"),
+        F.when(same, F.col("amount").cast(MONEY)).otherwise(converted).alias("booked_amount"),
         F.when(~same, F.col("amount")).alias("foreign_amount"),
         F.when(~same, F.col("currency")).alias("foreign_currency"),
     )

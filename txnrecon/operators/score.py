@@ -37,7 +37,7 @@ def project_records(records: DataFrame) -> DataFrame:
         "example",
         "rec_idx",
         F.lit(TRANSACTION).alias("kind"),
-        F.col("amount").cast("decimal(18,4)").alias("amount"),
+        F.col("amount").cast("decimal(20,4)").alias("amount"),
         F.upper(utrim("currency")).alias("currency"),
         "direction",
         F.col("txn_date").alias("date"),

@@ -36,7 +36,7 @@ def fx_asof_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "currency",
         "account_currency",
         "txn_date",
-        "rate",
+        F.col("rate").cast("decimal(18,6)").alias("rate"),
         F.col("booked_amount").cast("decimal(24,2)").alias("booked_amount"),
         F.col("foreign_amount").cast("decimal(18,2)").alias("foreign_amount"),
         "defer_reason",
@@ -490,7 +490,7 @@ def rates_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = rates.groupBy("from_ccy", "rate_date").agg(F.map_from_entries(F.sort_array(pairs)).alias("m"))
     body = F.concat(F.lit('{"amount":1.0,"rates":'), F.regexp_replace(F.to_json("m"), r'"([0-9.]+)"', "$1"), F.lit("}"))
     sent = bodies.select("from_ccy", "rate_date", F.current_timestamp().alias("fetched_at"), body.alias("body"))
-    return rate_source.parse_rates(sent).select("from_ccy", "to_ccy", "rate_date", "rate")
+    return rate_source.parse_rates(sent).select("from_ccy", "to_ccy", "rate_date", F.col("rate").cast("decimal(18,6)").alias("rate"))
 
 
 def peso_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,7 +504,8 @@ def peso_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('},{"descripcion":"EUR","compra":1,"venta":"'), F.col("eur").cast("string"),
         F.lit('"},{"descripcion":"GBP","compra":0,"venta":0}]}}'),
     )
-    return rate_source.parse_peso_table(day.select("rate_date", body.alias("body")))
+    parsed = rate_source.parse_peso_table(day.select("rate_date", body.alias("body")))
+    return parsed.withColumn("venta", F.col("venta").cast("decimal(18,6)"))
 
 
 def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,26 +6,26 @@ MESSAGES = (
     "received_at TIMESTAMP"
 )
 EXTRACTED = (
-    "msg_id STRING, rec_idx INT, source STRING, external_id STRING, amount DECIMAL(18,4), currency STRING, "
+    "msg_id STRING, rec_idx INT, source STRING, external_id STRING, amount DECIMAL(20,4), currency STRING, "
     "direction STRING, txn_date DATE, merchant STRING, account_hint STRING, status STRING, raw_ref STRING"
 )
 TRANSFERS = (
-    "msg_id STRING, amount DECIMAL(18,4), currency STRING, txn_date DATE, description STRING, external_id STRING, "
+    "msg_id STRING, amount DECIMAL(20,4), currency STRING, txn_date DATE, description STRING, external_id STRING, "
     "source_kind STRING, source_key STRING, dest_kind STRING, dest_key STRING"
 )
 TEXT_RUNS = "stmt_id BIGINT, page INT, run_no INT, x DOUBLE, y DOUBLE, text STRING"
 TEXT_ROWS = "stmt_id BIGINT, row_no BIGINT, y DOUBLE, cells ARRAY<STRUCT<x: DOUBLE, text: STRING>>"
 CHARGES = (
-    "account_id BIGINT, charge_id BIGINT, reference STRING, merchant STRING, amount DECIMAL(18,4), "
+    "account_id BIGINT, charge_id BIGINT, reference STRING, merchant STRING, amount DECIMAL(20,4), "
     "currency STRING, auth_date DATE"
 )
 JOURNALS = (
-    "account_id BIGINT, journal_id BIGINT, txn_date DATE, amount DECIMAL(18,4), currency STRING, "
+    "account_id BIGINT, journal_id BIGINT, txn_date DATE, amount DECIMAL(20,4), currency STRING, "
     "merchant STRING, external_id STRING"
 )
 ALIASES = "pos BIGINT, trigger STRING, canonical STRING"
-RATES = "from_ccy STRING, to_ccy STRING, rate_date DATE, rate DECIMAL(18,6), fetched_at TIMESTAMP"
-PESO_RATES = "currency STRING, venta DECIMAL(18,6)"
+RATES = "from_ccy STRING, to_ccy STRING, rate_date DATE, rate DECIMAL(28,12), fetched_at TIMESTAMP"
+PESO_RATES = "currency STRING, venta DECIMAL(28,12)"
 ACCOUNTS = "account_id BIGINT, currency STRING, decimals INT"
 DIMS = "kind STRING, key STRING, value STRING"
 OUTCOME_EVENTS = (
