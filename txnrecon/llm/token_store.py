@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SCHEMA = "shard int, doc_id long, position long, n_tokens long, ids array<int>"
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 900_000
+#: Words encoded in one piece, and bytes of text worked on at once.
+RUN, SLICE = 512, 4 << 20
 #: Marks that never join the letters before them.
 MARKS = ".,!?;:"
 
@@ -46,7 +49,7 @@ class Encoder:
 
     Such a tokenizer starts a new piece at a space between two characters that are not white
     space, so a text's ids are those of its words (each with its leading space) in a row.
-    Words are encoded once, many at a time, and remembered.
+    Words are encoded once, many in a row, and remembered.
     """
 
     def __init__(self, path: str, end_id: int, remembered: int = REMEMBERED):
@@ -57,43 +60,107 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.remembered, self.known = struct.pack("<I", end_id), remembered, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        # Bytes that an id stands for: a byte-level vocabulary writes each as one character.
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for piece, number in vocabulary.items():
+            self.width[number] = len(piece)
+        for number, added in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[number] = len(added.content.encode())
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a leading space. Runs of words are encoded in one piece and cut
+        where the bytes of a word end; a run that can't be cut there is encoded word by word."""
         out = []
-        for k in range(0, len(texts), 20_000):
-            found = self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)
-            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        runs = [words[k : k + RUN] for k in range(0, len(words), RUN)]
+        for run, ids in zip(runs, self._ids([" " + " ".join(run) for run in runs]), strict=True):
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in run), np.int64, len(run)))
+            reached = np.cumsum(self.width[ids])
+            cuts = np.searchsorted(reached, ends)
+            if len(reached) and cuts[-1] == len(reached) - 1 and np.array_equal(reached[cuts], ends):
+                blob, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+                out += [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            else:
+                out += [i.tobytes() for i in self._ids([" " + w for w in run])]
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Remember new words. Closing marks after a letter are a piece of their own, so a word
         with them has the ids of the bare word and those of the marks."""
-        bare = {w: w.rstrip(MARKS) for w in words}
-        bare = {w: b if b and b[-1].isalpha() else w for w, b in bare.items()}
         known = self.known
+        if len(known) > self.remembered:
+            known.clear()
+        bare = {w: w.rstrip(MARKS) for w in words if w not in known}
+        bare = {w: b if b and b[-1].isalpha() else w for w, b in bare.items()}
         fresh = list(set(bare.values()).difference(known))
-        known.update(zip(fresh, self._ids([" " + w for w in fresh]), strict=True))
+        known.update(zip(fresh, self._spaced(fresh), strict=True))
         tails = {w: w[len(b) :] for w, b in bare.items() if w != b}
         kinds = list(set(tails.values()))
-        ends = dict(zip(kinds, self._ids(kinds), strict=True))
+        ends = dict(zip(kinds, (i.tobytes() for i in self._ids(kinds)), strict=True))
         known.update((w, known[bare[w]] + ends[tail]) for w, tail in tails.items())
 
+    def _parted(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The texts cut at the spaces that part two words: distinct words, the number of each word
+        among them in text order, and the words of each text."""
+        parts = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        spelled, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # White space beside a space leaves empty parts or white space at a part's end: such texts
+        # are parted anew.
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in spelled], dtype=bool)
+        if not odd.any():
+            return spelled, index, counts
+        anew = np.zeros(len(texts), dtype=bool)
+        anew[np.repeat(np.arange(len(texts)), counts)[odd[index]]] = True
+        lists = [_BETWEEN.split(t) for t in texts.filter(pa.array(anew)).to_pylist()]
+        number = {w: k for k, w in enumerate(spelled)}
+        found = [number.setdefault(w, len(number)) for words in lists for w in words]
+        as_cut = index[np.repeat(~anew, counts)]
+        counts[anew] = [len(words) for words in lists]
+        index, again = np.empty(counts.sum(), dtype=np.int64), np.repeat(anew, counts)
+        index[again], index[~again] = found, as_cut
+        return list(number), index, counts
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by the end id, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        spelled, index, counts = self._parted(pc.fill_null(texts, ""))
+        first = np.cumsum(counts) - counts
+        heads = self._ids([spelled[k] for k in index[first].tolist()])
+        body = np.delete(index, first)
+        used = np.flatnonzero(np.bincount(body, minlength=len(spelled)))
+        words = [spelled[k] for k in used.tolist()]
+        self._learn(words)
+        # One entry for each distinct word, each head and the end; then the entries in text order.
+        entries = [*map(self.known.__getitem__, words), *(h.tobytes() for h in heads), self.end]
+        pool = np.frombuffer(b"".join(entries), dtype="<u4")
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        begin = np.cumsum(size) - size
+        entry = np.zeros(len(spelled), dtype=np.int64)
+        entry[used] = np.arange(len(used))
+        head_at = first + np.arange(len(counts))
+        last_at = head_at + counts
+        order = np.full(len(index) + len(counts), -1, dtype=np.int64)
+        order[head_at] = len(words) + np.arange(len(counts))
+        order[last_at] = len(entries) - 1
+        order[order < 0] = entry[body]
+        each = size[order]
+        ends = np.cumsum(each)
+        source = np.repeat(begin[order] - (ends - each), each)
+        source += np.arange(len(source))
+        return pool[source], np.diff(ends[last_at], prepend=0)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id."""
-        texts = [t or "" for t in texts]
-        parted = [t.split(" ") for t in texts]
-        # White space beside a space leaves empty parts or white space at a part's end; such parts
-        # are never remembered, and their texts are parted anew.
-        new = set().union(*parted).difference(self.known)
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        if odd:
-            parted = [p if odd.isdisjoint(p) else _BETWEEN.split(t) for p, t in zip(parted, texts, strict=True)]
-        heads = self._ids([words.pop(0) for words in parted])
-        if len(self.known) > self.remembered:
-            self.known = {}
-        self._learn(set().union(*parted).difference(self.known))
-        find = self.known.__getitem__
-        return [b"".join([head, *map(find, words), self.end]) for head, words in zip(heads, parted, strict=True)]
+        ids, sizes = self.flat(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -109,23 +176,24 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, position, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id)
         for batch in batches:
-            for k in range(0, batch.num_rows, 100):
-                part = batch.slice(k, 100)
-                blobs = encoder.encode(part.column(1).to_pylist())
-                sizes = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+            # Slices of some megabytes of text; a longer text is one of its own.
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                ids, sizes = encoder.flat(part.column(1))
                 ends = np.cumsum(sizes)
-                ids = np.frombuffer(b"".join(blobs), dtype="<i4")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(blobs), shard, dtype=np.int32)),
+                        pa.array(np.full(len(sizes), shard, dtype=np.int32)),
                         part.column(0),
                         pa.array(position + ends - sizes),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), ids),
+                        pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), ids.view("<i4")),
                     ],
                     ["shard", "doc_id", "position", "n_tokens", "ids"],
                 )
-                position += int(ends[-1])
+                position += int(sizes.sum())
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
