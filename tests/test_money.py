@@ -88,7 +88,7 @@ def test_ceiling_is_strict_and_missing_rates_defer(spark):
     )
     got = {r.i: (r.ceiling_reason, r.defer_reason) for r in validate.usd_ceiling(frame, table, Decimal(100)).collect()}
     assert got[1] == (None, None) and got[2] == (None, None) and got[4] == (None, "rate unavailable")
-    assert got[3][0] == "amount ≈ $100.02 (>100 USD) — routed to review"
+    assert got[3][0] == "worth USD 100.02, above 100: routed to review"
     assert validate.usd_ceiling(frame, table, None).where("ceiling_reason is not null").count() == 0
 
 
@@ -269,3 +269,24 @@ def test_a_json_number_keeps_its_scale(spark):
     doc = F.parse_json(F.lit('{"a": 1.00000000001, "b": 1.50, "c": 12}'))
     got = spark.range(1).select(*[numbers.amount_gate(answers.figure_of(doc, k)).cast("string").alias(k) for k in "abc"]).first()
     assert (got.a, got.b, got.c) == (None, "1.5000", "12.0000")
+
+
+def test_corrections_keep_each_mismatch(spark):
+    """Two statements that hit one journal stay two rows; a vanished journal, one without an id and
+    one of unknown splits are refused, not dropped."""
+    asks = spark.createDataFrame(
+        [(1, "j", Decimal(10), Decimal(11)), (2, "j", Decimal(10), Decimal(12)), (3, "gone", Decimal(10), Decimal(11)),
+         (4, None, Decimal(10), Decimal(11)), (5, "odd", Decimal(10), Decimal(11)), (6, "two", Decimal(10), Decimal(11))],
+        "stmt_id int, journal_id string, booked decimal(18,4), statement_amount decimal(18,4)",
+    )
+    held = spark.createDataFrame(
+        [("j", 1), ("odd", None), ("two", 2), ("two", 2)], "journal_id string, split_count int"
+    ).selectExpr(
+        "journal_id", "cast(10 as decimal(18,4)) AS amount", "array('t') AS tags",
+        "cast(null as decimal(18,4)) AS foreign_amount", "cast(null as string) AS foreign_currency", "split_count",
+    )
+    rows = ledger.corrections(asks, held, Decimal(25), ("stmt_id",)).collect()
+    assert len(rows) == 6
+    got = {r.stmt_id: r.decision for r in rows}
+    assert got[1] == got[2] == "corrected"
+    assert "not found" in got[3] and "no id" in got[4] and "unknown" in got[5] and "several" in got[6]

@@ -133,22 +133,34 @@ def correction_decision(current: Column, expected: Column, billed: Column, max_p
     )
 
 
-def corrections(mismatches: DataFrame, ledger: DataFrame, max_pct: Decimal) -> DataFrame:
+def corrections(
+    mismatches: DataFrame, ledger: DataFrame, max_pct: Decimal, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Decide each amount mismatch against a fresh ledger read.
 
-    ``mismatches``: journal_id, booked, statement_amount. ``ledger`` has one row per split
-    with a ``split_count``; groups of several splits are refused.
+    ``mismatches``: journal_id, booked, statement_amount and the columns named in ``keep``, which
+    tell apart mismatches of one journal. ``ledger`` has one row per split with a ``split_count``;
+    groups of several splits, or of an unknown number, are refused, and so are journals without an
+    id and those that the ledger no longer holds. Each mismatch gives one row.
     """
-    fresh = ledger.select(
-        "journal_id", F.col("amount").alias("current"), "tags", "foreign_amount", "foreign_currency", "split_count"
-    )
-    decision = F.when(F.col("split_count") != 1, "review: journal has several splits").otherwise(
-        correction_decision(F.col("current"), F.col("booked"), F.col("statement_amount"), max_pct)
+    fresh = ledger.groupBy("journal_id").agg(
+        F.min("amount").alias("current"), F.min("tags").alias("tags"), F.min("foreign_amount").alias("foreign_amount"),
+        F.min("foreign_currency").alias("foreign_currency"),
+        F.greatest(F.max(F.coalesce("split_count", F.lit(0))), F.count("*")).alias("split_count"),
+        F.min(F.coalesce("split_count", F.lit(0))).alias("_least"),
+    )
+    decision = (
+        F.when(F.col("journal_id").isNull(), "review: journal has no id")
+        .when(F.col("split_count").isNull(), "review: journal not found")
+        .when(F.col("_least") < 1, "review: number of splits unknown")
+        .when(F.col("split_count") != 1, "review: journal has several splits")
+        .otherwise(correction_decision(F.col("current"), F.col("booked"), F.col("statement_amount"), max_pct))
     )
     audit = F.array(F.concat(F.lit(CORRECTION_TAG), decimal_text("booked")))
-    decided = mismatches.join(fresh, "journal_id").withColumn("decision", decision)
+    decided = mismatches.join(fresh, "journal_id", "left").withColumn("decision", decision)
     applied = F.col("decision") == "corrected"
     return decided.select(
+        *keep,
         "journal_id",
         "booked",
         "statement_amount",

@@ -45,7 +45,7 @@ def accounts(records: DataFrame, dims: DataFrame) -> DataFrame:
     found = lookup(routed, dims, F.lit("account"), F.col("routed_account"), "account_id")
     return found.withColumn(
         "route_reason",
-        F.when(F.col("account_id").isNull(), F.concat(F.lit("no account configured for "), "routed_account")),
+        F.when(F.col("account_id").isNull(), F.concat(F.lit("no account is set for "), "routed_account")),
     )
 
 

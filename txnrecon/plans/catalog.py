@@ -133,10 +133,12 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win1252_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's Latin-1 bytes decoded as Windows-1252."""
+    """Every document decoded as Windows-1252, with letters and digits for the bytes 80 to 9F."""
     documents = views.table(spark, sf_dir, "documents")
     latin = F.regexp_replace("text", "[^\\x00-\\x7F\\u00A0-\\u00FF]", "?")
-    decoded = text.decode_windows_1252(F.encode(latin, "ISO-8859-1"))
+    high = "".join(chr(code) for code in range(0x80, 0xA0))
+    bytes_of = F.encode(F.translate(latin, "abcdefghijklmnopqrstuvwxyz012345", high), "ISO-8859-1")
+    decoded = text.decode_windows_1252(bytes_of)
     return documents.select("doc_id", F.md5(decoded).alias("decoded_md5"))
 
 
@@ -176,10 +178,9 @@ def transfer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REASONS = (
-    "not a recognisable forward", "No adapter for sender x@y", "charge appears already booked by a statement (1)",
-    "amount ≈ $5 (>1 USD) — routed to review", "unknown currency: XXX", "no account configured for x",
-    "adapter extracted no records", "no record booked", "merchant is empty",
-    "incoming (deposit/refund) transaction routed to review",
+    "This is NOT a recognisable forward", "there is no adapter here", "seen: already booked by a statement, 1",
+    "too much, so routed to review", "which currency?", "whose account?", "extracted no figures", "no record of it",
+    "unreadable", "an incoming (deposit/refund) sum, routed to review",
 )
 HTTP_CODES = (500, 503, 408, 429, 404, 422, None)
 
@@ -198,14 +199,14 @@ def review_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usd_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = order_records(spark, sf_dir).where("currency <> 'XXX'")
+    records = order_records(spark, sf_dir)
     checked = validate.usd_ceiling(records, views.rates(spark, sf_dir), MAX_USD)
     return checked.select("o_orderkey", "usd_equivalent", "ceiling_reason", "defer_reason")
 
 
 def dop_inverse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversion into and out of the peso at the bank's selling price."""
-    paid = order_records(spark, sf_dir).where("currency <> 'XXX'").withColumn(
+    paid = order_records(spark, sf_dir).withColumn(
         "to_ccy", F.when(F.col("currency") == "DOP", "USD").otherwise("DOP")
     )
     rated = fx.with_rate(
@@ -304,7 +305,7 @@ def model_json_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     obj = F.concat(
         F.lit('{"external_id": " E'), F.col("o_orderkey").cast("string"), F.lit('", "amount": "'), amount,
         F.lit('", "currency": "usd", "direction": "IN ", "date": "'), F.date_format("order_date", "MMM d, yyyy"),
-        F.lit('", "merchant": "Tasty } '), "p_name", F.lit('", "status": "Approved", "account_hint": 7}'),
+        F.lit('", "merchant": "Corner } '), "p_name", F.lit('", "status": "Approved", "account_hint": 7}'),
     )
     numeric = F.concat(
         F.lit('{"amount": '), amount, F.lit(', "currency": "EUR", "date": "'), F.date_format("order_date", "d/M/yyyy"),
@@ -378,11 +379,12 @@ def alias_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part's name against the label of the part seven keys on."""
+    """Each part's name against the label of the part seven keys on, the last against the first."""
     part = views.table(spark, sf_dir, "part")
+    parts = part.agg(F.count("*")).scalar()
     own = part.select("p_partkey", F.col("p_name").alias("name_a"))
     other = part.select(
-        (F.col("p_partkey") - 7).alias("p_partkey"),
+        F.pmod(F.col("p_partkey") - 7, parts).alias("p_partkey"),
         F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 25, F.lower("p_type"))).alias("name_b"),
     )
     pairs = own.join(other, "p_partkey")
@@ -458,7 +460,7 @@ def amount_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as the ledger takes it."""
-    records = order_records(spark, sf_dir).where("currency <> 'XXX'").withColumn(
+    records = order_records(spark, sf_dir).withColumn(
         "external_id", F.col("o_orderkey").cast("string")
     ).withColumn("mcc", F.lpad((F.col("account_id") % 10000).cast("string"), 4, "0"))
     codes = views.table(spark, sf_dir, "nation").select(

@@ -175,7 +175,9 @@ ORACLE["html_text"] = """
 """
 
 ORACLE["win1252_text"] = """
-    SELECT doc_id, md5(regexp_replace(text, '[^\\x00-\\x7F\\x{00A0}-\\x{00FF}]', '?', 'g')) AS decoded_md5 FROM documents
+    SELECT doc_id, md5(translate(regexp_replace(text, '[^\\x00-\\x7F\\x{00A0}-\\x{00FF}]', '?', 'g'),
+        'abcdefghijklmnopqrstuvwxyz012345', '€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ')) AS decoded_md5
+    FROM documents
 """
 
 CTE["order_records"] = f"""
@@ -198,11 +200,11 @@ ORACLE["validate_gates"] = with_views(
     "order_records",
     f"""
     WITH r AS (
-      SELECT *, CASE WHEN kase IN {_DECLINED} THEN 'status declined/rejected: ' || status
-                     WHEN kase NOT IN {_APPROVED} THEN 'status not clearly approved: ' || status
-                     WHEN direction = 'in' THEN 'incoming (deposit/refund) transaction routed to review'
-                     WHEN amount <= 0 THEN 'amount not positive: 0'
-                     WHEN currency = 'XXX' THEN 'unknown currency: XXX'
+      SELECT *, CASE WHEN kase IN {_DECLINED} THEN 'by its status declined: ' || status
+                     WHEN kase NOT IN {_APPROVED} THEN 'by its status not clearly approved: ' || status
+                     WHEN direction = 'in' THEN 'incoming (deposit/refund) money, routed to review'
+                     WHEN amount <= 0 THEN 'the amount is not positive: 0'
+                     WHEN currency = 'XXX' THEN 'unknown currency code: XXX'
                      WHEN merchant = ' ' THEN 'merchant is empty' END AS review_reason
       FROM order_records
     )
@@ -217,10 +219,10 @@ ORACLE["transfer_gates"] = with_views(
     "order_records",
     """
     WITH r AS (
-      SELECT o_orderkey, CASE WHEN kase = '3F' THEN 'transfer amount not positive: 0'
-                              WHEN kase = '4F' THEN 'unknown transfer currency: XXX'
-                              WHEN merchant = ' ' THEN 'transfer description is empty'
-                              WHEN status = '' THEN 'transfer external_id is empty' END AS review_reason
+      SELECT o_orderkey, CASE WHEN kase = '3F' THEN 'the transfer is of a not positive amount: 0'
+                              WHEN kase = '4F' THEN 'transfer in an unknown currency: XXX'
+                              WHEN merchant = ' ' THEN 'transfer without a description'
+                              WHEN status = '' THEN 'transfer without a key' END AS review_reason
       FROM order_records
     )
     SELECT o_orderkey, CASE WHEN review_reason IS NULL THEN 'booked' ELSE 'review' END AS verdict, review_reason FROM r
@@ -242,14 +244,14 @@ ORACLE["usd_ceiling"] = with_views(
     f"""
     WITH r AS (
       SELECT o.*, CASE WHEN currency = 'USD' THEN CAST(1 AS DECIMAL(18,6)) ELSE r.rate END AS rate
-      FROM (SELECT * FROM order_records WHERE currency <> 'XXX') o
+      FROM order_records o
       ASOF LEFT JOIN (SELECT * FROM rates WHERE to_ccy = 'USD') r
         ON o.currency = r.from_ccy AND o.txn_date >= r.rate_date
     )
     SELECT o_orderkey, CAST(round_even(amount * rate, 2) AS DECIMAL(24,2)) AS usd_equivalent,
            CASE WHEN amount * rate > 400000
-                THEN 'amount ≈ $' || {_trim_zeros("CAST(round_even(amount * rate, 2) AS DECIMAL(24,2))")}
-                     || ' (>400000 USD) — routed to review' END AS ceiling_reason,
+                THEN 'worth USD ' || {_trim_zeros("CAST(round_even(amount * rate, 2) AS DECIMAL(24,2))")}
+                     || ', above 400000: routed to review' END AS ceiling_reason,
            CASE WHEN rate IS NULL THEN 'rate unavailable' END AS defer_reason
     FROM r
     """,
@@ -264,7 +266,7 @@ ORACLE["dop_inverse_rate"] = with_views(
     """
     WITH r AS (
       SELECT o_orderkey, currency, CASE WHEN currency = 'DOP' THEN 'USD' ELSE 'DOP' END AS to_ccy
-      FROM order_records WHERE currency <> 'XXX'
+      FROM order_records
     )
     SELECT o_orderkey, r.currency, to_ccy,
            CAST(CASE WHEN r.currency = 'DOP' THEN round(1.0 / venta, 6) ELSE venta END AS DECIMAL(18,6)) AS rate
@@ -296,7 +298,7 @@ ORACLE["account_route"] = with_views(
       FROM order_records
     )
     SELECT o_orderkey, routed_account, d.value AS routed_id,
-           CASE WHEN d.value IS NULL THEN 'no account configured for ' || routed_account END AS route_reason
+           CASE WHEN d.value IS NULL THEN 'no account is set for ' || routed_account END AS route_reason
     FROM r LEFT JOIN dims d ON d.kind = 'account' AND d.key = routed_account
     """,
 )
@@ -476,7 +478,7 @@ ORACLE["model_json_normalise"] = with_views(
            CASE WHEN k = 'none' THEN 'USD' WHEN k IN ('obj', 'badamt') THEN 'USD' WHEN k = 'num' THEN 'EUR' WHEN k = 'grp' THEN 'DOP' END AS currency,
            CASE WHEN k = 'empty' THEN NULL WHEN k IN ('obj', 'badccy', 'badamt') THEN 'in' ELSE 'out' END AS direction,
            CASE WHEN k IN ('obj', 'num', 'grp', 'badccy', 'badamt') THEN order_date WHEN k = 'none' THEN DATE '2020-01-01' END AS txn_date,
-           CASE WHEN k IN ('obj', 'badccy', 'badamt') THEN 'Tasty } ' || p_name WHEN k IN ('num', 'grp') THEN p_name END AS merchant,
+           CASE WHEN k IN ('obj', 'badccy', 'badamt') THEN 'Corner } ' || p_name WHEN k IN ('num', 'grp') THEN p_name END AS merchant,
            CAST(NULL AS VARCHAR) AS account_hint,
            CASE WHEN k = 'empty' THEN NULL WHEN k IN ('obj', 'badccy', 'badamt') THEN 'Approved' WHEN k = 'num' THEN 'Aprobada' ELSE '' END AS status,
            CASE WHEN k = 'empty' THEN NULL WHEN k IN ('obj', 'badccy', 'badamt') THEN 'E' || o_orderkey WHEN k = 'num' THEN 'r' ELSE '' END AS raw_ref,
@@ -596,7 +598,7 @@ ORACLE["merchant_similarity"] = f"""
     WITH pairs AS (
       SELECT a.p_partkey, a.p_name AS name_a,
              b.p_name || CASE WHEN b.p_size > 25 THEN ' ' || lower(b.p_type) ELSE '' END AS name_b
-      FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7
+      FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 7) % (SELECT count(*) FROM part)
     ), scores AS (SELECT name_a, name_b, {_similarity("name_a", "name_b")} AS s FROM (SELECT DISTINCT name_a, name_b FROM pairs))
     SELECT p_partkey, round(s, 9) AS score FROM pairs JOIN scores USING (name_a, name_b)
 """
@@ -732,7 +734,7 @@ ORACLE["ledger_payload"] = with_views(
     WITH r AS (
       SELECT o.*, a.currency AS target, a.decimals,
              CASE WHEN o.currency = a.currency THEN CAST(1 AS DECIMAL(18,6)) ELSE r.rate END AS rate
-      FROM (SELECT * FROM order_records WHERE currency <> 'XXX') o JOIN accounts a USING (account_id)
+      FROM order_records o JOIN accounts a USING (account_id)
       ASOF LEFT JOIN rates r ON o.currency = r.from_ccy AND a.currency = r.to_ccy AND o.txn_date >= r.rate_date
     ), b AS (
       SELECT *, CAST(CASE WHEN currency = target THEN amount WHEN decimals = 0 THEN round_even(amount * rate, 0)

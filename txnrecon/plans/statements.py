@@ -94,12 +94,7 @@ def _mismatches(
         decided = found.withColumn("decision", decision)
     else:
         asks = found.select(*keyed, "reference", "journal_id", "booked", F.col("amount").alias("statement_amount"))
-        decided = asks.join(
-            ledger.corrections(asks.select("journal_id", "booked", "statement_amount"), fresh_ledger, autocorrect_pct)
-            .select("journal_id", "decision"),
-            "journal_id",
-            "left",
-        ).withColumn("decision", F.coalesce("decision", F.lit("review: journal not found")))
+        decided = ledger.corrections(asks, fresh_ledger, autocorrect_pct, (*SCOPE, "reference"))
     fixed = F.col("decision").isin("noop", "corrected")
     return decided.select(
         *keyed,

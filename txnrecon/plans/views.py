@@ -23,18 +23,7 @@ UNIT_VALUES = {"USD": 1_000_000, "EUR": 1_080_000, "GBP": 1_270_000, "JPY": 6_70
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in WIDE else df
-
-
-# Tables whose rows are costly to work on.
-WIDE = {"orders", "lineitem", "documents", "pages", "conversations"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table of few splits. A table of many splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +226,7 @@ _FORWARD = (
     "Subject: {subject}\nTo: buyer@example.com\n\n"
 )
 WALLET_BODY = (
-    "You paid {amount} {ccy} to {merchant}\n\nTransaction date {day} 10:10:38 AM PDT\nTransaction ID: W{key}\n"
+    "You paid {amount} {ccy} to {merchant}\n\nTransaction date {day} 04:27:09 PM CET\nTransaction ID: W{key}\n"
         "Status: {state}\nPaid with {funding}\n{total}<https://track.example.com/a?b=c>\n\n\n\n"
         "[image: logo]\nHelp & Contact\nSee our site"
 )
@@ -247,7 +236,7 @@ ALERT_BODY = (
 )
 PAYMENT_BODY = (
     "You paid ${amount} USD on {day}\n\n{proof}\n\nTransaction Details\n\nTransaction ID\nP{key}\n\n"
-        "Tax fx-1234 Logged on March 01, 2026\n{funding}"
+        "Tax zz-77 Logged on April 23, 1999\n{funding}"
 )
 WIRE_BODY = (
         "Confirmación\n<Document xmlns=\"urn:iso:std:iso:20022:tech:xsd:pacs.008.001.08\">\n<NbOfTxs>{n}</NbOfTxs>\n"

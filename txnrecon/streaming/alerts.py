@@ -39,14 +39,18 @@ def look_back(events: DataFrame, window: str = "1 hour", step: str = "5 minutes"
 
 
 def last_values(
-    events: DataFrame, value: str, labels: list[str], window: str = "3 hours", step: str = "5 minutes", lateness: str = "10 minutes"
+    events: DataFrame, value: str, labels: list[str], window: str = "3 hours", step: str = "5 minutes", lateness: str = "10 minutes",
+    tie: str | None = None,
 ) -> DataFrame:
-    """Newest value of each look-back window."""
+    """Newest value of each look-back window: of values of one time that with the greatest ``tie``
+    (a column, the value itself where none is named). Two-staged: the newest of each step is found
+    first, and only that is copied into the windows that hold the step."""
+    newest = F.struct(F.col("ts"), F.col(tie or value).alias("tie"), F.col(value).alias("value"))
+    steps = events.withWatermark("ts", lateness).groupBy(F.window("ts", step), *labels).agg(F.max(newest).alias("n"))
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", window, step).alias("w"), *labels)
-        .agg(F.max_by(value, "ts").alias(value))
-        .select(F.col("w.end").alias("window_end"), *labels, value)
+        steps.groupBy(F.window(F.window_time("window"), window, step).alias("w"), *labels)
+        .agg(F.max("n").alias("n"))
+        .select(F.col("w.end").alias("window_end"), *labels, F.col("n.value").alias(value))
     )
 
 

@@ -85,7 +85,11 @@ def settle_epoch(
         F.col("epoch") == (earlier[-1] if earlier else -1)
     )
     booked_before = read_table(spark, f"{root}/ledger", LEDGER_COLUMNS).where(F.col("epoch") < epoch)
-    messages = batch.unionByName(waiting.drop("epoch")).dropDuplicates(["msg_id"])
+    # Of several versions of a message the newest counts, of equally new ones the one just come.
+    arrived = batch.select(F.struct(*batch.columns).alias("m"), F.lit(1).alias("come"))
+    held_back = waiting.select(F.struct(*batch.columns).alias("m"), F.lit(0).alias("come"))
+    versions = arrived.unionByName(held_back).groupBy("m.msg_id")
+    messages = versions.agg(F.max_by("m", F.struct("m.msg_seq", "come", F.xxhash64("m"))).alias("m")).select("m.*")
     decided = materialize(decide(messages))
     held = decided.where(F.col("outcome") == "deferred").select("msg_id").distinct()
     final = decided.join(held, "msg_id", "left_anti")
