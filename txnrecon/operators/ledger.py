@@ -194,10 +194,15 @@ def resolve(ledger: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def double_book(
-    records: DataFrame, journals: DataFrame, aliases: DataFrame | None = None, params: ReconcileParams | None = None
+    records: DataFrame,
+    journals: DataFrame,
+    aliases: DataFrame | None = None,
+    params: ReconcileParams | None = None,
+    asks: Column | None = None,
 ) -> DataFrame:
     """Add ``statement_journal_id``: the first statement booking on the record's account
     that is near in date and similar in name. Amount and currency are not compared.
+    With ``asks`` only the records that fulfil it are compared, and others have none.
 
     Records are reduced to (account, day, name) cells and bookings to the smallest id of
     a cell, so the join works on distinct names rather than on rows.
@@ -208,7 +213,8 @@ def double_book(
     booked = canonical(
         journals.where(F.col("external_id").startswith(STATEMENT_PREFIX)), "merchant", aliases, "_canon"
     )
-    left = recs.select(*cells).distinct().withColumn(
+    asking = recs if asks is None else recs.where(asks)
+    left = asking.select(*cells).distinct().withColumn(
         "_bucket", F.explode(buckets_near(F.col("txn_date"), p.date_window_days))
     )
     right = (
@@ -234,4 +240,6 @@ def double_book(
         .groupBy("account_id", "txn_date", F.col("name_a").alias("_canon"))
         .agg(F.min("_journal").alias("statement_journal_id"))
     )
-    return recs.join(hits, cells, "left").select(*records.columns, "statement_journal_id")
+    found = F.col("statement_journal_id")
+    found = found if asks is None else F.when(asks, found).alias("statement_journal_id")
+    return recs.join(hits, cells, "left").select(*records.columns, found)

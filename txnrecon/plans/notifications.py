@@ -34,7 +34,9 @@ def decide_records(
     screened = validate.usd_ceiling(gated, rates, max_usd, dop_rates).withColumnRenamed("defer_reason", "ceiling_defer")
     placed = routing.accounts(screened, dims).withColumn("account_id", F.col("account_id").cast("bigint"))
     if journals is not None:
-        placed = ledger.double_book(placed, journals, aliases)
+        # Only bank alerts that pass the gate are probed. The ceiling is left out: it would need the rates here, too.
+        asks = (F.col("source") == "banco_popular") & F.col("review_reason").isNull()
+        placed = ledger.double_book(placed, journals, aliases, asks=asks)
     else:
         placed = placed.withColumn("statement_journal_id", F.lit(None).cast("bigint"))
     known = fx.account_targets(placed, accounts)

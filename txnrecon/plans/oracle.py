@@ -33,6 +33,10 @@ CTE = {
 _NEEDS = {"accounts": ["n_acc"], "v_orders": ["n_acc"]}
 
 
+#: CTEs that several others read: computed once, whatever the planner would rather do.
+_SHARED = {"alert_near", "journals", "exact", "near", "cand", "asked", "decided"}
+
+
 def with_views(names: str, body: str) -> str:
     """Prefix ``body`` with the named CTEs and what they depend on."""
     order: list[str] = []
@@ -45,7 +49,7 @@ def with_views(names: str, body: str) -> str:
 
     for name in names.split():
         add(name)
-    ctes = ",\n".join(f"{name} AS ({CTE[name]})" for name in order)
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in _SHARED else ''}({CTE[name]})" for name in order)
     body = body.strip()
     joiner = ",\n" if body.upper().startswith("WITH ") else "\n"
     return f"WITH {ctes}{joiner}{body[5:] if joiner[0] == ',' else body}"
@@ -617,10 +621,11 @@ _NEEDS["exact"] = ["charges", "journals"]
 
 CTE["near"] = """
     SELECT c.account_id, c.charge_id, c.merchant AS cm, lower(j.merchant) AS jm, j.journal_id,
-           j.journal_id NOT IN (SELECT journal_id FROM exact) AS is_free
-    FROM charges c JOIN journals j ON j.account_id = c.account_id AND j.currency = c.currency
+           t.journal_id IS NULL AS is_free
+    FROM charges c ANTI JOIN exact e ON e.charge_id = c.charge_id
+    JOIN journals j ON j.account_id = c.account_id AND j.currency = c.currency
       AND abs(date_diff('day', c.auth_date, j.txn_date)) <= 5
-    WHERE c.charge_id NOT IN (SELECT charge_id FROM exact)"""
+    LEFT JOIN (SELECT DISTINCT journal_id FROM exact) t ON t.journal_id = j.journal_id"""
 _NEEDS["near"] = ["exact"]
 
 CTE["cand"] = f"""
@@ -686,15 +691,15 @@ ORACLE["recon_outcomes"] = with_views(
 ORACLE["recon_unmatched"] = with_views(
     "decided",
     """
-    SELECT account_id, journal_id, txn_date, amount, currency, merchant FROM journals
-    WHERE journal_id NOT IN (SELECT journal_id FROM decided WHERE journal_id IS NOT NULL)
+    SELECT j.account_id, j.journal_id, j.txn_date, j.amount, j.currency, j.merchant
+    FROM journals j ANTI JOIN decided d ON d.journal_id = j.journal_id
     """,
 )
 
 ORACLE["double_book_probe"] = with_views(
     "v_orders journals",
     f"""
-    WITH near AS (
+    WITH near AS MATERIALIZED (
       SELECT o.o_orderkey, o.p_name AS cm, lower(j.merchant) AS jm, j.journal_id
       FROM v_orders o JOIN journals j ON j.account_id = o.account_id AND starts_with(j.external_id, 'bpstmt:')
         AND abs(date_diff('day', o.order_date, j.txn_date)) <= 5
