@@ -163,3 +163,16 @@ def test_statement_report_with_corrections(spark):
     assert (fixed.corrected, fixed.amount_mismatch) == (1, 0)
     bounded = statements.report(rows, dims, journals, rates, autocorrect_pct=Decimal(5)).where("stmt_id = 1").collect()[0]
     assert (bounded.corrected, bounded.amount_mismatch) == (0, 1)
+
+
+def test_a_statement_run_again_books_nothing(spark):
+    rows, dims, journals, rates = plan_inputs(spark)
+    early = D(2026, 1, 2)
+    held = [
+        (7, 5, early, Decimal("30.00"), "USD", "posted before the window", "bpstmt:1000000003"),
+        (7, 6, early, Decimal("52.00"), "USD", "paid before the window", "bpstmt:1000000004"),
+        (7, 7, early, Decimal("52.00"), "USD", "held twice", "bpstmt:1000000004"),
+    ]
+    known = journals.unionByName(spark.createDataFrame(held, schema.JOURNALS))
+    got = statements.report(rows, dims, known, rates).where("stmt_id = 1").collect()[0]
+    assert (got.booked_new, got.payments_booked, got.reconciled) == (0, 0, 3)

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrecon.functions.keys import STATEMENT_PREFIX
 from txnrecon.operators import ledger, reconcile, routing, statement, validate
 from txnrecon.operators.params import ReconcileParams
 from txnrecon.stage import materialize
@@ -31,7 +32,8 @@ def decide(
     Charges are reconciled within their section against the journals of its account around
     the cut date. Without ``autocorrect_pct`` every amount mismatch is a finding; with it,
     corrections are decided against ``fresh_ledger`` (or modelled as unchanged in a dry run).
-    Statements that do not parse are one review each.
+    Statements that do not parse are one review each. A charge or payment whose key the ledger
+    already holds, at any date, is reconciled and not booked again.
     """
     context = materialize(statement.contextual(rows))
     broken = statement.statement_errors(context)
@@ -67,14 +69,14 @@ def decide(
         F.lit(None).cast("string").alias("reason"),
     )
     new = charges.join(found.where("outcome = 'book_new'").select(*keyed, F.col("charge_id")), [*keyed, "charge_id"])
-    booked = _book_charges(new, rates, max_usd, dop_rates)
-    paid = _book_payments(routed.where("direction = 'in'"), rates, dims, max_usd, dop_rates)
+    payments = _book_payments(routed.where("direction = 'in'"), rates, dims, max_usd, dop_rates)
+    booked = _book_once(_book_charges(new, rates, max_usd, dop_rates).unionByName(payments), journals)
     failed = broken.select(
         "stmt_id", F.lit(0).cast("bigint").alias("section_no"), F.lit(None).cast("string").alias("reference"),
         F.lit("review").alias("outcome"), F.col("parse_error").alias("reason"),
     )
     out = settled
-    for part in (reviewed, mismatched, unmatched, booked, paid, unrouted, failed):
+    for part in (reviewed, mismatched, unmatched, booked, unrouted, failed):
         out = out.unionByName(part)
     balances = statement.balance(sections.where(F.col("account_id").isNotNull()), txns)
     return out, balances
@@ -112,6 +114,7 @@ def _book_charges(new: DataFrame, rates: DataFrame, max_usd: Decimal | None, dop
     return checked.select(
         *SCOPE,
         "reference",
+        "external_id",
         F.when(waits, "deferred").when(reason.isNotNull(), "review").otherwise("booked_new").alias("outcome"),
         F.when(~waits, reason).alias("reason"),
     )
@@ -129,11 +132,24 @@ def _book_payments(
     return routed.select(
         *SCOPE,
         "reference",
+        "external_id",
         F.when(waits, "deferred").when(reason.isNotNull(), "review").otherwise("payments_booked").alias("outcome"),
         F.when(~waits, reason).alias("reason"),
     )
 
 
+def _book_once(decided: DataFrame, journals: DataFrame) -> DataFrame:
+    """Bookings whose key the ledger holds become reconciled; other outcomes stay."""
+    held = (
+        journals.where(F.col("external_id").startswith(STATEMENT_PREFIX))
+        .select("external_id", F.lit(True).alias("_held"))
+        .distinct()
+    )
+    again = F.col("_held") & F.col("outcome").isin("booked_new", "payments_booked")
+    outcome = F.when(again, "reconciled").otherwise(F.col("outcome"))
+    return decided.join(held, "external_id", "left").select(*SCOPE, "reference", outcome.alias("outcome"), "reason")
+
+
 def report(
     rows: DataFrame,
     dims: DataFrame,
