@@ -372,6 +372,37 @@ def test_toxicity(spark):
     assert toxicity.score(plain.limit(0), single, ["doc_id"]).count() == 0
 
 
+def test_toxicity_learns_from_the_labels_that_match(spark):
+    docs, labels = labelled(spark)
+    plain = docs.where("doc_id % 4 != 0")
+    absent = spark.range(10_000, 14_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 2 as int) as toxic")
+
+    def right(**how):
+        net = toxicity.fit(plain, labels.unionAll(absent), F.col("doc_id") >= 0, **how)
+        got = toxicity.score(plain.where("doc_id < 1000"), net, ["doc_id"]).collect()
+        return np.mean([(r.score >= 0.3) == (r.doc_id % 3 == 0) for r in got])
+
+    assert right(rows=(60, 120)) > 0.95
+    assert right(rows=(60, 120), most_bytes=380) > 0.8  # all texts are longer
+
+
+def test_toxicity_of_both_kinds_or_none(spark):
+    docs, labels = labelled(spark)
+    for kinds in ("false", "toxic = 1", "toxic = 0"):
+        with pytest.warns(UserWarning, match="every score is 0"):
+            net = toxicity.fit(docs, labels.where(kinds), F.lit(True))
+        assert {r.score for r in toxicity.score(docs, net, ["doc_id"]).collect()} == {0.0}
+
+
+def test_long_texts_bring_windows_from_everywhere():
+    text = b" ".join(b"w%d" % k for k in range(5_000))
+    some = toxicity._spread(text, 4_000)
+    at = [int(w[1:]) for w in some.split()[:-1]]
+    assert 3_000 < len(some) <= 4_000 and at[0] == 0 and at[-1] > 4_900 and max(np.diff(at)) < 600
+    assert toxicity._spread(text, len(text)) == text and len(toxicity._spread(b"x" * 9_000, 100)) == 100
+    assert toxicity._cap([10, 20, 1_000, 2_000], 630) == 300 and toxicity._cap([10, 20], 30) == 20 and toxicity._cap([], 9) == 0
+
+
 def test_gradients():
     net = toxicity.Network([b"a", b"b", b"c"], seed=1)
     coded = net.encode([b"a", b"b", b"zz"])

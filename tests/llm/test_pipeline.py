@@ -49,3 +49,8 @@ def test_repeated_rows_are_mixed_one_by_one(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = corpus_pipeline.mixed(spark, docs, sf).collect()
     assert sum(len(r.text.split()) for r in got) == 11
+
+
+def test_a_corpus_without_labels_is_kept(spark, sf):
+    docs = common.table(spark, sf, "documents").withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    assert corpus_pipeline.without_toxic(spark, docs, sf).count() == docs.count()

@@ -10,6 +10,7 @@ toxic windows that the present model finds.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from txnrecon.llm import common
 
-#: Labelled rows that the network is trained on, toxic and harmless; the most bytes of such a text.
+#: Labelled rows that the network is trained on, toxic and harmless; the bytes they bring on average at most.
 SAMPLE, SAMPLE_BYTES = (800, 2_400), 6_000
 WINDOW, STRIDE = 24, 12
 VECTOR, STATE, ATTEND = 12, 8, 6
@@ -183,14 +184,15 @@ class Network:
 
 
 def train(texts: list[list[bytes]], labels: list[int], seed: int = SEED) -> Network:
-    """Train on whole texts with 0/1 labels."""
+    """Train on texts with 0/1 labels. Without texts of both kinds nothing can be told apart: the
+    network then warns and scores every text 0, so that no text counts as toxic."""
     seen = Counter(w for t in texts for w in set(t))
     least = max(LEAST_TEXTS, LEAST_SHARE * len(texts))
     net = Network(sorted(w for w, n in seen.items() if n >= least), seed)
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
-        net.p["out"][:], net.p["c"][:] = 0, np.log(rate / (1 - rate))
+        warnings.warn(f"{int(y.sum())} toxic and {int((1 - y).sum())} harmless texts to learn from: every score is 0", stacklevel=2)
+        net.bias = -np.inf
         return net
     rng = np.random.default_rng(seed)
     m, v, turn = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
@@ -252,6 +254,27 @@ def train(texts: list[list[bytes]], labels: list[int], seed: int = SEED) -> Netw
     return net
 
 
+def _cap(sizes: list[int], budget: int) -> int:
+    """The bytes that a text may bring, so that all together bring at most ``budget``."""
+    ordered = sorted(sizes)
+    for k, size in enumerate(ordered):
+        share = budget // (len(ordered) - k)
+        if size > share:
+            return share
+        budget -= size
+    return ordered[-1] if ordered else 0
+
+
+def _spread(text: bytes, most: int) -> bytes:
+    """A text of more than ``most`` bytes by runs of two windows' words, evenly spread over it."""
+    if len(text) <= most:
+        return text
+    words, run = text.split(), 2 * WINDOW
+    runs = max(1, len(words) * most // len(text) // run)
+    starts = np.linspace(0, max(0, len(words) - run), runs).astype(np.int64)
+    return b" ".join(w for s in starts for w in words[s : s + run])[:most]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -262,19 +285,31 @@ def fit(
     rows: tuple[int, int] = SAMPLE,
     most_bytes: int = SAMPLE_BYTES,
 ) -> Network:
-    """Train on at most ``rows`` labelled rows (toxic, harmless) that ``learn`` (over doc_id) selects,
-    texts of at most ``most_bytes``, in an order drawn from a hash."""
+    """Train on at most ``rows`` labelled rows of ``docs`` (toxic, harmless) that ``learn`` (over
+    doc_id) selects, in an order drawn from a hash. Ids without a row in ``docs`` take no place.
+    Texts are read whole as long as those of a kind bring ``most_bytes`` each on average; else the
+    longest bring some of their windows."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & learn).select(
         F.col(doc_id).cast("long").alias("_id"), (F.col(label) > 0).cast("int").alias("_y")
     )
-    known = known.distinct()
-    # Some texts are too long: twice as many rows are looked at.
-    parts = [known.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(2 * rows[1 - k]) for k in (0, 1)]
-    chosen = common.written(parts[0].unionAll(parts[1]), "labels")
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
-    met = texts.where(F.octet_length("_text") <= most_bytes).join(F.broadcast(chosen), "_id")
-    order = [F.xxhash64("_id"), "_id", "_text"]
-    found = [r for k in (0, 1) for r in met.where(F.col("_y") == k).orderBy(*order).limit(rows[1 - k]).collect()]
+    texts = docs.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("_id"), common.text_key(text).alias("_key"), F.col(text).cast("binary").alias("_text")
+    )
+    present = common.written(texts.select("_id").join(common.narrow(known.distinct()), "_id").distinct(), "labels")
+    parts = [present.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows[1 - k]) for k in (0, 1)]
+    chosen = parts[0].unionAll(parts[1])
+    met = common.written(texts.join(F.broadcast(chosen), "_id").withColumn("_size", F.octet_length("_text")), "sample")
+    first = lambda found, k: found.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id", "_key").limit(rows[1 - k])
+    caps = [_cap([r[0] for r in first(met, k).select("_size").collect()], rows[1 - k] * most_bytes) for k in (0, 1)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("_y").to_pylist()
+            made = pa.array([_spread(t.as_py(), caps[k]) for t, k in zip(batch.column("_text"), kinds, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_y", "_id", "_key")), made], ["_y", "_id", "_key", "_text"])
+
+    brought = met.mapInArrow(cut, "_y int, _id long, _key long, _text binary")
+    found = [r for k in (0, 1) for r in first(brought, k).collect()]
     return train([words_of(bytes(r["_text"])) for r in found], [r["_y"] for r in found])
 
 
