@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -100,6 +101,21 @@ def test_links_of_a_crowded_anchor(spark, limit):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 4, 6, 7])
+def test_blocks_of_a_crowded_anchor_in_any_batches(rows):
+    anchor = np.repeat([5, 7, 9, 11], [2, 12, 9, 3])
+    fp = np.arange(len(anchor)) * 0x0F0F0F0F0F
+    cut = [pa.RecordBatch.from_arrays([pa.array(anchor[k : k + rows]), pa.array(fp[k : k + rows])], ["anchor", "fp"]) for k in range(0, len(fp), rows)]
+    found = pa.Table.from_batches(simhash._compare(4, 3)(iter(cut))).to_pandas()
+    blocks = found[found.block >= 0]
+    for hot in (7, 9):
+        mine = blocks[blocks.a == hot]
+        assert sorted(mine.b) == sorted(fp[anchor == hot])
+        sizes = mine.groupby("block").size()
+        assert list(sizes.index) == list(range(len(sizes))) and sizes.max() <= 3
+    assert set(blocks.a) == {7, 9}
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(2)
     masks = simhash.anchor_masks()

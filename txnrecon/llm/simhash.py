@@ -180,13 +180,14 @@ def _compare(threshold: int, limit: int):
             while len(anchor):
                 if hot is not None:
                     ours = int(np.searchsorted(anchor, hot, side="right"))
+                    if not ours:  # only another anchor's row ends it: the next batch may go on with it
+                        hot = None
+                        continue
                     if ours == len(anchor) < limit:
                         break
                     ours = min(ours, limit)
                     yield _found(block, anchor[:ours], fp[:ours])
                     anchor, fp, block = anchor[ours:], fp[ours:], block + 1
-                    if not len(anchor) or anchor[0] != hot:
-                        hot = None
                     continue
                 last = int(np.searchsorted(anchor, anchor[-1]))
                 if last:
