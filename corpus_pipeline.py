@@ -60,13 +60,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per time the mix takes a document; one taken in part is cut after the words taken,
     which are then parted by single spaces."""
     common.ready(spark)
-    _, placements = mix.mix(docs)
+    known, placements = mix.mix(docs)
+    source = [F.coalesce(F.col("source"), F.lit("")).alias("of"), F.col("source").isNull().alias("of_none")]
+    keyed = lambda found, *more: found.select(F.struct(_key(F.col("text_key")).alias("row"), *source).alias("key"), *more)
     turn = Window.partitionBy("key", "pass").orderBy("begin")
-    taken = placements.select(_key(F.col("text_key")).alias("key"), "pass", "begin", "words")
+    taken = keyed(placements, "pass", "begin", "words")
     taken = common.written(taken.withColumn("nth", F.row_number().over(turn)).drop("begin"), "taken")
-    # Rows that repeat one another have one key: only those are numbered, to meet their own turns.
-    repeated = common.narrow(common.written(taken.where("nth > 1").select("key").distinct(), "repeated"))
-    rows = _packed(docs)
+    # Rows of a source that repeat one another have one key: all of those are numbered, however often
+    # the mix takes them, to meet their own turns.
+    often = keyed(known.where("size > 0")).groupBy("key").count().where("count > 1")
+    repeated = common.narrow(common.written(often.select("key"), "repeated"))
+    rows = docs.select(F.struct(_key(common.text_key()).alias("row"), *source).alias("key"), F.struct("*").alias("row"))
     single = rows.join(repeated, "key", "left_anti").withColumn("nth", F.lit(1))
     again = Window.partitionBy("key").orderBy(F.xxhash64("row.text"))
     several = rows.join(repeated, "key", "left_semi").withColumn("nth", F.row_number().over(again))

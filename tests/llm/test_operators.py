@@ -167,6 +167,20 @@ def test_mix(docs, nothing):
     assert mix.taken_words(*empty).count() == 0
 
 
+def test_mix_of_one_row_in_two_sources(spark):
+    data = [(None, "p q r", "a")] * 2 + [(None, "p q r", "c"), (9, "p q r", "a"), (9, "p q r", None)]
+    data += [(k, "x y z " * 4, s) for k, s in enumerate("aabbccc")]
+    rows_, placed = mix.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), block_words=5, shard_blocks=2)
+    rows_ = rows_.withColumnRenamed("source_size", "whole").withColumn("source_size", F.col("place"))
+    found, per, target = mix.taken_words(rows_, placed).collect(), collections.Counter(), {}
+    assert len(found) == len(data)
+    for r in found:
+        assert r.taken <= 3 * r.size
+        per[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert {p: per[p] for p in target} == {p: math.floor(t) for p, t in target.items()}
+
+
 def test_permutation_is_one():
     for n in (1, 2, 5, 1000):
         at = mix._permuted(np.arange(n), np.full(n, n), np.full(n, 99, dtype=np.uint64))

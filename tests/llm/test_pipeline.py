@@ -1,12 +1,15 @@
 """The pipeline's stages on rows with planted cases, and the registered queries with SQL."""
 
+import collections
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from tools import check
-from txnrecon.llm import common, queries
+from txnrecon.llm import common, mix, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -54,3 +57,21 @@ def test_repeated_rows_are_mixed_one_by_one(spark, sf):
 def test_a_corpus_without_labels_is_kept(spark, sf):
     docs = common.table(spark, sf, "documents").withColumn("doc_id", F.col("doc_id") + 10_000_000)
     assert corpus_pipeline.without_toxic(spark, docs, sf).count() == docs.count()
+
+
+@pytest.mark.parametrize(
+    "again",
+    [
+        [(5, "x y z " * 14, "c")] * 3,  # the quota of c ends within the first copy
+        [(None, "x y z " * 14, "c"), (None, "x y z " * 14, "a"), (None, "x y z " * 14, None)],
+    ],
+)
+def test_copies_meet_their_own_turns(spark, sf, again):
+    rows = [(1, "k " * 50, "a"), (2, "l " * 50, "b"), *again]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known, _ = mix.mix(docs)
+    want = {r.source: math.floor(r.target) for r in known.select("source", "target").distinct().collect()}
+    got = collections.Counter()
+    for r in corpus_pipeline.mixed(spark, docs, sf).collect():
+        got[r.source] += len(r.text.split())
+    assert {s: got[s] for s in want} == want

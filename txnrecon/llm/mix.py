@@ -219,8 +219,9 @@ def mix(
     """(rows, placements).
 
     rows: doc_id, text_key, source, size, source_size, target and a key ``order`` for every row
-    of ``docs``. placements: for every time the mix takes a document its order, begin, pass
-    (from 0), words taken, shard and position in the shard.
+    of ``docs``, and the ``place`` of its source. placements: for every time the mix takes a
+    document its source and place, order, begin, pass (from 0), words taken, shard and position in
+    the shard. Rows of one id and text in several sources are told apart by their place.
 
     Words taken from a source are its target, rounded down to whole words; only the document at
     the end of a quota is taken in part (its first words). No words: never taken. A null source
@@ -247,6 +248,7 @@ def mix(
         "begin",
         "pass",
         "place",
+        "source",
         F.least(F.col("size"), quota - F.col("_start")).alias("words"),
         F.floor(F.col("_start") / block_words).alias("block"),
         F.ceil(quota / block_words).cast("long").alias("blocks"),
@@ -255,7 +257,7 @@ def mix(
     met = taken.withColumn("at", at).join(dealt, ["place", "at"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "order", "pass"), "place", "begin", "pass")
     return known, met.select(
-        "doc_id", "text_key", "order", "begin", "pass", "words", "shard", F.row_number().over(local).alias("position")
+        "doc_id", "text_key", "source", "place", "order", "begin", "pass", "words", "shard", F.row_number().over(local).alias("position")
     )
 
 
@@ -263,15 +265,15 @@ def taken_words(rows: DataFrame, placements: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken per row of the mix; rows that repeat one another
     share what is taken of them, as their turns come."""
     nth = Window.partitionBy("order", "doc_id", "text_key", "place").orderBy("size")
-    taken = placements.groupBy("doc_id", "text_key", "order", "begin").agg(
+    taken = placements.groupBy("place", "doc_id", "text_key", "order", "begin").agg(
         F.sum("words").alias("taken"), F.count("*").alias("passes"), F.min("shard").alias("first_shard")
     )
-    turn = Window.partitionBy("order", "doc_id", "text_key").orderBy("begin")
+    turn = Window.partitionBy("order", "doc_id", "text_key", "place").orderBy("begin")
     taken = taken.withColumn("nth", F.row_number().over(turn)).drop("begin")
     counted = rows.withColumn("nth", F.row_number().over(nth))
     joined = counted.alias("r").join(
         taken.alias("t"),
-        F.expr("r.order = t.order AND r.doc_id <=> t.doc_id AND r.text_key = t.text_key AND r.nth = t.nth"),
+        F.expr("r.place = t.place AND r.order = t.order AND r.doc_id <=> t.doc_id AND r.text_key = t.text_key AND r.nth = t.nth"),
         "left",
     )
     return joined.select(
