@@ -351,6 +351,22 @@ def test_language(spark, nothing):
     assert {r.lang_pred for r in language.identify(docs, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_words_are_remembered_per_model(spark, monkeypatch):
+    # Every object at one address, as when a worker drops one broadcast before it loads the next.
+    monkeypatch.setattr(language, "id", lambda x: 1, raising=False)
+    docs = spark.createDataFrame([(1, "aa ab aa", "x")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["aa ab aa"])], ["doc_id", "_text"])
+    words = [{"a": {"aa": 9, "ab": 4}, "b": {"bb": 5}}, {"a": {"bb": 9}, "b": {"aa": 7, "ab": 3}}, {"c": {"aa": 3, "b": 2}}]
+    for counts in words:
+        models = language.Models({k: collections.Counter(c) for k, c in counts.items()}, order=3)
+        (found,) = language.identify(docs, models, ["doc_id"])(iter([batch]))
+        entropy, _ = models.entropies(["aa ab aa"])
+        assert found.column("lang_pred")[0].as_py() == models.langs[int(entropy[0].argmin())]
+        assert found.column("entropy")[0].as_py() == pytest.approx(entropy.min())
+    assert list(common.per_worker("languages")) == [models.key]
+
+
 def test_character_models_are_distributions():
     models = language.Models({"a": collections.Counter({"ab": 3, "b": 1, "aab": 2}), "b": collections.Counter({"ba": 2})}, order=3)
     # Every character of the alphabet after one context, and the end.

@@ -10,6 +10,7 @@ of that language showed is marked as rejected.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -105,6 +106,7 @@ class Models:
 
     def __init__(self, counts: dict[str, Counter], order: int = ORDER):
         self.langs, self.order = sorted(counts), order
+        self.key = uuid.uuid4().hex  # travels with the models: no others have it
         fitted = [self._fit(counts[lang]) for lang in self.langs]
         self.tables = []
         for n in range(order):
@@ -271,6 +273,14 @@ def fit(
     return models
 
 
+def _remembered(models: Models | None) -> dict:
+    """What this Python worker knows of words from these models; what it knew from others goes."""
+    kept, key = common.per_worker("languages"), models.key if models else None
+    if key not in kept:
+        kept.clear()
+    return kept.setdefault(key, {})
+
+
 def identify(docs: DataFrame, models: Models | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred, score (confidence, 0 to 1), entropy, rejected.
 
@@ -280,8 +290,8 @@ def identify(docs: DataFrame, models: Models | None, keep: list[str], text: str
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours, kept = shared.value, common.per_worker("languages")
-        known = kept.setdefault(shared.id, {}) if hasattr(shared, "id") else kept.setdefault(id(ours), {})
+        ours = shared.value
+        known = _remembered(ours)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             lettered = [ours is not None and has_letter(t) for t in texts]
