@@ -57,6 +57,14 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; made on the driver and sent with a function."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def per_worker(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks."""
     return vars(sys).setdefault("_txnrecon_llm", {}).setdefault(name, {})

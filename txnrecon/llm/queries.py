@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrecon.llm import common, decontaminate, interpolate, language, mix, quality, simhash, token_store, topk, toxicity, viterbi
+from txnrecon.llm import (
+    align, common, conversations, decontaminate, exact_dedup, interpolate, language, mix, quality, simhash, token_store, topk, toxicity, viterbi,
+)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +138,39 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return interpolate.score(docs, common.crc_mod("doc_id", 5) != 1)
+
+
+@query
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = align.Alignment(docs, public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+    rows = align.digests(found.documents).join(found.scores(), ["chunk", "nth"], "left")
+    # Tokens are never empty, so one of each kind ends at a shared offset: a group has one link.
+    return rows.select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        F.col("n_groups").alias("n_links"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")],
+        "groups_sha256",
+    )
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+    sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations")
+    return conversations.repaired(rows, conversations.damage(rows))
