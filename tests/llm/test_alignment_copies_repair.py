@@ -128,9 +128,8 @@ def plain_alignment(rows):
     return docs, count, most
 
 
-@pytest.mark.parametrize("limits", [{}, {"fan": 2}, {"fan": 2, "run_bytes": 300}])
-def test_alignment(docs, monkeypatch, limits):
-    monkeypatch.setattr(align, "CHUNK_ROWS", 17)
+@pytest.mark.parametrize("limits", [{}, {"chunk_rows": 17}, {"chunk_rows": 17, "fan": 2}, {"chunk_rows": 5, "fan": 2, "run_bytes": 300}])
+def test_alignment(docs, limits):
     rows = [r[:2] for r in documents()]
     want, count, most = plain_alignment(rows)
     found = align.Alignment(docs, queries.public_tokenizer("byte_bpe_50k.json"), queries.public_tokenizer("piece_bpe_32k.model"), **limits)
@@ -150,14 +149,18 @@ def test_alignment(docs, monkeypatch, limits):
             assert said[d] == (hashlib.sha256(text.encode()).hexdigest() if x else ""), d
 
 
-def test_long_texts_are_cut_without_effect(monkeypatch):
+def test_words_in_a_row_are_the_text():
     paths = [queries.public_tokenizer(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    text = " ".join(f"Über{k} it's  <s> \n 日本 {k * 7}," for k in range(400))
-    whole = align.Aligner(*paths).tokens([text])[0]
-    monkeypatch.setattr(align, "PART", 50)
-    cut = align.Aligner(*paths)
-    assert len(cut._cut(text)) > 100
-    assert all(np.array_equal(x, y) for x, y in zip(whole, cut.tokens([text])[0], strict=True)) and len(whole[0])
+    words = ["Über", "it's", "  <s>", "\n", "日本", "12,", "'re", "\x1c", "a\u00a0b", "\u2003", "<0x41>", "x  ", "\t\t", "…", "e\u0301"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(300)]
+    aligner, whole = align.Aligner(*paths), align.Aligner(*paths, remembered=3)
+    assert aligner.cuttable
+    whole.cuttable = False
+    for part in (texts[:150], texts[150:], texts[:20]):
+        for name, (flat, many) in aligner.align(part).items():
+            theirs = whole.align(part)[name]
+            assert np.array_equal(flat, theirs[0]) and np.array_equal(many, theirs[1]) and len(flat)
 
 
 def test_nothing_to_align(no_docs):

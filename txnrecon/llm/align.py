@@ -14,15 +14,14 @@ id may hold a third of all links) is merged and met in parts.
 
 Defined results: texts that are null, empty or changed by a tokenizer have no tokens, and zeros;
 repeated rows and null ids are rows like others; further columns of any name are ignored; no rows
-give no rows. A long text is cut, for encoding only, at single spaces, across which neither
-tokenizer merges.
+give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import math
+import itertools
 import os
 import re
 import struct
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 
 from txnrecon.llm import common
 
-#: Text and documents of a chunk, text encoded in one call, and the length beyond which a text is cut.
-CHUNK_BYTES, CHUNK_ROWS, CALL_BYTES, PART = 8 << 20, 8_192, 1 << 20, 1 << 18
+#: Text and documents of a chunk, text encoded in one call, words a Python worker remembers.
+CHUNK_BYTES, CHUNK_ROWS, CALL_BYTES, REMEMBERED = 4 << 20, 8_192, 1 << 18, 300_000
 #: B ids of one radix.
 RADIX_BITS = 8
 #: Runs and compressed bytes that one task merges or meets.
@@ -84,10 +83,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Pool:
+    """Arrays of many words in a row."""
+
+    def __init__(self):
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
+        self.flat = np.append(self.flat, flat.astype(np.int32))
+
+    def take(self, words: np.ndarray) -> np.ndarray:
+        """The arrays of the words given, one after the other."""
+        size = self.size[words]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[words] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at]
+
+
 class Aligner:
-    """Both tokenizers and the bytes of their tokens."""
+    """Both tokenizers, the bytes of their tokens, and the words seen so far.
 
-    def __init__(self, a_path: str, b_path: str):
+    Neither tokenizer merges across a single space between two characters that are not white space,
+    so a text's tokens are those of its words, each with the space before it, in a row; and as
+    tokens of both end with a word, so are its groups. Words are encoded once and remembered.
+    """
+
+    def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -105,52 +129,63 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
-        # A merge never crosses a space if pieces have it at their start only.
+        # A merge of B never crosses a space if pieces have it at their start only; else texts stay whole.
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
         self.a_width = np.array([len(x) for x in self.a_bytes])
         self.b_width = np.array([len(x) for x in self.b_bytes])
-
-    def _cut(self, text: str) -> list[str]:
-        if len(text) <= PART or not self.cuttable:
-            return [text]
-        parts, begin = [], 0
-        while len(text) - begin > PART and (found := _BETWEEN.search(text, begin + PART)):
-            parts.append(text[begin : found.start()])
-            begin = found.end()
-        return [*parts, text[begin:]]
-
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B for each text; none where bytes differ from a space and the text."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            cut = self._cut(text) if text else []
-            parts += cut
-            owner += [k] * len(cut)
-        a: list[list[int]] = [[] for _ in texts]
-        b: list[list[int]] = [[] for _ in texts]
-        for begin, end in _calls(parts):
-            found = self.a.encode_batch_fast([" " + p for p in parts[begin:end]], add_special_tokens=False)
-            other = self.b.encode(parts[begin:end], num_threads=1)
-            for k, x, y in zip(owner[begin:end], found, other, strict=True):
-                a[k] += x.ids
-                b[k] += y
-        out = []
-        for text, x, y in zip(texts, a, b, strict=True):
-            raw = b" " + text.encode()
-            same = text and b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            out.append((np.array(x if same else [], np.int32), np.array(y if same else [], np.int32)))
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.letters, self.same = 0, np.zeros(0, bool)
+        self.pools = {name: Pool() for name in ("a", "b", "a_sizes", "b_sizes")}
+
+    def _learn(self, words: list[str]) -> None:
+        for begin, end in _calls(words):
+            part = words[begin:end]
+            x = [e.ids for e in self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)]
+            y = self.b.encode(part, num_threads=1)
+            same = np.zeros(len(part), bool)
+            for k, (word, m, n) in enumerate(zip(part, x, y, strict=True)):
+                raw = b" " + word.encode()
+                same[k] = b"".join(map(self.a_bytes.__getitem__, m)) == raw == b"".join(map(self.b_bytes.__getitem__, n))
+            x = [m if ok else [] for m, ok in zip(x, same, strict=True)]
+            y = [n if ok else [] for n, ok in zip(y, same, strict=True)]
+            a, b = (np.fromiter(itertools.chain.from_iterable(t), np.int32) for t in (x, y))
+            x_size, y_size = (np.fromiter(map(len, t), np.int64, len(part)) for t in (x, y))
+            # The ends that both share, in A's order, and whose word they are in.
+            a_end, b_end = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
+            met = np.searchsorted(b_end, a_end)
+            at = np.flatnonzero(b_end[met] == a_end) if len(a) else np.zeros(0, np.int64)
+            groups = np.bincount(np.searchsorted(np.cumsum(x_size), at, side="right"), minlength=len(part))
+            sizes = (np.diff(at, prepend=-1), np.diff(met[at], prepend=-1) if len(a) else at)
+            for name, flat, size in zip(self.pools, (a, b, *sizes), (x_size, y_size, groups, groups), strict=True):
+                self.pools[name].add(flat, size)
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
+            self.same = np.append(self.same, same)
+            self.letters += sum(map(len, part))
+
+    def align(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For a, b, a_sizes and b_sizes: those of all texts in a row, and how many each text has."""
+        if len(self.known) > self.remembered or self.letters > 16 * self.remembered:
+            self._forget()
+        cut = [(_BETWEEN.split(t) if self.cuttable else [t]) if t else [] for t in texts]
+        flat = list(itertools.chain.from_iterable(cut))
+        self._learn(list(set(flat).difference(self.known)))
+        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        # A text whose bytes change anywhere has no tokens at all.
+        changed = np.zeros(len(texts), bool)
+        changed[owner[~self.same[index]]] = True
+        kept = ~changed[owner]
+        index, owner = index[kept], owner[kept]
+        out = {}
+        for name, pool in self.pools.items():
+            many = np.bincount(owner, weights=pool.size[index], minlength=len(texts)).astype(np.int64)
+            out[name] = pool.take(index), many
         return out
 
-    def groups(self, tokens: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of documents in a row: A and B tokens up to each end that both share, and its document."""
-        a = np.concatenate([x for x, _ in tokens] or [np.zeros(0, np.int32)])
-        b = np.concatenate([y for _, y in tokens] or [np.zeros(0, np.int32)])
-        a_end, b_end = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
-        met = np.searchsorted(b_end, a_end)
-        at_a = np.flatnonzero(b_end[met] == a_end) if len(a) else np.zeros(0, np.int64)
-        doc = np.searchsorted(np.cumsum([len(x) for x, _ in tokens]), at_a, side="right")
-        return at_a, met[at_a] if len(a) else at_a, doc
-
 
 def _calls(parts: list[str]) -> Iterator[tuple[int, int]]:
     begin, size = 0, 0
@@ -190,12 +225,12 @@ def runs_of(b: np.ndarray, a: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int
         )
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list, list[str]]]:
     ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
-            if texts and (size + len(text) > CHUNK_BYTES or len(texts) >= CHUNK_ROWS):
+            if texts and (size + len(text) > CHUNK_BYTES or len(texts) >= rows):
                 yield ids, texts
                 ids, texts, size = [], [], 0
             ids.append(doc_id)
@@ -205,48 +240,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32))
+def _lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(many)).astype(np.int32), flat)
 
 
-def _encode(a_path: str, b_path: str):
+def _encode(a_path: str, b_path: str, chunk_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, chunk = _aligner(a_path, b_path), TaskContext.get().partitionId() << 32
-        for ids, texts in _chunks(batches):
-            tokens = aligner.tokens(texts)
-            at_a, at_b, doc = aligner.groups(tokens)
-            cuts = np.searchsorted(doc, np.arange(1, len(texts)))
-            a_sizes = np.split(np.diff(at_a, prepend=-1), cuts)
-            b_sizes = np.split(np.diff(at_b, prepend=-1), cuts)
-            n = len(texts)
+        for ids, texts in _chunks(batches, chunk_rows):
+            found, n = aligner.align(texts), len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk] * n, pa.int64()),
                     pa.array(range(n), pa.int32()),
                     pa.array(ids, pa.int64()),
-                    _lists([x for x, _ in tokens]),
-                    _lists([y for _, y in tokens]),
-                    _lists(a_sizes),
-                    _lists(b_sizes),
+                    *[_lists(*found[name]) for name in ("a", "b", "a_sizes", "b_sizes")],
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                     pa.nulls(n, pa.binary()),
                 ],
                 names=_NAMES,
             )
-            a, b = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
-            found = list(runs_of(b[at_b], a[at_a], doc))
-            m, none = len(found), pa.nulls(len(found), pa.list_(pa.int32()))
+            # The last tokens of each group are linked.
+            a, b = (found[k][0][np.cumsum(found[k + "_sizes"][0]) - 1] for k in ("a", "b"))
+            runs = list(runs_of(b, a, np.repeat(np.arange(n), found["a_sizes"][1])))
+            m, none = len(runs), pa.nulls(len(runs), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk] * m, pa.int64()),
                     pa.nulls(m, pa.int32()),
                     pa.nulls(m, pa.int64()),
                     *[none] * 4,
-                    pa.array([f[0] for f in found], pa.int32()),
-                    pa.array([f[1] for f in found], pa.binary()),
-                    pa.array([f[2] for f in found], pa.binary()),
+                    pa.array([r[0] for r in runs], pa.int32()),
+                    pa.array([r[1] for r in runs], pa.binary()),
+                    pa.array([r[2] for r in runs], pa.binary()),
                 ],
                 names=_NAMES,
             )
@@ -334,10 +361,11 @@ class Alignment:
     """
 
     def __init__(
-        self, docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", fan: int = FAN, run_bytes: int = RUN_BYTES
+        self, docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", fan: int = FAN,
+        run_bytes: int = RUN_BYTES, chunk_rows: int = CHUNK_ROWS,
     ):
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        found = common.written(rows.mapInArrow(_encode(a_path, b_path), WRITTEN), "aligned")
+        found = common.written(rows.mapInArrow(_encode(a_path, b_path, chunk_rows), WRITTEN), "aligned")
         self.documents = found.where("nth IS NOT NULL").drop("radix", "pairs", "entries")
         self.runs = found.where("nth IS NULL").select("radix", "chunk", "pairs", "entries")
         self.fan, self.run_bytes, self._counts = fan, run_bytes, None
@@ -393,27 +421,28 @@ class Alignment:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with ``a1,a2|b1;a3|b2,b3`` as sha256."""
+    spelled: list[str] = []
     for batch in batches:
-        lists = [batch.column(k) for k in range(3, 7)]
-        spelled = []
+        lists, out = [batch.column(k) for k in range(3, 7)], []
         for x, y, x_sizes, y_sizes in zip(*lists, strict=True):
             x, y, x_sizes, y_sizes = (v.values.to_numpy() for v in (x, y, x_sizes, y_sizes))
             if not len(x):
-                spelled.append("")
+                out.append("")
                 continue
+            for k in range(len(spelled) // 3, 1 + int(max(x.max(), y.max()))):
+                spelled += [f"{k},", f"{k}|", f"{k};"]
             # Tokens of A go before those of B in each group; a mark follows each.
             x_at = np.arange(len(x)) + np.repeat(np.cumsum(y_sizes) - y_sizes, x_sizes)
             y_at = np.arange(len(y)) + np.repeat(np.cumsum(x_sizes), y_sizes)
-            ids, marks = np.empty(len(x) + len(y), np.int64), np.full(len(x) + len(y), ",")
-            ids[x_at], ids[y_at] = x, y
-            marks[x_at[np.cumsum(x_sizes) - 1]] = "|"
-            marks[y_at[np.cumsum(y_sizes) - 1]] = ";"
-            said = "".join([f"{k}{m}" for k, m in zip(ids.tolist(), marks.tolist(), strict=True)])
-            spelled.append(hashlib.sha256(said[:-1].encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in range(3)), *(pc.cast(pc.list_value_length(lists[k]), pa.int64()) for k in (0, 1, 2)), pa.array(spelled, pa.string())],
-            ["chunk", "nth", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"],
-        )
+            marked = np.empty(len(x) + len(y), np.int64)
+            marked[x_at], marked[y_at] = 3 * x, 3 * y
+            marked[x_at[np.cumsum(x_sizes) - 1]] += 1
+            marked[y_at[np.cumsum(y_sizes) - 1]] += 2
+            said = "".join(map(spelled.__getitem__, marked.tolist()))
+            out.append(hashlib.sha256(said[:-1].encode()).hexdigest())
+        sizes = [pc.cast(pc.list_value_length(lists[k]), pa.int64()) for k in (0, 1, 2)]
+        columns = [*(batch.column(k) for k in range(3)), *sizes, pa.array(out, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "nth", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
 
 
 def digests(documents: DataFrame) -> DataFrame:
