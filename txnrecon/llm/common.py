@@ -15,12 +15,15 @@ from txnrecon.stage import shared_folder
 BROADCAST_ROWS = 200_000
 #: Rows handed to Python at once: whole texts are carried, so fewer than Spark's default.
 BATCH_ROWS = 1_000
+#: Bytes of such a batch; a single longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The session settings the operators rely on."""
     session.configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
