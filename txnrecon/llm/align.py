@@ -37,8 +37,12 @@ from pyspark.sql import functions as F
 
 from txnrecon.llm import common
 
-#: Text and documents of a chunk, text encoded in one call, words a Python worker remembers.
-CHUNK_BYTES, CHUNK_ROWS, CALL_BYTES, REMEMBERED = 4 << 20, 8_192, 1 << 18, 300_000
+#: Text and documents of a chunk, text encoded in one call.
+CHUNK_BYTES, CHUNK_ROWS, CALL_BYTES = 2 << 20, 8_192, 1 << 18
+#: Words a Python worker remembers, and their letters at most.
+REMEMBERED, WORD = 100_000, 64
+#: Words encoded in one piece.
+TOGETHER = 128
 #: B ids of one radix.
 RADIX_BITS = 8
 #: Runs and compressed bytes that one task merges or meets.
@@ -134,46 +138,63 @@ class Aligner:
         self.a_width = np.array([len(x) for x in self.a_bytes])
         self.b_width = np.array([len(x) for x in self.b_bytes])
         self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.letters, self.same = 0, np.zeros(0, bool)
+        self.same, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
         self.pools = {name: Pool() for name in ("a", "b", "a_sizes", "b_sizes")}
 
+    def _forget(self) -> None:
+        """Keep the short words that the last texts used more than once."""
+        words = [w for w, uses in zip(self.known, self.uses.tolist(), strict=True) if uses > 1 and len(w) <= WORD][: self.remembered // 2]
+        kept = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for pool in self.pools.values():
+            flat, size = pool.take(kept), pool.size[kept]
+            pool.__init__()
+            pool.add(flat, size)
+        self.known, self.same, self.uses = {w: k for k, w in enumerate(words)}, self.same[kept], self.uses[kept]
+
+    def _a_ids(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all words, and how many each has: words are encoded many in a row and cut where
+        their bytes end, or one by one where that fails."""
+        for run in (TOGETHER, 1):
+            rows = [" " + " ".join(words[k : k + run]) for k in range(0, len(words), run)]
+            ids = _flat([e.ids for e in self.a.encode_batch_fast(rows, add_special_tokens=False)])
+            reached, ends = np.cumsum(self.a_width[ids]), np.cumsum(size)
+            cuts = np.searchsorted(reached, ends)
+            if len(reached) and cuts[-1] < len(reached) and np.array_equal(reached[cuts], ends):
+                return ids, np.diff(cuts, prepend=-1)
+        found = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        return _flat(found), np.fromiter(map(len, found), np.int64, len(found))
+
     def _learn(self, words: list[str]) -> None:
         for begin, end in _calls(words):
             part = words[begin:end]
-            x = [e.ids for e in self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)]
-            y = self.b.encode(part, num_threads=1)
-            same = np.zeros(len(part), bool)
-            for k, (word, m, n) in enumerate(zip(part, x, y, strict=True)):
-                raw = b" " + word.encode()
-                same[k] = b"".join(map(self.a_bytes.__getitem__, m)) == raw == b"".join(map(self.b_bytes.__getitem__, n))
-            x = [m if ok else [] for m, ok in zip(x, same, strict=True)]
-            y = [n if ok else [] for n, ok in zip(y, same, strict=True)]
-            a, b = (np.fromiter(itertools.chain.from_iterable(t), np.int32) for t in (x, y))
-            x_size, y_size = (np.fromiter(map(len, t), np.int64, len(part)) for t in (x, y))
+            raw = [b" " + w.encode() for w in part]
+            size = np.fromiter(map(len, raw), np.int64, len(raw))
+            a, a_many = self._a_ids(part, size)
+            found = self.b.encode(part, num_threads=1)
+            b, b_many = _flat(found), np.fromiter(map(len, found), np.int64, len(found))
+            # A word whose tokens' bytes are not a space and the word has none.
+            same = _spells(a, a_many, self.a_bytes, raw, size) & _spells(b, b_many, self.b_bytes, raw, size)
+            a, b = a[np.repeat(same, a_many)], b[np.repeat(same, b_many)]
+            a_many, b_many = a_many * same, b_many * same
             # The ends that both share, in A's order, and whose word they are in.
             a_end, b_end = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
             met = np.searchsorted(b_end, a_end)
             at = np.flatnonzero(b_end[met] == a_end) if len(a) else np.zeros(0, np.int64)
-            groups = np.bincount(np.searchsorted(np.cumsum(x_size), at, side="right"), minlength=len(part))
+            groups = np.bincount(np.searchsorted(np.cumsum(a_many), at, side="right"), minlength=len(part))
             sizes = (np.diff(at, prepend=-1), np.diff(met[at], prepend=-1) if len(a) else at)
-            for name, flat, size in zip(self.pools, (a, b, *sizes), (x_size, y_size, groups, groups), strict=True):
-                self.pools[name].add(flat, size)
+            for pool, flat, many in zip(self.pools.values(), (a, b, *sizes), (a_many, b_many, groups, groups), strict=True):
+                pool.add(flat, many)
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
             self.same = np.append(self.same, same)
-            self.letters += sum(map(len, part))
 
     def align(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """For a, b, a_sizes and b_sizes: those of all texts in a row, and how many each text has."""
-        if len(self.known) > self.remembered or self.letters > 16 * self.remembered:
-            self._forget()
         cut = [(_BETWEEN.split(t) if self.cuttable else [t]) if t else [] for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
         self._learn(list(set(flat).difference(self.known)))
         index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.uses = np.bincount(index, minlength=len(self.known))
         owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
         # A text whose bytes change anywhere has no tokens at all.
         changed = np.zeros(len(texts), bool)
@@ -184,9 +205,26 @@ class Aligner:
         for name, pool in self.pools.items():
             many = np.bincount(owner, weights=pool.size[index], minlength=len(texts)).astype(np.int64)
             out[name] = pool.take(index), many
+        if len(self.known) > self.remembered:
+            self._forget()
         return out
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.array([*itertools.chain.from_iterable(lists)], np.int32)
+
+
+def _spells(ids: np.ndarray, many: np.ndarray, spelled: list[bytes], raw: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Which words' ids spell their bytes."""
+    pieces = list(map(spelled.__getitem__, ids.tolist()))
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    last = np.cumsum(many) - 1
+    if (many > 0).all() and np.array_equal(ends[last], np.cumsum(size)) and b"".join(pieces) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    cuts = [0, *(last + 1).tolist()]
+    return np.array([b"".join(pieces[m:n]) == r for m, n, r in zip(cuts[:-1], cuts[1:], raw, strict=True)])
+
+
 def _calls(parts: list[str]) -> Iterator[tuple[int, int]]:
     begin, size = 0, 0
     for k, part in enumerate(parts):
