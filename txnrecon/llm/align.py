@@ -87,26 +87,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Pool:
-    """Arrays of many words in a row."""
-
-    def __init__(self):
-        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
-        begin = len(self.flat) + np.cumsum(size) - size
-        self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
-        self.flat = np.append(self.flat, flat.astype(np.int32))
-
-    def take(self, words: np.ndarray) -> np.ndarray:
-        """The arrays of the words given, one after the other."""
-        size = self.size[words]
-        ends = np.cumsum(size)
-        at = np.repeat(self.begin[words] - (ends - size), size)
-        at += np.arange(len(at))
-        return self.flat[at]
-
-
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and the words seen so far.
 
@@ -140,16 +120,13 @@ class Aligner:
         self.remembered = remembered
         self.known: dict[str, int] = {}
         self.same, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
-        self.pools = {name: Pool() for name in ("a", "b", "a_sizes", "b_sizes")}
+        self.pools = {name: common.Pool() for name in ("a", "b", "a_sizes", "b_sizes")}
 
     def _forget(self) -> None:
         """Keep the short words that the last texts used more than once."""
         words = [w for w, uses in zip(self.known, self.uses.tolist(), strict=True) if uses > 1 and len(w) <= WORD][: self.remembered // 2]
         kept = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        for pool in self.pools.values():
-            flat, size = pool.take(kept), pool.size[kept]
-            pool.__init__()
-            pool.add(flat, size)
+        self.pools = {name: pool.of(kept) for name, pool in self.pools.items()}
         self.known, self.same, self.uses = {w: k for k, w in enumerate(words)}, self.same[kept], self.uses[kept]
 
     def _a_ids(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,29 @@ def columns_like(df: DataFrame, *names: str) -> list[str]:
     if absent:
         raise ValueError(f"missing columns: {absent}")
     return list(names)
+
+
+class Pool:
+    """Arrays of many words in a row."""
+
+    def __init__(self):
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
+        self.flat = np.append(self.flat, flat.astype(np.int32))
+
+    def of(self, words: np.ndarray) -> Pool:
+        """A pool of the words given."""
+        kept = Pool()
+        kept.add(self.take(words), self.size[words])
+        return kept
+
+    def take(self, words: np.ndarray) -> np.ndarray:
+        """The arrays of the words given, one after the other."""
+        size = self.size[words]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[words] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at]

@@ -16,8 +16,8 @@ the pages of other documents. Reading counters never touches the ids.
 
 from __future__ import annotations
 
+import itertools
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +33,12 @@ from txnrecon.llm import common
 SCHEMA = "shard int, doc_id long, position long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 900_000
+#: Words whose ids a Python worker remembers, and their letters at most.
+REMEMBERED, WORD = 400_000, 64
 #: Words encoded in one piece, and bytes of text worked on at once.
 RUN, SLICE = 512, 4 << 20
+#: Words encoded in one call.
+PIECE = 32_768
 #: Marks that never join the letters before them.
 MARKS = ".,!?;:"
 
@@ -59,7 +61,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.remembered, self.known = struct.pack("<I", end_id), remembered, {}
+        self.end, self.remembered = end_id, remembered
+        self.known: dict[str, int] = {}
+        self.uses, self.pool = np.zeros(0, dtype=np.int64), common.Pool()
         # Bytes that an id stands for: a byte-level vocabulary writes each as one character.
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
@@ -68,40 +72,51 @@ class Encoder:
         for number, added in self.tokenizer.get_added_tokens_decoder().items():
             self.width[number] = len(added.content.encode())
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a leading space. Runs of words are encoded in one piece and cut
-        where the bytes of a word end; a run that can't be cut there is encoded word by word."""
-        out = []
-        runs = [words[k : k + RUN] for k in range(0, len(words), RUN)]
-        for run, ids in zip(runs, self._ids([" " + " ".join(run) for run in runs]), strict=True):
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in run), np.int64, len(run)))
-            reached = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(reached, ends)
-            if len(reached) and cuts[-1] == len(reached) - 1 and np.array_equal(reached[cuts], ends):
-                blob, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
-                out += [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            else:
-                out += [i.tobytes() for i in self._ids([" " + w for w in run])]
-        return out
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([*itertools.chain.from_iterable(found)], dtype=np.int32), np.array([*map(len, found)], dtype=np.int64)
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each with a leading space, and how many each has. Words are encoded many
+        in one piece, which is cut where the bytes of a word end; where that fails, one by one."""
+        ids, many = self._ids([" " + " ".join(words[k : k + RUN]) for k in range(0, len(words), RUN)])
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        reached = np.cumsum(self.width[ids])
+        cuts = np.searchsorted(reached, ends)
+        if len(reached) and cuts[-1] == len(reached) - 1 and np.array_equal(reached[cuts], ends):
+            return ids, np.diff(cuts, prepend=-1)
+        return self._ids([" " + w for w in words])
+
+    def _add(self, words: list[str], ids: np.ndarray, many: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.pool.add(ids, many)
 
     def _learn(self, words: list[str]) -> None:
         """Remember new words. Closing marks after a letter are a piece of their own, so a word
         with them has the ids of the bare word and those of the marks."""
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        bare = {w: w.rstrip(MARKS) for w in words if w not in known}
-        bare = {w: b if b and b[-1].isalpha() else w for w, b in bare.items()}
-        fresh = list(set(bare.values()).difference(known))
-        known.update(zip(fresh, self._spaced(fresh), strict=True))
-        tails = {w: w[len(b) :] for w, b in bare.items() if w != b}
-        kinds = list(set(tails.values()))
-        ends = dict(zip(kinds, (i.tobytes() for i in self._ids(kinds)), strict=True))
-        known.update((w, known[bare[w]] + ends[tail]) for w, tail in tails.items())
+        new = [w for w in words if w not in self.known]
+        bare = [w.rstrip(MARKS) for w in new]
+        parted = [(w, b) for w, b in zip(new, bare, strict=True) if len(w) > len(b) and b and b[-1].isalpha()]
+        marked = dict(parted)
+        for some in _pieces(list({marked.get(w, w) for w in new}.difference(self.known))):
+            self._add(some, *self._spaced(some))
+        if not parted:
+            return
+        # Marks without a space before them are entries under a name that no word has.
+        tails = [" " + w[len(b) :] for w, b in parted]
+        fresh = list(set(tails).difference(self.known))
+        self._add(fresh, *self._ids([t[1:] for t in fresh]))
+        both = np.array([(self.known[b], self.known[t]) for (_, b), t in zip(parted, tails, strict=True)], dtype=np.int64)
+        ids, many = self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1)
+        self._add([w for w, _ in parted], ids, many)
+
+    def _forget(self) -> None:
+        """Keep the short words that the last texts used more than once."""
+        uses = np.append(self.uses, np.zeros(len(self.known) - len(self.uses), dtype=np.int64)).tolist()
+        words = [w for w, n in zip(self.known, uses, strict=True) if n > 1 and len(w) <= WORD][: self.remembered // 2]
+        self.pool = self.pool.of(np.array([*map(self.known.__getitem__, words)], dtype=np.int64))
+        self.known = {w: k for k, w in enumerate(words)}
 
     def _parted(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The texts cut at the spaces that part two words: distinct words, the number of each word
@@ -109,10 +124,12 @@ class Encoder:
         parts = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        spelled, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, index = coded.dictionary, coded.indices.to_numpy()
         # White space beside a space leaves empty parts or white space at a part's end: such texts
         # are parted anew.
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in spelled], dtype=bool)
+        trimmed = pc.utf8_trim_whitespace(words)
+        odd = pc.or_(pc.not_equal(pc.binary_length(trimmed), pc.binary_length(words)), pc.equal(words, ""))
+        odd, spelled = odd.to_numpy(zero_copy_only=False), words.to_pylist()
         if not odd.any():
             return spelled, index, counts
         anew = np.zeros(len(texts), dtype=bool)
@@ -129,38 +146,45 @@ class Encoder:
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and how many each has."""
         if not len(texts):
-            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         spelled, index, counts = self._parted(pc.fill_null(texts, ""))
+        # A text's first word has no space before it.
         first = np.cumsum(counts) - counts
-        heads = self._ids([spelled[k] for k in index[first].tolist()])
+        heads, many = self._ids([spelled[k] for k in index[first].tolist()])
         body = np.delete(index, first)
         used = np.flatnonzero(np.bincount(body, minlength=len(spelled)))
         words = [spelled[k] for k in used.tolist()]
         self._learn(words)
-        # One entry for each distinct word, each head and the end; then the entries in text order.
-        entries = [*map(self.known.__getitem__, words), *(h.tobytes() for h in heads), self.end]
-        pool = np.frombuffer(b"".join(entries), dtype="<u4")
-        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        begin = np.cumsum(size) - size
         entry = np.zeros(len(spelled), dtype=np.int64)
-        entry[used] = np.arange(len(used))
+        entry[used] = np.array([*map(self.known.__getitem__, words)], dtype=np.int64)
+        # For this call heads and the end are entries after all words; then all in text order.
+        pool, base = common.Pool(), len(self.pool.size)
+        pool.flat = np.concatenate([self.pool.flat, heads, [self.end]]).astype(np.int32)
+        head_begin = len(self.pool.flat) + np.cumsum(many) - many
+        pool.begin = np.concatenate([self.pool.begin, head_begin, [len(pool.flat) - 1]])
+        pool.size = np.concatenate([self.pool.size, many, [1]])
         head_at = first + np.arange(len(counts))
         last_at = head_at + counts
         order = np.full(len(index) + len(counts), -1, dtype=np.int64)
-        order[head_at] = len(words) + np.arange(len(counts))
-        order[last_at] = len(entries) - 1
+        order[head_at] = base + np.arange(len(counts))
+        order[last_at] = base + len(counts)
         order[order < 0] = entry[body]
-        each = size[order]
-        ends = np.cumsum(each)
-        source = np.repeat(begin[order] - (ends - each), each)
-        source += np.arange(len(source))
-        return pool[source], np.diff(ends[last_at], prepend=0)
+        ends = np.cumsum(pool.size[order])
+        self.uses = np.bincount(entry[body], minlength=base)
+        if len(self.known) > self.remembered:
+            self._forget()
+        return pool.take(order), np.diff(ends[last_at], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id."""
         ids, sizes = self.flat(pa.array(texts, pa.string()))
         ends = np.cumsum(sizes)
-        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _pieces(words: list[str]) -> Iterator[list[str]]:
+    for k in range(0, len(words), PIECE):
+        yield words[k : k + PIECE]
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -189,7 +213,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id"
                         part.column(0),
                         pa.array(position + ends - sizes),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), ids.view("<i4")),
+                        pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), ids),
                     ],
                     ["shard", "doc_id", "position", "n_tokens", "ids"],
                 )
