@@ -34,7 +34,7 @@ SCHEMA = "shard int, doc_id long, position long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
 #: Words whose ids a Python worker remembers, and their letters at most.
-REMEMBERED, WORD = 400_000, 64
+REMEMBERED, WORD = 500_000, 64
 #: Words encoded in one piece, and bytes of text worked on at once.
 RUN, SLICE = 512, 4 << 20
 #: Words encoded in one call.
@@ -62,8 +62,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.remembered = end_id, remembered
-        self.known: dict[str, int] = {}
-        self.uses, self.pool = np.zeros(0, dtype=np.int64), common.Pool()
+        # Words and, in the same order, their ids.
+        self.words, self.pool = pa.array([], pa.string()), common.Pool()
         # Bytes that an id stands for: a byte-level vocabulary writes each as one character.
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
@@ -77,88 +77,97 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([*itertools.chain.from_iterable(found)], dtype=np.int32), np.array([*map(len, found)], dtype=np.int64)
 
-    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, each with a leading space, and how many each has. Words are encoded many
         in one piece, which is cut where the bytes of a word end; where that fails, one by one."""
-        ids, many = self._ids([" " + " ".join(words[k : k + RUN]) for k in range(0, len(words), RUN)])
-        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        spelled, ends = words.to_pylist(), np.cumsum(_bytes(words) + 1)
+        ids, many = self._ids([" " + " ".join(spelled[k : k + RUN]) for k in range(0, len(spelled), RUN)])
         reached = np.cumsum(self.width[ids])
         cuts = np.searchsorted(reached, ends)
         if len(reached) and cuts[-1] == len(reached) - 1 and np.array_equal(reached[cuts], ends):
             return ids, np.diff(cuts, prepend=-1)
-        return self._ids([" " + w for w in words])
+        return self._ids([" " + w for w in spelled])
 
-    def _add(self, words: list[str], ids: np.ndarray, many: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+    def _at(self, words: pa.Array) -> np.ndarray:
+        """Where words are remembered, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def _add(self, words: pa.Array, ids: np.ndarray, many: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
         self.pool.add(ids, many)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Remember new words. Closing marks after a letter are a piece of their own, so a word
         with them has the ids of the bare word and those of the marks."""
-        new = [w for w in words if w not in self.known]
-        bare = [w.rstrip(MARKS) for w in new]
-        parted = [(w, b) for w, b in zip(new, bare, strict=True) if len(w) > len(b) and b and b[-1].isalpha()]
-        marked = dict(parted)
-        for some in _pieces(list({marked.get(w, w) for w in new}.difference(self.known))):
+        bare = pc.utf8_rtrim(new, characters=MARKS)
+        ends_in_letter = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, -1))
+        marked = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(new)), ends_in_letter)
+        plain = pc.if_else(marked, bare, new).unique()
+        plain = plain.filter(pa.array(self._at(plain) < 0))
+        for k in range(0, len(plain), PIECE):
+            some = plain.slice(k, PIECE)
             self._add(some, *self._spaced(some))
-        if not parted:
+        words, bare = new.filter(marked), bare.filter(marked)
+        if not len(words):
             return
         # Marks without a space before them are entries under a name that no word has.
-        tails = [" " + w[len(b) :] for w, b in parted]
-        fresh = list(set(tails).difference(self.known))
-        self._add(fresh, *self._ids([t[1:] for t in fresh]))
-        both = np.array([(self.known[b], self.known[t]) for (_, b), t in zip(parted, tails, strict=True)], dtype=np.int64)
-        ids, many = self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1)
-        self._add([w for w, _ in parted], ids, many)
-
-    def _forget(self) -> None:
+        tails = pa.array([" " + w[len(b) :] for w, b in zip(words.to_pylist(), bare.to_pylist(), strict=True)], pa.string())
+        kinds = tails.unique()
+        kinds = kinds.filter(pa.array(self._at(kinds) < 0))
+        self._add(kinds, *self._ids([t[1:] for t in kinds.to_pylist()]))
+        both = np.stack([self._at(bare), self._at(tails)], axis=1)
+        self._add(words, self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1))
+
+    def _forget(self, uses: np.ndarray) -> None:
         """Keep the short words that the last texts used more than once."""
-        uses = np.append(self.uses, np.zeros(len(self.known) - len(self.uses), dtype=np.int64)).tolist()
-        words = [w for w, n in zip(self.known, uses, strict=True) if n > 1 and len(w) <= WORD][: self.remembered // 2]
-        self.pool = self.pool.of(np.array([*map(self.known.__getitem__, words)], dtype=np.int64))
-        self.known = {w: k for k, w in enumerate(words)}
+        kept = np.flatnonzero((uses > 1) & (_bytes(self.words) <= WORD))[: self.remembered // 2]
+        self.words, self.pool = self.words.take(pa.array(kept)), self.pool.of(kept)
 
-    def _parted(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def _parted(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The texts cut at the spaces that part two words: distinct words, the number of each word
         among them in text order, and the words of each text."""
-        parts = pc.split_pattern(texts, " ")
-        counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
+        cut = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        parts = cut.flatten()
+        coded = parts.dictionary_encode()
         words, index = coded.dictionary, coded.indices.to_numpy()
         # White space beside a space leaves empty parts or white space at a part's end: such texts
         # are parted anew.
-        trimmed = pc.utf8_trim_whitespace(words)
-        odd = pc.or_(pc.not_equal(pc.binary_length(trimmed), pc.binary_length(words)), pc.equal(words, ""))
-        odd, spelled = odd.to_numpy(zero_copy_only=False), words.to_pylist()
+        odd = _bytes(pc.utf8_trim_whitespace(words)) != _bytes(words)
+        odd |= _bytes(words) == 0
         if not odd.any():
-            return spelled, index, counts
+            return words, index, counts
         anew = np.zeros(len(texts), dtype=bool)
         anew[np.repeat(np.arange(len(texts)), counts)[odd[index]]] = True
+        as_cut = parts.filter(pa.array(np.repeat(~anew, counts)))
         lists = [_BETWEEN.split(t) for t in texts.filter(pa.array(anew)).to_pylist()]
-        number = {w: k for k, w in enumerate(spelled)}
-        found = [number.setdefault(w, len(number)) for words in lists for w in words]
-        as_cut = index[np.repeat(~anew, counts)]
         counts[anew] = [len(words) for words in lists]
-        index, again = np.empty(counts.sum(), dtype=np.int64), np.repeat(anew, counts)
-        index[again], index[~again] = found, as_cut
-        return list(number), index, counts
+        again = pa.array([*itertools.chain.from_iterable(lists)], parts.type)
+        coded = pa.concat_arrays([as_cut, again]).dictionary_encode()
+        found, at = coded.indices.to_numpy(), np.repeat(anew, counts)
+        index = np.empty(len(found), dtype=np.int64)
+        index[~at], index[at] = found[: len(as_cut)], found[len(as_cut) :]
+        return coded.dictionary, index, counts
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and how many each has."""
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        spelled, index, counts = self._parted(pc.fill_null(texts, ""))
+        words, index, counts = self._parted(pc.fill_null(texts, ""))
         # A text's first word has no space before it.
         first = np.cumsum(counts) - counts
-        heads, many = self._ids([spelled[k] for k in index[first].tolist()])
+        heads, many = self._ids(words.take(pa.array(index[first])).to_pylist())
         body = np.delete(index, first)
-        used = np.flatnonzero(np.bincount(body, minlength=len(spelled)))
-        words = [spelled[k] for k in used.tolist()]
-        self._learn(words)
-        entry = np.zeros(len(spelled), dtype=np.int64)
-        entry[used] = np.array([*map(self.known.__getitem__, words)], dtype=np.int64)
+        used = np.flatnonzero(np.bincount(body, minlength=len(words)))
+        asked = words.take(pa.array(used))
+        at = self._at(asked)
+        if (at < 0).any():
+            self._learn(asked.filter(pa.array(at < 0)))
+            at = self._at(asked)
+        entry = np.zeros(len(words), dtype=np.int64)
+        entry[used] = at
         # For this call heads and the end are entries after all words; then all in text order.
-        pool, base = common.Pool(), len(self.pool.size)
+        pool, base = common.Pool(), len(self.words)
         pool.flat = np.concatenate([self.pool.flat, heads, [self.end]]).astype(np.int32)
         head_begin = len(self.pool.flat) + np.cumsum(many) - many
         pool.begin = np.concatenate([self.pool.begin, head_begin, [len(pool.flat) - 1]])
@@ -168,11 +177,11 @@ class Encoder:
         order = np.full(len(index) + len(counts), -1, dtype=np.int64)
         order[head_at] = base + np.arange(len(counts))
         order[last_at] = base + len(counts)
-        order[order < 0] = entry[body]
+        body = entry[body]
+        order[order < 0] = body
         ends = np.cumsum(pool.size[order])
-        self.uses = np.bincount(entry[body], minlength=base)
-        if len(self.known) > self.remembered:
-            self._forget()
+        if base > self.remembered:
+            self._forget(np.bincount(body, minlength=base))
         return pool.take(order), np.diff(ends[last_at], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -182,9 +191,8 @@ class Encoder:
         return [ids[a:b].astype("<u4").tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def _pieces(words: list[str]) -> Iterator[list[str]]:
-    for k in range(0, len(words), PIECE):
-        yield words[k : k + PIECE]
+def _bytes(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy().astype(np.int64)
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
