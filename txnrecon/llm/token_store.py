@@ -96,27 +96,30 @@ class Encoder:
         self.words = pa.concat_arrays([self.words, words])
         self.pool.add(ids, many)
 
-    def _learn(self, new: pa.Array) -> None:
-        """Remember new words. Closing marks after a letter are a piece of their own, so a word
-        with them has the ids of the bare word and those of the marks."""
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember new words; where they are. Closing marks after a letter are a piece of their own,
+        so a word with them has the ids of the bare word and those of the marks."""
         bare = pc.utf8_rtrim(new, characters=MARKS)
         ends_in_letter = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, -1))
         marked = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(new)), ends_in_letter)
-        plain = pc.if_else(marked, bare, new).unique()
-        plain = plain.filter(pa.array(self._at(plain) < 0))
-        for k in range(0, len(plain), PIECE):
-            some = plain.slice(k, PIECE)
+        coded = pc.if_else(marked, bare, new).dictionary_encode()
+        at = self._at(coded.dictionary)
+        fresh = coded.dictionary.filter(pa.array(at < 0))
+        at[at < 0] = len(self.words) + np.arange(len(fresh))
+        for k in range(0, len(fresh), PIECE):
+            some = fresh.slice(k, PIECE)
             self._add(some, *self._spaced(some))
-        words, bare = new.filter(marked), bare.filter(marked)
-        if not len(words):
-            return
-        # Marks without a space before them are entries under a name that no word has.
-        tails = pa.array([" " + w[len(b) :] for w, b in zip(words.to_pylist(), bare.to_pylist(), strict=True)], pa.string())
-        kinds = tails.unique()
-        kinds = kinds.filter(pa.array(self._at(kinds) < 0))
-        self._add(kinds, *self._ids([t[1:] for t in kinds.to_pylist()]))
-        both = np.stack([self._at(bare), self._at(tails)], axis=1)
-        self._add(words, self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1))
+        at = at[coded.indices.to_numpy()]
+        words, places = new.filter(marked), marked.to_numpy(zero_copy_only=False)
+        if len(words):
+            tails = [w[len(b) :] for w, b in zip(words.to_pylist(), bare.filter(marked).to_pylist(), strict=True)]
+            kinds = {t: len(self.words) + k for k, t in enumerate(dict.fromkeys(tails))}
+            # Marks without a space before them are entries under a name that no word has.
+            self._add(pa.array([" " + t for t in kinds], pa.string()), *self._ids([*kinds]))
+            both = np.stack([at[places], np.array([kinds[t] for t in tails])], axis=1)
+            at[places] = len(self.words) + np.arange(len(words))
+            self._add(words, self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1))
+        return at
 
     def _forget(self, uses: np.ndarray) -> None:
         """Keep the short words that the last texts used more than once."""
@@ -162,8 +165,7 @@ class Encoder:
         asked = words.take(pa.array(used))
         at = self._at(asked)
         if (at < 0).any():
-            self._learn(asked.filter(pa.array(at < 0)))
-            at = self._at(asked)
+            at[at < 0] = self._learn(asked.filter(pa.array(at < 0)))
         entry = np.zeros(len(words), dtype=np.int64)
         entry[used] = at
         # For this call heads and the end are entries after all words; then all in text order.
