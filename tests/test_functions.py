@@ -211,7 +211,7 @@ def test_usd_total_takes_the_first_usable_line(value):
 
 WIRE = (
     'pacs.008.001.08\n<CdtTrfTxInf><UETR>u-1</UETR><IntrBkSttlmAmt Ccy="USD">\n'
-    "07/11/25-13:14:15   ICMACKDEMO-0042-000777   9\n____\n2,100.00</IntrBkSttlmAmt>"
+    "12/1/99-4:5:06   AICMACKB   33\n____\n2,100.00</IntrBkSttlmAmt>"
     "<IntrBkSttlmDt>2026-05-29</IntrBkSttlmDt><Dbtr><Nm>Me</Nm></Dbtr>"
     "<DbtrAcct><Id><Othr><Id>XX12 ABCD 4189</Id></Othr></Id></DbtrAcct>"
     "<CdtrAgt><F><BICFI>abcdus33xxx</BICFI></F></CdtrAgt><CdtrAcct>z</CdtrAcct><Cdtr><Nm> ACME </Nm></Cdtr></CdtTrfTxInf>"

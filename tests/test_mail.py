@@ -141,7 +141,7 @@ def test_disposition_precedence(spark):
     assert got == {
         "a": ("booked", None, "processed"), "b": ("duplicate", None, "processed"), "c": ("review", "first", "review"),
         "d": ("skipped", None, "processed"), "e": ("deferred", None, "deferred"),
-        "f": ("review", "no record booked", "review"),
+        "f": ("review", "message_empty: no record", "review"),
     }
 
 

@@ -95,9 +95,9 @@ def test_ceiling_is_strict_and_missing_rates_defer(spark):
 def test_gate_order(spark):
     base = dict(status="paid", direction="out", amount=Decimal(1), currency="USD", merchant="m")
     cases = [
-        ({}, None), ({"status": "declined", "direction": "in"}, "status declined"), ({"status": "odd"}, "not clearly approved"),
-        ({"direction": "in", "amount": Decimal(0)}, "incoming"), ({"amount": Decimal(0), "currency": "ZZZ"}, "not positive"),
-        ({"currency": "ZZZ", "merchant": ""}, "unknown currency"), ({"merchant": " "}, "merchant is empty"),
+        ({}, None), ({"status": "declined", "direction": "in"}, "status_declined"), ({"status": "odd"}, "status_unclear"),
+        ({"direction": "in", "amount": Decimal(0)}, "direction_in"), ({"amount": Decimal(0), "currency": "ZZZ"}, "amount_not_positive"),
+        ({"currency": "ZZZ", "merchant": ""}, "currency_unknown"), ({"merchant": " "}, "merchant_empty"),
     ]
     frame = spark.createDataFrame(
         [(i, *{**base, **c}.values()) for i, (c, _) in enumerate(cases)],
@@ -140,7 +140,7 @@ def test_transfers(spark):
     assert out["ok"].review_reason is None and out["ok"].foreign_amount is None
     assert out["wire"].review_reason is None
     assert (out["wire"].source_account_id, out["wire"].foreign_amount, out["wire"].foreign_currency) == ("12", Decimal("4.5"), "EUR")
-    for key, words in {"bic": "destination", "last4": "source account", "big": "routed to review", "zero": "not positive",
+    for key, words in {"bic": "destination", "last4": "source account", "big": "routed to review", "zero": "amount_not_positive",
                        "ccy": "does not match"}.items():
         assert words in out[key].review_reason
     assert out["norate"].defer_reason is not None

@@ -88,14 +88,14 @@ def test_statement_grammar(spark, width):
 @pytest.mark.parametrize(
     ("lines", "error"),
     [
-        ([["nothing here"]], "no statement sections"),
-        ([["****-****-****-2468", "22/01/2026"]], "card row before"),
-        ([["25/01", "24/01", "0700112233", "m", "1.00"]], "transaction before any section"),
-        ([["VISA PRESTIGE USD"], ["25/01", "24/01", "0700112233", "m", "1.00"]], "before any cut date"),
-        ([*SAMPLE[2:4], ["31/02", "24/01", "0700112233", "m", "1.00"]], "invalid transaction date"),
-        ([*SAMPLE[2:4], ["25/01", "24/01", "0700112233", "m"]], "no usable amount"),
-        ([*SAMPLE[2:4], ["25/01", "24/01", "0700112233", "1.00"]], "no merchant"),
-        ([*SAMPLE[2:4], ["25/01", "24/01", "0700112233", "m", "1.00001"]], "no usable amount"),
+        ([["nothing here"]], "sections_missing"),
+        ([["****-****-****-2468", "22/01/2026"]], "card_outside_section"),
+        ([["25/01", "24/01", "0700112233", "m", "1.00"]], "txn_outside_section"),
+        ([["VISA PRESTIGE USD"], ["25/01", "24/01", "0700112233", "m", "1.00"]], "cut_date_missing"),
+        ([*SAMPLE[2:4], ["31/02", "24/01", "0700112233", "m", "1.00"]], "txn_date_invalid"),
+        ([*SAMPLE[2:4], ["25/01", "24/01", "0700112233", "m"]], "amount_unusable"),
+        ([*SAMPLE[2:4], ["25/01", "24/01", "0700112233", "1.00"]], "merchant_empty"),
+        ([*SAMPLE[2:4], ["25/01", "24/01", "0700112233", "m", "1.00001"]], "amount_unusable"),
     ],
 )
 def test_unusable_statements(spark, lines, error):

@@ -6,6 +6,9 @@ Arrow UDF finds the balanced object span in what is left.
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,29 +30,19 @@ def without_fence(col: Column) -> Column:
     return F.when(text.startswith("```"), F.regexp_replace(opened, r"```\s*\z", "")).otherwise(text)
 
 
+# What decides where an object ends: strings (an unclosed one takes the rest) and braces.
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*+"?|[{}]', re.DOTALL)
+
+
 def _span(text: str | None) -> str | None:
     """First ``{`` to its matching ``}``, braces inside JSON strings not counted."""
     begin = -1 if text is None else text.find("{")
     if begin < 0:
         return None
-    depth, quoted, at, size = 0, False, begin, len(text)
-    while at < size:
-        ch = text[at]
-        if quoted:
-            if ch == "\\":
-                at += 1
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return text[begin : at + 1]
-        at += 1
-    return None
+    marks = [(m.end(), m.group()) for m in _MARK.finditer(text, begin) if m.group() in "{}"]
+    open_after = itertools.accumulate(1 if mark == "{" else -1 for _, mark in marks)
+    end = next((at for (at, _), depth in zip(marks, open_after, strict=True) if depth == 0), None)
+    return None if end is None else text[begin:end]
 
 
 def _spans(texts: pd.Series) -> pd.Series:

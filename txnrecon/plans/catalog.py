@@ -49,7 +49,7 @@ def fx_asof_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amount_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line prices written in seven ways, read strictly, without commas, and loosely."""
-    line = views.table(spark, sf_dir, "lineitem")
+    line = views.dealt(views.table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_extendedprice"))
     plain = F.col("l_extendedprice").cast("decimal(18,2)")
     written = plain.cast("string")
     forms = [
@@ -91,7 +91,7 @@ def status_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = views.orders(spark, sf_dir).select(
         F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), _status_text().alias("said")
     )
-    documents = views.table(spark, sf_dir, "documents").select(
+    documents = views.dealt(views.table(spark, sf_dir, "documents")).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("said")
     )
     return written.unionByName(documents).select(
@@ -114,7 +114,7 @@ def merchant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link, caption and footer removal over every whole page."""
-    pages = views.table(spark, sf_dir, "pages")
+    pages = views.dealt(views.table(spark, sf_dir, "pages"))
     body = F.concat(
         F.lit("You paid\n\n\n\n<"), "url", F.lit(">\n[image: logo\nof us]\n\n"), F.replace("html", F.lit("<p>"), F.lit("<https://p>\n\n\n")),
         F.lit("\nHelp & Contact <https://end"),
@@ -127,7 +127,7 @@ def noise_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of every whole page."""
     plain = text.html_to_text("html")
-    return views.table(spark, sf_dir, "pages").select(
+    return views.dealt(views.table(spark, sf_dir, "pages")).select(
         "page_id", F.md5(plain).alias("text_md5"), F.length(plain).alias("chars")
     )
 
@@ -178,9 +178,9 @@ def transfer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REASONS = (
-    "This is NOT a recognisable forward", "there is no adapter here", "seen: already booked by a statement, 1",
-    "too much, so routed to review", "which currency?", "whose account?", "extracted no figures", "no record of it",
-    "unreadable", "an incoming (deposit/refund) sum, routed to review",
+    *(f"case {k}: {words.upper() if k % 2 else words}." for k, (words, _) in enumerate(validate.TRIGGERS)),
+    "unreadable",
+    validate.INCOMING,
 )
 HTTP_CODES = (500, 503, 408, 429, 404, 422, None)
 
@@ -369,7 +369,7 @@ def message_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's label brought to its canonical merchant by the alias rules."""
-    part = views.table(spark, sf_dir, "part")
+    part = views.dealt(views.table(spark, sf_dir, "part"))
     label = F.concat(F.lit("  Order "), "p_brand", F.lit("  "), "p_type")
     other = F.concat(F.upper("p_name"), F.lit("\t"), "p_type")
     named = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, label).otherwise(other).alias("merchant"))

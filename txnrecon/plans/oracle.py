@@ -204,12 +204,12 @@ ORACLE["validate_gates"] = with_views(
     "order_records",
     f"""
     WITH r AS (
-      SELECT *, CASE WHEN kase IN {_DECLINED} THEN 'by its status declined: ' || status
-                     WHEN kase NOT IN {_APPROVED} THEN 'by its status not clearly approved: ' || status
-                     WHEN direction = 'in' THEN 'incoming (deposit/refund) money, routed to review'
-                     WHEN amount <= 0 THEN 'the amount is not positive: 0'
-                     WHEN currency = 'XXX' THEN 'unknown currency code: XXX'
-                     WHEN merchant = ' ' THEN 'merchant is empty' END AS review_reason
+      SELECT *, CASE WHEN kase IN {_DECLINED} THEN 'status_declined: ' || status
+                     WHEN kase NOT IN {_APPROVED} THEN 'status_unclear: ' || status
+                     WHEN direction = 'in' THEN 'direction_in: incoming (deposit/refund), routed to review'
+                     WHEN amount <= 0 THEN 'amount_not_positive: 0'
+                     WHEN currency = 'XXX' THEN 'currency_unknown: XXX'
+                     WHEN merchant = ' ' THEN 'merchant_empty' END AS review_reason
       FROM order_records
     )
     SELECT o_orderkey, CASE WHEN review_reason IS NULL THEN 'booked' ELSE 'review' END AS verdict, review_reason,
@@ -223,10 +223,10 @@ ORACLE["transfer_gates"] = with_views(
     "order_records",
     """
     WITH r AS (
-      SELECT o_orderkey, CASE WHEN kase = '3F' THEN 'the transfer is of a not positive amount: 0'
-                              WHEN kase = '4F' THEN 'transfer in an unknown currency: XXX'
-                              WHEN merchant = ' ' THEN 'transfer without a description'
-                              WHEN status = '' THEN 'transfer without a key' END AS review_reason
+      SELECT o_orderkey, CASE WHEN kase = '3F' THEN 'amount_not_positive: 0'
+                              WHEN kase = '4F' THEN 'currency_unknown: XXX'
+                              WHEN merchant = ' ' THEN 'description_empty'
+                              WHEN status = '' THEN 'key_empty' END AS review_reason
       FROM order_records
     )
     SELECT o_orderkey, CASE WHEN review_reason IS NULL THEN 'booked' ELSE 'review' END AS verdict, review_reason FROM r
@@ -424,8 +424,8 @@ ORACLE["source_dispatch"] = with_views(
            CASE WHEN kase = '5P' THEN 'statement' WHEN kase IN ('5F', '3P') THEN 'skip' WHEN prio = '5' THEN 'review'
                 WHEN prio IN ('1', '2') THEN 'model' ELSE 'deterministic' END AS branch,
            CASE WHEN kase IN ('5F', '3P') THEN 'not a transaction notification'
-                WHEN kase = '5O' AND even THEN 'not a recognisable forward'
-                WHEN kase = '5O' THEN 'no adapter for the sender' END AS branch_reason
+                WHEN kase = '5O' AND even THEN 'unwrap_failed: not a recognisable forward'
+                WHEN kase = '5O' THEN 'source_unknown: no adapter' END AS branch_reason
     FROM mail
     """,
 )

@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that text is rendered from or read out of, dealt to all tasks first: a table of one
+    row group is one task however it is split, and adaptive execution sizes the partitions."""
+    return rows.hint("rebalance")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """account_id, currency, decimals: about sixty customers share an account."""
     customer = table(spark, sf_dir, "customer")
@@ -55,7 +61,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("order_date"),
         (F.col("o_orderkey") % parts).alias("p_partkey"),
     )
-    return o.join(part.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    return dealt(o.join(part.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey"))
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,12 +242,12 @@ ALERT_BODY = (
 )
 PAYMENT_BODY = (
     "You paid ${amount} USD on {day}\n\n{proof}\n\nTransaction Details\n\nTransaction ID\nP{key}\n\n"
-        "Tax zz-77 Logged on April 23, 1999\n{funding}"
+        "Our office is closed on December 26, 2001 and opens the day after\n{funding}"
 )
 WIRE_BODY = (
         "Confirmación\n<Document xmlns=\"urn:iso:std:iso:20022:tech:xsd:pacs.008.001.08\">\n<NbOfTxs>{n}</NbOfTxs>\n"
         "<CdtTrfTxInf>\n<UETR>{key}</UETR>\n<IntrBkSttlmAmt Ccy=\"USD\">\n"
-        "07/11/25-13:14:15     ICMACKDEMO-0042-000777      9\n__________\n{amount}</IntrBkSttlmAmt>\n"
+        "3/2/99-1:02:03 SHEETICMACK7 12\n____\n{amount}</IntrBkSttlmAmt>\n"
         "<IntrBkSttlmDt>{day}</IntrBkSttlmDt>\n<InstdAmt Ccy=\"{instructed}\">{amount}</InstdAmt>\n"
         "<Dbtr><Nm>Sender</Nm></Dbtr><DbtrAcct><Id><Othr><Id>XX00BANK0000{card}</Id></Othr></Id></DbtrAcct>\n"
         "<CdtrAgt><FinInstnId><BICFI>{bic}XXX</BICFI></FinInstnId></CdtrAgt>\n<Cdtr>{creditor}</Cdtr>\n"
@@ -443,7 +449,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled examples from the rated documents; the merchant is the whole text."""
-    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    d = dealt(table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id"))
     real = F.col("quality") == 1
 
     def when_real(value):
