@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrecon.functions.text import canon_merchant, let, token_containment, tokens
+from txnrecon.functions.text import canon_merchant, token_containment, tokens
 
 # Names of one block on either side; a block is what a single task compares.
 LEFT_CHUNK = 2048
 RIGHT_CHUNK = 512
+# Pairs looked at together, and characters (names times width) scored together.
+PAIRS, CELLS = 1 << 16, 1 << 20
 
 
 def jaro_winkler(left: pd.Series, right: pd.Series) -> np.ndarray:
@@ -64,7 +69,8 @@ def _jaro_winkler_batch(left: pd.Series, right: pd.Series) -> pd.Series:
     pairs = pd.DataFrame({"a": left, "b": right})
     number = pairs.groupby(["a", "b"], sort=False, dropna=False).ngroup().to_numpy()
     first = np.unique(number, return_index=True)[1]
-    return pd.Series(jaro_winkler(left.iloc[first], right.iloc[first])[number])
+    some = [side.iloc[first].fillna("").tolist() for side in (left, right)]
+    return pd.Series(_by_length(*some)[number])
 
 
 # Marked non-deterministic so that a filter on the score is not pushed below the
@@ -118,34 +124,113 @@ def score_pairs(pairs: DataFrame, a: str = "name_a", b: str = "name_b") -> DataF
     return same.unionByName(scored)
 
 
-def _features(names: DataFrame) -> DataFrame:
-    """Length, numbered characters and tokens of a name: what the bound below reads."""
-    chars = F.array_sort(F.filter(F.split("name", ""), lambda ch: ch != ""))
-
-    def numbered(in_order: Column) -> Column:
-        """The k-th use of a character becomes a number of its own."""
-        return F.transform(
-            in_order,
-            lambda ch, i: F.ascii(ch).cast("bigint") * 65536 + i - F.array_position(in_order, ch),
-        )
-
-    return names.select(
-        "*", F.length("name").alias("len"), let(chars, numbered).alias("bag"), tokens("name").alias("toks")
-    )
-
-
-def _may_reach(threshold: float) -> Column:
-    """Necessary condition for a score of at least ``threshold``.
+def _by_length(left: list[str], right: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of aligned names, those of like length together: a batch is as wide as its
+    longest name, so one long name costs itself only."""
+    out = np.zeros(len(left))
+    if not len(left):
+        return out
+    longest = np.maximum(np.fromiter(map(len, left), np.int64, len(left)), np.fromiter(map(len, right), np.int64, len(right)))
+    size = np.ceil(np.log2(np.maximum(longest, 8)))
+    order = np.argsort(size, kind="stable")
+    cuts = np.flatnonzero(np.diff(size[order])) + 1
+    for same in np.split(order, cuts):
+        most = max(1, CELLS >> int(size[same[0]]))
+        for k in range(0, len(same), most):
+            some = same[k : k + most]
+            out[some] = jaro_winkler(pd.Series([left[i] for i in some]), pd.Series([right[i] for i in some]))
+    return out
+
+
+class _Names:
+    """Distinct names of a batch: lengths, uses of each character and tokens."""
+
+    def __init__(self, names: pa.Array, tokens: pa.Array):
+        coded = names.dictionary_encode()
+        self.index = coded.indices.to_numpy()
+        self.names = coded.dictionary.to_pylist()
+        n = len(self.names)
+        flat = np.frombuffer("".join(self.names).encode("utf-32-le"), np.uint32)
+        self.size = np.fromiter(map(len, self.names), np.int64, n)
+        # Characters that fall into one class count as one: an overlap is never too small.
+        used, kind = np.unique(flat & 127, return_inverse=True)
+        owner = np.repeat(np.arange(n), self.size)
+        uses = np.bincount(owner * len(used) + kind, minlength=n * len(used)).reshape(n, len(used))
+        self.uses = uses.astype(np.min_scalar_type(int(self.size.max(initial=0))))
+        first = np.zeros(n, np.int64)
+        first[self.index[::-1]] = np.arange(len(self.index))[::-1]
+        lists = tokens.take(pa.array(first)).to_pylist()
+        number: dict[str, int] = {}
+        self.tokens = [[number.setdefault(t, len(number)) for t in some] for some in lists]
+        # A token is one of 64 marks: names without a common mark share no token.
+        self.marks = np.array([sum({1 << (t * 0x9E3779B1 >> 7 & 63) for t in some}) for some in self.tokens], np.uint64)
+
+    def containment(self, i: int, j: int) -> float:
+        a, b = self.tokens[i], self.tokens[j]
+        small, big = (a, b) if len(a) <= len(b) else (b, a)
+        held = set(big)
+        return sum(t in held for t in small) / len(small) if small else 0.0
+
+
+def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (row, left, right) positions of rows with so many names on either side, some at a time."""
+    lo, ro = np.cumsum(left) - left, np.cumsum(right) - right
+    held, size = [], 0
+    for row in np.flatnonzero((left > 0) & (right > 0)).tolist():
+        n, m = int(left[row]), int(right[row])
+        step = max(1, PAIRS // m)
+        for k in range(0, n, step):
+            some = np.arange(lo[row] + k, lo[row] + min(n, k + step))
+            held.append((np.full(len(some) * m, row), np.repeat(some, m), np.tile(np.arange(ro[row], ro[row] + m), len(some))))
+            size += len(some) * m
+            if size >= PAIRS:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _may_reach(a: _Names, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Necessary condition for a Jaro-Winkler score of at least ``threshold``.
 
     Matched characters cannot outnumber the characters two names share, so Jaro is at
     most (o/|a| + o/|b| + 1) / 3 for an overlap o, and the prefix bonus adds at most 0.4
-    of the gap to one. Containment needs a shared token.
+    of the gap to one.
     """
     jaro = threshold if threshold <= 0.7 else max(0.7, (threshold - 0.4) / 0.6)
-    overlap = F.size(F.array_intersect("l.bag", "r.bag"))
     need = max(3 * jaro - 1 - 1e-9, 0.0)
-    bound = overlap * (F.col("l.len") + F.col("r.len")) >= F.lit(need) * F.col("l.len") * F.col("r.len")
-    return (F.col("l.name") == F.col("r.name")) | bound | F.arrays_overlap("l.toks", "r.toks")
+    overlap = np.minimum(a.uses[i], a.uses[j]).sum(axis=1, dtype=np.int64)
+    return overlap * (a.size[i] + a.size[j]) >= need * a.size[i] * a.size[j]
+
+
+def _compare(threshold: float, keys: int):
+    """Blocks of names (keys, left names, right names) to the pairs that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(keys), batch.column(keys + 1)]
+            counts = [s.value_lengths().to_numpy() for s in sides]
+            flat = [s.flatten() for s in sides]
+            known = _Names(*(pa.concat_arrays([f.field(k) for f in flat]) for k in ("name", "toks")))
+            left, right = np.split(known.index, [len(flat[0])])
+            for row, i, j in _pairs(*counts):
+                i, j = left[i], right[j]
+                sharing = (known.marks[i] & known.marks[j]) != 0
+                near = _may_reach(known, i, j, threshold) | (i == j)
+                kept = np.flatnonzero(near | sharing)
+                row, i, j, near, sharing = row[kept], i[kept], j[kept], near[kept], sharing[kept]
+                score = np.zeros(len(kept))
+                score[near] = _by_length([known.names[k] for k in i[near]], [known.names[k] for k in j[near]])
+                # What reaches the threshold by its letters may still contain more of the tokens.
+                shared = [known.containment(m, n) for m, n in zip(i[sharing].tolist(), j[sharing].tolist(), strict=True)]
+                score[sharing] = np.maximum(score[sharing], shared)
+                score[i == j] = 1.0
+                kept = score >= threshold
+                names = [pa.array([known.names[k] for k in side[kept]], pa.string()) for side in (i, j)]
+                scoped = [batch.column(k).take(pa.array(row[kept])) for k in range(keys)]
+                yield pa.RecordBatch.from_arrays([*scoped, *names, pa.array(score[kept])], [*batch.schema.names[:keys], "name_a", "name_b", "score"])
+
+    return run
 
 
 def bucket_of(day: Column, window_days: int) -> Column:
@@ -172,9 +257,10 @@ def similar_names(
     """Pairs of names with a score of at least ``threshold`` that meet under ``keys``.
 
     ``left`` and ``right`` hold (keys, name). Names are made distinct first, so equal
-    rows cost nothing. A key with many names is measured and cut into a grid of blocks
-    of bounded size; every pair of names still meets in exactly one block. Pairs that
-    cannot reach the threshold are dropped inside the join.
+    rows cost nothing. The names of a key are packed into blocks, a key with many names into a
+    grid of several; a row is a pair of blocks, so names travel once per opposite block, not
+    once per pair. A task counts the characters that two names share, for all pairs of its blocks
+    at once, scores those that can reach the threshold, and hands on those that do.
 
     Returns keys, name_a, name_b, score.
     """
@@ -185,25 +271,17 @@ def similar_names(
         .join(rs.groupBy(*keys).agg(F.ceil(F.count("*") / right_chunk).alias("_cols")), keys)
     )
 
-    def placed(side: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+    def packed(side: DataFrame, own: str, own_count: str, other: str, other_count: str, out: str) -> DataFrame:
+        name = F.struct("name", tokens("name").alias("toks"))
         return (
-            _features(side)
-            .join(grid, keys)
-            .withColumn(own, F.pmod(F.xxhash64("name"), F.col(own_count)))
+            side.join(grid, keys)
+            .groupBy(*keys, F.pmod(F.xxhash64("name"), F.col(own_count)).alias(own), other_count)
+            .agg(F.collect_list(name).alias(out))
             .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_count) - 1)))
-            .drop("_rows", "_cols")
+            .drop(other_count)
         )
 
-    lb = placed(ls, "_r", "_rows", "_c", "_cols").alias("l")
-    rb = placed(rs, "_c", "_cols", "_r", "_rows").alias("r")
-    same_block = F.lit(True)
-    for k in [*keys, "_r", "_c"]:
-        same_block = same_block & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    met = lb.join(rb, same_block & _may_reach(threshold)).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys],
-        F.col("l.name").alias("name_a"),
-        F.col("r.name").alias("name_b"),
-        token_containment(F.col("l.toks"), F.col("r.toks")).alias("_shared"),
-    )
-    scored = met.withColumn("score", F.greatest(jaro_winkler_udf("name_a", "name_b"), "_shared")).drop("_shared")
-    return scored.where(F.col("score") >= threshold)
+    met = packed(ls, "_r", "_rows", "_c", "_cols", "_left").join(packed(rs, "_c", "_cols", "_r", "_rows", "_right"), [*keys, "_r", "_c"])
+    blocks = met.select(*keys, "_left", "_right")
+    schema = T.StructType([*blocks.select(*keys).schema, *T._parse_datatype_string("name_a string, name_b string, score double")])
+    return blocks.mapInArrow(_compare(threshold, len(keys)), schema)
