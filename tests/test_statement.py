@@ -63,9 +63,9 @@ def rows_of(spark, lines, stmt=1):
     return spark.createDataFrame(data, schema.TEXT_ROWS)
 
 
-@pytest.mark.parametrize("width", [2, 1000])
-def test_statement_grammar(spark, width):
-    context = statement.contextual(rows_of(spark, SAMPLE), width=width)
+@pytest.mark.parametrize("parts", [None, 2, 7])
+def test_statement_grammar(spark, parts):
+    context = statement.contextual(rows_of(spark, SAMPLE), parts)
     sections = {r.section_no: r for r in statement.sections(context).collect()}
     assert [(s.currency, s.last4, s.cut_date) for s in (sections[1], sections[2])] == [
         ("DOP", "2468", D(2026, 1, 22)), ("USD", "2468", D(2026, 1, 22)),
@@ -119,6 +119,59 @@ def test_row_grouping_equals_the_fold(spark):
     assert [[c.text for c in r.cells] for r in got] == [t for _, t in brute.group_runs([(x, y, n, t) for _, _, n, x, y, t in runs])]
 
 
+def test_pages_over_many_tasks(spark):
+    rng = random.Random(4)
+    runs = [(1, p, i, 0.0, round(rng.uniform(0, 300 if p < 3 else 3), 1), "t") for p in (1, 2, 3) for i in range(900)]
+    frame = spark.createDataFrame(runs, schema.TEXT_RUNS)
+    one, many = ({(r.page, r.y): r.anchor for r in statement.row_anchors(frame, parts=n).collect()} for n in (1, 9))
+    want = {}
+    for page in (1, 2, 3):
+        anchor = None
+        for y in sorted({r[4] for r in runs if r[1] == page}, reverse=True):
+            anchor = y if anchor is None or anchor - y > statement.ROW_TOLERANCE else anchor
+            want[page, y] = anchor
+    assert one == many == want
+
+
+def test_statements_over_many_tasks(spark):
+    """One long statement and many short ones, with sparse row numbers, against a plain fold."""
+    rng = random.Random(5)
+    kinds = ["title", "card", "txn", "balance_label", "balance_value", "ignored"]
+    rows = []
+    for stmt in range(1, 40):
+        at = 0
+        for _ in range(600 if stmt == 20 else rng.randint(1, 12)):
+            at += rng.randint(1, 10 ** rng.randint(1, 9))
+            kind = rng.choice(kinds)
+            rows.append((stmt, at, kind, rng.choice(["DOP", "USD"]) if kind == "title" else None, D(2026, 1, rng.randint(1, 28)) if kind == "card" else None))
+    frame = spark.createDataFrame(rows, "stmt_id long, row_no long, kind string, title_currency string, card_cut date")
+    want, state = {}, None
+    for stmt, at, kind, title, cut in rows:
+        if state is None or state["stmt"] != stmt:
+            state = dict(stmt=stmt, currency=None, card=None, section=0, txn=0, cut=None, armed=False)
+        opens = armed = False
+        if kind == "title":
+            state["currency"] = title
+        elif kind == "card":
+            state["cut"] = cut
+            opens = state["currency"] is not None and state["currency"] != state["card"]
+            state["section"] += opens
+            state["card"] = state["currency"] or state["card"]
+        elif kind == "txn":
+            state["txn"] += 1
+        elif kind == "balance_label":
+            state["armed"] = True
+        elif kind == "balance_value" and state["section"]:
+            armed, state["armed"] = state["armed"], False
+        want[stmt, at] = (state["currency"], state["cut"], state["section"], state["txn"], opens, armed)
+    for parts in (1, 11):
+        got = {
+            (r.stmt_id, r.row_no): (r.section_currency, r.cut_date, r.section_no, r.txn_no, r.opens_section, r.is_balance)
+            for r in statement.fold(frame, parts).collect()
+        }
+        assert got == want
+
+
 def plan_inputs(spark):
     dims = spark.createDataFrame(
         [("account", "banco_popular_usd", "7"), ("account", "banco_popular_paying_usd", "8")], schema.DIMS

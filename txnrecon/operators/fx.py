@@ -90,13 +90,15 @@ def account_targets(df: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def convert(df: DataFrame) -> DataFrame:
     """Amount in the account currency, half-even at its decimals; the original becomes
-    the foreign leg when the currencies differ."""
+    the foreign leg when the currencies differ. A product that can't be held defers the record."""
     same = F.upper("currency") == F.upper("account_currency")
     places = F.coalesce("account_decimals", F.lit(DEFAULT_DECIMALS))
+    priced = ~same & F.col("amount").isNotNull() & F.col("rate").isNotNull()
     converted = round_half_even(times(F.col("amount"), F.col("rate")), places)
     reason = F.coalesce(
         F.col("defer_reason") if "defer_reason" in df.columns else F.lit(None).cast("string"),
-        F.when(~same & F.col("amount").isNotNull() & F.col("rate").isNotNull() & ~places.isin(*PLACES), "unsupported account decimals"),
+        F.when(priced & ~places.isin(*PLACES), "unsupported account decimals"),
+        F.when(priced & converted.isNull(), "amount_out_of_range"),
     )
     return df.select(
         *[c for c in df.columns if c != "defer_reason"],

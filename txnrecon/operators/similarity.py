@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ LEFT_CHUNK = 2048
 RIGHT_CHUNK = 512
 # Pairs looked at together, and characters (names times width) scored together.
 PAIRS, CELLS = 1 << 16, 1 << 20
+# Pairs that one task looks at.
+TASK_PAIRS = 1 << 21
+# Longest name whose places are the bits of one word, entries of a table of them, tokens compared at once.
+WORD, MASKS, FEW = 64, 1 << 23, 8
 
 
 def jaro_winkler(left: pd.Series, right: pd.Series) -> np.ndarray:
@@ -143,7 +148,7 @@ def _by_length(left: list[str], right: list[str]) -> np.ndarray:
 
 
 class _Names:
-    """Distinct names of a batch: lengths, uses of each character and tokens."""
+    """Distinct names of a batch: lengths, uses and places of each character, and tokens."""
 
     def __init__(self, names: pa.Array, tokens: pa.Array):
         coded = names.dictionary_encode()
@@ -152,24 +157,94 @@ class _Names:
         n = len(self.names)
         flat = np.frombuffer("".join(self.names).encode("utf-32-le"), np.uint32)
         self.size = np.fromiter(map(len, self.names), np.int64, n)
-        # Characters that fall into one class count as one: an overlap is never too small.
-        used, kind = np.unique(flat & 127, return_inverse=True)
+        chars, kind = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.arange(n), self.size)
-        uses = np.bincount(owner * len(used) + kind, minlength=n * len(used)).reshape(n, len(used))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        # Beyond 128 characters, those that fall into one class count as one: an overlap is never too small.
+        classes = min(len(chars), 128)
+        uses = np.bincount(owner * classes + kind % max(classes, 1), minlength=n * classes).reshape(n, classes)
         self.uses = uses.astype(np.min_scalar_type(int(self.size.max(initial=0))))
+        # Characters by place, with one that none is at the end, and the places of each as bits.
+        short = place < WORD
+        self.codes = np.full((n, WORD), len(chars), np.int32)
+        self.codes[owner[short], place[short]] = kind[short]
+        self.fits = (self.size <= WORD) & (n * (len(chars) + 1) <= MASKS)
+        self.places = np.zeros((n, len(chars) + 1) if n * (len(chars) + 1) <= MASKS else (0, 0), np.uint64)
+        if self.places.size:
+            np.bitwise_or.at(self.places, (owner[short], kind[short]), np.uint64(1) << place[short].astype(np.uint64))
         first = np.zeros(n, np.int64)
         first[self.index[::-1]] = np.arange(len(self.index))[::-1]
         lists = tokens.take(pa.array(first)).to_pylist()
         number: dict[str, int] = {}
         self.tokens = [[number.setdefault(t, len(number)) for t in some] for some in lists]
+        self.parts = np.fromiter(map(len, self.tokens), np.int64, n)
         # A token is one of 64 marks: names without a common mark share no token.
         self.marks = np.array([sum({1 << (t * 0x9E3779B1 >> 7 & 63) for t in some}) for some in self.tokens], np.uint64)
+        self.listed = np.full((n, FEW), -1, np.int32)
+        for k, some in enumerate(self.tokens):
+            self.listed[k, : len(some)] = some[:FEW]
+
+    def containment(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Share of the shorter token list that the other has; the left one's if they are as long."""
+        swap = self.parts[i] > self.parts[j]
+        small, big = np.where(swap, j, i), np.where(swap, i, j)
+        out = np.zeros(len(i))
+        few = self.parts[big] <= FEW
+        found = np.zeros(int(few.sum()), np.int64)
+        for k in range(FEW):
+            asked = self.listed[small[few], k]
+            found += (asked >= 0) & (self.listed[big[few]] == asked[:, None]).any(axis=1)
+        out[few] = found / np.maximum(self.parts[small[few]], 1)
+        for k in np.flatnonzero(~few).tolist():
+            held = set(self.tokens[big[k]])
+            out[k] = sum(t in held for t in self.tokens[small[k]]) / max(len(self.tokens[small[k]]), 1)
+        return out
+
+    def jaro_winkler(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """``jaro_winkler`` of pairs of names: places of one word's bits each, or else of arrays."""
+        out = np.zeros(len(i))
+        bits = self.fits[i] & self.fits[j]
+        out[bits] = self._by_bits(i[bits], j[bits])
+        rest = np.flatnonzero(~bits)
+        out[rest] = _by_length([self.names[k] for k in i[rest]], [self.names[k] for k in j[rest]])
+        return out
 
-    def containment(self, i: int, j: int) -> float:
-        a, b = self.tokens[i], self.tokens[j]
-        small, big = (a, b) if len(a) <= len(b) else (b, a)
-        held = set(big)
-        return sum(t in held for t in small) / len(small) if small else 0.0
+    def _by_bits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        order = np.argsort(-self.size[i], kind="stable")
+        i, j = i[order], j[order]
+        la, lb = self.size[i], self.size[j]
+        one = np.uint64(1)
+        reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+        used, hits = np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+        # Names are in order of their length, so a place concerns the first ``n`` of them.
+        many = [int((la > at).sum()) for at in range(int(la.max(initial=0)))]
+        for at, n in enumerate(many):
+            low = np.maximum(at - reach[:n], 0).astype(np.uint64)
+            high = np.minimum(at + reach[:n], WORD - 1).astype(np.uint64)
+            near = ((np.uint64(2) << high) - one) & ~((one << low) - one)
+            free = self.places[j[:n], self.codes[i[:n], at]] & near & ~used[:n]
+            taken = free & (~free + one)
+            used[:n] |= taken
+            hits[:n] |= (taken != 0).astype(np.uint64) << np.uint64(at)
+        matches = np.bitwise_count(used).astype(np.int64)
+        left, differ = used.copy(), np.zeros(len(i), np.int64)
+        for at, n in enumerate(many):
+            hit = hits[:n] >> np.uint64(at) & one != 0
+            next_ = left[:n] & (~left[:n] + one)
+            differ[:n] += hit & (next_ & self.places[j[:n], self.codes[i[:n], at]] == 0)
+            left[:n] ^= np.where(hit, next_, np.uint64(0))
+        m = np.maximum(matches, 1)
+        jaro = (matches / np.maximum(la, 1) + matches / np.maximum(lb, 1) + (matches - differ // 2) / m) / 3.0
+        jaro = np.where(matches == 0, np.where((la == 0) & (lb == 0), 1.0, 0.0), jaro)
+        out = np.empty(len(i))
+        out[order] = np.where(jaro > 0.7, jaro + 0.1 * self.prefix(i, j) * (1.0 - jaro), jaro)
+        return out
+
+    def prefix(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Characters, four at most, that two names begin with."""
+        inside = np.arange(4)[None, :] < np.minimum(self.size[i], self.size[j])[:, None]
+        same = (self.codes[i, :4] == self.codes[j, :4]) & inside
+        return np.cumprod(same, axis=1).sum(axis=1)
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -190,17 +265,20 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def _may_reach(a: _Names, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+def _may_reach(names: _Names, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Necessary condition for a Jaro-Winkler score of at least ``threshold``.
 
     Matched characters cannot outnumber the characters two names share, so Jaro is at
-    most (o/|a| + o/|b| + 1) / 3 for an overlap o, and the prefix bonus adds at most 0.4
-    of the gap to one.
+    most (o/|a| + o/|b| + 1) / 3 for an overlap o. The prefix bonus closes a tenth of the
+    gap to one for each common first character, above 0.7 only.
     """
-    jaro = threshold if threshold <= 0.7 else max(0.7, (threshold - 0.4) / 0.6)
-    need = max(3 * jaro - 1 - 1e-9, 0.0)
-    overlap = np.minimum(a.uses[i], a.uses[j]).sum(axis=1, dtype=np.int64)
-    return overlap * (a.size[i] + a.size[j]) >= need * a.size[i] * a.size[j]
+    jaro = np.full(len(i), threshold)
+    if threshold > 0.7:
+        bonus = 0.1 * names.prefix(i, j)
+        jaro = np.maximum(0.7, (threshold - bonus) / (1 - bonus))
+    need = np.maximum(3 * jaro - 1 - 1e-9, 0.0)
+    overlap = np.minimum(names.uses[i], names.uses[j]).sum(axis=1, dtype=np.int64)
+    return overlap * (names.size[i] + names.size[j]) >= need * names.size[i] * names.size[j]
 
 
 def _compare(threshold: float, keys: int):
@@ -220,10 +298,8 @@ def _compare(threshold: float, keys: int):
                 kept = np.flatnonzero(near | sharing)
                 row, i, j, near, sharing = row[kept], i[kept], j[kept], near[kept], sharing[kept]
                 score = np.zeros(len(kept))
-                score[near] = _by_length([known.names[k] for k in i[near]], [known.names[k] for k in j[near]])
-                # What reaches the threshold by its letters may still contain more of the tokens.
-                shared = [known.containment(m, n) for m, n in zip(i[sharing].tolist(), j[sharing].tolist(), strict=True)]
-                score[sharing] = np.maximum(score[sharing], shared)
+                score[near] = known.jaro_winkler(i[near], j[near])
+                score[sharing] = np.maximum(score[sharing], known.containment(i[sharing], j[sharing]))
                 score[i == j] = 1.0
                 kept = score >= threshold
                 names = [pa.array([known.names[k] for k in side[kept]], pa.string()) for side in (i, j)]
@@ -267,14 +343,20 @@ def similar_names(
     ls, rs = (side.select(*keys, "name").distinct() for side in (left, right))
     grid = (
         ls.groupBy(*keys)
-        .agg(F.ceil(F.count("*") / left_chunk).alias("_rows"))
-        .join(rs.groupBy(*keys).agg(F.ceil(F.count("*") / right_chunk).alias("_cols")), keys)
+        .agg(F.count("*").alias("_n"))
+        .join(rs.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+        .select(
+            *keys, F.ceil(F.col("_n") / left_chunk).alias("_rows"), F.ceil(F.col("_m") / right_chunk).alias("_cols"),
+            (F.col("_n").cast("double") * F.col("_m")).alias("_pairs"),
+        )
     )
+    # Blocks are few bytes and much work: their number of tasks follows the pairs, not the bytes.
+    tasks = math.ceil((grid.agg(F.sum("_pairs")).first()[0] or 0) / TASK_PAIRS)
 
     def packed(side: DataFrame, own: str, own_count: str, other: str, other_count: str, out: str) -> DataFrame:
         name = F.struct("name", tokens("name").alias("toks"))
         return (
-            side.join(grid, keys)
+            side.join(grid.drop("_pairs"), keys)
             .groupBy(*keys, F.pmod(F.xxhash64("name"), F.col(own_count)).alias(own), other_count)
             .agg(F.collect_list(name).alias(out))
             .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_count) - 1)))
@@ -282,6 +364,6 @@ def similar_names(
         )
 
     met = packed(ls, "_r", "_rows", "_c", "_cols", "_left").join(packed(rs, "_c", "_cols", "_r", "_rows", "_right"), [*keys, "_r", "_c"])
-    blocks = met.select(*keys, "_left", "_right")
+    blocks = met.repartition(max(1, tasks), *keys, "_r", "_c").select(*keys, "_left", "_right")
     schema = T.StructType([*blocks.select(*keys).schema, *T._parse_datatype_string("name_a string, name_b string, score double")])
     return blocks.mapInArrow(_compare(threshold, len(keys)), schema)

@@ -70,7 +70,7 @@ def decide(
     )
     new = charges.join(found.where("outcome = 'book_new'").select(*keyed, F.col("charge_id")), [*keyed, "charge_id"])
     payments = _book_payments(routed.where("direction = 'in'"), rates, dims, max_usd, dop_rates)
-    booked = _book_once(_book_charges(new, rates, max_usd, dop_rates).unionByName(payments), journals)
+    booked = _book_once(materialize(_book_charges(new, rates, max_usd, dop_rates).unionByName(payments)), journals)
     failed = broken.select(
         "stmt_id", F.lit(0).cast("bigint").alias("section_no"), F.lit(None).cast("string").alias("reference"),
         F.lit("review").alias("outcome"), F.col("parse_error").alias("reason"),
@@ -113,6 +113,7 @@ def _book_charges(new: DataFrame, rates: DataFrame, max_usd: Decimal | None, dop
     waits = F.col("review_reason").isNull() & F.col("defer_reason").isNotNull()
     return checked.select(
         *SCOPE,
+        F.col("charge_id").alias("txn_no"),
         "reference",
         "external_id",
         F.when(waits, "deferred").when(reason.isNotNull(), "review").otherwise("booked_new").alias("outcome"),
@@ -131,6 +132,7 @@ def _book_payments(
     waits = F.col("defer_reason").isNotNull()
     return routed.select(
         *SCOPE,
+        "txn_no",
         "reference",
         "external_id",
         F.when(waits, "deferred").when(reason.isNotNull(), "review").otherwise("payments_booked").alias("outcome"),
@@ -139,15 +141,20 @@ def _book_payments(
 
 
 def _book_once(decided: DataFrame, journals: DataFrame) -> DataFrame:
-    """Bookings whose key the ledger holds become reconciled; other outcomes stay."""
+    """Bookings whose key the ledger holds become reconciled, and so does all but the first of those
+    that share a key in this run; other outcomes stay."""
     held = (
         journals.where(F.col("external_id").startswith(STATEMENT_PREFIX))
         .select("external_id", F.lit(True).alias("_held"))
         .distinct()
     )
-    again = F.col("_held") & F.col("outcome").isin("booked_new", "payments_booked")
+    books = F.col("outcome").isin("booked_new", "payments_booked")
+    place = F.struct(*SCOPE, "txn_no")
+    first = decided.where(books).groupBy("external_id").agg(F.min(place).alias("_first"))
+    again = books & (F.coalesce("_held", F.lit(False)) | (place > F.col("_first")))
     outcome = F.when(again, "reconciled").otherwise(F.col("outcome"))
-    return decided.join(held, "external_id", "left").select(*SCOPE, "reference", outcome.alias("outcome"), "reason")
+    met = decided.join(held, "external_id", "left").join(first, "external_id", "left")
+    return met.select(*SCOPE, "reference", outcome.alias("outcome"), "reason")
 
 
 def report(
