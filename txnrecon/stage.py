@@ -4,6 +4,7 @@ storage every executor can reach."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a stage once and keep it in the shared folder, where it outlives executors."""
+    """Compute a stage once, as Parquet in the shared folder, where it outlives executors. Readers
+    take the columns they need and the sizes that were written; the folder may be deleted once a
+    job has ended."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stages/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
