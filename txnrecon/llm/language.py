@@ -239,12 +239,21 @@ class Models:
 
 
 def sample(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_lang: int, chars: int) -> DataFrame:
-    """lang, text: at most ``per_lang`` texts of each language, of at most ``chars`` characters."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars)).select(
+    """lang, nth, text: at most ``per_lang`` texts of each language, drawn by a hash, rows that repeat
+    one another once; of a text of more than ``chars`` characters, four stretches spread over it."""
+    known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(doc_id, common.text_key(text)).alias("turn"), F.col(text).alias("text")
     )
-    by = Window.partitionBy("lang").orderBy("turn", "text")
-    return rows.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= per_lang)
+    # Picked by hash alone; texts are met afterwards, by the few that were picked.
+    by = Window.partitionBy("lang").orderBy("turn")
+    picked = known.select("lang", "turn").distinct().withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= per_lang)
+    picked = common.narrow(common.written(picked, "picked"))
+    part = chars // 4
+    step = F.floor((F.length("text") - part) / 3).cast("int")
+    pieces = [F.substring(F.col("text"), F.lit(1) + k * step, F.lit(part)) for k in range(4)]
+    some = F.when(F.length("text") > chars, F.concat_ws(" ", *pieces)).otherwise(F.col("text"))
+    met = known.join(picked, ["lang", "turn"]).select("lang", "nth", some.alias("text"))
+    return met.groupBy("lang", "nth").agg(F.min("text").alias("text"))
 
 
 def fit(
@@ -258,7 +267,7 @@ def fit(
     chars: int = SAMPLE_CHARS,
 ) -> Models | None:
     """Fit on the rows that ``learn`` selects; None if none has a language. At most ``per_lang``
-    texts of ``chars`` characters per language come to the driver."""
+    texts of about ``chars`` characters per language come to the driver."""
     rows = sample(docs, learn, doc_id, text, lang, per_lang, chars).orderBy("lang", "nth").collect()
     counts: dict[str, Counter] = {}
     for r in rows:
