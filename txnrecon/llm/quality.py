@@ -227,10 +227,14 @@ def fit(
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & learn).select(
         F.col(doc_id).cast("long").alias("_id"), (F.col(label) > 0).cast("int").alias("_y")
     )
-    chosen = common.written(chosen.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows), "labels")
     known = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    # Labels that no row of docs has take no place.
+    present = known.select("_id").distinct().join(common.narrow(common.written(chosen.distinct(), "labels")), "_id")
+    drawn = F.xxhash64("_id")
+    chosen = common.written(present.orderBy(drawn, "_id", "_y").limit(rows), "labels")
     joined = known.join(F.broadcast(chosen), "_id")
-    found = features(joined, ["_id", "_y"], "_text").orderBy("_id", "_y").limit(2 * rows).collect()
+    # Rows may share an id: at most twice as many are read, ids in the order drawn.
+    found = features(joined, ["_id", "_y"], "_text").orderBy(drawn, "_id", "_y", "x").limit(2 * rows).collect()
     x = np.array([r["x"] for r in found], dtype=np.float64).reshape(-1, len(FEATURES))
     return fit_table(x, np.array([r["_y"] for r in found], dtype=np.float64))
 
