@@ -26,6 +26,8 @@ from txnrecon.llm import common
 
 #: Tokens of a chunk; a longer document is a chunk of its own.
 CHUNK_TOKENS = 1_500_000
+#: Tokens a bucket of n-grams is cut for: buckets grow with the corpus.
+BUCKET_TOKENS = 16_000_000
 #: Buckets of context frequency: unseen, 1, 2-3, 4-7 and so on.
 CONTEXTS = 33
 #: Steps per power of two in which held-out estimates are gathered for EM.
@@ -174,7 +176,7 @@ def _answer(bucket: pa.Table) -> pa.Table:
     keys = [np.cumsum(_unpack(b, np.uint64), dtype=np.uint64) for b in bucket.column("keys").to_pylist()]
     trained = [_unpack(b, np.uint32) for b in bucket.column("trained").to_pylist()]
     kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(trained), minlength=len(kinds)).astype(np.uint32)
+    total = np.bincount(inverse, weights=np.concatenate(trained), minlength=len(kinds)).astype(np.uint64)
     cuts = np.cumsum([0, *map(len, keys)])
     types = np.zeros(len(keys), dtype=np.int64)
     types[0] = (total > 0).sum()
@@ -194,7 +196,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_id, train, sizes, ids, hashes, answers = (c[i] for c in batch.columns)
             own = _Chunk(np.array(train.as_py(), dtype=bool), sizes.values.to_numpy(), ids.as_py(), hashes.as_py())
             given = sorted(answers.as_py(), key=lambda a: (a["kind"], a["bucket"]))
-            counts = [np.concatenate([_unpack(a["counts"], np.uint32) for a in given if a["kind"] == k]) for k in (0, 1)]
+            counts = [np.concatenate([_unpack(a["counts"], np.uint64) for a in given if a["kind"] == k]) for k in (0, 1)]
             blobs = [_pack(counts[k][own.places[k]]) for k in (0, 1)]
             columns = [doc_id.as_py()], [train.as_py()], [sizes.as_py()], [blobs[0]], [blobs[1]]
             types = pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()
@@ -206,8 +208,8 @@ def _counts(batch: pa.RecordBatch, i: int, begun: int) -> tuple[np.ndarray, ...]
     """sizes, train flag, and per token the counts of its context, bigram and unigram."""
     sizes = batch.column("sizes")[i].values.to_numpy()
     train = np.array(batch.column("train")[i].as_py(), dtype=bool)
-    one = _unpack(batch.column("unigrams")[i].as_py(), np.uint32).astype(np.float64)
-    two = _unpack(batch.column("bigrams")[i].as_py(), np.uint32).astype(np.float64)
+    one = _unpack(batch.column("unigrams")[i].as_py(), np.uint64).astype(np.float64)
+    two = _unpack(batch.column("bigrams")[i].as_py(), np.uint64).astype(np.float64)
     context = np.concatenate(([0.0], one[:-1]))
     context[np.cumsum(sizes) - sizes] = begun
     return sizes, train, context, two, one
@@ -292,15 +294,18 @@ def score(
 
     ``learn`` says which rows are counted. A null or empty text is one end token. With nothing to
     learn from, every token has probability one. Repeated rows count and are scored each; null
-    ids stay null. Counts are of 64-bit hashes, up to 2^32 - 1 each.
+    ids stay null. Counts are of 64-bit hashes, exact up to 2^53.
+    Estimates are mixed from bigrams, unigrams and a uniform one.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = common.written(chunks(docs, learn, doc_id, text, tokens), "chunks")
-    begun, total = packed.agg(
-        F.sum(F.size(F.filter("train", lambda t: t))).cast("long"), F.sum("trained")
+    begun, total, each = packed.agg(
+        F.sum(F.size(F.filter("train", lambda t: t))).cast("long"),
+        F.sum("trained"),
+        F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, size: n + size)),
     ).first()
     begun, total = begun or 0, total or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(each or 0) // BUCKET_TOKENS))
     asked = packed.select("chunk", "train", "sizes", "ids", "hashes").mapInArrow(_requests(buckets), REQUEST)
     answers = common.written(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER), "answers")
     types = answers.where("kind = 0").agg(F.sum("types")).first()[0] or 0
