@@ -479,3 +479,27 @@ def test_windows_cover_every_word():
     for k, (at, n) in enumerate(((0, 0), (0, 1), (1, 24), (25, 25), (50, 100))):
         starts = first[owner == k] - at
         assert set(range(n)) <= {s + d for s in starts for d in range(toxicity.WINDOW)} and (end[owner == k] == at + n).all()
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rows = [(k, f"the house and the garden of number {k}", "en") for k in range(40)]
+    rows += [(100 + k, f"das Haus und der Garten der Nummer {k} " * 800, "de") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.fit(docs, F.lit(True))
+    assert models.langs == ["de", "en"]
+    found = language.sample(docs, F.lit(True), "doc_id", "text", "lang", 300, 20_000).collect()
+    assert len(found) == 80 and max(len(r.text) for r in found) <= 20_003
+
+
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(k, f"fine text {k}" if k % 2 else f"BAD!!! {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(10_000 + k, 1) for k in range(3_000)], "doc_id long, quality int")
+    few = quality.fit(docs, labels, F.lit(True), rows=60)
+    all_ = quality.fit(docs, labels.where("doc_id < 100"), F.lit(True), rows=60)
+    assert few.scores(np.zeros((1, len(quality.FEATURES)))).tolist() == all_.scores(np.zeros((1, len(quality.FEATURES)))).tolist()
+
+
+def test_counts_do_not_wrap():
+    big = np.uint64(1) << np.uint64(40)
+    packed = interpolate._pack(np.array([big], dtype=np.uint64))
+    assert interpolate._unpack(packed, np.uint64)[0] == big
