@@ -70,8 +70,15 @@ def arrow_schema(ddl: str):
 
 
 def per_worker(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
-    return vars(sys).setdefault("_txnrecon_llm", {}).setdefault(name, {})
+    """A dictionary that lives as long as the Python worker, across its tasks, until another
+    operator's is asked for: a worker that goes on to the next stage keeps nothing of the last."""
+    kept = vars(sys).setdefault("_txnrecon_llm", {})
+    if name not in kept:
+        import pyarrow as pa
+
+        kept.clear()
+        pa.default_memory_pool().release_unused()
+    return kept.setdefault(name, {})
 
 
 def columns_like(df: DataFrame, *names: str) -> list[str]:
