@@ -4,8 +4,8 @@ A word enters as the sum of its own vector (words of the labelled sample; one sh
 others) and the mean vector of its character trigrams. A window of words is read in both
 directions by gated recurrent units, attention pools their states, and a logistic unit gives the
 window's probability. A text's score is that of its most toxic window. Windows of 24 words overlap
-by 16 (one at every word would cost eight times the budgeted time), so that any passage of up to 17
-words lies whole in one; a longer one lies in several. Labels belong to whole texts, so training alternates: all windows first, then the most
+by 12 (a window at every word would cost many times the budgeted time), so that any passage of up
+to 13 words lies whole in one; a longer one lies in several. Labels belong to whole texts, so training alternates: all windows first, then the most
 toxic windows that the present model finds.
 """
 
@@ -25,7 +25,7 @@ from txnrecon.llm import common
 
 #: Labelled rows that the network is trained on, toxic and harmless; the bytes they bring on average at most.
 SAMPLE, SAMPLE_BYTES = (800, 2_400), 6_000
-WINDOW, STRIDE = 24, 8
+WINDOW, STRIDE = 24, 12
 VECTOR, STATE, ATTEND = 12, 8, 6
 TRIGRAMS = 1 << 13
 #: A word has a vector of its own from this share of the labelled texts on, and from so many.
