@@ -34,13 +34,15 @@ SCHEMA = "shard int, doc_id long, position long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
 #: Words whose ids a Python worker remembers, and their letters at most.
-REMEMBERED, WORD = 500_000, 64
+REMEMBERED, WORD = 700_000, 64
 #: Words encoded in one piece, and bytes of text worked on at once.
-RUN, SLICE = 512, 4 << 20
+RUN, SLICE = 512, 8 << 20
 #: Words encoded in one call.
 PIECE = 32_768
-#: Marks that never join the letters before them.
-MARKS = ".,!?;:"
+#: Marks that never join the letters before them (an apostrophe may).
+MARKS = ".,!?;:#$%&*+-/=@^_`~()[]{}<>|\"\\"
+#: Two words parted by a line's end and nothing else.
+LINE = r"^[^\s]*[\p{L}\p{N}.,!?;:]\n[\p{L}\p{N}][^\s]*$"
 
 #: A space that simply parts two words.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -62,31 +64,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.remembered = end_id, remembered
-        # Words and, in the same order, their ids.
-        self.words, self.pool = pa.array([], pa.string()), common.Pool()
+        # Words and, in the same order, their ids and how often they were used of late.
+        self.words, self.pool, self.uses = pa.array([], pa.string()), common.Pool(), np.zeros(0, np.int64)
         # Bytes that an id stands for: a byte-level vocabulary writes each as one character.
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for piece, number in vocabulary.items():
             self.width[number] = len(piece)
+        self.marks = MARKS
         for number, added in self.tokenizer.get_added_tokens_decoder().items():
             self.width[number] = len(added.content.encode())
+            # Nothing is cut within an added token.
+            self.marks = "".join(m for m in self.marks if m not in added.content)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([*itertools.chain.from_iterable(found)], dtype=np.int32), np.array([*map(len, found)], dtype=np.int64)
 
-    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, each with a leading space, and how many each has. Words are encoded many
-        in one piece, which is cut where the bytes of a word end; where that fails, one by one."""
+    def _joined(self, words: pa.Array, between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each after a space or a line's end, and how many each has. Words are encoded
+        many in one piece, which is cut where the bytes of a word end; where that fails, one by one."""
         spelled, ends = words.to_pylist(), np.cumsum(_bytes(words) + 1)
-        ids, many = self._ids([" " + " ".join(spelled[k : k + RUN]) for k in range(0, len(spelled), RUN)])
+        ids, many = self._ids([between + between.join(spelled[k : k + RUN]) for k in range(0, len(spelled), RUN)])
         reached = np.cumsum(self.width[ids])
         cuts = np.searchsorted(reached, ends)
         if len(reached) and cuts[-1] == len(reached) - 1 and np.array_equal(reached[cuts], ends):
             return ids, np.diff(cuts, prepend=-1)
-        return self._ids([" " + w for w in spelled])
+        return self._ids([between + w for w in spelled])
 
     def _at(self, words: pa.Array) -> np.ndarray:
         """Where words are remembered, or -1."""
@@ -97,18 +102,40 @@ class Encoder:
         self.pool.add(ids, many)
 
     def _learn(self, new: pa.Array) -> np.ndarray:
-        """Remember new words; where they are. Closing marks after a letter are a piece of their own,
-        so a word with them has the ids of the bare word and those of the marks."""
-        bare = pc.utf8_rtrim(new, characters=MARKS)
+        """Remember new words; where they are. A line's end between two words is a piece of its own, so
+        such a word has the ids of its first half and those of the line's end with the second half."""
+        lines = pc.match_substring_regex(new, LINE)
+        places = lines.to_numpy(zero_copy_only=False)
+        if not places.any():
+            return self._units(new)
+        halves = pc.split_pattern(new.filter(lines), "\n").flatten()
+        before, after = halves.take(pa.array(np.arange(0, len(halves), 2))), halves.take(pa.array(np.arange(1, len(halves), 2)))
+        after = pc.binary_join_element_wise("", after, "\n")
+        coded = pa.concat_arrays([new.filter(pc.invert(lines)), before, after]).dictionary_encode()
+        at = self._units(coded.dictionary)[coded.indices.to_numpy()]
+        plain = len(new) - len(before)
+        both = at[plain:].reshape(2, -1).T
+        found = np.empty(len(new), dtype=np.int64)
+        found[~places], found[places] = at[:plain], len(self.words) + np.arange(len(before))
+        self._add(new.filter(lines), self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1))
+        return found
+
+    def _units(self, new: pa.Array) -> np.ndarray:
+        """Remember new words, those that begin with a line's end included. Closing marks after a letter
+        are a piece of their own, so a word with them has the ids of the bare word and those of the marks."""
+        bare = pc.utf8_rtrim(new, characters=self.marks) if self.marks else new
         ends_in_letter = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, -1))
         marked = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(new)), ends_in_letter)
         coded = pc.if_else(marked, bare, new).dictionary_encode()
         at = self._at(coded.dictionary)
-        fresh = coded.dictionary.filter(pa.array(at < 0))
-        at[at < 0] = len(self.words) + np.arange(len(fresh))
-        for k in range(0, len(fresh), PIECE):
-            some = fresh.slice(k, PIECE)
-            self._add(some, *self._spaced(some))
+        begins = pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False)
+        for between, kind in ((" ", ~begins), ("\n", begins)):
+            fresh = kind & (at < 0)
+            names = coded.dictionary.filter(pa.array(fresh))
+            at[fresh] = len(self.words) + np.arange(len(names))
+            for k in range(0, len(names), PIECE):
+                some = names.slice(k, PIECE)
+                self._add(some, *self._joined(some if between == " " else pc.utf8_slice_codeunits(some, 1), between))
         at = at[coded.indices.to_numpy()]
         words, places = new.filter(marked), marked.to_numpy(zero_copy_only=False)
         if len(words):
@@ -121,10 +148,13 @@ class Encoder:
             self._add(words, self.pool.take(both.ravel()), self.pool.size[both].sum(axis=1))
         return at
 
-    def _forget(self, uses: np.ndarray) -> None:
-        """Keep the short words that the last texts used more than once."""
-        kept = np.flatnonzero((uses > 1) & (_bytes(self.words) <= WORD))[: self.remembered // 2]
-        self.words, self.pool = self.words.take(pa.array(kept)), self.pool.of(kept)
+    def _forget(self) -> None:
+        """Keep the short words used most often of those used more than once; old uses count half."""
+        kept = np.flatnonzero((self.uses > 1) & (_bytes(self.words) <= WORD))
+        most = self.remembered // 2
+        if len(kept) > most:
+            kept = np.sort(kept[np.argpartition(-self.uses[kept], most)[:most]])
+        self.words, self.pool, self.uses = self.words.take(pa.array(kept)), self.pool.of(kept), self.uses[kept] // 2
 
     def _parted(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The texts cut at the spaces that part two words: distinct words, the number of each word
@@ -182,8 +212,11 @@ class Encoder:
         body = entry[body]
         order[order < 0] = body
         ends = np.cumsum(pool.size[order])
+        used = np.bincount(body, minlength=base)
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         if base > self.remembered:
-            self._forget(np.bincount(body, minlength=base))
+            self._forget()
         return pool.take(order), np.diff(ends[last_at], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
