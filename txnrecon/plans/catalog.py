@@ -14,10 +14,11 @@ from txnrecon.operators import (
 )
 from txnrecon.plans import notifications, reading, statements, views
 from txnrecon.sources import ledger as ledger_source
+from txnrecon.sources import ledger_table
 from txnrecon.sources import mappings
 from txnrecon.sources import rates as rate_source
 from txnrecon.stage import materialize, shared_folder
-from txnrecon.streaming import alerts, ingest
+from txnrecon.streaming import alerts, ingest, scan
 
 MAX_USD = Decimal("400000")
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -537,6 +538,16 @@ def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals of every account's last thirty days, from a ledger kept by month."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}/ledger"
+    journals = views.journals(spark, sf_dir)
+    ledger_table.write(journals, path)
+    newest = views.orders(spark, sf_dir).groupBy("account_id").agg(F.max("order_date").alias("until"))
+    asked = materialize(newest.select("account_id", F.date_sub("until", 30).alias("since"), "until"))
+    return ledger_table.within(ledger_table.read(spark, path, journals.schema), asked)
+
+
 def alias_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule listings, one page per brand, read into alias rows."""
     part = views.table(spark, sf_dir, "part")
@@ -732,6 +743,35 @@ def book_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/outcomes").select("msg_id", "external_id", "outcome", "reason")
 
 
+def inbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four runs over a mailbox whose changes are the events, users being the messages: a clean
+    one, a dry one, one that defers sign-ups, and one that settles the rest."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    changes = views.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("msg_id"), F.col("event_id").cast("bigint").alias("seq"),
+        (F.col("event_type") != "view").alias("in_inbox"), F.col("event_type").alias("kind"),
+    )
+    top = changes.agg(F.max("seq")).first()[0] or 0
+    fields = "msg_id STRING, seq BIGINT, in_inbox BOOLEAN, kind STRING"
+
+    def decide(messages: DataFrame, waiting: bool) -> DataFrame:
+        signup, bought = F.col("kind") == "signup", F.col("kind") == "purchase"
+        outcome = F.when(F.lit(waiting) & signup, "deferred").when(bought, "booked").otherwise("skipped")
+        return messages.select("msg_id", "seq", outcome.alias("outcome"), F.when(outcome == "deferred", "no rate").alias("reason"))
+
+    logged = -1
+    for quarters, waiting, dry in ((1, False, False), (2, False, True), (2, True, False), (4, False, False)):
+        upto = top * quarters // 4
+        if upto > logged:
+            scan.append(changes.where((F.col("seq") > logged) & (F.col("seq") <= upto)), f"{root}/log", top // 8 + 1)
+            logged = upto
+        handle = lambda messages, waiting=waiting: decide(messages, waiting)
+        scan.run(spark, root, f"{root}/log", fields, handle, dry, top // 8 + 1)
+    outcomes = ingest.read_table(spark, f"{root}/outcomes", scan.OUTCOMES)
+    saved = ingest.read_table(spark, f"{root}/cursor", scan.CURSOR)
+    return outcomes.join(saved, "epoch", "left").select(F.col("epoch").alias("run"), "msg_id", "seq", "outcome", "reason", "last_seq")
+
+
 QUERIES = {
     "fx_asof_convert": fx_asof_convert,
     "amount_gate": amount_gate,
@@ -767,6 +807,8 @@ QUERIES = {
     "rates_parse": rates_parse,
     "peso_table_parse": peso_table_parse,
     "ledger_scan": ledger_scan,
+    "ledger_window": ledger_window,
+    "inbox_scan": inbox_scan,
     "alias_rules": alias_rules,
     "kv_map": kv_map,
     "statement_fold": statement_fold,

@@ -1007,3 +1007,33 @@ ORACLE["book_once_stream"] = f"""
            CASE WHEN l_returnflag = 'R' THEN 'returned' END AS reason
     FROM lineitem
 """
+
+ORACLE["ledger_window"] = with_views(
+    "v_orders journals",
+    """
+    SELECT j.* FROM journals j
+    JOIN (SELECT account_id, max(order_date) AS until FROM v_orders GROUP BY account_id) a USING (account_id)
+    WHERE j.txn_date BETWEEN a.until - 30 AND a.until
+    """,
+)
+
+# A message's newest change within the numbers that a run sees.
+_NEWEST = "SELECT msg_id, max(seq) AS seq, arg_max(kind, seq) AS kind FROM changes, ends WHERE"
+ORACLE["inbox_scan"] = f"""
+    WITH changes AS (SELECT CAST(user_id AS VARCHAR) AS msg_id, CAST(event_id AS BIGINT) AS seq, event_type AS kind FROM events),
+    ends AS (SELECT max(seq) AS top, max(seq) // 4 AS first_end, max(seq) * 2 // 4 AS second_end FROM changes),
+    clean AS ({_NEWEST} seq <= first_end GROUP BY msg_id),
+    deferring AS ({_NEWEST} seq > first_end AND seq <= second_end GROUP BY msg_id),
+    rest AS ({_NEWEST} seq > first_end GROUP BY msg_id)
+    SELECT CAST(0 AS BIGINT) AS run, msg_id, seq, CASE kind WHEN 'purchase' THEN 'booked' ELSE 'skipped' END AS outcome,
+           CAST(NULL AS VARCHAR) AS reason, first_end AS last_seq
+    FROM clean, ends WHERE kind <> 'view'
+    UNION ALL
+    SELECT 1, msg_id, seq, CASE kind WHEN 'signup' THEN 'deferred' WHEN 'purchase' THEN 'booked' ELSE 'skipped' END,
+           CASE kind WHEN 'signup' THEN 'no rate' END, NULL
+    FROM deferring WHERE kind <> 'view'
+    UNION ALL
+    SELECT 2, msg_id, seq, CASE kind WHEN 'purchase' THEN 'booked' ELSE 'skipped' END, NULL, top
+    FROM rest r, ends WHERE kind <> 'view' AND NOT EXISTS (
+      SELECT 1 FROM deferring d WHERE d.msg_id = r.msg_id AND d.seq = r.seq AND d.kind NOT IN ('view', 'signup'))
+"""
