@@ -241,6 +241,10 @@ def test_labelled_dataset(spark, tmp_path):
     (tmp_path / "01.a.json").write_text('{\n "from": "<a@b>", "kind": "transaction", "amount": "1.50"}')
     (tmp_path / "02.txt").write_text("unpaired")
     (row,) = dataset.load(spark, str(tmp_path)).collect()
+    for stem in ("00", "02.b", "02.a"):
+        (tmp_path / f"{stem}.txt").write_text("x")
+        (tmp_path / f"{stem}.json").write_text("{}")
+    assert [r.example for r in dataset.in_order(dataset.load(spark, str(tmp_path))).collect()] == ["00", "01.a", "02.a", "02.b"]
     assert (row.example, row.text, row.from_hdr, row.amount) == ("01.a", "line one\nline two", "<a@b>", "1.50")
 
 

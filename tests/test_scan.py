@@ -1,14 +1,15 @@
-"""The mailbox scan with its cursor, and the ledger by month."""
+"""What runs leave to later runs: the mailbox cursor, the ledger by month, late alerts, cached rates."""
 
 import io
 from contextlib import redirect_stdout
-from datetime import date
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from txnrecon.sources import ledger_table
-from txnrecon.streaming import ingest, scan
+from txnrecon.sources import ledger_table, rate_cache
+from txnrecon.streaming import ingest, late, scan
 
 FIELDS = "msg_id STRING, seq BIGINT, in_inbox BOOLEAN, body STRING"
 
@@ -127,3 +128,60 @@ def test_a_window_reads_its_months(spark, tmp_path):
     assert any("month" in line and "ubquery" in line for line in filters)
     none = ledger_table.within(ledger, asked.limit(0))
     assert none.count() == 0
+
+
+ALERT = "alert_id BIGINT, account_id BIGINT, txn_date DATE, merchant STRING"
+
+
+def test_late_alerts_meet_the_bookings_near_them(spark, tmp_path):
+    day = date(1997, 12, 30)
+    journals = spark.createDataFrame(
+        [
+            (1, 10, day, "Corner Bakery", "bpstmt:1"), (1, 11, date(1998, 1, 9), "Corner Bakery", "bpstmt:2"),
+            (1, 12, day, "Corner Bakery", "tx-3"), (2, 13, day, "Corner Bakery", None), (3, 14, None, "Corner Bakery", "bpstmt:4"),
+        ],
+        "account_id BIGINT, journal_id BIGINT, txn_date DATE, merchant STRING, external_id STRING",
+    )
+    ledger_table.write(journals, str(tmp_path / "ledger"))
+    ledger = ledger_table.read(spark, str(tmp_path / "ledger"), journals.schema)
+    files = [
+        [(1, 1, date(1998, 1, 4), "CORNER BAKERY"), (2, 1, date(1998, 1, 20), "CORNER BAKERY"), (3, 2, day, "CORNER BAKERY")],
+        [(4, 1, date(1997, 12, 25), "CORNER BAKERY #2"), (5, 1, day, "ZQX"), (6, None, day, "CORNER BAKERY"), (7, 3, None, "CORNER BAKERY")],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, ALERT).coalesce(1).write.mode("append").parquet(str(tmp_path / "alerts"))
+    for _ in range(2):
+        late.run(ingest.read_new(spark, str(tmp_path / "alerts"), ALERT, 1), ledger, str(tmp_path / "root")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "root/late")).collect()
+    assert {r["epoch"] for r in rows} == {0, 1}
+    assert {r["alert_id"]: r["statement_journal_id"] for r in rows} == {1: 10, 2: None, 3: None, 4: 10, 5: None, 6: None, 7: None}
+    assert len(rows) == 7
+
+
+def test_cached_rates_are_not_fetched_again(spark, tmp_path):
+    path, asked = str(tmp_path / "rates"), []
+    old, today = date(1998, 6, 29), date(1998, 6, 30)
+    needed = spark.createDataFrame(
+        [("usd", "EUR", old), ("USD", "EUR", today), ("USD", "USD", old), ("GBP", "EUR", old)], "from_ccy STRING, to_ccy STRING, rate_date DATE"
+    )
+
+    def fetch(keys):
+        asked.append({(r["from_ccy"], r["rate_date"]) for r in keys.collect()})
+        price = F.when(F.col("from_ccy") == "USD", F.lit("0.000061234567"))
+        return keys.withColumn("rate", price)
+
+    def at(minute):
+        return F.lit(datetime(1998, 6, 30, 9, minute))
+
+    assert rate_cache.read(spark, path).count() == 0
+    rate_cache.refresh(spark, path, needed, fetch, at(0), 0)
+    rate_cache.refresh(spark, path, needed, fetch, at(10), 1)
+    rate_cache.refresh(spark, path, needed, fetch, at(20), 2)
+    rate_cache.refresh(spark, path, needed, fetch, at(20), 2)
+    both, unknown = {("USD", old), ("USD", today), ("GBP", old)}, ("GBP", old)
+    assert asked == [both, {unknown}, {("USD", today), unknown}, {("USD", today), unknown}]
+    entries = rate_cache.read(spark, path)
+    assert entries.count() == 3 and {r["rate"] for r in entries.collect()} == {Decimal("0.000061234567")}
+    kept = rate_cache.compacted(entries, at(20)).collect()
+    assert sorted((r["from_ccy"], r["rate_date"], r["fetched_at"].minute) for r in kept) == [("USD", old, 0), ("USD", today, 20)]
+    assert rate_cache.compacted(entries, at(59)).count() == 1

@@ -15,10 +15,10 @@ from txnrecon.operators import (
 from txnrecon.plans import notifications, reading, statements, views
 from txnrecon.sources import ledger as ledger_source
 from txnrecon.sources import ledger_table
-from txnrecon.sources import mappings
+from txnrecon.sources import mappings, rate_cache
 from txnrecon.sources import rates as rate_source
 from txnrecon.stage import materialize, shared_folder
-from txnrecon.streaming import alerts, ingest, scan
+from txnrecon.streaming import alerts, ingest, late, scan
 
 MAX_USD = Decimal("400000")
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -772,6 +772,41 @@ def inbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.join(saved, "epoch", "left").select(F.col("epoch").alias("run"), "msg_id", "seq", "outcome", "reason", "last_seq")
 
 
+def late_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as bank alerts, in several files that come after the statements were booked."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    journals = views.journals(spark, sf_dir)
+    ledger_table.write(journals, f"{root}/ledger")
+    alert = views.orders(spark, sf_dir).where("prio = '1'").select(
+        "o_orderkey", "account_id", F.col("order_date").alias("txn_date"), F.upper("p_name").alias("merchant")
+    )
+    alert.repartition(3, "o_orderkey").write.parquet(f"{root}/alerts")
+    fields = "o_orderkey BIGINT, account_id BIGINT, txn_date DATE, merchant STRING"
+    arriving = ingest.read_new(spark, f"{root}/alerts", fields, max_files=1)
+    late.run(arriving, ledger_table.read(spark, f"{root}/ledger", journals.schema), root).awaitTermination()
+    found = ingest.read_table(spark, f"{root}/late", f"{fields}, statement_journal_id BIGINT, epoch BIGINT")
+    return found.select("o_orderkey", "statement_journal_id")
+
+
+def rate_cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs, twenty minutes apart, fetch for the same orders with one cache: all there is,
+    then only rates of days that have not passed."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}/rates"
+    known = views.rates(spark, sf_dir).select("from_ccy", "to_ccy", "rate_date", "rate")
+    needed = materialize(
+        fx.account_targets(
+            views.orders(spark, sf_dir).select(
+                "account_id", F.expr(views.ORDER_CURRENCY).alias("from_ccy"), F.col("order_date").alias("rate_date")
+            ),
+            views.accounts(spark, sf_dir),
+        ).select("from_ccy", F.col("account_currency").alias("to_ccy"), "rate_date").distinct()
+    )
+    fetch = lambda keys: keys.join(known, ["from_ccy", "to_ccy", "rate_date"])
+    for run, minute in ((0, "00"), (1, "20")):
+        rate_cache.refresh(spark, path, needed, fetch, F.lit(f"1998-06-30 09:{minute}:00").cast("timestamp"), run)
+    return rate_cache.read(spark, path).select(F.col("epoch").alias("run"), "from_ccy", "to_ccy", "rate_date", "rate")
+
+
 QUERIES = {
     "fx_asof_convert": fx_asof_convert,
     "amount_gate": amount_gate,
@@ -809,6 +844,8 @@ QUERIES = {
     "ledger_scan": ledger_scan,
     "ledger_window": ledger_window,
     "inbox_scan": inbox_scan,
+    "late_alert_stream": late_alert_stream,
+    "rate_cache_runs": rate_cache_runs,
     "alias_rules": alias_rules,
     "kv_map": kv_map,
     "statement_fold": statement_fold,

@@ -1037,3 +1037,35 @@ ORACLE["inbox_scan"] = f"""
     FROM rest r, ends WHERE kind <> 'view' AND NOT EXISTS (
       SELECT 1 FROM deferring d WHERE d.msg_id = r.msg_id AND d.seq = r.seq AND d.kind NOT IN ('view', 'signup'))
 """
+
+ORACLE["late_alert_stream"] = with_views(
+    "v_orders journals",
+    f"""
+    WITH near AS MATERIALIZED (
+      SELECT o.o_orderkey, o.p_name AS cm, lower(j.merchant) AS jm, j.journal_id
+      FROM v_orders o JOIN journals j ON j.account_id = o.account_id AND starts_with(j.external_id, 'bpstmt:')
+        AND j.txn_date BETWEEN o.order_date - 5 AND o.order_date + 5
+      WHERE o.prio = '1'
+    ), hit AS (
+      SELECT o_orderkey, min(journal_id) AS statement_journal_id FROM near
+      JOIN (SELECT cm, jm, {_similarity("cm", "jm")} AS s FROM (SELECT DISTINCT cm, jm FROM near)) USING (cm, jm)
+      WHERE s >= 0.70 GROUP BY o_orderkey
+    )
+    SELECT o_orderkey, statement_journal_id FROM v_orders LEFT JOIN hit USING (o_orderkey) WHERE prio = '1'
+    """,
+)
+
+ORACLE["rate_cache_runs"] = with_views(
+    "v_orders accounts rates",
+    f"""
+    WITH needed AS (
+      SELECT DISTINCT {views.ORDER_CURRENCY} AS from_ccy, a.currency AS to_ccy, order_date AS rate_date
+      FROM v_orders JOIN accounts a USING (account_id)
+    ), found AS (
+      SELECT from_ccy, to_ccy, rate_date, CAST(rate AS DECIMAL(28,12)) AS rate
+      FROM needed JOIN rates USING (from_ccy, to_ccy, rate_date) WHERE from_ccy <> to_ccy
+    )
+    SELECT CAST(0 AS BIGINT) AS run, * FROM found
+    UNION ALL SELECT 1, * FROM found WHERE rate_date >= DATE '1998-06-30'
+    """,
+)

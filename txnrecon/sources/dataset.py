@@ -24,3 +24,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         .withColumnRenamed("from", "from_hdr")
     )
     return texts.join(labels, "example")
+
+
+def in_order(examples: DataFrame) -> DataFrame:
+    """Examples by name, for output; scores need no order."""
+    return examples.orderBy("example")

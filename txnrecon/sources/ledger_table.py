@@ -37,7 +37,10 @@ def within(ledger: DataFrame, asked: DataFrame) -> DataFrame:
     files are listed for reading.
     """
     first = asked.agg(F.trunc(F.min("since"), "MM")).scalar()
-    last = asked.agg(F.trunc(F.max("until"), "MM")).scalar()
-    windows = asked.select(F.col("account_id").alias("_account"), "since", "until")
-    hit = (F.col("account_id") == F.col("_account")) & F.col("txn_date").between(F.col("since"), F.col("until"))
-    return ledger.where(F.col("month").between(first, last)).join(windows, hit, "left_semi").drop("month")
+    last = asked.agg(F.max("until")).scalar()
+    # Days instead of ranges: an account with many windows and journals meets them by equality.
+    days = asked.where(F.col("since") <= F.col("until")).select(
+        "account_id", F.explode(F.sequence("since", "until")).alias("txn_date")
+    )
+    near = ledger.where(F.col("month").between(first, last))
+    return near.join(days.distinct(), ["account_id", "txn_date"], "left_semi").select(*ledger.columns).drop("month")
