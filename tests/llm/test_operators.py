@@ -251,6 +251,31 @@ def test_words_are_encoded_as_in_their_text():
         assert list(np.frombuffer(blob, "<u4")) == [*plain.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_words_are_cut_at_line_ends_and_marks():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    parts = ["a", "bé", "Die.", "\n", "\r\n", "\t", " ", "  ", "\u00a0", "\u2028", "'s", "'", ".", "%%%", "_", "-", "|>", "<|endoftext|>", "12", "漢", "Ⅷ", "e\u0301"]
+    drawn = np.random.default_rng(7)
+    texts = ["".join(drawn.choice(parts + [" ", "\n"] * 4, drawn.integers(0, 30))) for _ in range(4000)]
+    texts += ["the.\nEnd&&&", "x the.\nEnd&&& y", "x a\nb\nc", "x a \nb", "x \nb", "x a'\nb", "x a\n'b", "x the\n<|endoftext|>", "x a.\u00a0\nb"]
+    # Few words are remembered, so most are forgotten between the calls and learned again.
+    encoder = token_store.Encoder(tokenizer("byte_bpe_50k.json"), 2, remembered=50)
+    for k in range(0, len(texts), 250):
+        some = texts[k : k + 250]
+        for text, blob in zip(some, encoder.encode(some), strict=True):
+            assert list(np.frombuffer(blob, "<u4")) == [*plain.encode(text, add_special_tokens=False).ids, 2], text
+        assert len(encoder.words) == len(encoder.uses) == len(encoder.pool.size) <= 50 + 4000
+
+
+def test_the_words_used_most_are_remembered():
+    encoder = token_store.Encoder(tokenizer("byte_bpe_50k.json"), 2, remembered=6)
+    encoder.encode(["x " + "often " * 9 + "twice twice once alpha beta gamma delta epsilon"])
+    assert encoder.words.to_pylist() == ["often", "twice"] and encoder.uses.tolist() == [4, 1]
+    encoder.encode(["x often " + "new " * 5 + " ".join(f"w{k}" for k in range(9))])
+    assert encoder.words.to_pylist() == ["often", "new"]
+
+
 def test_decontaminate(spark, docs, nothing):
     items = [(1, " ".join(LONG.split()[500:520]).upper()), (2, "same ROW"), (3, None), (4, "..."), (2, "a b"), (None, "x"), (9, "w1 nowhere w2")]
     bench = spark.createDataFrame(items, "item_id long, text string")
