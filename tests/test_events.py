@@ -218,3 +218,15 @@ def test_bounded_dedup(spark, tmp_path):
     )
     live = drain(ingest.bounded_dedup(stream_of(spark, tmp_path, frame)), "dedup_live")
     assert sorted(r.external_id for r in live.collect()) == ["k", "z"]
+
+
+def test_held_values_equal_copied_windows(spark):
+    rows = [("a", 0, 1.0), ("a", 4, 2.0), ("a", 4, 3.0), ("a", 11, None), ("a", 171, 4.0), ("a", 900, 5.0), ("b", 33, 6.0), (None, 7, 7.0)]
+    samples = spark.createDataFrame(rows, "source STRING, minute INT, value DOUBLE").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60)
+    )
+    for window in ("5 minutes", "3 hours", "12 hours"):
+        copied = monitor.last_value(samples, "value", ["source"], window, tie="value").collect()
+        held = monitor.held_value(samples, "value", ["source"], window, tie="value").collect()
+        key = lambda r: (r["window_end"], r["source"] or "", r["value"])
+        assert sorted(map(key, held)) == sorted(map(key, copied)) and held

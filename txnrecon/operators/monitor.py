@@ -104,6 +104,31 @@ def last_value(
     )
 
 
+def held_value(
+    samples: DataFrame, value: str, labels: list[str], window: str = "14 days", step: str = "5 minutes", tie: str | None = None
+) -> DataFrame:
+    """The rows of ``last_value`` for long windows: the newest value of a step is shown from the
+    step's end until the next step with a value has ended or the window has passed it, so it is
+    stored once and becomes only the rows it is the answer of, not one row per window that holds it.
+
+    Rows are ordered within a label after they are one per step, so a label holds as many rows
+    as there are steps in time, however many samples it has. Null values are no samples.
+    """
+    order = F.struct("ts", tie) if tie else F.col("ts")
+    newest = (
+        samples.where(F.col(value).isNotNull())
+        .groupBy(F.window("ts", step).alias("_s"), *labels)
+        .agg(F.max(F.struct(order.alias("at"), F.col(value).alias("value"))).alias("_v"))
+        .select(F.col("_s.start").alias("_start"), *labels, F.col("_v.value").alias(value))
+    )
+    each, length = F.expr(f"INTERVAL {step}"), F.expr(f"INTERVAL {window}")
+    following = F.lead("_start").over(Window.partitionBy(*labels).orderBy("_start"))
+    # least() leaves out the null of the last step.
+    shown = newest.withColumn("_until", F.least(F.col("_start") + length, following))
+    ends = F.explode(F.sequence(F.col("_start") + each, F.col("_until"), each)).alias("window_end")
+    return shown.select(ends, *labels, value)
+
+
 def review_rate(rate_rows: DataFrame) -> DataFrame:
     """Reviews per step over all sources; every observed step has a row."""
     return rate_rows.groupBy("window_start").agg(

@@ -674,6 +674,21 @@ def last_value_3h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(monitor.last_value(samples, "value", ["source"], tie="event_id"))
 
 
+def last_value_12h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest value per source in the last twelve hours, every five minutes."""
+    return _held(spark, sf_dir, "12 hours")
+
+
+def last_value_14d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest value per source in the last fourteen days, every five minutes."""
+    return _held(spark, sf_dir, "14 days")
+
+
+def _held(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
+    samples = views.outcomes(spark, sf_dir).withColumn("event_id", F.col("msg_id").cast("bigint"))
+    return _ntz(monitor.held_value(samples, "value", ["source"], window, tie="event_id"))
+
+
 def sustained_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of at least six hours with more than five reviews in every two hours."""
     per_step = monitor.review_rate(monitor.rates(views.outcomes(spark, sf_dir), "2 hours"))
@@ -844,6 +859,8 @@ QUERIES = {
     "ledger_scan": ledger_scan,
     "ledger_window": ledger_window,
     "inbox_scan": inbox_scan,
+    "last_value_12h": last_value_12h,
+    "last_value_14d": last_value_14d,
     "late_alert_stream": late_alert_stream,
     "rate_cache_runs": rate_cache_runs,
     "alias_rules": alias_rules,

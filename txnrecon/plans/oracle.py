@@ -1069,3 +1069,25 @@ ORACLE["rate_cache_runs"] = with_views(
     UNION ALL SELECT 1, * FROM found WHERE rate_date >= DATE '1998-06-30'
     """,
 )
+
+
+def _held(window: str) -> str:
+    return with_views(
+        "outcomes",
+        f"""
+        WITH s AS (
+          SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS began, source, arg_max(value, (ts, event_id)) AS value
+          FROM outcomes WHERE value IS NOT NULL GROUP BY ALL
+        ), grid AS (
+          SELECT source, unnest(generate_series(min(began), max(began) + INTERVAL '{window}', INTERVAL 5 MINUTE)) AS past FROM s GROUP BY source
+        ), seen AS (
+          SELECT g.past + INTERVAL 5 MINUTE AS window_end, g.source, s.value, s.began
+          FROM grid g ASOF JOIN s ON g.source = s.source AND g.past >= s.began
+        )
+        SELECT window_end, source, value FROM seen WHERE began + INTERVAL '{window}' >= window_end
+        """,
+    )
+
+
+ORACLE["last_value_12h"] = _held("12 hours")
+ORACLE["last_value_14d"] = _held("14 days")
