@@ -1091,3 +1091,26 @@ def _held(window: str) -> str:
 
 ORACLE["last_value_12h"] = _held("12 hours")
 ORACLE["last_value_14d"] = _held("14 days")
+
+ORACLE["transfer_payload"] = with_views(
+    "v_orders accounts rates",
+    f"""
+    WITH m AS (
+      SELECT *, {views.CURRENCY_OF_ACCOUNT} AS currency, (account_id + 1) % (SELECT count(*) FROM accounts) AS dest FROM v_orders
+    ), r AS (
+      SELECT m.*, a.currency AS target, a.decimals,
+             CASE WHEN m.currency = a.currency THEN CAST(1 AS DECIMAL(18,6)) ELSE r.rate END AS rate
+      FROM m JOIN (SELECT account_id AS dest, currency, decimals FROM accounts) a USING (dest)
+      ASOF LEFT JOIN rates r ON m.currency = r.from_ccy AND a.currency = r.to_ccy AND m.order_date >= r.rate_date
+    ), b AS (
+      SELECT *, CAST(CASE WHEN decimals = 0 THEN round_even(amount * rate, 0) ELSE round_even(amount * rate, 2) END
+                     AS DECIMAL(24,4)) AS leg FROM r
+    )
+    SELECT 'transfer' AS type, order_date AS date, {_trim_zeros("amount")} AS amount, currency AS currency_code,
+           p_name AS description, CAST(o_orderkey AS VARCHAR) AS external_id, 'txnrecon' AS tags, account_id AS source_id,
+           CAST(NULL AS VARCHAR) AS destination_name, dest AS destination_id,
+           CASE WHEN currency <> target THEN {_trim_zeros("leg")} END AS foreign_amount,
+           CASE WHEN currency <> target THEN target END AS foreign_currency_code, CAST(NULL AS VARCHAR) AS category_name
+    FROM b
+    """,
+)
