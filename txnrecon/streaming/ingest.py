@@ -67,6 +67,18 @@ def book_once(records: DataFrame, ledger: DataFrame) -> DataFrame:
     return ranked.withColumn("outcome", F.when(repeated, "duplicate").otherwise("booked")).drop("_held", "is_duplicate")
 
 
+def newest(versions: DataFrame) -> DataFrame:
+    """Of several versions of a message the newest, of equally new ones the one just come (``_come``).
+
+    The order goes before the message's other columns, so each is moved once.
+    """
+    columns = [c for c in versions.columns if c != "_come"]
+    rest = [c for c in columns if c not in ("msg_id", "msg_seq")]
+    tie = F.xxhash64(F.struct(*columns)).alias("_tie")
+    best = versions.groupBy("msg_id").agg(F.max(F.struct("msg_seq", "_come", tie, *rest)).alias("_m"))
+    return best.select("msg_id", "_m.*").select(*columns)
+
+
 def settle_epoch(
     batch: DataFrame,
     epoch: int,
@@ -85,25 +97,19 @@ def settle_epoch(
         F.col("epoch") == (earlier[-1] if earlier else -1)
     )
     booked_before = read_table(spark, f"{root}/ledger", LEDGER_COLUMNS).where(F.col("epoch") < epoch)
-    # Of several versions of a message the newest counts, of equally new ones the one just come.
-    arrived = batch.select(F.struct(*batch.columns).alias("m"), F.lit(1).alias("come"))
-    held_back = waiting.select(F.struct(*batch.columns).alias("m"), F.lit(0).alias("come"))
-    versions = arrived.unionByName(held_back).groupBy("m.msg_id")
-    messages = versions.agg(F.max_by("m", F.struct("m.msg_seq", "come", F.xxhash64("m"))).alias("m")).select("m.*")
-    decided = materialize(decide(messages))
-    held = decided.where(F.col("outcome") == "deferred").select("msg_id").distinct()
-    final = decided.join(held, "msg_id", "left_anti")
-    open_rows = book_once(final.where(F.col("outcome") == "open").drop("outcome"), booked_before)
-    outcomes = materialize(
-        open_rows.unionByName(final.where(F.col("outcome") != "open")).unionByName(
-            decided.join(held, "msg_id", "left_semi").withColumn("outcome", F.lit("deferred"))
-        )
-    )
-    write_epoch(
-        outcomes.where(F.col("outcome") == "booked").select("external_id", "msg_id"), f"{root}/ledger", epoch
-    )
-    write_epoch(messages.join(held, "msg_id", "left_semi"), f"{root}/deferred", epoch)
+    versions = batch.withColumn("_come", F.lit(1)).unionByName(waiting.select(*batch.columns, F.lit(0).alias("_come")))
+    decided = materialize(decide(newest(versions)))
+    # Written first: few messages wait as a rule, and a small table is met without moving the others.
+    held = materialize(decided.where(F.col("outcome") == "deferred").select("msg_id").distinct())
+    waits = decided.join(held.withColumn("_waits", F.lit(True)), "msg_id", "left")
+    marked = waits.withColumn("outcome", F.when(F.col("_waits"), "deferred").otherwise(F.col("outcome"))).drop("_waits")
+    open_rows = book_once(marked.where(F.col("outcome") == "open").drop("outcome"), booked_before)
+    # What follows is read from the outcomes as written.
+    outcomes = open_rows.unionByName(marked.where(F.col("outcome") != "open"))
     write_epoch(outcomes, f"{root}/outcomes", epoch)
+    settled = spark.read.schema(outcomes.schema).parquet(f"{root}/outcomes/epoch={epoch}")
+    write_epoch(settled.where(F.col("outcome") == "booked").select("external_id", "msg_id"), f"{root}/ledger", epoch)
+    write_epoch(newest(versions.join(held, "msg_id", "left_semi")), f"{root}/deferred", epoch)
 
 
 def run(
