@@ -67,3 +67,17 @@ def counted(monkeypatch, module, name):
     calls, was = [], getattr(module, name)
     monkeypatch.setattr(module, name, lambda *a, **k: (calls.append(1), was(*a, **k))[1])
     return calls
+
+
+def test_orders_are_bought_once_for_reconciliation(spark, sf, monkeypatch):
+    calls = counted(monkeypatch, views, "orders")
+    asked, _ = catalog._asked(spark, sf)
+    assert len(calls) == 1 and "merchant" not in asked.columns
+
+
+def test_small_blocks_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TASK_BLOCKS", 50)
+    names = spark.range(200).select("id", F.concat(F.lit("shop "), F.col("id").cast("string")).alias("name"))
+    found = similarity.similar_names(names, names, ["id"], 0.7)
+    assert found.rdd.getNumPartitions() >= 4
+    assert found.where("name_a = name_b AND score = 1").count() == 200

@@ -36,7 +36,8 @@ def exact_matches(charges: DataFrame, journals: DataFrame, scope: tuple[str, ...
     holds = journals.where(F.col("external_id").startswith(STATEMENT_PREFIX)).select(
         *scope, "journal_id", F.col("amount").alias("journal_amount"), F.col("external_id").alias("_ref")
     )
-    wants = ordinal(wants.join(holds.select(*keys), keys, "left_semi"), keys, "charge_id", "_nth")
+    # Few charges have such a journal; numbering reads them twice.
+    wants = ordinal(materialize(wants.join(holds.select(*keys), keys, "left_semi")), keys, "charge_id", "_nth")
     holds = ordinal(holds, keys, "journal_id", "_nth")
     return wants.join(holds, [*keys, "_nth"]).drop("_ref", "_nth")
 

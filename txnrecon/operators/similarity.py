@@ -21,6 +21,8 @@ RIGHT_CHUNK = 512
 PAIRS, CELLS = 1 << 16, 1 << 20
 # Pairs that one task looks at.
 TASK_PAIRS = 1 << 21
+# Blocks that one task looks at, however small they are.
+TASK_BLOCKS = 1 << 16
 # Longest name whose places are the bits of one word, entries of a table of them, tokens compared at once.
 WORD, MASKS, FEW = 64, 1 << 23, 8
 
@@ -249,20 +251,21 @@ class _Names:
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All (row, left, right) positions of rows with so many names on either side, some at a time."""
-    lo, ro = np.cumsum(left) - left, np.cumsum(right) - right
-    held, size = [], 0
-    for row in np.flatnonzero((left > 0) & (right > 0)).tolist():
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    lo, ro, size = np.cumsum(left) - left, np.cumsum(right) - right, left * right
+    # Most rows have few pairs: those are laid out together.
+    few = np.flatnonzero((size > 0) & (size <= PAIRS))
+    for rows in np.split(few, np.flatnonzero(np.diff(np.cumsum(size[few]) // PAIRS)) + 1):
+        n = size[rows]
+        row = np.repeat(rows, n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        yield row, lo[row] + at // right[row], ro[row] + at % right[row]
+    for row in np.flatnonzero(size > PAIRS).tolist():
         n, m = int(left[row]), int(right[row])
         step = max(1, PAIRS // m)
         for k in range(0, n, step):
             some = np.arange(lo[row] + k, lo[row] + min(n, k + step))
-            held.append((np.full(len(some) * m, row), np.repeat(some, m), np.tile(np.arange(ro[row], ro[row] + m), len(some))))
-            size += len(some) * m
-            if size >= PAIRS:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            yield np.full(len(some) * m, row), np.repeat(some, m), np.tile(np.arange(ro[row], ro[row] + m), len(some))
 
 
 def _may_reach(names: _Names, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -351,19 +354,23 @@ def similar_names(
         )
     )
     # Blocks are few bytes and much work: their number of tasks follows the pairs, not the bytes.
-    tasks = math.ceil((grid.agg(F.sum("_pairs")).first()[0] or 0) / TASK_PAIRS)
+    pairs, found = grid.agg(F.sum("_pairs"), F.sum(F.col("_rows") * F.col("_cols"))).first()
+    tasks = max(math.ceil((pairs or 0) / TASK_PAIRS), math.ceil((found or 0) / TASK_BLOCKS))
 
     def packed(side: DataFrame, own: str, own_count: str, other: str, other_count: str, out: str) -> DataFrame:
-        name = F.struct("name", tokens("name").alias("toks"))
         return (
             side.join(grid.drop("_pairs"), keys)
             .groupBy(*keys, F.pmod(F.xxhash64("name"), F.col(own_count)).alias(own), other_count)
-            .agg(F.collect_list(name).alias(out))
+            .agg(F.collect_list("name").alias(out))
             .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_count) - 1)))
             .drop(other_count)
         )
 
     met = packed(ls, "_r", "_rows", "_c", "_cols", "_left").join(packed(rs, "_c", "_cols", "_r", "_rows", "_right"), [*keys, "_r", "_c"])
-    blocks = met.repartition(max(1, tasks), *keys, "_r", "_c").select(*keys, "_left", "_right")
+    # Tokens are cut where the blocks are compared: only names travel.
+    marked = [
+        F.transform(side, lambda n: F.struct(n.alias("name"), tokens(n).alias("toks"))).alias(side) for side in ("_left", "_right")
+    ]
+    blocks = met.repartition(max(1, tasks), *keys, "_r", "_c").select(*keys, *marked)
     schema = T.StructType([*blocks.select(*keys).schema, *T._parse_datatype_string("name_a string, name_b string, score double")])
     return blocks.mapInArrow(_compare(threshold, len(keys)), schema)

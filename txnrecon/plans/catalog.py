@@ -344,14 +344,15 @@ def model_json_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str):
+    paid = materialize(views.orders(spark, sf_dir, deal=False))
     return notifications.decide(
-        views.messages(spark, sf_dir),
+        views.messages(spark, sf_dir, paid),
         reading.read_mail,
         views.dims(spark, sf_dir),
         views.accounts(spark, sf_dir),
         views.rates(spark, sf_dir),
-        views.booked_keys(spark, sf_dir),
-        views.journals(spark, sf_dir),
+        views.booked_keys(spark, sf_dir, paid),
+        views.journals(spark, sf_dir, paid),
         None,
         MAX_USD,
     )
@@ -394,14 +395,17 @@ def merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str):
-    journals = views.journals(spark, sf_dir)
-    # Intents are read several times over when claims are resolved.
-    return materialize(reconcile.intents(views.charges(spark, sf_dir), journals)), journals
+    paid = materialize(views.orders(spark, sf_dir, deal=False))
+    journals = views.journals(spark, sf_dir, paid)
+    asked = reconcile.intents(views.charges(spark, sf_dir, paid), journals)
+    # Intents are read several times over when claims are resolved, which looks at no name or score.
+    return materialize(asked.drop("merchant", "canon", "auth_date", "best_score", "second_score")), journals
 
 
 def recon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each charge asks for, with its best and second best journal."""
-    asked = reconcile.intents(views.charges(spark, sf_dir), views.journals(spark, sf_dir))
+    paid = materialize(views.orders(spark, sf_dir, deal=False))
+    asked = reconcile.intents(views.charges(spark, sf_dir, paid), views.journals(spark, sf_dir, paid))
     return asked.select(
         "account_id", "charge_id", "intent", "n_plausible", "best_journal",
         F.round("best_score", 9).alias("best_score"), F.round("second_score", 9).alias("second_score"),
@@ -813,9 +817,10 @@ def inbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders as bank alerts, in several files that come after the statements were booked."""
     root = f"{shared_folder(spark)}/{uuid.uuid4()}"
-    journals = views.journals(spark, sf_dir)
+    paid = materialize(views.orders(spark, sf_dir, deal=False))
+    journals = views.journals(spark, sf_dir, paid)
     ledger_table.write(journals, f"{root}/ledger")
-    alert = views.orders(spark, sf_dir).where("prio = '1'").select(
+    alert = paid.where("prio = '1'").select(
         "o_orderkey", "account_id", F.col("order_date").alias("txn_date"), F.upper("p_name").alias("merchant")
     )
     alert.repartition(3, "o_orderkey").write.parquet(f"{root}/alerts")

@@ -47,8 +47,9 @@ def account_count(customer: DataFrame):
     return customer.agg(F.greatest(F.lit(1).cast("bigint"), F.expr("count(*) div 60"))).scalar()
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One purchase per order: account, merchant, amount, date, priority digit and status."""
+def orders(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    """One purchase per order: account, merchant, amount, date, priority digit and status. Without
+    ``deal`` they stay where the join left them: they are written and read again."""
     part = table(spark, sf_dir, "part")
     parts = part.agg(F.count("*")).scalar()
     o = table(spark, sf_dir, "orders").select(
@@ -61,7 +62,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("order_date"),
         (F.col("o_orderkey") % parts).alias("p_partkey"),
     )
-    return dealt(o.join(part.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey"))
+    bought = o.join(part.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    return dealt(bought) if deal else bought
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +105,12 @@ def peso_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.agg(F.max_by("rate", "rate_date").alias("venta"))
 
 
-def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def charges(spark: SparkSession, sf_dir: str, paid: DataFrame | None = None) -> DataFrame:
     """Statement charges: one per order, and a second one at half the amount a day later for
-    low-priority partial orders, so that several charges claim one journal."""
-    base = orders(spark, sf_dir).withColumn("currency", F.expr(CURRENCY_OF_ACCOUNT))
+    low-priority partial orders, so that several charges claim one journal. ``paid``: the orders
+    of ``orders``, where several views read them and they were written."""
+    paid = orders(spark, sf_dir) if paid is None else paid
+    base = paid.withColumn("currency", F.expr(CURRENCY_OF_ACCOUNT))
     key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
     first = F.struct(
         (F.col("o_orderkey") * 2).alias("charge_id"),
@@ -128,9 +132,10 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("account_id", "charge_id", "reference", "merchant", "amount", "currency", "auth_date")
 
 
-def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def journals(spark: SparkSession, sf_dir: str, paid: DataFrame | None = None) -> DataFrame:
     """Booked journals: the orders again, perturbed by priority and status."""
-    base = orders(spark, sf_dir).withColumn("currency", F.expr(CURRENCY_OF_ACCOUNT))
+    paid = orders(spark, sf_dir) if paid is None else paid
+    base = paid.withColumn("currency", F.expr(CURRENCY_OF_ACCOUNT))
     case = F.concat("prio", "status")
     key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
     booked = base.where(case != "1F").select(
@@ -269,9 +274,9 @@ def _fill(template: str, **values):
     return F.concat(*parts)
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, paid: DataFrame | None = None) -> DataFrame:
     """One mail per order."""
-    o = orders(spark, sf_dir)
+    o = orders(spark, sf_dir) if paid is None else dealt(paid)
     case = F.concat("prio", "status")
     key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
     amount = F.col("amount").cast("string")
@@ -353,9 +358,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def booked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def booked_keys(spark: SparkSession, sf_dir: str, paid: DataFrame | None = None) -> DataFrame:
     """Ledger keys of wallet receipts that were booked before, those of every seventh account."""
-    o = orders(spark, sf_dir)
+    o = orders(spark, sf_dir) if paid is None else paid
     return o.where((F.col("prio") == WALLET) & (F.col("account_id") % 7 == 0)).select(
         F.concat(F.lit("W"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("external_id")
     )
