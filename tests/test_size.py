@@ -21,6 +21,36 @@ def plan_of(frame) -> str:
 JOURNALS = "account_id BIGINT, journal_id BIGINT, txn_date DATE, merchant STRING, external_id STRING"
 
 
+def test_many_days_asked_for_stay_off_the_driver(spark, tmp_path):
+    journals = spark.range(3000).select(
+        F.col("id").alias("account_id"), F.col("id").alias("journal_id"), F.lit("2024-02-01").cast("date").alias("txn_date"),
+        F.lit("shop").alias("merchant"), F.lit("bpstmt:1").alias("external_id"),
+    )
+    ledger_table.write(journals, str(tmp_path / "ledger"))
+    ledger = ledger_table.read(spark, str(tmp_path / "ledger"), journals.schema)
+    since, until = F.lit("2024-01-01").cast("date"), F.lit("2024-03-01").cast("date")
+    asked = spark.range(2500).select(F.col("id").alias("account_id"), since.alias("since"), until.alias("until"))
+    found = ledger_table.within(ledger, asked)
+    assert "BroadcastHashJoin LeftSemi" not in plan_of(found).replace("\n", " ").replace("Join type: ", "")
+    assert "SortMergeJoin" in plan_of(found)
+    assert found.count() == 2500
+    assert ledger_table.within(ledger, asked.limit(3)).count() == 3
+
+
+def test_late_alerts_meet_the_ledger_once(spark, tmp_path, monkeypatch):
+    calls = []
+    near = ledger_table.within
+    monkeypatch.setattr(ledger_table, "within", lambda *a: (calls.append(a), near(*a))[1])
+    rows = [(1, 7, "2024-02-01", "Shop", "bpstmt:1"), (1, 5, "2024-02-02", "shop", None), (2, 6, "2024-02-02", "shop", "bpstmt:2")]
+    journals = spark.createDataFrame(rows, JOURNALS.replace("DATE", "STRING")).withColumn("txn_date", F.col("txn_date").cast("date"))
+    ledger_table.write(journals, str(tmp_path / "ledger"))
+    alerts = spark.sql("SELECT 1L AS o, 1L AS account_id, DATE'2024-02-03' AS txn_date, 'SHOP' AS merchant")
+    probed = late.probe(alerts, ledger_table.read(spark, str(tmp_path / "ledger"), journals.schema))
+    assert [tuple(r)[-1] for r in probed.collect()] == [7]
+    # Only what was met is read again, not the ledger by month.
+    assert len(calls) == 1 and "PartitionFilters" not in plan_of(probed)
+
+
 def test_an_epoch_moves_its_rows_thrice(spark, tmp_path, monkeypatch):
     moved = []
     write, keep = ingest.write_epoch, ingest.materialize

@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 #: Files that a month's accounts are dealt to.
 FILES = 16
+#: Days asked for that may be broadcast.
+FEW_DAYS = 100_000
 
 
 def write(journals: DataFrame, path: str, files: int = FILES, mode: str = "append") -> None:
@@ -42,5 +44,10 @@ def within(ledger: DataFrame, asked: DataFrame) -> DataFrame:
     days = asked.where(F.col("since") <= F.col("until")).select(
         "account_id", F.explode(F.sequence("since", "until")).alias("txn_date")
     )
+    days = days.distinct()
+    # Spark takes the days to be as large as the windows they are spread from, and would send any
+    # number of them through the driver.
+    if days.limit(FEW_DAYS + 1).count() > FEW_DAYS:
+        days = days.hint("merge")
     near = ledger.where(F.col("month").between(first, last))
-    return near.join(days.distinct(), ["account_id", "txn_date"], "left_semi").select(*ledger.columns).drop("month")
+    return near.join(days, ["account_id", "txn_date"], "left_semi").select(*ledger.columns).drop("month")

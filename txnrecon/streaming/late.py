@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrecon.functions.keys import STATEMENT_PREFIX
 from txnrecon.operators import ledger as ledger_ops
 from txnrecon.operators.params import ReconcileParams
 from txnrecon.sources import ledger_table
@@ -24,7 +25,10 @@ def probe(alerts: DataFrame, ledger: DataFrame, aliases: DataFrame | None = None
     asked = alerts.select(
         "account_id", F.date_sub("txn_date", days).alias("since"), F.date_add("txn_date", days).alias("until")
     )
-    return ledger_ops.double_book(alerts, ledger_table.within(ledger, asked.distinct()), aliases, params)
+    statements = ledger.where(F.col("external_id").startswith(STATEMENT_PREFIX))
+    # Few of the ledger's rows, read for the names, the blocks and the join back.
+    near = materialize(ledger_table.within(statements, asked.distinct()))
+    return ledger_ops.double_book(alerts, near, aliases, params)
 
 
 def run(
