@@ -111,3 +111,18 @@ def test_small_blocks_are_spread_over_tasks(spark, monkeypatch):
     found = similarity.similar_names(names, names, ["id"], 0.7)
     assert found.rdd.getNumPartitions() >= 4
     assert found.where("name_a = name_b AND score = 1").count() == 200
+
+
+def test_mail_is_unwrapped_once(spark, sf, monkeypatch):
+    calls = counted(monkeypatch, views, "orders")
+    decided, _, _ = catalog._decided(spark, sf)
+    assert len(calls) == 1 and extract.FORWARD_MARKER not in decided._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_body_is_kept_for_branches_that_read_it(spark, sf, monkeypatch):
+    kept = []
+    was = notifications.materialize
+    monkeypatch.setattr(notifications, "materialize", lambda frame: (kept.append(was(frame)), kept[-1])[1])
+    catalog._decided(spark, sf)
+    read = F.col("branch").isin("model", "deterministic")
+    assert kept[0].where(read != F.col("body").isNotNull()).isEmpty() and not kept[0].where(~read).isEmpty()

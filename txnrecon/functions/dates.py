@@ -22,15 +22,18 @@ def _assemble(year: Column, month: Column, day: Column) -> Column:
 
 
 def iso_date(col: Column | str) -> Column:
-    text = utrim(col)
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), text.try_cast("date"))
+    shape = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
+    return let(utrim(col), lambda text: F.when(text.rlike(shape), text.try_cast("date")))
 
 
 def _numeric(col: Column | str, day_group: int, month_group: int) -> Column:
-    text, shape = utrim(col), r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z"
-    return F.when(
-        text.rlike(shape),
-        _assemble(*(F.regexp_extract(text, shape, g) for g in (3, month_group, day_group))),
+    shape = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z"
+    return let(
+        utrim(col),
+        lambda text: F.when(
+            text.rlike(shape),
+            _assemble(*(F.regexp_extract(text, shape, g) for g in (3, month_group, day_group))),
+        ),
     )
 
 

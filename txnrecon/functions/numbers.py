@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from txnrecon.functions.text import _c, extract, strip_thousands_commas, utrim
+from txnrecon.functions.text import _c, extract, let, strip_thousands_commas, utrim
 
 AMOUNT = "decimal(20,4)"
 RATE = "decimal(28,12)"
@@ -28,14 +28,12 @@ def amount_gate(col: Column | str) -> Column:
     Signs, exponents, separators and symbols are refused before any cast; ``\\z`` is
     needed because ``$`` would let a trailing newline through.
     """
-    text = utrim(col)
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]{1,4})?\z"), text.try_cast(AMOUNT))
+    return let(utrim(col), lambda text: F.when(text.rlike(r"^[0-9]+(\.[0-9]{1,4})?\z"), text.try_cast(AMOUNT)))
 
 
 def currency_gate(col: Column | str) -> Column:
     """Exactly three ASCII letters after trimming, upper-cased, else null."""
-    text = utrim(col)
-    return F.when(text.rlike(r"^[A-Za-z]{3}\z"), F.upper(text))
+    return let(utrim(col), lambda text: F.when(text.rlike(r"^[A-Za-z]{3}\z"), F.upper(text)))
 
 
 def first_decimal(col: Column | str) -> Column:

@@ -55,14 +55,19 @@ def utrim(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), r"(?U)^\s+|\s+\z", "")
 
 
+def unless_empty(value: Column) -> Column:
+    """``value``, evaluated once, or null where it is the empty text."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def nonblank(col: Column | str) -> Column:
     """Trimmed text, or null when nothing is left."""
-    return F.nullif(utrim(col), F.lit(""))
+    return unless_empty(utrim(col))
 
 
 def extract(col: Column | str, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``; null instead of the empty text when it does not match."""
-    return F.nullif(F.regexp_extract(_c(col), pattern, group), F.lit(""))
+    return unless_empty(F.regexp_extract(_c(col), pattern, group))
 
 
 def contains_any(col: Column, needles: Iterable[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from txnrecon.functions import answers
 from txnrecon.functions.numbers import amount_gate, currency_gate
 from txnrecon.functions.receipts import usd_transaction_total
-from txnrecon.functions.text import BLANK_LINE, HSPACE, ascii_lower, let, nonblank, once, utrim
+from txnrecon.functions.text import BLANK_LINE, HSPACE, ascii_lower, let, nonblank, once, unless_empty, utrim
 from txnrecon.operators import validate
 from txnrecon.sources.registry import SOURCES, Source, match_sender, per_source
 
@@ -29,7 +29,7 @@ def email_address(value: Column) -> Column:
     bracketed = utrim(F.regexp_extract(value, r"^[^<>]*<([^>]*)>", 1))
     word = F.regexp_extract(value, r"(?U)(\S*@\S*)", 1)
     bare = F.regexp_replace(word, r"^[^\x21-\x7E]+|[^\x21-\x7E]+\z", "")
-    return F.when(F.contains(bracketed, F.lit("@")), bracketed).otherwise(F.nullif(bare, F.lit("")))
+    return let(bracketed, lambda b: F.when(F.contains(b, F.lit("@")), b).otherwise(unless_empty(bare)))
 
 
 def unwrap(messages: DataFrame) -> DataFrame:

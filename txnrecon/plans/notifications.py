@@ -108,7 +108,11 @@ def decide(
     dop_rates: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Dispositions (one row per message that is no statement), decided records, decided transfers."""
-    sent = extract.dispatch(messages)
+    # Written once, without what no branch reads again: every branch would unwrap all mail anew.
+    body = F.when(F.col("branch").isin("model", "deterministic"), F.col("body"))
+    sent = materialize(
+        extract.dispatch(messages).select("msg_id", "msg_seq", "adapter", "branch", "branch_reason", body.alias("body"))
+    )
     # The model stage is the expensive one and feeds several branches: what it yields is
     # written once, so neither a branch nor a lost executor asks the model again.
     extracted = materialize(extract.records(extract.model(sent, answer_fn)))
