@@ -113,6 +113,12 @@ def test_small_blocks_are_spread_over_tasks(spark, monkeypatch):
     assert found.where("name_a = name_b AND score = 1").count() == 200
 
 
+def test_names_that_are_missing_match_nothing(spark):
+    names = spark.createDataFrame([(1, "shop"), (1, None), (2, None)], "id INT, name STRING")
+    found = similarity.similar_names(names, names, ["id"], 0.7)
+    assert [tuple(r) for r in found.collect()] == [(1, "shop", "shop", 1.0)]
+
+
 def test_mail_is_unwrapped_once(spark, sf, monkeypatch):
     calls = counted(monkeypatch, views, "orders")
     decided, _, _ = catalog._decided(spark, sf)
