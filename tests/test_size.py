@@ -1,11 +1,16 @@
 """What grows with the tables: rows through the driver, shuffles, and views computed again."""
 
+import datetime
 import io
+import random
 from contextlib import redirect_stdout
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from txnrecon.operators import extract, similarity
+from txnrecon import schema
+from txnrecon.operators import extract, reconcile, similarity
 from txnrecon.plans import catalog, notifications, views
 from txnrecon.sources import ledger_table
 from txnrecon.streaming import ingest, late
@@ -132,3 +137,69 @@ def test_body_is_kept_for_branches_that_read_it(spark, sf, monkeypatch):
     catalog._decided(spark, sf)
     read = F.col("branch").isin("model", "deterministic")
     assert kept[0].where(read != F.col("body").isNotNull()).isEmpty() and not kept[0].where(~read).isEmpty()
+
+
+DAY = datetime.date(2026, 4, 20)
+
+
+def ledger_rows(seed):
+    """Charges and journals of a few accounts, some crowded, some values missing."""
+    rng = random.Random(seed)
+    names = ["shop", "shop online", "shopp", "café ñandú", "ñandú", "red anvil", "anvil", "", None]
+
+    def row(i):
+        account = rng.choice([1, 1, 1, 2, 3, None])
+        return account, i, rng.choice(names), Decimal(rng.choice([10, 11, 40])), rng.choice(["USD", "USD", "EUR", None])
+
+    def day():
+        return rng.choice([None, *[DAY + datetime.timedelta(k) for k in range(-25, 25)]])
+
+    charges, journals = [], []
+    for i in range(120):
+        account, _, name, amount, currency = row(i)
+        charges.append((account, i, f"{i:010d}", name, amount, currency, day()))
+        account, _, name, amount, currency = row(i)
+        held = rng.choice([None, None, "tx", f"bpstmt:{rng.randint(0, 119):010d}"])
+        journals.append((account, rng.choice([i, i, i, None]), day(), amount, currency, name, held))
+    return charges, journals
+
+
+def test_rows_that_meet_in_a_bucket_need_no_blocks(spark, monkeypatch):
+    """Charges and journals move once each; blocks of names are for crowded keys, with the same result."""
+    c, j = ledger_rows(5)
+    j = [r for r in j if r[1] is not None]
+    charges, journals = spark.createDataFrame(c, schema.CHARGES), spark.createDataFrame(j, schema.JOURNALS)
+    calls = counted(monkeypatch, reconcile, "similar_names")
+    columns = ["charge_id", "intent", "n_plausible", "best_journal", "best_score", "second_score", "journal_id"]
+
+    def asked():
+        return sorted(map(tuple, reconcile.intents(charges, journals).select(*columns).collect()))
+
+    plain = asked()
+    assert not calls and len(plain) == 120
+    assert {r[1] for r in plain} >= {"exact", "claim", "book", "review_ambiguous"}
+    for few in (0, 4):
+        monkeypatch.setattr(reconcile, "FEW", few)
+        assert asked() == plain
+    assert len(calls) == 2
+
+
+def test_keys_are_whole_however_rows_are_cut(monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for key in range(30):
+        for side in [-1] * rng.randint(0, 2) + [0] * rng.randint(0, 4) + [1] * rng.randint(0, 5):
+            name = rng.choice(["shop", "shop online", "red anvil", "anvil"])
+            rows.append((key, side, rng.randint(0, 8), name, "", len(rows), rng.random() < 0.7))
+    names = ["key", "_side", "day", "name", "toks", "_id", "_free"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+    compare = similarity.best_near(0.7, 5, ["key"], [])
+
+    def found(batches):
+        return [r for b in compare(iter(batches)) for r in b.to_pylist()]
+
+    want = found([whole])
+    assert len(want) == sum(r[1] < 1 for r in rows) and any(r["second_score"] for r in want)
+    monkeypatch.setattr(similarity, "TASK_ROWS", 5)
+    for size in (1, 3, 7):
+        assert found([whole.slice(k, size) for k in range(0, len(rows), size)]) == want

@@ -1,6 +1,7 @@
 """Match statement charges to booked journals.
 
-Rows are reduced to cells before anything is compared: all charges of a scope, currency,
+Charges and the journals near them meet in a bucket of days and are compared there. Where a key
+is crowded, rows are reduced to cells before anything is compared: all charges of a scope, currency,
 day and name ask the same question, and all journals of such a cell give the same score.
 What a charge needs from its candidates is the best free journal, the runner-up's score
 and whether anything else is plausible, and those are aggregates over cells. So a busy
@@ -19,10 +20,12 @@ from txnrecon.functions.dates import within_days
 from txnrecon.functions.keys import STATEMENT_PREFIX, prefixed
 from txnrecon.operators.ordered import ordinal
 from txnrecon.operators.params import ReconcileParams
-from txnrecon.operators.similarity import bucket_of, buckets_near, canonical, similar_names
+from txnrecon.operators.similarity import best_near, bucket_of, buckets_near, canonical, similar_names, wide_tokens
 from txnrecon.stage import materialize
 
 SCOPE = ("account_id",)
+# Charges, or journals near them, of a scope, currency and bucket that are compared in one go.
+FEW = 2048
 
 
 def exact_matches(charges: DataFrame, journals: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
@@ -36,7 +39,8 @@ def exact_matches(charges: DataFrame, journals: DataFrame, scope: tuple[str, ...
     holds = journals.where(F.col("external_id").startswith(STATEMENT_PREFIX)).select(
         *scope, "journal_id", F.col("amount").alias("journal_amount"), F.col("external_id").alias("_ref")
     )
-    # Few charges have such a journal; numbering reads them twice.
+    # Few journals carry one, and few charges have such a journal; numbering reads both twice.
+    holds = materialize(holds)
     wants = ordinal(materialize(wants.join(holds.select(*keys), keys, "left_semi")), keys, "charge_id", "_nth")
     holds = ordinal(holds, keys, "journal_id", "_nth")
     return wants.join(holds, [*keys, "_nth"]).drop("_ref", "_nth")
@@ -119,6 +123,78 @@ def _rank_candidates(cells: DataFrame, cell: list[str]) -> DataFrame:
     )
 
 
+def _crowded(charges: DataFrame, journals: DataFrame, keys: list[str], days: int) -> DataFrame | None:
+    """Keys (scope, currency, bucket of the charge) with more than ``FEW`` charges or journals near
+    them, or with a journal that has no id; None if there are none. Buckets are counted only
+    where the scope as a whole has so many."""
+    whole = keys[:-1]
+    charged = charges.select(*whole, F.array(bucket_of(F.col("auth_date"), days)).alias("_near"), F.lit(False).alias("_bare"))
+    booked = journals.select(*whole, buckets_near(F.col("txn_date"), days).alias("_near"), F.col("journal_id").isNull().alias("_bare"))
+    many = (F.col("count") > FEW) | F.col("_any")
+    count = [F.count("*").alias("count"), F.bool_or("_bare").alias("_any")]
+    busy = [side.groupBy(*whole).agg(*count).where(many).select(*whole) for side in (charged, booked)]
+    busy = materialize(busy[0].unionByName(busy[1]).distinct())
+    if busy.isEmpty():
+        return None
+    found = [
+        side.join(busy, whole, "left_semi").withColumn(keys[-1], F.explode("_near")).groupBy(*keys).agg(*count).where(many).select(*keys)
+        for side in (charged, booked)
+    ]
+    crowded = materialize(found[0].unionByName(found[1]).dropna().distinct())
+    return None if crowded.isEmpty() else crowded
+
+
+def _asking(
+    charges: DataFrame, journals: DataFrame, crowded: DataFrame | None, params: ReconcileParams, scope: tuple[str, ...]
+) -> DataFrame:
+    """Charges with the best free journal, its score, the runner-up's and the plausible count.
+
+    A charge lies in one bucket and the journals near it are dealt to that bucket too, so
+    both move once and are compared where they arrive. Keys too crowded for that are left to
+    blocks of names. ``charges`` with a journal already ask for none.
+    """
+    days = params.date_window_days
+    keys = [*scope, "currency", "_bucket"]
+    cell = [*scope, "currency", "auth_date", "canon"]
+    # What is missing matches nothing.
+    asks = F.col("journal_id").isNull()
+    for x in cell:
+        asks = asks & F.col(x).isNotNull()
+    j = journals.dropna(subset=[*scope, "currency", "txn_date", "canon"])
+    c = charges.withColumn("_bucket", bucket_of(F.col("auth_date"), days))
+    near = j.select(
+        *scope, "currency", "txn_date", "canon", "is_free", "journal_id",
+        F.explode(buckets_near(F.col("txn_date"), days)).alias("_bucket"),
+    )
+    few_c, few_j = (x if crowded is None else x.join(crowded, keys, "left_anti") for x in (c, near))
+    name, toks = F.col("canon").alias("name"), wide_tokens(F.col("canon")).alias("toks")
+    kept = [x for x in charges.columns if x not in cell]
+    rows = few_c.select(
+        *scope, "currency", F.when(asks, F.col("_bucket")).otherwise(F.xxhash64("charge_id")).alias("_bucket"),
+        F.when(asks, 0).otherwise(-1).alias("_side"), F.unix_date("auth_date").alias("day"), name, toks, *kept,
+    ).unionByName(
+        few_j.select(
+            *scope, "currency", "_bucket", F.lit(1).alias("_side"), F.unix_date("txn_date").alias("day"), name, toks,
+            F.col("journal_id").alias("_id"), F.col("is_free").alias("_free"),
+        ),
+        allowMissingColumns=True,
+    )
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_side", "_id")
+    added = {"n_plausible": "long", "best_score": "double", "best_journal": rows.schema["_id"].dataType, "second_score": "double"}
+    schema = rows.select(*keys, "day", "name", *kept).schema
+    for x, kind in added.items():
+        schema = schema.add(x, kind)
+    asked = dealt.mapInArrow(best_near(params.merchant_gray, days, keys, kept), schema)
+    asked = asked.withColumns({"auth_date": F.date_from_unix_date("day"), "canon": F.col("name")}).select(*charges.columns, *added)
+    if crowded is None:
+        return asked
+    around = crowded.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") - 1, F.col("_bucket") + 1))).distinct()
+    many_c = c.join(crowded, keys, "left_semi").drop("_bucket")
+    many_j = j.withColumn("_bucket", bucket_of(F.col("txn_date"), days)).join(around, keys, "left_semi")
+    ranked = _rank_candidates(candidate_cells(many_c.where(F.col("journal_id").isNull()), many_j, params, scope), cell)
+    return asked.unionByName(many_c.join(ranked, cell, "left"))
+
+
 def intents(
     charges: DataFrame,
     journals: DataFrame,
@@ -139,9 +215,9 @@ def intents(
     j = canonical(journals, "merchant", aliases, "canon").join(taken, [*on, "journal_id"], "left")
     j = j.withColumn("is_free", F.coalesce("_free", F.lit(True))).drop("_free")
     c = canonical(charges, "merchant", aliases, "canon").join(exact, [*on, "charge_id"], "left")
-    undecided = c.where(F.col("journal_id").isNull())
-    cell = [*on, "currency", "auth_date", "canon"]
-    ranked = _rank_candidates(candidate_cells(undecided, j, p, scope), cell)
+    crowded = _crowded(charges, journals, [*on, "currency", "_bucket"], p.date_window_days)
+    # Read more than once only where some keys are crowded.
+    c, j = (c, j) if crowded is None else (materialize(c), materialize(j))
     close = (F.col("second_score") >= p.merchant_threshold) & (
         F.col("best_score") - F.col("second_score") < p.score_epsilon
     )
@@ -152,7 +228,7 @@ def intents(
         .when(close, "review_ambiguous")
         .otherwise("claim")
     )
-    asked = c.join(ranked, cell, "left").withColumn("intent", intent)
+    asked = _asking(c, j, crowded, p, scope).withColumn("intent", intent)
     found = ["n_plausible", "best_score", "best_journal", "second_score"]
     return asked.select(
         *[F.when(F.col("intent") != "exact", F.col(x)).alias(x) if x in found else F.col(x) for x in asked.columns]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ PAIRS, CELLS = 1 << 16, 1 << 20
 TASK_PAIRS = 1 << 21
 # Blocks that one task looks at, however small they are.
 TASK_BLOCKS = 1 << 16
+# Rows of whole keys that are compared together.
+TASK_ROWS = 1 << 16
 # Longest name whose places are the bits of one word, entries of a table of them, tokens compared at once.
 WORD, MASKS, FEW = 64, 1 << 23, 8
 
@@ -149,6 +153,17 @@ def _by_length(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def _ascii_tokens(name: str) -> list[str]:
+    """``tokens`` of a name in ASCII."""
+    return [t.lower() for t in re.split("[^A-Za-z0-9]+", name) if len(t) >= 2]
+
+
+def wide_tokens(name: Column) -> Column:
+    """Tokens of a name that isn't ASCII, in one text; those of others are cut once per batch. It is
+    never null: the JVM sizes a batch at each row and then fills a run of nulls anew."""
+    return F.coalesce(F.when(F.octet_length(name) > F.length(name), F.array_join(tokens(name), " ")), F.lit(""))
+
+
 class _Names:
     """Distinct names of a batch: lengths, uses and places of each character, and tokens."""
 
@@ -176,7 +191,8 @@ class _Names:
             np.bitwise_or.at(self.places, (owner[short], kind[short]), np.uint64(1) << place[short].astype(np.uint64))
         first = np.zeros(n, np.int64)
         first[self.index[::-1]] = np.arange(len(self.index))[::-1]
-        lists = tokens.take(pa.array(first)).to_pylist()
+        wide = tokens.take(pa.array(first)).to_pylist()
+        lists = [_ascii_tokens(n) if n.isascii() else t.split(" ") if t else [] for n, t in zip(self.names, wide, strict=True)]
         number: dict[str, int] = {}
         self.tokens = [[number.setdefault(t, len(number)) for t in some] for some in lists]
         self.parts = np.fromiter(map(len, self.tokens), np.int64, n)
@@ -284,6 +300,105 @@ def _may_reach(names: _Names, i: np.ndarray, j: np.ndarray, threshold: float) ->
     return overlap * (names.size[i] + names.size[j]) >= need * names.size[i] * names.size[j]
 
 
+def _reaching(names: _Names, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of names reach the threshold, and their scores."""
+    sharing = (names.marks[i] & names.marks[j]) != 0
+    near = _may_reach(names, i, j, threshold) | (i == j)
+    kept = np.flatnonzero(near | sharing)
+    i, j, near, sharing = i[kept], j[kept], near[kept], sharing[kept]
+    score = np.zeros(len(kept))
+    score[near] = names.jaro_winkler(i[near], j[near])
+    score[sharing] = np.maximum(score[sharing], names.containment(i[sharing], j[sharing]))
+    score[i == j] = 1.0
+    reached = score >= threshold
+    return kept[reached], score[reached]
+
+
+def best_near(threshold: float, window_days: int, keys: list[str], kept: list[str]):
+    """Rows sorted by ``keys``, _side and _id to the charges among them (keys, day, name, ``kept``) with
+    the journals of similar names within the window, the best free one, its score and the runner-up's.
+
+    Rows: day, name, toks, _side (0: a charge that asks, -1: one that doesn't, 1: a journal), and of
+    journals _id and _free. A key has few rows of either side; many keys are compared together.
+    """
+    shown = [*keys, "day", "name", *kept]
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        """Where keys begin; a charge that doesn't ask is on its own."""
+        side = rows["_side"].to_numpy()
+        new = np.ones(len(side), bool)
+        new[1:] = (side[1:] < 0) | (side[:-1] < 0)
+        for key in keys:
+            code = rows[key].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def best(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        side = rows["_side"].to_numpy()
+        sides = [np.flatnonzero(side == k) for k in (0, 1)]
+        group = np.searchsorted(at, np.arange(len(side)), side="right") - 1
+        known = _Names(pc.fill_null(rows["name"].combine_chunks(), ""), rows["toks"].combine_chunks())
+        name, day = known.index.astype(np.int64), pc.fill_null(rows["day"], 0).to_numpy()
+        free_ = pc.fill_null(rows["_free"], False).to_numpy()
+        n = len(side)
+        plausible, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        score, second = np.full(n, np.nan), np.full(n, np.nan)
+        # All pairs of a charge come together.
+        for _, i, j in _pairs(*(np.bincount(group[k], minlength=len(at)) for k in sides)):
+            i, j = sides[0][i], sides[1][j]
+            near = np.abs(day[i] - day[j]) <= window_days
+            i, j = i[near], j[near]
+            # A pair of names that repeats is scored once.
+            pairs, number = np.unique(name[i] * len(known.names) + name[j], return_inverse=True)
+            reached, scores = _reaching(known, pairs // len(known.names), pairs % len(known.names), threshold)
+            found = np.full(len(pairs), np.nan)
+            found[reached] = scores
+            found = found[number]
+            similar = ~np.isnan(found)
+            if not similar.any():
+                continue
+            i, j, found = i[similar], j[similar], found[similar]
+            order = np.lexsort((j, -found, ~free_[j], i))
+            i, j, found = i[order], j[order], found[order]
+            free = free_[j]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            plausible[i[first]] = np.diff(first, append=len(i))
+            top = first[free[first]]
+            after = np.minimum(top + 1, len(i) - 1)
+            place[i[top]], score[i[top]] = j[top], found[top]
+            second[i[top]] = np.where((after > top) & (i[after] == i[top]) & free[after], found[after], np.nan)
+        out = pa.array(side <= 0)
+        none = np.isnan(score)
+        added = {
+            "n_plausible": pa.array(plausible, mask=plausible == 0), "best_score": pa.array(score, mask=none),
+            "best_journal": rows["_id"].combine_chunks().take(pa.array(place, mask=none)),
+            "second_score": pa.array(second, mask=np.isnan(second)),
+        }
+        columns = {k: rows[k].combine_chunks() for k in shown} | added
+        return pa.RecordBatch.from_arrays([v.filter(out) for v in columns.values()], [*columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < TASK_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            at = begins(rows)
+            # The last key may go on in the next batch.
+            cut = int(at[-1])
+            if cut:
+                yield best(rows.slice(0, cut), at[:-1])
+            rest = rows.slice(cut).combine_chunks()
+            held, size = rest.to_batches(), rest.num_rows
+        if size:
+            rows = pa.Table.from_batches(held)
+            yield best(rows, begins(rows))
+
+    return run
+
+
 def _compare(threshold: float, keys: int):
     """Blocks of names (keys, left names, right names) to the pairs that reach the threshold."""
 
@@ -296,18 +411,10 @@ def _compare(threshold: float, keys: int):
             left, right = np.split(known.index, [len(flat[0])])
             for row, i, j in _pairs(*counts):
                 i, j = left[i], right[j]
-                sharing = (known.marks[i] & known.marks[j]) != 0
-                near = _may_reach(known, i, j, threshold) | (i == j)
-                kept = np.flatnonzero(near | sharing)
-                row, i, j, near, sharing = row[kept], i[kept], j[kept], near[kept], sharing[kept]
-                score = np.zeros(len(kept))
-                score[near] = known.jaro_winkler(i[near], j[near])
-                score[sharing] = np.maximum(score[sharing], known.containment(i[sharing], j[sharing]))
-                score[i == j] = 1.0
-                kept = score >= threshold
+                kept, score = _reaching(known, i, j, threshold)
                 names = [pa.array([known.names[k] for k in side[kept]], pa.string()) for side in (i, j)]
                 scoped = [batch.column(k).take(pa.array(row[kept])) for k in range(keys)]
-                yield pa.RecordBatch.from_arrays([*scoped, *names, pa.array(score[kept])], [*batch.schema.names[:keys], "name_a", "name_b", "score"])
+                yield pa.RecordBatch.from_arrays([*scoped, *names, pa.array(score)], [*batch.schema.names[:keys], "name_a", "name_b", "score"])
 
     return run
 
@@ -369,7 +476,7 @@ def similar_names(
     met = packed(ls, "_r", "_rows", "_c", "_cols", "_left").join(packed(rs, "_c", "_cols", "_r", "_rows", "_right"), [*keys, "_r", "_c"])
     # Tokens are cut where the blocks are compared: only names travel.
     marked = [
-        F.transform(side, lambda n: F.struct(n.alias("name"), tokens(n).alias("toks"))).alias(side) for side in ("_left", "_right")
+        F.transform(side, lambda n: F.struct(n.alias("name"), wide_tokens(n).alias("toks"))).alias(side) for side in ("_left", "_right")
     ]
     blocks = met.repartition(max(1, tasks), *keys, "_r", "_c").select(*keys, *marked)
     schema = T.StructType([*blocks.select(*keys).schema, *T._parse_datatype_string("name_a string, name_b string, score double")])
