@@ -191,8 +191,10 @@ class _Names:
             np.bitwise_or.at(self.places, (owner[short], kind[short]), np.uint64(1) << place[short].astype(np.uint64))
         first = np.zeros(n, np.int64)
         first[self.index[::-1]] = np.arange(len(self.index))[::-1]
-        wide = tokens.take(pa.array(first)).to_pylist()
-        lists = [_ascii_tokens(n) if n.isascii() else t.split(" ") if t else [] for n, t in zip(self.names, wide, strict=True)]
+        lists = tokens.take(pa.array(first)).to_pylist()
+        if not pa.types.is_list(tokens.type):
+            # Texts of ``wide_tokens``.
+            lists = [_ascii_tokens(n) if n.isascii() else t.split(" ") if t else [] for n, t in zip(self.names, lists, strict=True)]
         number: dict[str, int] = {}
         self.tokens = [[number.setdefault(t, len(number)) for t in some] for some in lists]
         self.parts = np.fromiter(map(len, self.tokens), np.int64, n)
